@@ -24,8 +24,11 @@ def line_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
     li = li.join(part, "l_partkey", "left_semi")
-    return li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_discount").alias("disc_sum"),
-                                        F.count(F.lit(1)).alias("n_lines"))
+    # discounts are whole percentages: summing cents keeps the average exact
+    return li.groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("q"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_cents"),
+        F.count(F.lit(1)).alias("n_lines"))
 
 
 def regression_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def regression_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = line_by_order(spark, sf_dir)
     lagg = (lo.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "cust", "yr"), "l_orderkey")
             .groupBy("cust", "yr")
-            .agg(F.sum("q").alias("q"), (F.sum("disc_sum") / F.sum("n_lines")).alias("avg_disc")))
+            .agg(F.sum("q").alias("q"), (F.sum("disc_cents") / (F.sum("n_lines") * 100)).alias("avg_disc")))
     cust = load_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"),
                                                          F.col("c_nationkey").alias("state"),
                                                          F.col("c_acctbal").alias("acctbal"))
@@ -47,3 +50,21 @@ def regression_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("urg").cast("double").alias("urg"),
                     F.ln(1.0 + F.coalesce(F.col("q"), F.lit(0.0))).alias("y"),
                     F.coalesce(F.col("avg_disc"), F.lit(0.0)).alias("disc")))
+
+
+def year_range(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last order year: one aggregate row, used as literals."""
+    r = (load_table(spark, sf_dir, "orders")
+         .agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi")).first())
+    return int(r["lo"]), int(r["hi"])
+
+
+def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer in every order year, order count and dollars (0 where absent)."""
+    from sparkpanel.operators.panel import build_panel
+    o = orders_year(spark, sf_dir)
+    units = load_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"))
+    return build_panel(o, "cust", "yr",
+                       {"no": F.count(F.lit(1)), "dollars": F.sum("o_totalprice")},
+                       units=units, time_range=year_range(spark, sf_dir),
+                       fill={"no": 0, "dollars": 0.0})

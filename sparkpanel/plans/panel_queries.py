@@ -1,6 +1,554 @@
-"""Panel-side queries on ``orders``, ``lineitem``, ``customer`` and ``part``."""
+"""Panel-side queries on ``orders``, ``lineitem``, ``customer`` and ``part``.
+
+Stand-ins (FIXTURES §2): county -> customer, state -> nation, year -> order
+year, spending -> order value, patents -> order count.  Doubles are rounded to
+6 places in both the Spark result and its SQL twin.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkpanel.operators import did as D
+from sparkpanel.operators import fe
+from sparkpanel.operators import merge as J
+from sparkpanel.operators import panel as P
+from sparkpanel.operators import ranks as R
+from sparkpanel.plans.panel_data import balanced_panel, orders_year, regression_panel
+from sparkpanel.sources import load_table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+# Fixed design of the stand-in difference-in-differences (FIXTURES §3.3).
+PERIOD1 = (1995, 1997)
+PERIOD2 = (1997, 2001)
+AFTER = 1997
+BASE = 1997
+
+
+def register(name, sql=None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return deco
+
+
+def r6(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# --- shared SQL pieces -------------------------------------------------------
+
+PANEL_CTE = """
+o AS (
+  SELECT o_orderkey, o_custkey AS cust, o_totalprice, o_orderpriority,
+         CAST(year(o_orderdate) AS INTEGER) AS yr
+  FROM orders
+), oagg AS (
+  SELECT cust, yr, ln(sum(o_totalprice)) AS x, CAST(count(*) AS DOUBLE) AS no,
+         CAST(count_if(o_orderpriority = '1-URGENT') AS DOUBLE) AS urg
+  FROM o GROUP BY cust, yr
+), li AS (
+  SELECT l_orderkey, sum(l_quantity) AS q, sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_cents,
+         count(*) AS n_lines
+  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_orderkey
+), lagg AS (
+  SELECT o.cust, o.yr, sum(q) AS q, sum(disc_cents) / (sum(n_lines) * 100) AS avg_disc
+  FROM li JOIN o ON li.l_orderkey = o.o_orderkey GROUP BY o.cust, o.yr
+), panel AS (
+  SELECT oagg.cust, oagg.yr, c.c_nationkey AS state, c.c_acctbal AS acctbal, x, no, urg,
+         ln(1 + coalesce(lagg.q, 0)) AS y, coalesce(lagg.avg_disc, 0) AS disc
+  FROM oagg LEFT JOIN lagg ON oagg.cust = lagg.cust AND oagg.yr = lagg.yr
+  LEFT JOIN customer c ON c.c_custkey = oagg.cust
+)"""
+
+BALANCED_CTE = """
+yrs AS (
+  SELECT min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders
+), skel AS (
+  SELECT c_custkey AS cust, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS yr FROM customer, yrs
+), oa AS (
+  SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS no,
+         sum(o_totalprice) AS dollars
+  FROM orders GROUP BY 1, 2
+), bal AS (
+  SELECT skel.cust, skel.yr, coalesce(oa.no, 0) AS no, coalesce(oa.dollars, 0.0) AS dollars
+  FROM skel LEFT JOIN oa ON skel.cust = oa.cust AND skel.yr = oa.yr
+)"""
+
+FLAGS_CTE = BALANCED_CTE + f""", pm AS (
+  SELECT cust,
+         avg(CASE WHEN yr BETWEEN {PERIOD1[0]} AND {PERIOD1[1]} THEN dollars END) AS mean_spend1,
+         avg(CASE WHEN yr BETWEEN {PERIOD2[0]} AND {PERIOD2[1]} THEN dollars END) AS mean_spend2
+  FROM bal GROUP BY cust
+), sg AS (
+  SELECT bal.*, mean_spend1, mean_spend2, mean_spend2 - mean_spend1 AS surge
+  FROM bal JOIN pm ON bal.cust = pm.cust
+), med AS (SELECT median(surge) AS med FROM sg
+), flags AS (
+  SELECT sg.*, CASE WHEN surge IS NULL OR surge > med THEN 1 ELSE 0 END AS treated,
+         CASE WHEN yr IS NULL OR yr > {AFTER} THEN 1 ELSE 0 END AS after
+  FROM sg, med
+)"""
+
+
+# --- I2 / P8 / P10 / F15 / S2: panel construction --------------------------------
+
+@register("build_panel", f"""
+WITH {PANEL_CTE}
+SELECT cust, yr, state, acctbal, round(x, 6) AS x, no, urg, round(y, 6) AS y, disc,
+       CASE WHEN yr > {AFTER} THEN 1 ELSE 0 END AS after
+FROM panel""")
+def q_build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.period_flag(regression_panel(spark, sf_dir), "yr", AFTER)
+    return p.select("cust", "yr", "state", "acctbal", r6("x").alias("x"), "no", "urg",
+                    r6("y").alias("y"), "disc", "after")
+
+
+# --- J1-J3: merges ------------------------------------------------------------------
+
+@register("merge_full", """
+WITH l AS (
+  SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n,
+         sum(o_totalprice) AS dollars, true AS lf
+  FROM orders GROUP BY 1, 2
+), r AS (
+  SELECT o_custkey AS cust, CAST(year(l_shipdate) AS INTEGER) AS yr, count(*) AS n,
+         sum(l_quantity) AS q, true AS rf
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+)
+SELECT CASE WHEN lf THEN l.cust ELSE r.cust END AS cust, CASE WHEN lf THEN l.yr ELSE r.yr END AS yr,
+       CASE WHEN lf THEN l.n ELSE r.n END AS n, round(l.dollars, 6) AS dollars, round(r.q, 6) AS q,
+       CAST(CASE WHEN lf AND rf THEN 3 WHEN lf THEN 1 ELSE 2 END AS INTEGER) AS _merge
+FROM l FULL OUTER JOIN r ON l.cust IS NOT DISTINCT FROM r.cust AND l.yr IS NOT DISTINCT FROM r.yr""")
+def q_merge_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = orders_year(spark, sf_dir)
+    left = o.groupBy("cust", "yr").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("dollars"))
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate")
+    right = (li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "cust"), "l_orderkey")
+             .groupBy("cust", F.year("l_shipdate").alias("yr"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")))
+    m = J.merge(left, right, ["cust", "yr"], "1:1")
+    return m.select("cust", "yr", "n", r6("dollars").alias("dollars"), r6("q").alias("q"), "_merge")
+
+
+@register("merge_m1", f"""
+WITH {PANEL_CTE}
+SELECT p.cust, p.yr, p.no, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM (SELECT cust, yr, no FROM panel) p JOIN customer c ON p.cust = c.c_custkey""")
+def q_merge_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "no")
+    cust = load_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), "c_nationkey",
+                                                         "c_acctbal", "c_mktsegment")
+    return J.merge(p, cust, ["cust"], "m:1", keep="match")
+
+
+# --- P18 / W4 / W1 / A7 / P11 / P12: ids, ranks, buckets ----------------------------
+
+@register("group_ids", f"""
+WITH {PANEL_CTE}
+SELECT cust, yr, state,
+       dense_rank() OVER (ORDER BY state, yr) AS state_yr,
+       dense_rank() OVER (ORDER BY cust) AS county_id
+FROM panel""")
+def q_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "state")
+    p = R.group_id(p, ["state", "yr"], "state_yr")
+    return R.group_id(p, ["cust"], "county_id")
+
+
+@register("global_rank", f"""
+WITH {PANEL_CTE}
+SELECT cust, yr, row_number() OVER (ORDER BY acctbal, cust, yr) AS _n, count(*) OVER () AS n_total
+FROM panel""")
+def q_global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "acctbal")
+    return R.global_rank(p, ["acctbal", "cust", "yr"]).select("cust", "yr", "_n", "n_total")
+
+
+_BUCKET_SQL = f"""
+WITH {PANEL_CTE}, b AS (
+  SELECT cust, yr, x, no,
+         CAST(ceil(4.0 * row_number() OVER (ORDER BY acctbal, cust, yr) / count(*) OVER ()) AS INTEGER) AS "group"
+  FROM panel
+)"""
+
+
+@register("quantile_bucket", _BUCKET_SQL + """
+SELECT cust, yr, "group",
+       CAST("group" = 1 AS INTEGER) AS g1, CAST("group" = 2 AS INTEGER) AS g2,
+       CAST("group" = 3 AS INTEGER) AS g3, CAST("group" = 4 AS INTEGER) AS g4,
+       round(x * ("group" = 1)::INTEGER, 6) AS xg1, round(x * ("group" = 4)::INTEGER, 6) AS xg4,
+       no * ("group" = 1)::INTEGER AS zg1, no * ("group" = 4)::INTEGER AS zg4
+FROM b""")
+def q_quantile_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "acctbal", "x", "no")
+    b = R.quantile_bucket(p, ["acctbal", "cust", "yr"], 4, "group")
+    b = P.one_hot(b, "group", [1, 2, 3, 4], "g")
+    b = P.interact(b, {"x": "xg", "no": "zg"}, ["g1", "g2", "g3", "g4"])
+    return b.select("cust", "yr", "group", "g1", "g2", "g3", "g4", r6("xg1").alias("xg1"),
+                    r6("xg4").alias("xg4"), "zg1", "zg4")
+
+
+@register("tabulate", _BUCKET_SQL + """
+, t AS (SELECT "group", count(*) AS freq FROM b GROUP BY "group")
+SELECT "group", freq, round(CAST(100 AS DOUBLE) * freq / sum(freq) OVER (), 6) AS percent,
+       round(CAST(100 AS DOUBLE) * sum(freq) OVER (ORDER BY "group" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             / sum(freq) OVER (), 6) AS cum
+FROM t""")
+def q_tabulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "acctbal")
+    b = R.quantile_bucket(p, ["acctbal", "cust", "yr"], 4, "group")
+    t = R.tabulate(b, "group")
+    return t.select("group", "freq", r6("percent").alias("percent"), r6("cum").alias("cum"))
+
+
+# --- A1 / A2 / J4 / A3 / P5 / P7 / P9: group statistics, summary, DiD flags ----------
+
+@register("group_stats", f"""
+WITH {BALANCED_CTE}
+SELECT cust, yr, max(CAST(no > 0 AS INTEGER)) OVER (PARTITION BY cust) AS active_max,
+       round(avg(CASE WHEN yr BETWEEN {PERIOD1[0]} AND {PERIOD1[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
+         AS mean_spend1,
+       round(avg(CASE WHEN yr BETWEEN {PERIOD2[0]} AND {PERIOD2[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
+         AS mean_spend2
+FROM bal""")
+def q_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = balanced_panel(spark, sf_dir).withColumn("active", (F.col("no") > 0).cast("int"))
+    b = P.group_max(b, "cust", "active", "active_max")
+    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD1, "mean_spend1")
+    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD2, "mean_spend2")
+    return b.select("cust", "yr", "active_max", r6("mean_spend1").alias("mean_spend1"),
+                    r6("mean_spend2").alias("mean_spend2"))
+
+
+_PCTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+
+
+def _pct_sql(p: int) -> str:
+    return (f"(coalesce(sum(CASE WHEN (N * {p}) % 100 = 0 AND _n IN (N * {p} // 100, N * {p} // 100 + 1)"
+            f" THEN v END) / 2, 0)"
+            f" + coalesce(sum(CASE WHEN (N * {p}) % 100 <> 0 AND _n = N * {p} // 100 + 1 THEN v END), 0))")
+
+
+@register("summarize_detail", f"""
+WITH {FLAGS_CTE}, v AS (SELECT surge AS v FROM flags WHERE surge IS NOT NULL
+), r AS (SELECT v, row_number() OVER (ORDER BY v) AS _n, count(*) OVER () AS N FROM v
+), mom AS (
+  SELECT count(*) AS N, avg(v) AS mean, stddev_samp(v) AS sd, var_samp(v) AS variance,
+         min(v) AS min, max(v) AS max, sum(v) AS sum FROM v
+), cm AS (
+  SELECT avg(power(v.v - mom.mean, 2)) AS m2, avg(power(v.v - mom.mean, 3)) AS m3,
+         avg(power(v.v - mom.mean, 4)) AS m4 FROM v, mom
+), pc AS (
+  SELECT {", ".join(f"{_pct_sql(p)} AS p{p}" for p in _PCTS)} FROM r
+)
+SELECT mom.N, round(mean, 6) AS mean, round(sd, 6) AS sd, round(variance, 3) AS variance,
+       round(m3 / power(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2), 6) AS kurtosis,
+       round(min, 6) AS min, round(max, 6) AS max, round(sum, 4) AS sum,
+       {", ".join(f"round(p{p}, 6) AS p{p}" for p in _PCTS)}
+FROM mom, cm, pc""")
+def q_summarize_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = balanced_panel(spark, sf_dir)
+    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD1, "mean_spend1")
+    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD2, "mean_spend2")
+    b = b.withColumn("surge", F.col("mean_spend2") - F.col("mean_spend1"))
+    s = R.summarize_detail(b, "surge", _PCTS)
+    return s.select("N", r6("mean").alias("mean"), r6("sd").alias("sd"),
+                    F.round("variance", 3).alias("variance"), r6("skewness").alias("skewness"),
+                    r6("kurtosis").alias("kurtosis"), r6("min").alias("min"), r6("max").alias("max"),
+                    F.round("sum", 4).alias("sum"), *[r6(f"p{p}").alias(f"p{p}") for p in _PCTS])
+
+
+def did_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.surge_treatment(balanced_panel(spark, sf_dir), "cust", "yr", "dollars", PERIOD1, PERIOD2, AFTER)
+
+
+@register("did_flags", f"""
+WITH {FLAGS_CTE}
+SELECT cust, yr, no, round(mean_spend1, 6) AS mean_spend1, round(mean_spend2, 6) AS mean_spend2,
+       round(surge, 6) AS surge, treated, after, treated * after AS treatment
+FROM flags""")
+def q_did_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = did_frame(spark, sf_dir)
+    return d.select("cust", "yr", "no", r6("mean_spend1").alias("mean_spend1"),
+                    r6("mean_spend2").alias("mean_spend2"), r6("surge").alias("surge"),
+                    "treated", "after", "treatment")
+
+
+# --- I1 / I3 / I4: described constructions ------------------------------------------
+
+@register("intensive_margin", f"""
+WITH {PANEL_CTE}
+SELECT cust, yr, urg,
+       CAST(sum(CASE WHEN urg > 0 AND yr < {AFTER} THEN 1 ELSE 0 END) OVER (PARTITION BY cust) >= 1 AS INTEGER)
+         AS intensive
+FROM panel""")
+def q_intensive_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "urg")
+    return P.intensive_margin(p, "cust", "yr", "urg", AFTER)
+
+
+@register("shift_share", f"""
+WITH lx AS (
+  SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, p_type, l_extendedprice
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+), pre AS (
+  SELECT cust, p_type, sum(l_extendedprice) AS v FROM lx WHERE yr <= {AFTER} GROUP BY 1, 2
+), sh AS (
+  SELECT cust, p_type, v / sum(v) OVER (PARTITION BY cust) AS share FROM pre
+), shock AS (
+  SELECT p_type, yr, sum(l_extendedprice) AS shock FROM lx GROUP BY 1, 2
+)
+SELECT cust, yr, round(ln(sum(share * shock)), 6) AS z
+FROM sh JOIN shock ON sh.p_type = shock.p_type GROUP BY cust, yr""")
+def q_shift_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lx = _line_cust_type(spark, sf_dir)
+    shares = P.shares_of(lx.filter(F.col("yr") <= AFTER), "cust", "p_type", "l_extendedprice")
+    shocks = lx.groupBy("p_type", "yr").agg(F.sum("l_extendedprice").alias("shock"))
+    z = P.shift_share(shares, shocks, "cust", "p_type", "yr")
+    return z.select("cust", "yr", r6("z").alias("z"))
+
+
+def _line_cust_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    o = orders_year(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "cust", "yr")
+    part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return li.join(o, "l_orderkey").join(part, "l_partkey")
+
+
+@register("hhi", """
+WITH v AS (
+  SELECT c_nationkey AS nation, l_suppkey, sum(l_extendedprice) AS v
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2
+), s AS (SELECT nation, v / sum(v) OVER (PARTITION BY nation) AS share FROM v)
+SELECT nation, round(sum(share * share), 6) AS hhi, count(*) AS n_firms,
+       round(1 - sum(share * share), 6) AS competition
+FROM s GROUP BY nation""")
+def q_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    o = load_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+                                                    F.col("o_custkey").alias("c_custkey"))
+    c = load_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    lx = li.join(o, "l_orderkey").join(c, "c_custkey")
+    h = P.hhi(lx, "nation", "l_suppkey", "l_extendedprice")
+    return h.select("nation", r6("hhi").alias("hhi"), "n_firms", r6("competition").alias("competition"))
+
+
+# --- E1 / E2 / A17 / P6: estimation-sample building blocks ----------------------------
+
+_SINGLETON_SQL = f"""
+WITH {PANEL_CTE}, r0 AS (SELECT cust, yr, y FROM panel),
+r1 AS (SELECT * FROM r0 WHERE cust IN (SELECT cust FROM r0 GROUP BY cust HAVING count(*) > 1)
+                          AND yr IN (SELECT yr FROM r0 GROUP BY yr HAVING count(*) > 1)),
+r2 AS (SELECT * FROM r1 WHERE cust IN (SELECT cust FROM r1 GROUP BY cust HAVING count(*) > 1)
+                          AND yr IN (SELECT yr FROM r1 GROUP BY yr HAVING count(*) > 1)),
+r3 AS (SELECT * FROM r2 WHERE cust IN (SELECT cust FROM r2 GROUP BY cust HAVING count(*) > 1)
+                          AND yr IN (SELECT yr FROM r2 GROUP BY yr HAVING count(*) > 1))"""
+
+
+@register("singletons", _SINGLETON_SQL + "\nSELECT cust, yr FROM r3")
+def q_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir).select("cust", "yr", "y")
+    return fe.drop_singletons(p, ["cust", "yr"]).select("cust", "yr")
+
+
+@register("y_summary", _SINGLETON_SQL + """
+SELECT count(*) AS N, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd,
+       round(min(y), 6) AS min, round(max(y), 6) AS max
+FROM r3""")
+def q_y_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    d = fe.estimation_sample(p, ["y", "x"], ["cust", "yr"], "cust")
+    return d.agg(F.count(F.lit(1)).alias("N"), r6(F.avg("y")).alias("mean"), r6(F.stddev_samp("y")).alias("sd"),
+                 r6(F.min("y")).alias("min"), r6(F.max("y")).alias("max"))
+
+
+@register("demean_balanced", f"""
+WITH {BALANCED_CTE}
+SELECT cust, yr,
+       round(no - avg(no) OVER (PARTITION BY cust) - avg(no) OVER (PARTITION BY yr) + avg(no) OVER (), 6) AS no_dm,
+       round(dollars - avg(dollars) OVER (PARTITION BY cust) - avg(dollars) OVER (PARTITION BY yr)
+             + avg(dollars) OVER (), 4) AS dollars_dm
+FROM bal""")
+def q_demean_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = balanced_panel(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    d = fe.absorb(b, ["no", "dollars"], ["cust", "yr"])
+    return d.select("cust", "yr", r6("no").alias("no_dm"), F.round("dollars", 4).alias("dollars_dm"))
+
+
+# --- E3-E7 / E14 / I5: regressions (golden values in tests; rows-only here) ----------
+
+FULL = ["x", "disc", "urg"]
+
+
+def _coef_frame(spark, res: fe.FEResult) -> DataFrame:
+    return res.coefficients(spark)
+
+
+@register("fe_ols")
+def q_fe_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    res = [fe.fe_ols(p, "y", ["x"], fes=["cust", "yr"], cluster="cust", name="ols_simple"),
+           fe.fe_ols(p, "y", FULL, fes=["cust", "yr"], cluster="cust", name="ols_full")]
+    return _union([_coef_frame(spark, r) for r in res])
+
+
+@register("fe_ols_stateyr")
+def q_fe_ols_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    r = fe.fe_ols(p, "y", FULL, fes=["cust", ("state", "yr")], cluster="cust", name="ols_full_stateyr")
+    return _coef_frame(spark, r)
+
+
+@register("fe_iv")
+def q_fe_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    res = [fe.fe_iv(p, "y", [], ["x"], ["no"], fes=["cust", "yr"], cluster="cust", name="iv_simple"),
+           fe.fe_iv(p, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", "yr"], cluster="cust", name="iv_full")]
+    return _union([_coef_frame(spark, r) for r in res])
+
+
+@register("fe_iv_stateyr")
+def q_fe_iv_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    r = fe.fe_iv(p, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
+                 name="iv_full_stateyr")
+    return _coef_frame(spark, r)
+
+
+@register("first_stage")
+def q_first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regression_panel(spark, sf_dir)
+    r = fe.first_stage(p, "x", ["disc", "urg"], ["no"], fes=["cust", "yr"], cluster="cust", name="first_stage")
+    return _coef_frame(spark, r).withColumn("first_stage_F", F.lit(r.extra["first_stage_F"]))
+
+
+def quartile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of acctbal over all rows (before pruning), dummies and interactions."""
+    p = regression_panel(spark, sf_dir)
+    b = R.quantile_bucket(p, ["acctbal", "cust", "yr"], 4, "group")
+    b = P.one_hot(b, "group", [1, 2, 3, 4], "g")
+    return P.interact(b, {"x": "xg", "no": "zg"}, ["g1", "g2", "g3", "g4"])
+
+
+@register("fe_iv_groups")
+def q_fe_iv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = quartile_frame(spark, sf_dir)
+    r = fe.fe_iv(b, "y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"],
+                 fes=["cust", ("state", "yr")], cluster="cust", name="iv_groups")
+    return _coef_frame(spark, r)
+
+
+@register("iv_by_quartile")
+def q_iv_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One IV per quartile, each pruned within its own sub-sample."""
+    b = quartile_frame(spark, sf_dir)
+    frames = []
+    for g in (1, 2, 3, 4):
+        r = fe.fe_iv(b, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
+                     sample=F.col("group") == g, name=f"q{g}")
+        frames.append(_coef_frame(spark, r).withColumn("N", F.lit(r.nobs)).withColumn("G", F.lit(r.n_clusters)))
+    return _union(frames)
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+# --- E8-E11: difference-in-differences ---------------------------------------------------
+
+@register("did", f"""
+WITH {FLAGS_CTE}, d AS (
+  SELECT cust, yr, CAST(no AS DOUBLE) AS y, CAST(treated * after AS DOUBLE) AS t FROM flags
+), dm AS (
+  SELECT cust, y - avg(y) OVER (PARTITION BY cust) - avg(y) OVER (PARTITION BY yr) + avg(y) OVER () AS yd,
+         t - avg(t) OVER (PARTITION BY cust) - avg(t) OVER (PARTITION BY yr) + avg(t) OVER () AS td
+  FROM d
+), b AS (
+  SELECT sum(td * yd) / sum(td * td) AS beta, sum(td * td) AS sxx, count(*) AS n, count(DISTINCT cust) AS g,
+         sum(yd * yd) AS tss
+  FROM dm
+), sc AS (SELECT cust, sum(td * (yd - beta * td)) AS s FROM dm, b GROUP BY cust
+), v AS (SELECT sum(s * s) AS meat FROM sc)
+SELECT 'treatment' AS term, round(beta, 6) AS estimate,
+       round(sqrt((CAST(g AS DOUBLE) / (g - 1)) * (CAST(n - 1 AS DOUBLE) / (n - 8)) * meat) / sxx, 6) AS std_error,
+       n AS nobs, g AS n_clusters, round(1 - (tss - beta * beta * sxx) / tss, 6) AS r2_within
+FROM b, v""")
+def q_did(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    r = D.did(d, "no", "treatment", "cust", "yr")
+    row = [(r.terms[0], round(float(r.beta[0]), 6), round(float(r.se[0]), 6), int(r.nobs),
+            int(r.n_clusters), round(r.r2_within, 6))]
+    return spark.createDataFrame(row, "term string, estimate double, std_error double, nobs long, "
+                                      "n_clusters long, r2_within double")
+
+
+@register("did_trends", f"""
+WITH {FLAGS_CTE}
+SELECT treated, yr, round(avg(no), 6) AS mean_y, count(*) AS n FROM flags GROUP BY treated, yr""")
+def q_did_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.did_trends(did_frame(spark, sf_dir), "no", "treated", "yr")
+    return t.select("treated", "yr", r6("mean_y").alias("mean_y"), "n")
+
+
+@register("event_study")
+def q_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.plans.panel_data import year_range
+    lo, hi = year_range(spark, sf_dir)
+    d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    r = D.event_study(d, "no", "treated", "cust", "yr", BASE, range(lo, hi + 1))
+    return r.coefficients(spark)
+
+
+@register("did_ptrends")
+def q_did_ptrends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.plans.panel_data import year_range
+    lo, _ = year_range(spark, sf_dir)
+    d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    r, f, p = D.did_ptrends(d, "no", "treatment", "treated", "after", "cust", "yr", lo)
+    return r.coefficients(spark).withColumn("pre_trend_F", F.lit(f)).withColumn("pre_trend_p", F.lit(p))
+
+
+# --- S5 / S6 / E12 / E13: reports ----------------------------------------------------
+
+@register("regression_table")
+def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import report
+    p = regression_panel(spark, sf_dir)
+    specs = [
+        ("(1)", dict(exog=["x"], fes=["cust", "yr"])),
+        ("(2)", dict(endog=["x"], instruments=["no"], fes=["cust", "yr"])),
+        ("(3)", dict(exog=FULL, fes=["cust", "yr"])),
+        ("(4)", dict(exog=["disc", "urg"], endog=["x"], instruments=["no"], fes=["cust", "yr"])),
+        ("(5)", dict(exog=FULL, fes=["cust", ("state", "yr")])),
+        ("(6)", dict(exog=["disc", "urg"], endog=["x"], instruments=["no"], fes=["cust", ("state", "yr")])),
+    ]
+    store = report.Estimates()
+    for name, kw in specs:
+        store.store(name, fe.fe_regress(p, "y", cluster="cust", name=name, **kw))
+    coefs = _union([store[n].coefficients(spark) for n in store.names()])
+    stats = _union([store[n].stats(spark) for n in store.names()])
+    return report.regression_table(coefs, stats, store.names(), dec=5, keep=["x"],
+                                   labels={"x": "ltotal_dollars"})
+
+
+@register("coef_table")
+def q_coef_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import report
+    b = quartile_frame(spark, sf_dir)
+    r = fe.fe_iv(b, "y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"],
+                 fes=["cust", ("state", "yr")], cluster="cust", name="iv1")
+    base = fe.fe_iv(b, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
+                    name="baseline")
+    baseline = report.estimates_frame(spark, [("xg5", base.coef("x"), base.stderr("x"))], model="Baseline")
+    labels = {"xg1": "q1", "xg2": "q2", "xg3": "q3", "xg4": "q4", "xg5": "Baseline"}
+    return report.coef_table([r.coefficients(spark), baseline], ["xg1", "xg2", "xg3", "xg4", "xg5"], labels)
