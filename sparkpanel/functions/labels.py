@@ -130,9 +130,9 @@ def clean_topics(arr: Column) -> Column:
 
 
 def invalid_topics(arr: Column, allowed=ALLOWED_REPLY_VALUES) -> Column:
-    """entries outside the allowed enum."""
+    """entries outside the allowed enum (duplicates kept)."""
     allowed_arr = F.array(*[F.lit(a) for a in allowed])
-    return F.array_except(arr, allowed_arr)
+    return F.filter(arr, lambda x: ~F.array_contains(allowed_arr, x))
 
 
 def parse_int_array(text: Column) -> Column:

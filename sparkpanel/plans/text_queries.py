@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkpanel.functions import labels as L
 from sparkpanel.operators import frequency
-from sparkpanel.plans.sqlgen import keyword_flags_sql, q, stack_sql
+from sparkpanel.plans.sqlgen import keyword_flags_sql, lit, q, stack_sql
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -49,3 +49,273 @@ WITH f AS (
 def q_topic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = document_flags(spark, sf_dir)
     return frequency.topic_frequency(flags, L.TOPIC_COLUMNS)
+
+
+# --- F1 / P13 / P14 / P15: topic dummies, packed and unpacked ------------------------
+
+@register("topic_flags", f"""
+WITH f AS (
+  SELECT doc_id,
+  {keyword_flags_sql()}
+  FROM documents
+)
+SELECT doc_id, {" + ".join(q(c) for c in L.TOPIC_COLUMNS)} AS n_topics,
+       concat_ws(',', {", ".join(q(c) for c in L.TOPIC_COLUMNS)}) AS labels_str,
+       {", ".join(f"{q(c)} AS {q(c + '_actual')}" for c in L.TOPIC_COLUMNS)}
+FROM f""")
+def q_topic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import reshape
+    flags = document_flags(spark, sf_dir)
+    packed = reshape.pack(flags, L.TOPIC_COLUMNS, "labels").select("doc_id", "labels")
+    out = reshape.unpack(packed, "labels", L.TOPIC_COLUMNS, "_actual")
+    return out.select("doc_id", F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("n_topics"),
+                      F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels_str"),
+                      *[f"{c}_actual" for c in L.TOPIC_COLUMNS])
+
+
+# --- F2-F6 / F11: reply decoding and label cleaning -----------------------------------
+
+def _keyword_topics_sql() -> str:
+    items = ", ".join(f"CASE WHEN strpos(lower(text), {lit(k)}) > 0 THEN {lit(t)} END"
+                      for k, t in zip(L.FIXTURE_LEXICON, L.TOPICS))
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def synthetic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labeller reply per document, derived from the keyword topics of its text.
+
+    ``doc_id % 7`` picks one reply shape so every decoding branch is exercised:
+    0 list, 1 list with the sentinel, 2 topics not a list, 3 malformed JSON,
+    4 no topics key, 5 no function call, 6 list with a value outside the enum.
+    """
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = L.keyword_topics(F.col("text"))
+    k = F.col("doc_id") % 7
+    reply = (F.when(k == 0, F.to_json(F.struct(t.alias("topics"))))
+             .when(k == 1, F.to_json(F.struct(F.concat(F.array(F.lit(L.NO_TOPIC)), t).alias("topics"))))
+             .when(k == 2, F.to_json(F.struct(F.coalesce(F.try_element_at(t, F.lit(1)), F.lit("none")).alias("topics"))))
+             .when(k == 3, F.concat(F.lit('{"topics": ["'), F.coalesce(F.try_element_at(t, F.lit(1)), F.lit("")), F.lit('"')))
+             .when(k == 4, F.to_json(F.struct(F.size(t).alias("n"))))
+             .when(k == 6, F.to_json(F.struct(F.concat(t, F.array(F.lit("made up"))).alias("topics")))))
+    return docs.select("doc_id", reply.alias("reply"))
+
+
+_ALLOWED_SQL = "[" + ", ".join(lit(a) for a in L.ALLOWED_REPLY_VALUES) + "]"
+
+_PARSE_SQL = f"""
+WITH f AS (SELECT doc_id, {_keyword_topics_sql()} AS topics FROM documents
+), r AS (
+  SELECT doc_id, CASE doc_id % 7
+    WHEN 0 THEN to_json({{'topics': topics}})::VARCHAR
+    WHEN 1 THEN to_json({{'topics': list_concat(['no topic'], topics)}})::VARCHAR
+    WHEN 2 THEN to_json({{'topics': coalesce(topics[1], 'none')}})::VARCHAR
+    WHEN 3 THEN '{{"topics": ["' || coalesce(topics[1], '') || '"'
+    WHEN 4 THEN to_json({{'n': CAST(len(topics) AS INTEGER)}})::VARCHAR
+    WHEN 5 THEN NULL
+    ELSE to_json({{'topics': list_concat(topics, ['made up'])}})::VARCHAR END AS reply
+  FROM f
+), v AS (
+  SELECT doc_id, reply, try(json_extract(reply, '$.topics')) AS tj FROM r
+), s AS (
+  SELECT doc_id, tj, CASE WHEN reply IS NULL THEN 'no_call' WHEN NOT json_valid(reply) THEN 'bad_json'
+    WHEN tj IS NULL THEN 'no_topics_key'
+    WHEN json_type(tj) = 'ARRAY' THEN 'ok' ELSE 'not_list' END AS status
+  FROM v
+), p AS (
+  SELECT doc_id, status, CASE WHEN status = 'ok' THEN from_json(CASE WHEN json_type(tj) = 'ARRAY' THEN tj END,
+                                                                 '["VARCHAR"]')
+    WHEN status = 'no_call' THEN ['No topic'] WHEN status = 'not_list' THEN []::VARCHAR[] END AS arr
+  FROM s
+), c AS (
+  SELECT doc_id, status, CASE WHEN len(arr) > 1 AND list_contains(arr, 'no topic')
+    THEN list_filter(arr, lambda x: x <> 'no topic') ELSE arr END AS cleaned
+  FROM p
+), j AS (SELECT doc_id, status, cleaned, to_json(cleaned)::VARCHAR AS topics_json FROM c)
+SELECT doc_id, status, array_to_string(cleaned, '|') AS topics, CAST(len(cleaned) AS INTEGER) AS n_topics,
+  CAST(len(list_filter(cleaned, lambda x: NOT list_contains({_ALLOWED_SQL}, x))) AS INTEGER) AS n_invalid,
+  topics_json,
+  CASE WHEN topics_json IS NULL THEN NULL ELSE
+    {" + ".join(f"CAST(strpos(topics_json, {lit(t)}) > 0 AS INTEGER)" for t in L.TOPICS)} END AS n_flagged
+FROM j"""
+
+
+@register("label_parse", _PARSE_SQL)
+def q_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = synthetic_replies(spark, sf_dir)
+    dec = r.select("doc_id", L.decode_reply(F.col("reply")).alias("d"))
+    kept = F.col("d.status").isin("ok", "not_list", "no_call")
+    arr = F.when(kept, L.clean_topics(L.parse_list(F.col("d.topics_json"))))
+    x = dec.select("doc_id", F.col("d.status").alias("status"), arr.alias("cleaned"))
+    x = x.withColumn("topics_json", L.encode_list(F.col("cleaned")))
+    flags = L.topic_flag_exprs(F.col("topics_json"))
+    vec = F.concat(F.lit("["), F.concat_ws(", ", *[f.cast("string") for f in flags]), F.lit("]"))
+    n_flagged = F.when(F.col("topics_json").isNotNull(),
+                       F.aggregate(L.parse_int_array(vec), F.lit(0), lambda a, v: a + v))
+    return x.select("doc_id", "status", F.array_join("cleaned", "|").alias("topics"),
+                    F.size("cleaned").alias("n_topics"), F.size(L.invalid_topics(F.col("cleaned"))).alias("n_invalid"),
+                    "topics_json", n_flagged.alias("n_flagged"))
+
+
+# --- F7: prompt assembly --------------------------------------------------------------
+
+# Instruction sent with every text (our own wording; the reply contract is the
+# topic list of functions/labels.py).
+SYSTEM_PROMPT = ("Classify the message into zero or more of these topics and answer only with the topic "
+                 "names, or 'no topic' if none applies: " + ", ".join(L.TOPICS) + ".")
+
+
+@register("prompt_messages", f"""
+SELECT conv_id, turn, role, 2 AS n_messages, 'system' AS first_role, 'user' AS second_role,
+       md5({lit(SYSTEM_PROMPT)}) AS system_md5, md5(text) AS user_md5
+FROM conversations""")
+def q_prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = load_table(spark, sf_dir, "conversations")
+    m = conv.select("conv_id", "turn", "role", L.build_messages(F.lit(SYSTEM_PROMPT), F.col("text")).alias("msgs"))
+    return m.select("conv_id", "turn", "role", F.size("msgs").alias("n_messages"),
+                    F.col("msgs")[0]["role"].alias("first_role"), F.col("msgs")[1]["role"].alias("second_role"),
+                    F.md5(F.col("msgs")[0]["content"]).alias("system_md5"),
+                    F.md5(F.col("msgs")[1]["content"]).alias("user_md5"))
+
+
+# --- A16 / A18: usage accounting ------------------------------------------------------
+
+def _word_count(col):
+    return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit("[A-Za-z0-9]+"), 0))
+
+
+SYSTEM_PROMPT_TOKENS = len(SYSTEM_PROMPT.split())
+
+
+@register("usage_totals", f"""
+WITH u AS (
+  SELECT {SYSTEM_PROMPT_TOKENS} + len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS prompt_tokens,
+         3 + 2 * len({_keyword_topics_sql()}) AS completion_tokens
+  FROM documents
+)
+SELECT count(*) AS n_rows, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+       CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens
+FROM u""")
+def q_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("text")
+    prompt = F.lit(SYSTEM_PROMPT_TOKENS) + _word_count(F.col("text"))
+    completion = F.lit(3) + 2 * F.size(L.keyword_topics(F.col("text")))
+    u = docs.select(F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
+                             (prompt + completion).alias("total_tokens")).alias("usage"))
+    return u.agg(F.count(F.lit(1)).alias("n_rows"),
+                 *[F.sum(f"usage.{k}").cast("long").alias(k) for k in ("prompt_tokens", "completion_tokens",
+                                                                       "total_tokens")])
+
+
+# --- F8 / A15: encoding ---------------------------------------------------------------
+
+MAX_LEN = 150
+
+_TOK_SQL = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda t: lower(t))"
+
+
+@register("encode_text", f"""
+WITH t AS (SELECT doc_id, {_TOK_SQL} AS tok FROM documents)
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, len(tok) > {MAX_LEN} AS truncated,
+       CAST(least(len(tok), {MAX_LEN}) AS INTEGER) AS mask_sum,
+       array_to_string(list_resize(tok[1:{MAX_LEN}], {MAX_LEN}, '[PAD]'), ' ') AS tokens_str
+FROM t""")
+def q_encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.functions import text as X
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = docs.select("doc_id", X.encode(F.col("text"), MAX_LEN).alias("e"))
+    return e.select("doc_id", F.col("e.n_tokens").alias("n_tokens"), F.col("e.truncated").alias("truncated"),
+                    F.aggregate("e.mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),
+                    F.array_join("e.tokens", " ").alias("tokens_str"))
+
+
+@register("max_tokens", f"""
+SELECT CAST(max(len({_TOK_SQL})) AS INTEGER) AS max_tokens, count(*) AS n_docs FROM documents""")
+def q_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.functions import text as X
+    docs = load_table(spark, sf_dir, "documents").select("text")
+    return docs.agg(F.max(F.size(X.tokens(F.col("text")))).alias("max_tokens"), F.count(F.lit(1)).alias("n_docs"))
+
+
+# --- F9 / F10 / P1-P4: scoring ------------------------------------------------------
+
+N_TOPICS = len(L.TOPICS)
+
+
+@register("score_binarize", f"""
+WITH s AS (
+  SELECT CAST(vec_id AS INTEGER) AS vec_id, label,
+         list_transform(embedding[1:{N_TOPICS}], lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS probs
+  FROM embeddings
+)
+SELECT vec_id, label, round(list_sum(probs), 6) AS p_sum, round(probs[1], 6) AS p_first,
+       CAST(len(list_filter(probs, lambda p: p > 0.5)) AS INTEGER) AS n_positive,
+       array_to_string(list_transform(probs, lambda p: CAST(p > 0.5 AS INTEGER)), '') AS predicted_label
+FROM s""")
+def q_score_binarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.functions import numeric as N
+    emb = load_table(spark, sf_dir, "embeddings")
+    s = emb.select(N.strict_cast(F.col("vec_id"), "int", "vec_id").alias("vec_id"), "label",
+                   N.sigmoid(F.slice("embedding", 1, N_TOPICS)).alias("probs"))
+    s = s.withColumn("pred", N.binarize(F.col("probs"), 0.5))
+    return s.select("vec_id", "label", F.round(F.aggregate("probs", F.lit(0.0), lambda a, v: a + v), 6).alias("p_sum"),
+                    F.round(F.col("probs")[0], 6).alias("p_first"),
+                    F.aggregate("pred", F.lit(0), lambda a, v: a + v).alias("n_positive"),
+                    F.array_join(F.col("pred").cast("array<string>"), "").alias("predicted_label"))
+
+
+# --- W2 / W3 / W7: sampling -----------------------------------------------------------
+
+SEED = 42
+SAMPLE_N = 100
+TEST_SHARE = 0.2
+PER_TOPIC = 15
+
+
+@register("sample_n", f"""
+SELECT doc_id, lang FROM documents
+ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {SAMPLE_N}""")
+def q_sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import sampling
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return sampling.sample_n(docs, SAMPLE_N, SEED, "doc_id")
+
+
+@register("split_two_way", f"""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id)
+                      <= ceil({TEST_SHARE} * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
+FROM documents""")
+def q_split_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import sampling
+    docs = load_table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.split(docs, TEST_SHARE, SEED, "doc_id")
+
+
+@register("sample_per_topic", f"""
+WITH f AS (SELECT doc_id, {keyword_flags_sql()} FROM documents
+), lng AS (UNPIVOT f ON {", ".join(q(c) for c in L.TOPIC_COLUMNS)} INTO NAME topic VALUE flag
+), r AS (
+  SELECT topic, doc_id,
+         row_number() OVER (PARTITION BY topic ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
+  FROM lng WHERE flag = 1
+)
+SELECT topic, doc_id FROM r WHERE rn <= {PER_TOPIC}""")
+def q_sample_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import sampling
+    return sampling.sample_per_topic(document_flags(spark, sf_dir), "doc_id", L.TOPIC_COLUMNS, PER_TOPIC, SEED)
+
+
+# --- I6: topic shares by group and period ----------------------------------------------
+
+@register("topic_share_by_group", f"""
+WITH f AS (SELECT doc_id, lang, CAST(doc_id % 4 AS INTEGER) AS period, {keyword_flags_sql()} FROM documents
+), lng AS (UNPIVOT f ON {", ".join(q(c) for c in L.TOPIC_COLUMNS)} INTO NAME topic VALUE flag)
+SELECT lang, period, topic, CAST(sum(flag) AS BIGINT) AS n_topic, count(*) AS n_texts,
+       round(sum(flag) / count(*), 6) AS share
+FROM lng GROUP BY lang, period, topic""")
+def q_topic_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    flags = docs.select("lang", (F.col("doc_id") % 4).cast("int").alias("period"),
+                        *L.keyword_flag_exprs(F.col("text")))
+    s = frequency.topic_share_by_group(flags, ["lang", "period"], L.TOPIC_COLUMNS)
+    return s.select("lang", "period", "topic", "n_topic", "n_texts", F.round("share", 6).alias("share"))
