@@ -319,3 +319,180 @@ def q_topic_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *L.keyword_flag_exprs(F.col("text")))
     s = frequency.topic_share_by_group(flags, ["lang", "period"], L.TOPIC_COLUMNS)
     return s.select("lang", "period", "topic", "n_topic", "n_texts", F.round("share", 6).alias("share"))
+
+
+# --- A8-A14 / P16 / P17 / M6: evaluation against gold labels ----------------------------
+# Gold: labels(quality, toxic).  Scores are a fixed function of n_chars so the
+# oracle is exact: p_quality = (n_chars % 200) / 200, p_toxic = (n_chars % 50) / 50.
+
+EVAL_TOPICS = ["quality", "toxic"]
+
+
+def gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired wide frame ``{topic}_human`` / ``{topic}_bert`` plus the probabilities."""
+    from sparkpanel.functions import numeric as N
+    lab = load_table(spark, sf_dir, "labels")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    g = lab.join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("quality_human"), F.col("toxic").alias("toxic_human"),
+        F.array((F.col("n_chars") % 200).cast("double") / 200, (F.col("n_chars") % 50).cast("double") / 50)
+        .alias("probs"))
+    g = g.withColumn("pred", N.binarize(F.col("probs"), 0.5))
+    return g.select("doc_id", "quality_human", "toxic_human",
+                    F.col("probs")[0].alias("p_quality"), F.col("probs")[1].alias("p_toxic"),
+                    F.col("pred")[0].alias("quality_bert"), F.col("pred")[1].alias("toxic_bert"))
+
+
+def gold_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import reshape
+    w = gold_wide(spark, sf_dir)
+    pairs = reshape.find_pairs(w.columns, "_human", "_bert")
+    return reshape.to_long(w, ["doc_id"], pairs, extra={"prob": {"quality": "p_quality", "toxic": "p_toxic"}})
+
+
+_LONG_CTE = """
+g AS (
+  SELECT l.doc_id, l.quality AS quality_human, l.toxic AS toxic_human,
+         CAST(d.n_chars % 200 AS DOUBLE) / 200 AS p_quality, CAST(d.n_chars % 50 AS DOUBLE) / 50 AS p_toxic
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+), g2 AS (
+  SELECT *, CAST(p_quality > 0.5 AS INTEGER) AS quality_bert, CAST(p_toxic > 0.5 AS INTEGER) AS toxic_bert FROM g
+), lng AS (
+  SELECT doc_id, 'quality' AS topic, quality_human AS actual, quality_bert AS predicted, p_quality AS prob FROM g2
+  UNION ALL
+  SELECT doc_id, 'toxic' AS topic, toxic_human AS actual, toxic_bert AS predicted, p_toxic AS prob FROM g2
+), cnt AS (
+  SELECT topic, count_if(actual = 1 AND predicted = 1) AS tp, count_if(actual = 0 AND predicted = 1) AS fp,
+         count_if(actual = 1 AND predicted = 0) AS fn, count_if(actual = 0 AND predicted = 0) AS tn
+  FROM lng GROUP BY topic
+), prf AS (
+  SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
+            CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall
+  FROM cnt
+), tm AS (
+  SELECT topic, precision, recall,
+         CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+         CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy, tp + fn AS support
+  FROM prf
+), pooled AS (
+  SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cnt
+), micro AS (
+  SELECT CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
+         CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM pooled
+), micro2 AS (
+  SELECT precision, recall,
+         CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+  FROM micro
+), macro AS (SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM tm
+), subset AS (
+  SELECT avg(CAST(ok AS DOUBLE)) AS subset_accuracy
+  FROM (SELECT doc_id, min(CAST(actual = predicted AS INTEGER)) AS ok FROM lng GROUP BY doc_id)
+)"""
+
+
+@register("confusion", f"""
+WITH {_LONG_CTE}, cells AS (
+  SELECT topic, 0 AS actual, 0 AS predicted, tn AS n, tp + fp + fn + tn AS tot FROM cnt
+  UNION ALL SELECT topic, 0, 1, fp, tp + fp + fn + tn FROM cnt
+  UNION ALL SELECT topic, 1, 0, fn, tp + fp + fn + tn FROM cnt
+  UNION ALL SELECT topic, 1, 1, tp, tp + fp + fn + tn FROM cnt
+)
+SELECT topic, actual, predicted, n, round(CASE WHEN tot = 0 THEN 0.0 ELSE CAST(n AS DOUBLE) / tot END, 6) AS share
+FROM cells""")
+def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    c = V.confusion(gold_long(spark, sf_dir))
+    return c.select("topic", "actual", "predicted", "n", F.round("share", 6).alias("share"))
+
+
+def _r6(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("topic_metrics", f"""
+WITH {_LONG_CTE}
+SELECT topic, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(accuracy, 6) AS accuracy, support FROM tm""")
+def q_topic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.topic_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1", "accuracy"})
+
+
+@register("micro_metrics", f"""
+WITH {_LONG_CTE}
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM micro2""")
+def q_micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.micro_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1"})
+
+
+@register("macro_metrics", f"""
+WITH {_LONG_CTE}
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM macro""")
+def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.macro_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1"})
+
+
+@register("subset_accuracy", f"""
+WITH {_LONG_CTE}
+SELECT round(subset_accuracy, 6) AS subset_accuracy FROM subset""")
+def q_subset_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.subset_accuracy(gold_long(spark, sf_dir), "doc_id"), {"subset_accuracy"})
+
+
+@register("metrics_summary", f"""
+WITH {_LONG_CTE}
+SELECT 'micro_precision' AS metric, round(precision, 6) AS value FROM micro2
+UNION ALL SELECT 'micro_recall', round(recall, 6) FROM micro2
+UNION ALL SELECT 'micro_f1', round(f1, 6) FROM micro2
+UNION ALL SELECT 'subset_accuracy', round(subset_accuracy, 6) FROM subset
+UNION ALL SELECT 'macro_precision', round(precision, 6) FROM macro
+UNION ALL SELECT 'macro_recall', round(recall, 6) FROM macro
+UNION ALL SELECT 'macro_f1', round(f1, 6) FROM macro""")
+def q_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.metrics_summary(gold_long(spark, sf_dir), "doc_id"), {"value"})
+
+
+@register("holdout_metrics", f"""
+WITH {_LONG_CTE}, c AS (SELECT actual, prob, least(greatest(prob, 1e-7), 1 - 1e-7) AS p,
+                               CAST(prob > 0.5 AS INTEGER) AS pred FROM lng
+), a AS (
+  SELECT avg(-(actual * ln(p) + (1 - actual) * ln(1 - p))) AS loss, avg(CAST(pred = actual AS DOUBLE)) AS accuracy,
+         count_if(actual = 1 AND pred = 1) AS tp, count_if(actual = 0 AND pred = 1) AS fp,
+         count_if(actual = 1 AND pred = 0) AS fn
+  FROM c
+)
+SELECT round(loss, 6) AS loss, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision
+FROM a""")
+def q_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return _r6(V.holdout_metrics(gold_long(spark, sf_dir), "prob"), {"loss", "accuracy", "recall", "precision"})
+
+
+@register("comparison", """
+SELECT l.doc_id, CAST(d.n_chars % 200 AS DOUBLE) / 200 AS p_quality, CAST(d.n_chars % 50 AS DOUBLE) / 50 AS p_toxic,
+       l.quality AS quality_actual, l.toxic AS toxic_actual,
+       CAST(CAST(d.n_chars % 200 AS DOUBLE) / 200 > 0.5 AS INTEGER) AS quality_predicted,
+       CAST(CAST(d.n_chars % 50 AS DOUBLE) / 50 > 0.5 AS INTEGER) AS toxic_predicted
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+def q_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: hold-out comparison table - probabilities, packed actual and predicted
+    vectors unpacked into ``_actual`` / ``_predicted`` columns."""
+    from sparkpanel.functions import numeric as N
+    from sparkpanel.operators import reshape
+    lab = load_table(spark, sf_dir, "labels")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    s = lab.join(docs, "doc_id").select(
+        "doc_id", F.array("quality", "toxic").alias("actual_labels"),
+        F.array((F.col("n_chars") % 200).cast("double") / 200, (F.col("n_chars") % 50).cast("double") / 50)
+        .alias("predicted_probs"))
+    s = s.withColumn("predicted_labels", N.binarize(F.col("predicted_probs"), 0.5))
+    s = reshape.unpack(s, "actual_labels", EVAL_TOPICS, "_actual")
+    s = reshape.unpack(s, "predicted_labels", EVAL_TOPICS, "_predicted")
+    return s.select("doc_id", F.col("predicted_probs")[0].alias("p_quality"), F.col("predicted_probs")[1].alias("p_toxic"),
+                    "quality_actual", "toxic_actual", "quality_predicted", "toxic_predicted")
