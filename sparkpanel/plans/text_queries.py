@@ -496,3 +496,23 @@ def q_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = reshape.unpack(s, "predicted_labels", EVAL_TOPICS, "_predicted")
     return s.select("doc_id", F.col("predicted_probs")[0].alias("p_quality"), F.col("predicted_probs")[1].alias("p_toxic"),
                     "quality_actual", "toxic_actual", "quality_predicted", "toxic_predicted")
+
+
+# --- M3 / M4 / M5: topic model (rows-only check) ---------------------------------------
+
+@register("topic_model")
+def q_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on labelled documents (80/20 seeded split), score every document."""
+    from sparkpanel.operators import model, sampling
+    lab = load_table(spark, sf_dir, "labels")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = sampling.split(lab.join(docs, "doc_id"), TEST_SHARE, SEED, "doc_id")
+    train = gold.filter(F.col("split") == "train")
+    valid = gold.filter(F.col("split") == "test")
+    tm = model.fit_topics(train, "text", EVAL_TOPICS, valid=valid, reg_grid=(0.1, 0.01), max_iter=20,
+                          num_features=1 << 16)
+    scored = tm.score(docs, keep=["doc_id"])
+    return scored.select("doc_id", F.col("probabilities")[0].alias("p_quality"),
+                         F.col("probabilities")[1].alias("p_toxic"),
+                         F.col("predicted_label")[0].alias("pred_quality"),
+                         F.col("predicted_label")[1].alias("pred_toxic"))
