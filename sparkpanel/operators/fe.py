@@ -22,10 +22,12 @@ OLS is the special case of 2SLS whose instruments are the regressors.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +76,7 @@ class FEResult:
     ymax: float
     fes: list[str] = field(default_factory=list)
     extra: dict = field(default_factory=dict)
+    extra_name: str = ""
 
     @property
     def se(self) -> np.ndarray:
@@ -137,16 +140,17 @@ class FEResult:
 # sample preparation
 
 
-def drop_singletons(df: DataFrame, fes, max_rounds: int = 100) -> DataFrame:
+def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True) -> DataFrame:
     """Repeatedly drop rows whose level of any FE occurs once.
 
-    Each round is a partially aggregated count per FE and a semi join; the
-    frame is checkpointed per round so lineage stays short.
+    Each round is a partially aggregated count per FE and a semi join on the
+    previous round's persisted rows; the final sample is checkpointed once
+    (reliably, into the shared checkpoint folder), which also cuts the lineage.
     """
-    fes = [f for f in fes]
+    fes = list(fes)
     if not fes:
         return df
-    d = cut_lineage(df)
+    d = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = d.count()
     for _ in range(max_rounds):
         cur = d
@@ -154,19 +158,24 @@ def drop_singletons(df: DataFrame, fes, max_rounds: int = 100) -> DataFrame:
             cols = _fe_cols(fe)
             keep = cur.groupBy(*cols).count().filter(F.col("count") > 1).drop("count")
             cur = cur.join(keep, cols, "left_semi")
-        cur = cut_lineage(cur)
+        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         m = cur.count()
+        d.unpersist()
         d = cur
         if m == n:
             break
         n = m
+    if checkpoint:
+        out = cut_lineage(d)
+        d.unpersist()
+        return out
     return d
 
 
 def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
-                      prune_singletons: bool = True) -> DataFrame:
+                      prune_singletons: bool = True, extra=()) -> DataFrame:
     """Rows used by the estimator (e(sample)): qualifier, complete cases, no singletons."""
-    need = _uniq(list(cols) + [c for fe in fes for c in _fe_cols(fe)] + _fe_cols(cluster or []))
+    need = _uniq(list(cols) + [c for fe in fes for c in _fe_cols(fe)] + _fe_cols(cluster or []) + list(extra))
     d = df
     if sample is not None:
         d = d.filter(sample)
@@ -180,22 +189,31 @@ def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
 # absorption
 
 
-def _count_levels(df: DataFrame, fe) -> int:
-    return df.select(*_fe_cols(fe)).distinct().count()
+LITERAL_MAX = 200_000   # levels x columns up to which CG directions travel as a folded literal
 
 
 def _maybe_broadcast(df: DataFrame, n_levels: int) -> DataFrame:
     return F.broadcast(df) if n_levels <= BROADCAST_LEVELS else df
 
 
+def _count_levels(df: DataFrame, fes) -> dict:
+    """Exact number of levels of every FE, in one aggregate."""
+    if not fes:
+        return {}
+    row = df.agg(*[F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}")
+                   for i, f in enumerate(fes)]).first()
+    return {_fe_name(f): int(row[f"l{i}"]) for i, f in enumerate(fes)}
+
+
 class _Absorber:
     """Residualise model columns on several fixed effects (see module docstring)."""
 
-    def __init__(self, d: DataFrame, cols: list[str], fes, tol: float = 1e-13, max_iter: int | None = None):
+    def __init__(self, d: DataFrame, cols: list[str], fes, tol: float = 1e-13, max_iter: int | None = None,
+                 levels: dict | None = None):
         self.spark = d.sparkSession
         self.cols = cols
         self.fes = list(fes)
-        self.levels = {_fe_name(f): _count_levels(d, f) for f in self.fes}
+        self.levels = levels if levels is not None else _count_levels(d, self.fes)
         self.tol = tol
         self.max_iter = max_iter
         self.iterations = 0
@@ -204,8 +222,7 @@ class _Absorber:
     def run(self) -> DataFrame:
         d, cols = self.d, self.cols
         if not self.fes:
-            means = d.agg(*[F.avg(c).alias(c) for c in cols])
-            row = means.first()
+            row = d.agg(*[F.avg(c).alias(c) for c in cols]).first()
             return d.select(*[c for c in d.columns if c not in cols],
                             *[(F.col(c) - F.lit(row[c])).alias(c) for c in cols])
         order = sorted(self.fes, key=lambda f: -self.levels[_fe_name(f)])
@@ -219,10 +236,9 @@ class _Absorber:
               .select(*other, *[(F.col(c) - F.col(f"__m_{i}")).alias(c) for i, c in enumerate(cols)]))
         if not small:
             return d1
-        # 2) global index for the levels of every small FE
+        # 2) global index for the levels of every small FE (a bounded, checked table)
         offset = 0
         idx_cols = []
-        sizes = []
         for j, fe in enumerate(small):
             fcols = _fe_cols(fe)
             n_lv = self.levels[_fe_name(fe)]
@@ -232,25 +248,31 @@ class _Absorber:
                   .withColumn(f"__s{j}", F.row_number().over(_global_order(fcols)) - 1 + offset))
             d1 = d1.join(_maybe_broadcast(lv, n_lv), fcols)
             idx_cols.append(f"__s{j}")
-            sizes.append(n_lv)
             offset += n_lv
         n_small = offset
-        d1 = cut_lineage(d1)
+        d1 = d1.persist(StorageLevel.MEMORY_AND_DISK)   # short lineage from the checkpointed sample
         # 3) cells (unit x small levels) with counts, partitioned by unit
         cells = (d1.groupBy(*ucols, *idx_cols).agg(F.count(F.lit(1)).alias("__c"))
                  .repartition(*ucols))
         cells = cells.withColumn("__nu", F.sum("__c").over(_unit_window(ucols)))
-        cells = cut_lineage(cells)
-        # 4) right-hand sides B = D' M_u V
+        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        # 4) right-hand sides B = D' M_u V and the Jacobi preconditioner diag(A)
         b = self._per_level_sums(d1, idx_cols, [F.col(c) for c in cols], None, n_small)
-        alpha = self._cg(cells, ucols, idx_cols, b, n_small)
+        diag = self._diag(cells, ucols, idx_cols, n_small)
+        alpha = self._cg(cells, ucols, idx_cols, b, diag)
         # 5) apply alpha: v - alpha_row + mean_u(alpha_row)
-        adf = self._vec_df(alpha, "__a")
-        cells_a = self._attach(cells, adf, idx_cols, "__a", len(cols))
+        m = len(cols)
+        a_vals = self._lookup(alpha, idx_cols)
+        if a_vals is None:
+            adf = self._vec_df(alpha, "__a")
+            cells_a = self._attach(cells, adf, idx_cols, "__a", m)
+            d2 = self._attach(d1, adf, idx_cols, "__a", m)
+        else:
+            cells_a = cells.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
+            d2 = d1.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
         ua = (cells_a.groupBy(*ucols)
               .agg(*[(F.sum(F.col("__c") * F.col(f"__a{i}")) / F.sum("__c")).alias(f"__ua{i}")
-                     for i in range(len(cols))]))
-        d2 = self._attach(d1, adf, idx_cols, "__a", len(cols))
+                     for i in range(m)]))
         d2 = d2.join(_maybe_broadcast(ua, u_levels), ucols)
         keep = [c for c in d1.columns if c not in cols and c not in idx_cols]
         return d2.select(*keep, *[(F.col(c) - F.col(f"__a{i}") + F.col(f"__ua{i}")).alias(c)
@@ -258,6 +280,16 @@ class _Absorber:
 
     # -- helpers ------------------------------------------------------------
 
+    @staticmethod
+    def _lookup(mat: np.ndarray, idx_cols: list[str]):
+        """Per column i: sum over small FEs of mat[level, i], read from one folded
+        JSON literal (no table, no join).  None when the matrix is too large."""
+        if mat.size > LITERAL_MAX:
+            return None
+        lit = F.from_json(F.lit(json.dumps(mat.tolist())), "array<array<double>>")
+        rows = [F.element_at(lit, F.col(ic).cast("int") + 1) for ic in idx_cols]
+        return [sum((F.element_at(r, i + 1) for r in rows), F.lit(0.0)) for i in range(mat.shape[1])]
+
     def _vec_df(self, mat: np.ndarray, prefix: str) -> DataFrame:
         m = mat.shape[1]
         schema = T.StructType([T.StructField("__idx", T.LongType(), False)] +
@@ -282,29 +314,48 @@ class _Absorber:
         """sum_{rows at level s} expr, for every level of every small FE -> (S x m)."""
         m = len(exprs)
         vals = F.array(*[e for e in exprs]) if weight is None else F.array(*[weight * e for e in exprs])
-        exploded = df.select(F.explode(F.array(*[F.col(c) for c in idx_cols])).alias("__idx"),
-                             vals.alias("__v"))
+        # evaluate the values (they may hold window expressions) before exploding,
+        # otherwise the window would run over the exploded rows
+        staged = df.select(*[F.col(c) for c in idx_cols], vals.alias("__v"))
+        exploded = staged.select(F.explode(F.array(*[F.col(c) for c in idx_cols])).alias("__idx"), "__v")
         agg = exploded.groupBy("__idx").agg(*[F.sum(F.col("__v")[i]).alias(f"v{i}") for i in range(m)])
         out = np.zeros((n_small, m))
         for r in agg.collect():
             out[int(r["__idx"])] = [r[f"v{i}"] for i in range(m)]
         return out
 
+    def _diag(self, cells: DataFrame, ucols, idx_cols, n_small: int) -> np.ndarray:
+        """diag(A)[s] = n_s - sum_u n_us^2 / n_u (no pairs: one row per cell)."""
+        out = np.zeros(n_small)
+        for ic in idx_cols:
+            per = (cells.groupBy(*ucols, ic).agg(F.sum("__c").alias("__nus"), F.first("__nu").alias("__nu"))
+                   .groupBy(ic).agg(F.sum(F.col("__nus") - F.col("__nus") * F.col("__nus") / F.col("__nu"))
+                                    .alias("d")))
+            for r in per.collect():
+                out[int(r[ic])] += float(r["d"])
+        return out
+
     def _matvec(self, cells: DataFrame, ucols, idx_cols, p: np.ndarray) -> np.ndarray:
         m = p.shape[1]
-        pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m)
+        vals = self._lookup(p, idx_cols)
+        if vals is None:
+            pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m)
+        else:
+            pc = cells.withColumns({f"__p{i}": e for i, e in enumerate(vals)})
         w = _unit_window(ucols)
         centred = [F.col(f"__p{i}") - F.sum(F.col("__c") * F.col(f"__p{i}")).over(w) / F.col("__nu")
                    for i in range(m)]
         return self._per_level_sums(pc, idx_cols, centred, F.col("__c"), p.shape[0])
 
-    def _cg(self, cells, ucols, idx_cols, b: np.ndarray, n_small: int) -> np.ndarray:
-        """Conjugate gradient on A x = b, all columns at once (one Spark job per step)."""
-        m = b.shape[1]
+    def _cg(self, cells, ucols, idx_cols, b: np.ndarray, diag: np.ndarray) -> np.ndarray:
+        """Jacobi-preconditioned CG on A x = b for all columns at once (one job per step)."""
+        n_small = b.shape[0]
+        minv = np.where(diag > 1e-12 * max(diag.max(), 1.0), 1.0 / np.where(diag == 0, 1.0, diag), 0.0)[:, None]
         x = np.zeros_like(b)
         r = b.copy()
-        p = r.copy()
-        rs = (r * r).sum(axis=0)
+        z = minv * r
+        p = z.copy()
+        rz = (r * z).sum(axis=0)
         bnorm = np.sqrt((b * b).sum(axis=0))
         done = bnorm == 0
         max_iter = self.max_iter or max(50, 4 * n_small)
@@ -314,24 +365,23 @@ class _Absorber:
             ap = self._matvec(cells, ucols, idx_cols, p)
             self.iterations = it + 1
             pap = (p * ap).sum(axis=0)
-            step = np.where(done | (pap <= 0), 0.0, rs / np.where(pap == 0, 1.0, pap))
+            step = np.where(done | (pap <= 0), 0.0, rz / np.where(pap == 0, 1.0, pap))
             x += step * p
             r -= step * ap
-            rs_new = (r * r).sum(axis=0)
-            done = done | (np.sqrt(rs_new) <= self.tol * np.where(bnorm == 0, 1.0, bnorm)) | (pap <= 0)
-            beta = np.where(done, 0.0, rs_new / np.where(rs == 0, 1.0, rs))
-            p = np.where(done, 0.0, r + beta * p)
-            rs = rs_new
+            done = done | (np.sqrt((r * r).sum(axis=0)) <= self.tol * np.where(bnorm == 0, 1.0, bnorm)) | (pap <= 0)
+            z = minv * r
+            rz_new = (r * z).sum(axis=0)
+            beta = np.where(done, 0.0, rz_new / np.where(rz == 0, 1.0, rz))
+            p = np.where(done, 0.0, z + beta * p)
+            rz = rz_new
         return x
 
 
 def _global_order(cols):
-    from pyspark.sql import Window
     return Window.orderBy(*cols)
 
 
 def _unit_window(ucols):
-    from pyspark.sql import Window
     return Window.partitionBy(*ucols)
 
 
@@ -356,86 +406,196 @@ def _inv_sym(a: np.ndarray) -> np.ndarray:
     return _solve_sym(a, np.eye(a.shape[0]))
 
 
-def fe_regress(df: DataFrame, y: str, exog=(), endog=(), instruments=(), fes=(), cluster=None,
-               sample=None, prune_singletons: bool = True, dof: str = "levels", name: str = "model",
-               tol: float = 1e-13) -> FEResult:
-    """FE OLS (no ``endog``) or FE 2SLS (E3-E5, E7, E14) with cluster-robust VCE.
+@dataclass
+class Spec:
+    """One model: dependent variable, exogenous regressors, endogenous ones and
+    their excluded instruments (OLS when ``endog`` is empty)."""
 
-    ``dof``: "levels" counts every level of FEs not nested in the cluster (K =
-    regressors + levels); "levels_minus_one" subtracts one per such FE.
+    y: str
+    exog: list = field(default_factory=list)
+    endog: list = field(default_factory=list)
+    instruments: list = field(default_factory=list)
+    name: str = "model"
+
+    def cols(self) -> list[str]:
+        return _uniq([self.y] + list(self.exog) + list(self.endog) + list(self.instruments))
+
+
+MAX_GROUPS = 1000
+
+
+def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=None, by: str | None = None,
+               prune_singletons: bool = True, dof: str = "levels", tol: float = 1e-13) -> list[FEResult]:
+    """Estimate several models that share FEs, cluster and sample in one set of passes.
+
+    Models whose complete-case sample equals the union sample share one
+    absorption and one cross-product aggregate; any other model is fitted on
+    its own.  ``by`` runs a separate regression per level of a (small) group
+    column in the same passes: every FE is interacted with the group, so
+    singleton pruning and absorption happen within groups.
     """
-    exog, endog, instruments = list(exog), list(endog), list(instruments)
-    if len(instruments) < len(endog):
-        raise ValueError("model is under-identified: fewer instruments than endogenous regressors")
-    fes = [f for f in fes]
+    for s in specs:
+        if len(s.instruments) < len(s.endog):
+            raise ValueError(f"{s.name}: fewer instruments than endogenous regressors")
+    fes = list(fes)
     ccols = _fe_cols(cluster) if cluster else []
-    cols = _uniq([y] + exog + endog + instruments)
-    d = estimation_sample(df, cols, fes, cluster, sample, prune_singletons)
-    d = d.select(*_uniq(cols + [c for fe in fes for c in _fe_cols(fe)] + ccols))
-    mom = d.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"),
-                F.min(y).alias("min"), F.max(y).alias("max"), F.var_pop(y).alias("vp")).first()
-    nobs = int(mom["n"])
-    if nobs == 0:
+    base = df.filter(sample) if sample is not None else df
+    keys = _uniq([c for fe in fes for c in _fe_cols(fe)] + ccols + ([by] if by else []))
+    union = _uniq([c for s in specs for c in s.cols()])
+    shared, alone = list(specs), []
+    if len(specs) > 1:
+        def complete(cols):
+            cond = F.lit(True)
+            for c in cols:
+                cond = cond & F.col(c).isNotNull()
+            return F.count_if(cond)
+        row = base.agg(complete(union + keys).alias("u"),
+                       *[complete(s.cols() + keys).alias(f"s{i}") for i, s in enumerate(specs)]).first()
+        shared = [s for i, s in enumerate(specs) if row[f"s{i}"] == row["u"]]
+        alone = [s for i, s in enumerate(specs) if row[f"s{i}"] != row["u"]]
+    out = []
+    if shared:
+        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol)
+    for s in alone:
+        out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol)
+    order = {s.name: i for i, s in enumerate(specs)}
+    return sorted(out, key=lambda r: (order[r.extra_name], r.extra.get("group", 0)))
+
+
+def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol) -> list[FEResult]:
+    cols = _uniq([c for s in specs for c in s.cols()])
+    # FEs interacted with the group when estimating by group
+    fes_g = [tuple(_fe_cols(fe) + ([by] if by and by not in _fe_cols(fe) else [])) for fe in fes]
+    fes_g = [fe[0] if len(fe) == 1 else fe for fe in fes_g]
+    gcol = by or "__grp"
+    d = df if by else df.withColumn("__grp", F.lit(0))
+    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol])
+    ys = _uniq([s.y for s in specs])
+    # one aggregate: per-group N, y moments and FE level counts
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for j, y in enumerate(ys):
+        aggs += [F.avg(y).alias(f"mean{j}"), F.stddev_samp(y).alias(f"sd{j}"), F.min(y).alias(f"min{j}"),
+                 F.max(y).alias(f"max{j}"), F.var_pop(y).alias(f"vp{j}")]
+    aggs += [F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}") for i, f in enumerate(fes_g)]
+    grows = d.groupBy(gcol).agg(*aggs).collect()
+    if not grows:
         raise ValueError("empty estimation sample")
-    absorber = _Absorber(d, cols, fes, tol=tol)
+    if len(grows) > MAX_GROUPS:
+        raise ValueError(f"{len(grows)} groups; 'by' is meant for a few groups")
+    groups = sorted(r[gcol] for r in grows)
+    gstat = {r[gcol]: r for r in grows}
+    gidx = {g: i for i, g in enumerate(groups)}
+    levels = {_fe_name(f): sum(int(r[f"l{i}"]) for r in grows) for i, f in enumerate(fes_g)}
+    if len(groups) > 1:
+        gmap = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(gidx[g]))])
+        d = d.withColumn("__gi", gmap[F.col(gcol)])
+    else:
+        d = d.withColumn("__gi", F.lit(0))
+    # an FE whose columns are a strict subset of another FE's is spanned by it: same residuals
+    sets = [set(_fe_cols(f)) for f in fes_g]
+    fes_abs = [f for f, fs in zip(fes_g, sets) if not any(fs < o for o in sets)]
+    absorber = _Absorber(d, cols, fes_abs, tol=tol, levels=levels)
     r = absorber.run()
-    # one aggregate: every cross product of the residualised columns
+    # one aggregate per group: every cross product of the residualised columns
     m = len(cols)
     pairs = [(i, j) for i in range(m) for j in range(i, m)]
-    xp = r.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"x{i}_{j}") for i, j in pairs]).first()
-    M = np.zeros((m, m))
-    for i, j in pairs:
-        M[i, j] = M[j, i] = float(xp[f"x{i}_{j}"] or 0.0)
+    xrows = r.groupBy("__gi").agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"x{i}_{j}")
+                                    for i, j in pairs]).collect()
+    Ms = {}
+    for xr in xrows:
+        M = np.zeros((m, m))
+        for i, j in pairs:
+            M[i, j] = M[j, i] = float(xr[f"x{i}_{j}"] or 0.0)
+        Ms[int(xr["__gi"])] = M
     pos = {c: k for k, c in enumerate(cols)}
-    X = endog + exog
-    W = exog + instruments if endog else exog
-    iy = pos[y]
-    ix = [pos[c] for c in X]
-    iw = [pos[c] for c in W]
-    XW, WW = M[np.ix_(ix, iw)], M[np.ix_(iw, iw)]
-    Wy, Xy, XX = M[iw, iy], M[ix, iy], M[np.ix_(ix, ix)]
-    Pi = _solve_sym(WW, XW.T)                      # |W| x |X|
-    XhXh = XW @ Pi
-    Xhy = Pi.T @ Wy
-    beta = _solve_sym(XhXh, Xhy)
-    rss = float(M[iy, iy] - 2 * beta @ Xy + beta @ XX @ beta)
-    bread = _inv_sym(XhXh)
-    # K for the small-sample factor
-    k = len(X)
-    nested = set(ccols)
-    absorbed = 0
-    fe_sets = [set(_fe_cols(f)) for f in fes]
-    for fe, fs in zip(fes, fe_sets):
-        if ccols and nested <= fs:
-            continue            # nested in the cluster: costs no degree of freedom
-        if any(fs < other for other in fe_sets):
-            continue            # spanned by a finer FE listed too
-        lv = absorber.levels[_fe_name(fe)]
-        absorbed += lv - (1 if dof == "levels_minus_one" else 0)
-    dof_k = k + absorbed
-    # scores: xhat_i * u_i summed per cluster, then outer products
-    uhat = F.col(y) - sum((F.lit(float(beta[a])) * F.col(c) for a, c in enumerate(X)), F.lit(0.0))
-    xhat = [sum((F.lit(float(Pi[w, a])) * F.col(cw) for w, cw in enumerate(W)), F.lit(0.0)) for a in range(k)]
-    if ccols:
-        sc = r.groupBy(*ccols).agg(*[F.sum(xhat[a] * uhat).alias(f"s{a}") for a in range(k)])
-        meat_row = sc.agg(F.count(F.lit(1)).alias("g"),
-                          *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"m{a}_{b}")
-                            for a in range(k) for b in range(a, k)]).first()
-        g = int(meat_row["g"])
-        meat = np.zeros((k, k))
+    fits = {}
+    for si, s in enumerate(specs):
+        X = list(s.endog) + list(s.exog)
+        W = list(s.exog) + list(s.instruments) if s.endog else list(s.exog)
+        for g in groups:
+            M = Ms[gidx[g]]
+            iy, ix, iw = pos[s.y], [pos[c] for c in X], [pos[c] for c in W]
+            XW, WW = M[np.ix_(ix, iw)], M[np.ix_(iw, iw)]
+            Pi = _solve_sym(WW, XW.T)
+            XhXh = XW @ Pi
+            beta = _solve_sym(XhXh, Pi.T @ M[iw, iy])
+            rss = float(M[iy, iy] - 2 * beta @ M[ix, iy] + beta @ M[np.ix_(ix, ix)] @ beta)
+            fits[(si, g)] = dict(X=X, W=W, Pi=Pi, beta=beta, bread=_inv_sym(XhXh), rss=rss, tss=float(M[iy, iy]))
+    # scores: xhat_i * u_i summed per (group, cluster), then outer products per group
+    def per_group(values):
+        if len(groups) == 1:
+            return F.lit(float(values[0]))
+        return F.element_at(F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>"),
+                            F.col("__gi") + 1)
+
+    score_cols, meat_aggs = [], []
+    for si, s in enumerate(specs):
+        f0 = fits[(si, groups[0])]
+        X, W = f0["X"], f0["W"]
+        k = len(X)
+        uhat = F.col(s.y) - sum((per_group([fits[(si, g)]["beta"][a] for g in groups]) * F.col(c)
+                                 for a, c in enumerate(X)), F.lit(0.0))
         for a in range(k):
-            for b2 in range(a, k):
-                meat[a, b2] = meat[b2, a] = float(meat_row[f"m{a}_{b2}"])
-        q = (g / (g - 1.0)) * ((nobs - 1.0) / (nobs - dof_k))
-        vcov = q * bread @ meat @ bread
-    else:
-        g = None
-        vcov = bread * rss / (nobs - dof_k)
-    return FEResult(name=name, kind="iv" if endog else "ols", depvar=y, terms=X, beta=beta, vcov=vcov,
-                    nobs=nobs, n_clusters=g, dof_k=dof_k, rss=rss, tss_within=float(M[iy, iy]),
-                    tss_overall=float(mom["vp"]) * nobs, ymean=float(mom["mean"]), ysd=float(mom["sd"] or 0.0),
-                    ymin=float(mom["min"]), ymax=float(mom["max"]), fes=[_fe_name(f) for f in fes],
-                    extra={"cg_iterations": absorber.iterations})
+            xhat = sum((per_group([fits[(si, g)]["Pi"][w, a] for g in groups]) * F.col(cw)
+                        for w, cw in enumerate(W)), F.lit(0.0))
+            score_cols.append(F.sum(xhat * uhat).alias(f"s{si}_{a}"))
+        meat_aggs += [F.sum(F.col(f"s{si}_{a}") * F.col(f"s{si}_{b2}")).alias(f"m{si}_{a}_{b2}")
+                      for a in range(k) for b2 in range(a, k)]
+    meat = {}
+    if ccols:
+        sc = r.groupBy("__gi", *ccols).agg(*score_cols)
+        for mr in sc.groupBy("__gi").agg(F.count(F.lit(1)).alias("g"), *meat_aggs).collect():
+            meat[int(mr["__gi"])] = mr
+    # K: regressors + levels of FEs not nested in the cluster (and not spanned by a finer FE)
+    fe_sets = [set(_fe_cols(f)) for f in fes_g]
+    counted = [i for i, fs in enumerate(fe_sets)
+               if not (ccols and set(ccols) <= fs) and not any(fs < o for o in fe_sets)]
+    results = []
+    for si, s in enumerate(specs):
+        yj = ys.index(s.y)
+        for g in groups:
+            f = fits[(si, g)]
+            st = gstat[g]
+            nobs = int(st["n"])
+            k = len(f["X"])
+            absorbed = sum(int(st[f"l{i}"]) - (1 if dof == "levels_minus_one" else 0) for i in counted)
+            dof_k = k + absorbed
+            if ccols:
+                mr = meat[gidx[g]]
+                G = int(mr["g"])
+                mt = np.zeros((k, k))
+                for a in range(k):
+                    for b2 in range(a, k):
+                        mt[a, b2] = mt[b2, a] = float(mr[f"m{si}_{a}_{b2}"])
+                q = (G / (G - 1.0)) * ((nobs - 1.0) / (nobs - dof_k))
+                vcov = q * f["bread"] @ mt @ f["bread"]
+            else:
+                G = None
+                vcov = f["bread"] * f["rss"] / (nobs - dof_k)
+            extra = {"cg_iterations": absorber.iterations}
+            name = s.name if len(groups) == 1 else f"{s.name}[{gcol}={g}]"
+            if by:
+                extra["group"] = g
+            res = FEResult(name=name, kind="iv" if s.endog else "ols", depvar=s.y, terms=f["X"], beta=f["beta"],
+                           vcov=vcov, nobs=nobs, n_clusters=G, dof_k=dof_k, rss=f["rss"], tss_within=f["tss"],
+                           tss_overall=float(st[f"vp{yj}"]) * nobs, ymean=float(st[f"mean{yj}"]),
+                           ysd=float(st[f"sd{yj}"] or 0.0), ymin=float(st[f"min{yj}"]),
+                           ymax=float(st[f"max{yj}"]), fes=[_fe_name(x) for x in fes], extra=extra)
+            res.extra_name = s.name
+            results.append(res)
+    return results
+
+
+def fe_regress(df: DataFrame, y: str, exog=(), endog=(), instruments=(), fes=(), cluster=None,
+               sample=None, prune_singletons: bool = True, dof: str = "levels", name: str = "model",
+               tol: float = 1e-13) -> FEResult:
+    """FE OLS (no ``endog``) or FE 2SLS (E3-E5, E7, E14) with cluster-robust VCE.
+
+    ``dof``: "levels" counts every level of FEs not nested in the cluster (K =
+    regressors + levels); "levels_minus_one" subtracts one per such FE.
+    """
+    spec = Spec(y, list(exog), list(endog), list(instruments), name)
+    return fit_models(df, [spec], fes, cluster, sample, None, prune_singletons, dof, tol)[0]
 
 
 def fe_ols(df: DataFrame, y: str, x, fes=(), cluster=None, **kw) -> FEResult:

@@ -394,8 +394,8 @@ def _coef_frame(spark, res: fe.FEResult) -> DataFrame:
 @register("fe_ols")
 def q_fe_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
-    res = [fe.fe_ols(p, "y", ["x"], fes=["cust", "yr"], cluster="cust", name="ols_simple"),
-           fe.fe_ols(p, "y", FULL, fes=["cust", "yr"], cluster="cust", name="ols_full")]
+    res = fe.fit_models(p, [fe.Spec("y", ["x"], name="ols_simple"), fe.Spec("y", FULL, name="ols_full")],
+                        fes=["cust", "yr"], cluster="cust")
     return _union([_coef_frame(spark, r) for r in res])
 
 
@@ -409,8 +409,9 @@ def q_fe_ols_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fe_iv")
 def q_fe_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
-    res = [fe.fe_iv(p, "y", [], ["x"], ["no"], fes=["cust", "yr"], cluster="cust", name="iv_simple"),
-           fe.fe_iv(p, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", "yr"], cluster="cust", name="iv_full")]
+    res = fe.fit_models(p, [fe.Spec("y", [], ["x"], ["no"], name="iv_simple"),
+                            fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="iv_full")],
+                        fes=["cust", "yr"], cluster="cust")
     return _union([_coef_frame(spark, r) for r in res])
 
 
@@ -447,14 +448,13 @@ def q_fe_iv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("iv_by_quartile")
 def q_iv_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One IV per quartile, each pruned within its own sub-sample."""
+    """One IV per quartile, each pruned within its own sub-sample - all four
+    in the same passes (FEs interacted with the quartile)."""
     b = quartile_frame(spark, sf_dir)
-    frames = []
-    for g in (1, 2, 3, 4):
-        r = fe.fe_iv(b, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
-                     sample=F.col("group") == g, name=f"q{g}")
-        frames.append(_coef_frame(spark, r).withColumn("N", F.lit(r.nobs)).withColumn("G", F.lit(r.n_clusters)))
-    return _union(frames)
+    res = fe.fit_models(b, [fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="q")],
+                        fes=["cust", ("state", "yr")], cluster="cust", by="group")
+    return _union([_coef_frame(spark, r).withColumn("N", F.lit(r.nobs)).withColumn("G", F.lit(r.n_clusters))
+                   for r in res])
 
 
 def _union(frames):
@@ -533,11 +533,18 @@ def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("(6)", dict(exog=["disc", "urg"], endog=["x"], instruments=["no"], fes=["cust", ("state", "yr")])),
     ]
     store = report.Estimates()
+    by_fes = {}
     for name, kw in specs:
-        store.store(name, fe.fe_regress(p, "y", cluster="cust", name=name, **kw))
-    coefs = _union([store[n].coefficients(spark) for n in store.names()])
-    stats = _union([store[n].stats(spark) for n in store.names()])
-    return report.regression_table(coefs, stats, store.names(), dec=5, keep=["x"],
+        fes_key = tuple(map(str, kw["fes"]))
+        by_fes.setdefault(fes_key, (kw["fes"], []))[1].append(
+            fe.Spec("y", kw.get("exog", []), kw.get("endog", []), kw.get("instruments", []), name))
+    for fes_list, group in by_fes.values():
+        for res in fe.fit_models(p, group, fes=fes_list, cluster="cust"):
+            store.store(res.name, res)
+    names = [n for n, _ in specs]
+    coefs = _union([store[n].coefficients(spark) for n in names])
+    stats = _union([store[n].stats(spark) for n in names])
+    return report.regression_table(coefs, stats, names, dec=5, keep=["x"],
                                    labels={"x": "ltotal_dollars"})
 
 
@@ -545,10 +552,9 @@ def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_coef_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import report
     b = quartile_frame(spark, sf_dir)
-    r = fe.fe_iv(b, "y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"],
-                 fes=["cust", ("state", "yr")], cluster="cust", name="iv1")
-    base = fe.fe_iv(b, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
-                    name="baseline")
+    r, base = fe.fit_models(b, [
+        fe.Spec("y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"], name="iv1"),
+        fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="baseline")], fes=["cust", ("state", "yr")], cluster="cust")
     baseline = report.estimates_frame(spark, [("xg5", base.coef("x"), base.stderr("x"))], model="Baseline")
     labels = {"xg1": "q1", "xg2": "q2", "xg3": "q3", "xg4": "q4", "xg5": "Baseline"}
     return report.coef_table([r.coefficients(spark), baseline], ["xg1", "xg2", "xg3", "xg4", "xg5"], labels)
