@@ -140,7 +140,8 @@ class FEResult:
 # sample preparation
 
 
-def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True) -> DataFrame:
+def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True,
+                    n_rows: int | None = None) -> DataFrame:
     """Repeatedly drop rows whose level of any FE occurs once.
 
     Each round is a partially aggregated count per FE and a semi join on the
@@ -151,13 +152,13 @@ def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool
     if not fes:
         return df
     d = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = d.count()
+    n = d.count() if n_rows is None else n_rows
     for _ in range(max_rounds):
+        # every FE's surviving levels come from the same input; one pass applies them all
+        keeps = [d.groupBy(*_fe_cols(fe)).count().filter(F.col("count") > 1).drop("count") for fe in fes]
         cur = d
-        for fe in fes:
-            cols = _fe_cols(fe)
-            keep = cur.groupBy(*cols).count().filter(F.col("count") > 1).drop("count")
-            cur = cur.join(keep, cols, "left_semi")
+        for fe, keep in zip(fes, keeps):
+            cur = cur.join(keep, _fe_cols(fe), "left_semi")
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         m = cur.count()
         d.unpersist()
@@ -173,7 +174,7 @@ def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool
 
 
 def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
-                      prune_singletons: bool = True, extra=()) -> DataFrame:
+                      prune_singletons: bool = True, extra=(), n_rows: int | None = None) -> DataFrame:
     """Rows used by the estimator (e(sample)): qualifier, complete cases, no singletons."""
     need = _uniq(list(cols) + [c for fe in fes for c in _fe_cols(fe)] + _fe_cols(cluster or []) + list(extra))
     d = df
@@ -181,7 +182,7 @@ def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
         d = d.filter(sample)
     d = d.select(*need).dropna(subset=need)
     if prune_singletons:
-        d = drop_singletons(d, fes)
+        d = drop_singletons(d, fes, n_rows=n_rows)
     return d
 
 
@@ -190,6 +191,7 @@ def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
 
 
 LITERAL_MAX = 200_000   # levels x columns up to which CG directions travel as a folded literal
+DENSE_LEVELS = 64       # up to this many small-FE levels A is formed exactly (A @ I, one job)
 
 
 def _maybe_broadcast(df: DataFrame, n_levels: int) -> DataFrame:
@@ -258,8 +260,15 @@ class _Absorber:
         cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
         # 4) right-hand sides B = D' M_u V and the Jacobi preconditioner diag(A)
         b = self._per_level_sums(d1, idx_cols, [F.col(c) for c in cols], None, n_small)
-        diag = self._diag(cells, ucols, idx_cols, n_small)
-        alpha = self._cg(cells, ucols, idx_cols, b, diag)
+        if n_small <= DENSE_LEVELS:
+            # few levels (e.g. years): A = A @ I in one job, then a min-norm solve
+            a = self._matvec(cells, ucols, idx_cols, np.eye(n_small))
+            a = (a + a.T) / 2.0
+            alpha = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+            self.iterations = 1
+        else:
+            diag = self._diag(cells, ucols, idx_cols, n_small)
+            alpha = self._cg(cells, ucols, idx_cols, b, diag)
         # 5) apply alpha: v - alpha_row + mean_u(alpha_row)
         m = len(cols)
         a_vals = self._lookup(alpha, idx_cols)
@@ -442,34 +451,39 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     base = df.filter(sample) if sample is not None else df
     keys = _uniq([c for fe in fes for c in _fe_cols(fe)] + ccols + ([by] if by else []))
     union = _uniq([c for s in specs for c in s.cols()])
-    shared, alone = list(specs), []
-    if len(specs) > 1:
-        def complete(cols):
-            cond = F.lit(True)
-            for c in cols:
-                cond = cond & F.col(c).isNotNull()
-            return F.count_if(cond)
-        row = base.agg(complete(union + keys).alias("u"),
-                       *[complete(s.cols() + keys).alias(f"s{i}") for i, s in enumerate(specs)]).first()
-        shared = [s for i, s in enumerate(specs) if row[f"s{i}"] == row["u"]]
-        alone = [s for i, s in enumerate(specs) if row[f"s{i}"] != row["u"]]
+    # project once and keep the input: the completeness check and the singleton
+    # rounds then read it instead of recomputing the upstream plan
+    base = base.select(*_uniq(union + keys)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def complete(cols):
+        cond = F.lit(True)
+        for c in cols:
+            cond = cond & F.col(c).isNotNull()
+        return F.count_if(cond)
+
+    row = base.agg(complete(union + keys).alias("u"),
+                   *[complete(s.cols() + keys).alias(f"s{i}") for i, s in enumerate(specs)]).first()
+    shared = [s for i, s in enumerate(specs) if row[f"s{i}"] == row["u"]]
+    alone = [s for i, s in enumerate(specs) if row[f"s{i}"] != row["u"]]
     out = []
     if shared:
-        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol)
-    for s in alone:
-        out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol)
+        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row["u"]))
+    for i, s in enumerate(specs):
+        if s in alone:
+            out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row[f"s{i}"]))
+    base.unpersist()
     order = {s.name: i for i, s in enumerate(specs)}
     return sorted(out, key=lambda r: (order[r.extra_name], r.extra.get("group", 0)))
 
 
-def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol) -> list[FEResult]:
+def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=None) -> list[FEResult]:
     cols = _uniq([c for s in specs for c in s.cols()])
     # FEs interacted with the group when estimating by group
     fes_g = [tuple(_fe_cols(fe) + ([by] if by and by not in _fe_cols(fe) else [])) for fe in fes]
     fes_g = [fe[0] if len(fe) == 1 else fe for fe in fes_g]
     gcol = by or "__grp"
     d = df if by else df.withColumn("__grp", F.lit(0))
-    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol])
+    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol], n_rows=n_rows)
     ys = _uniq([s.y for s in specs])
     # one aggregate: per-group N, y moments and FE level counts
     aggs = [F.count(F.lit(1)).alias("n")]
