@@ -117,3 +117,23 @@ def to_dummies(df: DataFrame, topics_col: str = "topics", as_string: bool = Fals
     exprs = (L.topic_flag_exprs(F.col(topics_col)) if as_string
              else L.topic_flags_from_array(F.col(topics_col)))
     return df.select("*", *exprs)
+
+
+def batched_apply(df: DataFrame, fn: Callable, schema: str, batch_size: int = 2048,
+                  num_partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """Apply a pandas -> pandas function to fixed-size batches of rows.
+
+    ``repartition`` spreads the rows (by ``key`` when given) so every task gets
+    a similar share; each Arrow batch is cut into ``batch_size`` chunks before
+    ``fn`` sees it (a model scoring 2,048 rows at a time, say).
+    """
+    d = df
+    if num_partitions:
+        d = d.repartition(num_partitions, key) if key else d.repartition(num_partitions)
+
+    def run(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_size):
+                yield fn(pdf.iloc[start:start + batch_size])
+
+    return d.mapInPandas(run, schema)

@@ -30,6 +30,16 @@ def build_panel(events: DataFrame, unit: str, time: str, measures: dict[str, Col
                                     for n in measures])
 
 
+def keep_years(df: DataFrame, time: str, lo: int, hi: int, missing: str = "stata") -> DataFrame:
+    """P5: ``drop if time < lo | time > hi``; a missing year counts as large (dropped)."""
+    return df.filter(~(M.lt(F.col(time), F.lit(lo), missing) | M.gt(F.col(time), F.lit(hi), missing)))
+
+
+def keep_equal(df: DataFrame, col: str, value) -> DataFrame:
+    """P5: ``keep if col == value`` (false for missing)."""
+    return df.filter(F.coalesce(F.col(col) == F.lit(value), F.lit(False)))
+
+
 def group_max(df: DataFrame, unit: str, col: str, name: str | None = None) -> DataFrame:
     """A1: ``bysort unit: egen name = max(col)``."""
     return with_group_stats(df, [unit], **{name or f"{col}_max": F.max(col)})

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkpanel.functions import numeric as N
 from sparkpanel.sources import load_table
 
 
@@ -35,7 +36,7 @@ def regression_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cust, yr) panel with x, no, urg, y, disc and state (FIXTURES §3.2)."""
     o = orders_year(spark, sf_dir)
     oagg = o.groupBy("cust", "yr").agg(
-        F.ln(F.sum("o_totalprice")).alias("x"),
+        N.log_level(F.sum("o_totalprice")).alias("x"),
         F.count(F.lit(1)).alias("no"),
         F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urg"))
     lo = line_by_order(spark, sf_dir)
@@ -48,7 +49,7 @@ def regression_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (oagg.join(lagg, ["cust", "yr"], "left").join(cust, "cust", "left")
             .select("cust", "yr", "state", "acctbal", "x", F.col("no").cast("double").alias("no"),
                     F.col("urg").cast("double").alias("urg"),
-                    F.ln(1.0 + F.coalesce(F.col("q"), F.lit(0.0))).alias("y"),
+                    N.log_level(F.coalesce(F.col("q"), F.lit(0.0)), plus=1).alias("y"),
                     F.coalesce(F.col("avg_disc"), F.lit(0.0)).alias("disc")))
 
 

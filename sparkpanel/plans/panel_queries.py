@@ -210,18 +210,21 @@ def q_tabulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- A1 / A2 / J4 / A3 / P5 / P7 / P9: group statistics, summary, DiD flags ----------
 
 @register("group_stats", f"""
-WITH {BALANCED_CTE}
-SELECT cust, yr, max(CAST(no > 0 AS INTEGER)) OVER (PARTITION BY cust) AS active_max,
-       round(avg(CASE WHEN yr BETWEEN {PERIOD1[0]} AND {PERIOD1[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
-         AS mean_spend1,
-       round(avg(CASE WHEN yr BETWEEN {PERIOD2[0]} AND {PERIOD2[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
-         AS mean_spend2
-FROM bal""")
+WITH {BALANCED_CTE}, s AS (
+  SELECT cust, yr, max(CAST(no > 0 AS INTEGER)) OVER (PARTITION BY cust) AS active_max,
+         round(avg(CASE WHEN yr BETWEEN {PERIOD1[0]} AND {PERIOD1[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
+           AS mean_spend1,
+         round(avg(CASE WHEN yr BETWEEN {PERIOD2[0]} AND {PERIOD2[1]} THEN dollars END) OVER (PARTITION BY cust), 6)
+           AS mean_spend2
+  FROM bal
+)
+SELECT * FROM s WHERE active_max = 1 AND yr BETWEEN {PERIOD1[0]} AND {PERIOD2[1]}""")
 def q_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balanced_panel(spark, sf_dir).withColumn("active", (F.col("no") > 0).cast("int"))
     b = P.group_max(b, "cust", "active", "active_max")
     b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD1, "mean_spend1")
     b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD2, "mean_spend2")
+    b = P.keep_years(P.keep_equal(b, "active_max", 1), "yr", PERIOD1[0], PERIOD2[1])
     return b.select("cust", "yr", "active_max", r6("mean_spend1").alias("mean_spend1"),
                     r6("mean_spend2").alias("mean_spend2"))
 
