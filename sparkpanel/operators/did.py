@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkpanel.functions import missing as M
 from sparkpanel.operators import fe
-from sparkpanel.operators.panel import period_mean
+from sparkpanel.operators.panel import period_means
 from sparkpanel.operators.ranks import summarize_detail
+from sparkpanel.session import cut_lineage
 
 
 def surge_treatment(panel: DataFrame, unit: str, time: str, x: str, period1: tuple[int, int],
@@ -24,9 +25,9 @@ def surge_treatment(panel: DataFrame, unit: str, time: str, x: str, period1: tup
 
     ``rule``: "median" (active), "mean", "mean_sd" (mean + sd), "mean_half_sd".
     """
-    d = period_mean(panel, unit, time, x, period1[0], period1[1], "mean_spend1")
-    d = period_mean(d, unit, time, x, period2[0], period2[1], "mean_spend2")
+    d = period_means(panel, unit, time, x, {"mean_spend1": period1, "mean_spend2": period2})
     d = d.withColumn("surge", F.col("mean_spend2") - F.col("mean_spend1"))
+    d = cut_lineage(d)   # read by the threshold and by every later estimation
     s = summarize_detail(d, "surge", percentiles=(50,)).first()
     thr = {"median": s["p50"], "mean": s["mean"], "mean_sd": s["mean"] + s["sd"],
            "mean_half_sd": s["mean"] + s["sd"] / 2.0}[rule]

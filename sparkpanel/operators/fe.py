@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkpanel.functions import dist
-from sparkpanel.session import cut_lineage
+from sparkpanel.session import cut_lineage, local_frame
 
 BROADCAST_LEVELS = 200_000   # broadcast a per-level table only below this many levels
 MAX_CG_LEVELS = 2_000_000    # driver holds levels x columns doubles for CG
@@ -121,7 +121,7 @@ class FEResult:
         """(model, position, term, estimate, std_error, t, p, ci_lo, ci_hi)."""
         schema = ("model string, position int, term string, estimate double, std_error double, "
                   "t double, p double, ci_lo double, ci_hi double")
-        return spark.createDataFrame(self.table_rows(level), schema)
+        return local_frame(spark, self.table_rows(level), schema)
 
     def stat_rows(self) -> list[tuple]:
         vals = [("N", float(self.nobs)), ("G", float(self.n_clusters or 0)), ("K", float(self.dof_k)),
@@ -133,7 +133,7 @@ class FEResult:
         return [(self.name, k, float(v)) for k, v in vals]
 
     def stats(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.stat_rows(), "model string, stat string, value double")
+        return local_frame(spark, self.stat_rows(), "model string, stat string, value double")
 
 
 # ---------------------------------------------------------------------------
@@ -303,8 +303,10 @@ class _Absorber:
         m = mat.shape[1]
         schema = T.StructType([T.StructField("__idx", T.LongType(), False)] +
                               [T.StructField(f"{prefix}{i}", T.DoubleType(), False) for i in range(m)])
-        rows = [(int(r),) + tuple(float(x) for x in mat[r]) for r in range(mat.shape[0])]
-        return self.spark.createDataFrame(rows, schema)
+        import pandas as pd
+        pdf = pd.DataFrame(mat, columns=[f"{prefix}{i}" for i in range(m)])
+        pdf.insert(0, "__idx", np.arange(mat.shape[0], dtype="int64"))
+        return self.spark.createDataFrame(pdf, schema)   # Arrow: decoded in the JVM
 
     @staticmethod
     def _attach(df: DataFrame, vec: DataFrame, idx_cols: list[str], prefix: str, m: int) -> DataFrame:

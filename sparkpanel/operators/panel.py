@@ -47,7 +47,17 @@ def group_max(df: DataFrame, unit: str, col: str, name: str | None = None) -> Da
 
 def period_mean(df: DataFrame, unit: str, time: str, x: str, lo: int, hi: int, name: str) -> DataFrame:
     """A2: unit mean of ``x`` over ``lo <= time <= hi`` (inclusive), on every row."""
-    return with_group_stats(df, [unit], **{name: F.avg(M.cond(M.inrange(F.col(time), lo, hi), F.col(x)))})
+    return period_means(df, unit, time, x, {name: (lo, hi)})
+
+
+def period_means(df: DataFrame, unit: str, time: str, x: str, periods: dict) -> DataFrame:
+    """A2 for several periods at once: one aggregate and one join back.
+
+    ``periods`` maps output name -> (lo, hi); periods may overlap (1981 can be
+    in both, as in the reference).
+    """
+    return with_group_stats(df, [unit], **{name: F.avg(M.cond(M.inrange(F.col(time), lo, hi), F.col(x)))
+                                           for name, (lo, hi) in periods.items()})
 
 
 def scalar(df: DataFrame, expr: Column):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkpanel.session import local_frame
+
 
 def stars(p: Column, levels=(0.01, 0.05, 0.1)) -> Column:
     """*** p<0.01, ** p<0.05, * p<0.1."""
@@ -21,8 +23,8 @@ def fmt(x: Column, dec: int = 5) -> Column:
 
 def estimates_frame(spark: SparkSession, rows, model: str = "Baseline") -> DataFrame:
     """Hand-entered coefficients [(term, estimate, std_error)] as a coefficient frame."""
-    return spark.createDataFrame([(model, i + 1, t, float(b), float(s)) for i, (t, b, s) in enumerate(rows)],
-                                 "model string, position int, term string, estimate double, std_error double")
+    return local_frame(spark, [(model, i + 1, t, float(b), float(s)) for i, (t, b, s) in enumerate(rows)],
+                       "model string, position int, term string, estimate double, std_error double")
 
 
 class Estimates:

@@ -16,6 +16,7 @@ from sparkpanel.operators import merge as J
 from sparkpanel.operators import panel as P
 from sparkpanel.operators import ranks as R
 from sparkpanel.plans.panel_data import balanced_panel, orders_year, regression_panel
+from sparkpanel.session import local_frame
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -222,8 +223,7 @@ SELECT * FROM s WHERE active_max = 1 AND yr BETWEEN {PERIOD1[0]} AND {PERIOD2[1]
 def q_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balanced_panel(spark, sf_dir).withColumn("active", (F.col("no") > 0).cast("int"))
     b = P.group_max(b, "cust", "active", "active_max")
-    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD1, "mean_spend1")
-    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD2, "mean_spend2")
+    b = P.period_means(b, "cust", "yr", "dollars", {"mean_spend1": PERIOD1, "mean_spend2": PERIOD2})
     b = P.keep_years(P.keep_equal(b, "active_max", 1), "yr", PERIOD1[0], PERIOD2[1])
     return b.select("cust", "yr", "active_max", r6("mean_spend1").alias("mean_spend1"),
                     r6("mean_spend2").alias("mean_spend2"))
@@ -257,8 +257,7 @@ SELECT mom.N, round(mean, 6) AS mean, round(sd, 6) AS sd, round(variance, 3) AS
 FROM mom, cm, pc""")
 def q_summarize_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balanced_panel(spark, sf_dir)
-    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD1, "mean_spend1")
-    b = P.period_mean(b, "cust", "yr", "dollars", *PERIOD2, "mean_spend2")
+    b = P.period_means(b, "cust", "yr", "dollars", {"mean_spend1": PERIOD1, "mean_spend2": PERIOD2})
     b = b.withColumn("surge", F.col("mean_spend2") - F.col("mean_spend1"))
     s = R.summarize_detail(b, "surge", _PCTS)
     return s.select("N", r6("mean").alias("mean"), r6("sd").alias("sd"),
@@ -491,8 +490,8 @@ def q_did(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.did(d, "no", "treatment", "cust", "yr")
     row = [(r.terms[0], round(float(r.beta[0]), 6), round(float(r.se[0]), 6), int(r.nobs),
             int(r.n_clusters), round(r.r2_within, 6))]
-    return spark.createDataFrame(row, "term string, estimate double, std_error double, nobs long, "
-                                      "n_clusters long, r2_within double")
+    return local_frame(spark, row, "term string, estimate double, std_error double, nobs long, "
+                                   "n_clusters long, r2_within double")
 
 
 @register("did_trends", f"""
@@ -525,8 +524,9 @@ def q_did_ptrends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("regression_table")
 def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark import StorageLevel
     from sparkpanel.operators import report
-    p = regression_panel(spark, sf_dir)
+    p = regression_panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)   # two FE sets read it
     specs = [
         ("(1)", dict(exog=["x"], fes=["cust", "yr"])),
         ("(2)", dict(endog=["x"], instruments=["no"], fes=["cust", "yr"])),
@@ -544,6 +544,7 @@ def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     for fes_list, group in by_fes.values():
         for res in fe.fit_models(p, group, fes=fes_list, cluster="cust"):
             store.store(res.name, res)
+    p.unpersist()
     names = [n for n, _ in specs]
     coefs = _union([store[n].coefficients(spark) for n in names])
     stats = _union([store[n].stats(spark) for n in names])

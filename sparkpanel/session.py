@@ -56,6 +56,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss), never a local one."""
+    """Reliable checkpoint (survives executor loss), never a local one.
+
+    The frame is persisted first: an eager checkpoint otherwise computes the
+    plan twice (once for the action, once to write the checkpoint files).
+    """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
+def local_frame(spark: SparkSession, rows: list, schema: str):
+    """A small result frame (coefficients, statistics) built through Arrow, so it
+    is decoded in the JVM and needs no Python worker to evaluate."""
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    pdf = pd.DataFrame([list(r) for r in rows], columns=names)
+    if not rows:
+        return spark.createDataFrame([], st)
+    return spark.createDataFrame(pdf, schema=st)
