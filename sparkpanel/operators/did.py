@@ -54,15 +54,25 @@ def did_ptrends(df: DataFrame, y: str, treatment: str, treated: str, after: str,
         "pre_trend": F.col(treated) * (1 - F.col(after)) * trend,
         "post_trend": F.col(treated) * F.col(after) * trend,
     })
-    res = fe.fe_ols(d, y, [treatment, "pre_trend", "post_trend"], fes=[unit, time], cluster=unit,
-                    name=name, **kw)
+    res = fe.fit_models(d, [fe.Spec(y, [treatment, "pre_trend", "post_trend"], name=name)], fes=[unit, time],
+                        cluster=unit, residual_means_by=[treated, time], **kw)[0]
     f, p = res.wald_f(["pre_trend"])
     return res, f, p
 
 
-def did_trends(df: DataFrame, y: str, treated: str, time: str) -> DataFrame:
-    """Observed mean outcome by treatment group and period."""
-    return (df.groupBy(treated, time).agg(F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n")))
+def did_trends(df: DataFrame, y: str, treated: str, time: str, ptrends: fe.FEResult | None = None) -> DataFrame:
+    """Observed mean outcome by treatment group and period and, given the
+    parallel-trends model of ``did_ptrends``, its fitted series: the observed
+    cell mean minus the model's mean residual in that cell."""
+    obs = df.groupBy(treated, time).agg(F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n"))
+    if ptrends is None:
+        return obs
+    from sparkpanel.session import local_frame
+    res = local_frame(df.sparkSession, [(int(a), int(b), m) for a, b, m, _ in ptrends.residual_means],
+                      f"{treated} int, {time} int, mean_resid double")
+    return (obs.join(res, [treated, time], "left")
+            .withColumn("fitted_y", F.col("mean_y") - F.coalesce(F.col("mean_resid"), F.lit(0.0)))
+            .drop("mean_resid"))
 
 
 def event_study(df: DataFrame, y: str, treated: str, unit: str, time: str, base: int, periods,

@@ -77,6 +77,7 @@ class FEResult:
     fes: list[str] = field(default_factory=list)
     extra: dict = field(default_factory=dict)
     extra_name: str = ""
+    residual_means: list = field(default_factory=list)
 
     @property
     def se(self) -> np.ndarray:
@@ -436,7 +437,8 @@ MAX_GROUPS = 1000
 
 
 def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=None, by: str | None = None,
-               prune_singletons: bool = True, dof: str = "levels", tol: float = 1e-13) -> list[FEResult]:
+               prune_singletons: bool = True, dof: str = "levels", tol: float = 1e-13,
+               residual_means_by: list[str] | None = None) -> list[FEResult]:
     """Estimate several models that share FEs, cluster and sample in one set of passes.
 
     Models whose complete-case sample equals the union sample share one
@@ -444,6 +446,10 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     its own.  ``by`` runs a separate regression per level of a (small) group
     column in the same passes: every FE is interacted with the group, so
     singleton pruning and absorption happen within groups.
+
+    ``residual_means_by``: also return the mean residual per level of these
+    columns (``result.residual_means``: list of (levels..., mean, n) rows); used
+    for fitted trend series.  The columns ride along through the sample.
     """
     for s in specs:
         if len(s.instruments) < len(s.endog):
@@ -451,7 +457,8 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     fes = list(fes)
     ccols = _fe_cols(cluster) if cluster else []
     base = df.filter(sample) if sample is not None else df
-    keys = _uniq([c for fe in fes for c in _fe_cols(fe)] + ccols + ([by] if by else []))
+    keys = _uniq([c for fe in fes for c in _fe_cols(fe)] + ccols + ([by] if by else [])
+                 + list(residual_means_by or []))
     union = _uniq([c for s in specs for c in s.cols()])
     # project once and keep the input: the completeness check and the singleton
     # rounds then read it instead of recomputing the upstream plan
@@ -469,23 +476,26 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     alone = [s for i, s in enumerate(specs) if row[f"s{i}"] != row["u"]]
     out = []
     if shared:
-        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row["u"]))
+        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row["u"]),
+                           resid_by=residual_means_by)
     for i, s in enumerate(specs):
         if s in alone:
-            out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row[f"s{i}"]))
+            out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row[f"s{i}"]),
+                               resid_by=residual_means_by)
     base.unpersist()
     order = {s.name: i for i, s in enumerate(specs)}
     return sorted(out, key=lambda r: (order[r.extra_name], r.extra.get("group", 0)))
 
 
-def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=None) -> list[FEResult]:
+def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=None, resid_by=None) -> list[FEResult]:
     cols = _uniq([c for s in specs for c in s.cols()])
     # FEs interacted with the group when estimating by group
     fes_g = [tuple(_fe_cols(fe) + ([by] if by and by not in _fe_cols(fe) else [])) for fe in fes]
     fes_g = [fe[0] if len(fe) == 1 else fe for fe in fes_g]
     gcol = by or "__grp"
     d = df if by else df.withColumn("__grp", F.lit(0))
-    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol], n_rows=n_rows)
+    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol] + list(resid_by or []),
+                          n_rows=n_rows)
     ys = _uniq([s.y for s in specs])
     # one aggregate: per-group N, y moments and FE level counts
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -544,7 +554,7 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
         return F.element_at(F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>"),
                             F.col("__gi") + 1)
 
-    score_cols, meat_aggs = [], []
+    score_cols, meat_aggs, resid_aggs = [], [], []
     for si, s in enumerate(specs):
         f0 = fits[(si, groups[0])]
         X, W = f0["X"], f0["W"]
@@ -557,6 +567,10 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
             score_cols.append(F.sum(xhat * uhat).alias(f"s{si}_{a}"))
         meat_aggs += [F.sum(F.col(f"s{si}_{a}") * F.col(f"s{si}_{b2}")).alias(f"m{si}_{a}_{b2}")
                       for a in range(k) for b2 in range(a, k)]
+        resid_aggs.append(F.avg(uhat).alias(f"r{si}"))
+    resid_rows = []
+    if resid_by:
+        resid_rows = r.groupBy("__gi", *resid_by).agg(F.count(F.lit(1)).alias("n"), *resid_aggs).collect()
     meat = {}
     if ccols:
         sc = r.groupBy("__gi", *ccols).agg(*score_cols)
@@ -598,6 +612,8 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
                            ysd=float(st[f"sd{yj}"] or 0.0), ymin=float(st[f"min{yj}"]),
                            ymax=float(st[f"max{yj}"]), fes=[_fe_name(x) for x in fes], extra=extra)
             res.extra_name = s.name
+            res.residual_means = [tuple(rr[c] for c in resid_by) + (float(rr[f"r{si}"]), int(rr["n"]))
+                                  for rr in resid_rows if int(rr["__gi"]) == gidx[g]] if resid_by else []
             results.append(res)
     return results
 

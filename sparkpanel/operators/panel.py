@@ -125,3 +125,18 @@ def hhi(df: DataFrame, market: str, firm: str, value: str) -> DataFrame:
     return (s.groupBy(market).agg(F.sum(F.col("share") * F.col("share")).alias("hhi"),
                                   F.count(F.lit(1)).alias("n_firms"))
             .withColumn("competition", 1.0 - F.col("hhi")))
+
+
+def competition_weighted(df: DataFrame, unit: str, cat: str, firm: str, value: str,
+                         name: str = "comp_wtd") -> DataFrame:
+    """I4 (unit level): weighted mean over categories of 1 - HHI(category), with
+    weights = the unit's share of its own value in each category.
+
+    Two group-bys build the category HHI (categories x firms -> categories); the
+    unit weights are another two-level group-by; the HHI table has one row per
+    category and is joined to the (unit, category) weights.
+    """
+    conc = hhi(df, cat, firm, value).select(cat, "competition")
+    w = shares_of(df, unit, cat, value, "weight")
+    return (w.join(conc, cat)
+            .groupBy(unit).agg(F.sum(F.col("weight") * F.col("competition")).alias(name)))

@@ -342,6 +342,27 @@ def q_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("nation", r6("hhi").alias("hhi"), "n_firms", r6("competition").alias("competition"))
 
 
+@register("competition_weighted", """
+WITH lx AS (
+  SELECT o_custkey AS cust, p_type, l_suppkey, l_extendedprice
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+), fv AS (SELECT p_type, l_suppkey, sum(l_extendedprice) AS v FROM lx GROUP BY 1, 2
+), h AS (
+  SELECT p_type, 1 - sum(power(v / t, 2)) AS competition
+  FROM (SELECT *, sum(v) OVER (PARTITION BY p_type) AS t FROM fv) GROUP BY p_type
+), cv AS (SELECT cust, p_type, sum(l_extendedprice) AS v FROM lx GROUP BY 1, 2
+), w AS (SELECT cust, p_type, v / sum(v) OVER (PARTITION BY cust) AS weight FROM cv)
+SELECT cust, round(sum(weight * competition), 6) AS comp_wtd FROM w JOIN h ON w.p_type = h.p_type GROUP BY cust""")
+def q_competition_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_extendedprice")
+    o = load_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+                                                    F.col("o_custkey").alias("cust"))
+    part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    lx = li.join(o, "l_orderkey").join(part, "l_partkey")
+    c = P.competition_weighted(lx, "cust", "p_type", "l_suppkey", "l_extendedprice")
+    return c.select("cust", r6("comp_wtd").alias("comp_wtd"))
+
+
 # --- E1 / E2 / A17 / P6: estimation-sample building blocks ----------------------------
 
 _SINGLETON_SQL = f"""
@@ -520,6 +541,17 @@ def q_did_ptrends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.coefficients(spark).withColumn("pre_trend_F", F.lit(f)).withColumn("pre_trend_p", F.lit(p))
 
 
+@register("did_trend_lines")
+def q_did_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 plot table: observed and linear-trends fitted means by group and year."""
+    from sparkpanel.plans.panel_data import year_range
+    lo, _ = year_range(spark, sf_dir)
+    d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    r, _, _ = D.did_ptrends(d, "no", "treatment", "treated", "after", "cust", "yr", lo)
+    t = D.did_trends(d, "no", "treated", "yr", r)
+    return t.select("treated", "yr", r6("mean_y").alias("mean_y"), r6("fitted_y").alias("fitted_y"), "n")
+
+
 # --- S5 / S6 / E12 / E13: reports ----------------------------------------------------
 
 @register("regression_table")

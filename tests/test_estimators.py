@@ -159,3 +159,20 @@ def test_construction_goldens(spark):
     assert h[0] == 25 and close(h[1], 0.010556) and close(h[2], 0.010369) and close(h[3], 0.010729)
     z = PQ.q_shift_share(spark, SF01).agg(F.count("*"), F.avg("z"), F.min("z"), F.max("z")).first()
     assert z[0] == 10360 and close(z[1], 18.126209) and close(z[2], 17.512282) and close(z[3], 18.315299)
+
+
+def test_fitted_trends(did_frame):
+    pt, _, _ = D.did_ptrends(did_frame, "no", "treatment", "treated", "after", "cust", "yr", 1995)
+    t = D.did_trends(did_frame, "no", "treated", "yr", pt).collect()
+    assert len(t) == 14
+    # control cells: the model has no control-specific terms beyond FE, residuals average out per year
+    ctrl = [r for r in t if r.treated == 0]
+    assert all(abs(r.fitted_y - r.mean_y) < 0.5 for r in ctrl)
+    # treated fitted series is linear in the year within pre and within post periods
+    tr = {r.yr: r.fitted_y for r in t if r.treated == 1}
+    pre = [tr[1996] - tr[1995], tr[1997] - tr[1996]]
+    post = [tr[1999] - tr[1998], tr[2000] - tr[1999], tr[2001] - tr[2000]]
+    ctl = {r.yr: r.fitted_y for r in ctrl}
+    dpre = [pre[0] - (ctl[1996] - ctl[1995]), pre[1] - (ctl[1997] - ctl[1996])]
+    dpost = [post[i] - (ctl[1999 + i] - ctl[1998 + i]) for i in range(3)]
+    assert abs(dpre[0] - dpre[1]) < 1e-6 and max(dpost) - min(dpost) < 1e-6
