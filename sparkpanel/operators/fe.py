@@ -221,6 +221,13 @@ class _Absorber:
         self.max_iter = max_iter
         self.iterations = 0
         self.d = d
+        self._held = []
+
+    def release(self) -> None:
+        """Drop the frames persisted during absorption (results no longer need them)."""
+        for h in self._held:
+            h.unpersist()
+        self._held = []
 
     def run(self) -> DataFrame:
         d, cols = self.d, self.cols
@@ -254,11 +261,13 @@ class _Absorber:
             offset += n_lv
         n_small = offset
         d1 = d1.persist(StorageLevel.MEMORY_AND_DISK)   # short lineage from the checkpointed sample
+        self._held.append(d1)
         # 3) cells (unit x small levels) with counts, partitioned by unit
         cells = (d1.groupBy(*ucols, *idx_cols).agg(F.count(F.lit(1)).alias("__c"))
                  .repartition(*ucols))
         cells = cells.withColumn("__nu", F.sum("__c").over(_unit_window(ucols)))
         cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.append(cells)
         # 4) right-hand sides B = D' M_u V and the Jacobi preconditioner diag(A)
         b = self._per_level_sums(d1, idx_cols, [F.col(c) for c in cols], None, n_small)
         if n_small <= DENSE_LEVELS:
@@ -576,6 +585,7 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
         sc = r.groupBy("__gi", *ccols).agg(*score_cols)
         for mr in sc.groupBy("__gi").agg(F.count(F.lit(1)).alias("g"), *meat_aggs).collect():
             meat[int(mr["__gi"])] = mr
+    absorber.release()
     # K: regressors + levels of FEs not nested in the cluster (and not spanned by a finer FE)
     fe_sets = [set(_fe_cols(f)) for f in fes_g]
     counted = [i for i, fs in enumerate(fe_sets)
