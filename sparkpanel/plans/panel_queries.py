@@ -532,6 +532,24 @@ def q_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.coefficients(spark)
 
 
+@register("event_study_effects", f"""
+WITH {FLAGS_CTE}, m AS (
+  SELECT yr, avg(CASE WHEN treated = 1 THEN CAST(no AS DOUBLE) END) AS mt,
+         avg(CASE WHEN treated = 0 THEN CAST(no AS DOUBLE) END) AS mc
+  FROM flags GROUP BY yr
+), b AS (SELECT mt - mc AS d0 FROM m WHERE yr = {BASE})
+SELECT 'lead_lag_' || CAST(yr AS VARCHAR) AS term, round((mt - mc) - d0, 6) AS estimate
+FROM m, b WHERE yr <> {BASE}""")
+def q_event_study_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E11 estimates from the FE engine; on the balanced panel they must equal the
+    difference-in-differences of cell means relative to the base year."""
+    from sparkpanel.plans.panel_data import year_range
+    lo, hi = year_range(spark, sf_dir)
+    d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
+    r = D.event_study(d, "no", "treated", "cust", "yr", BASE, range(lo, hi + 1))
+    return r.coefficients(spark).select("term", r6("estimate").alias("estimate"))
+
+
 @register("did_ptrends")
 def q_did_ptrends(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.plans.panel_data import year_range
