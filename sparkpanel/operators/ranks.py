@@ -33,8 +33,12 @@ def global_rank(df: DataFrame, order_cols, name: str = "_n", total: str | None =
     """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = _order_exprs(order_cols)
-    s = (df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    # a deterministic tiebreaker (position in the input) makes the range key unique,
+    # so a value shared by a third of the rows still spreads over many tasks
+    order = _order_exprs(order_cols) + [F.col("__tb")]
+    s = (df.withColumn("__tb", F.monotonically_increasing_id())
+         .repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+         .drop("__tb")
          .withColumn("__mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
     s = s.withColumn("__pid", F.shiftright(F.col("__mid"), 33))

@@ -94,3 +94,13 @@ def test_t_distribution_table_values():
     assert dist.t_ppf(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
     assert dist.t_ppf(0.975, 1496) == pytest.approx(1.961551, abs=1e-5)
     assert dist.f_sf(4.964602743, 1, 10) == pytest.approx(0.05, abs=1e-8)
+
+
+def test_global_rank_hot_value_spreads(spark):
+    # a third of the rows share one value: ranks stay a permutation and the
+    # range partitions stay balanced
+    df = spark.range(3000).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")))
+    r = R.global_rank(df, ["v"], num_partitions=6)
+    assert sorted(x._n for x in r.collect()) == list(range(1, 3001))
+    sizes = [c for c in r.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert max(sizes) < 1500
