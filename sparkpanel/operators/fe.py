@@ -192,7 +192,7 @@ def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
 
 
 LITERAL_MAX = 200_000   # levels x columns up to which CG directions travel as a folded literal
-DENSE_LEVELS = 64       # up to this many small-FE levels A is formed exactly (A @ I, one job)
+DENSE_LEVELS = 16       # up to this many small-FE levels A is formed exactly (A @ I, one narrow job)
 
 
 def _maybe_broadcast(df: DataFrame, n_levels: int) -> DataFrame:
