@@ -193,6 +193,7 @@ def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
 
 LITERAL_MAX = 200_000   # levels x columns up to which CG directions travel as a folded literal
 DENSE_LEVELS = 16       # up to this many small-FE levels A is formed exactly (A @ I, one narrow job)
+MATVEC_BLOCK = 16       # columns per product job (wider rows fall out of whole-stage codegen)
 
 
 def _maybe_broadcast(df: DataFrame, n_levels: int) -> DataFrame:
@@ -357,6 +358,10 @@ class _Absorber:
         return out
 
     def _matvec(self, cells: DataFrame, ucols, idx_cols, p: np.ndarray) -> np.ndarray:
+        if p.shape[1] > MATVEC_BLOCK:
+            # keep each job narrow enough for whole-stage codegen
+            return np.hstack([self._matvec(cells, ucols, idx_cols, p[:, k:k + MATVEC_BLOCK])
+                              for k in range(0, p.shape[1], MATVEC_BLOCK)])
         m = p.shape[1]
         vals = self._lookup(p, idx_cols)
         if vals is None:
