@@ -69,14 +69,33 @@ def group_id(df: DataFrame, keys: list[str], name: str = "group_id") -> DataFram
     return df.join(ranked, keys, "left").select(*df.columns, F.col(name).cast("long").alias(name))
 
 
+def global_cumsum(df: DataFrame, order_cols, value: str, name: str = "cumsum",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in ``order_cols`` order without a single-task window:
+    range partitions, per-partition totals (one row each) turned into offsets,
+    and a window inside each partition."""
+    spark = df.sparkSession
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _order_exprs(order_cols)
+    s = (df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+         .withColumn("__pid", F.spark_partition_id()))
+    s = cut_lineage(s)
+    tots = s.groupBy("__pid").agg(F.sum(value).alias("__t"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = tots.select("__pid", (F.sum("__t").over(w) - F.col("__t")).alias("__off"))
+    inner = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (s.join(F.broadcast(offsets), "__pid")
+            .withColumn(name, F.col("__off") + F.sum(value).over(inner))
+            .drop("__pid", "__off"))
+
+
 def tabulate(df: DataFrame, col: str) -> DataFrame:
     """Frequency, percent and cumulative percent of a categorical column."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("freq"))
-    w_all = Window.partitionBy()
-    w_cum = Window.orderBy(F.col(col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(col, "freq",
-                         (100.0 * F.col("freq") / F.sum("freq").over(w_all)).alias("percent"),
-                         (100.0 * F.sum("freq").over(w_cum) / F.sum("freq").over(w_all)).alias("cum"))
+    total = counts.agg(F.sum("freq").alias("t")).first()["t"] or 0
+    cum = global_cumsum(counts, [col], "freq", "__cum")
+    return cum.select(col, "freq", (100.0 * F.col("freq") / F.lit(total)).alias("percent"),
+                      (100.0 * F.col("__cum") / F.lit(total)).alias("cum"))
 
 
 STATA_PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
