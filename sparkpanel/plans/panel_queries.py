@@ -238,6 +238,7 @@ def _pct_sql(p: int) -> str:
             f" + coalesce(sum(CASE WHEN (N * {p}) % 100 <> 0 AND _n = N * {p} // 100 + 1 THEN v END), 0))")
 
 
+# variance (~1e10) and sum (~1e8) carry float noise near 1e-5: rounded to what their size supports
 @register("summarize_detail", f"""
 WITH {FLAGS_CTE}, v AS (SELECT surge AS v FROM flags WHERE surge IS NOT NULL
 ), r AS (SELECT v, row_number() OVER (ORDER BY v) AS _n, count(*) OVER () AS N FROM v
@@ -250,9 +251,9 @@ WITH {FLAGS_CTE}, v AS (SELECT surge AS v FROM flags WHERE surge IS NOT NULL
 ), pc AS (
   SELECT {", ".join(f"{_pct_sql(p)} AS p{p}" for p in _PCTS)} FROM r
 )
-SELECT mom.N, round(mean, 6) AS mean, round(sd, 6) AS sd, round(variance, 3) AS variance,
+SELECT mom.N, round(mean, 6) AS mean, round(sd, 6) AS sd, round(variance, 0) AS variance,
        round(m3 / power(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2), 6) AS kurtosis,
-       round(min, 6) AS min, round(max, 6) AS max, round(sum, 4) AS sum,
+       round(min, 6) AS min, round(max, 6) AS max, round(sum, 2) AS sum,
        {", ".join(f"round(p{p}, 6) AS p{p}" for p in _PCTS)}
 FROM mom, cm, pc""")
 def q_summarize_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,9 +262,9 @@ def q_summarize_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.withColumn("surge", F.col("mean_spend2") - F.col("mean_spend1"))
     s = R.summarize_detail(b, "surge", _PCTS)
     return s.select("N", r6("mean").alias("mean"), r6("sd").alias("sd"),
-                    F.round("variance", 3).alias("variance"), r6("skewness").alias("skewness"),
+                    F.round("variance", 0).alias("variance"), r6("skewness").alias("skewness"),
                     r6("kurtosis").alias("kurtosis"), r6("min").alias("min"), r6("max").alias("max"),
-                    F.round("sum", 4).alias("sum"), *[r6(f"p{p}").alias(f"p{p}") for p in _PCTS])
+                    F.round("sum", 2).alias("sum"), *[r6(f"p{p}").alias(f"p{p}") for p in _PCTS])
 
 
 def did_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
