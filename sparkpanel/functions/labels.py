@@ -84,7 +84,9 @@ def keyword_topics(text_col: Column, keywords=FIXTURE_LEXICON, topics=TOPICS) ->
         for k in kws:
             cond = cond | low.contains(k)
         items.append(F.when(cond, F.lit(t)))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    # drop the NULLs without a lambda (keeps whole-stage codegen and the shared
+    # lower(text)); topic names are distinct, so array_except's de-duplication is moot
+    return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
 
 # --- F2: decode a reply ----------------------------------------------------

@@ -88,8 +88,9 @@ def synthetic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     0 list, 1 list with the sentinel, 2 topics not a list, 3 malformed JSON,
     4 no topics key, 5 no function call, 6 list with a value outside the enum.
     """
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = L.keyword_topics(F.col("text"))
+    # topics computed once per text (CASE branches do not share subexpressions)
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", L.keyword_topics(F.col("text")).alias("t"))
+    t = F.col("t")
     k = F.col("doc_id") % 7
     reply = (F.when(k == 0, F.to_json(F.struct(t.alias("topics"))))
              .when(k == 1, F.to_json(F.struct(F.concat(F.array(F.lit(L.NO_TOPIC)), t).alias("topics"))))
