@@ -285,8 +285,8 @@ class _Absorber:
         a_vals = self._lookup(alpha, idx_cols)
         if a_vals is None:
             adf = self._vec_df(alpha, "__a")
-            cells_a = self._attach(cells, adf, idx_cols, "__a", m)
-            d2 = self._attach(d1, adf, idx_cols, "__a", m)
+            cells_a = self._attach(cells, adf, idx_cols, "__a", m, alpha.shape[0])
+            d2 = self._attach(d1, adf, idx_cols, "__a", m, alpha.shape[0])
         else:
             cells_a = cells.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
             d2 = d1.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
@@ -320,13 +320,15 @@ class _Absorber:
         return self.spark.createDataFrame(pdf, schema)   # Arrow: decoded in the JVM
 
     @staticmethod
-    def _attach(df: DataFrame, vec: DataFrame, idx_cols: list[str], prefix: str, m: int) -> DataFrame:
-        """Add ``prefix{i}`` = sum over small FEs of vec[level] (broadcast lookups)."""
+    def _attach(df: DataFrame, vec: DataFrame, idx_cols: list[str], prefix: str, m: int,
+                n_levels: int | None = None) -> DataFrame:
+        """Add ``prefix{i}`` = sum over small FEs of vec[level]; the level table is
+        broadcast only below the counted bound, joined by shuffle above it."""
         out = df
         for j, ic in enumerate(idx_cols):
             renamed = vec.select(F.col("__idx").alias(ic), *[F.col(f"{prefix}{i}").alias(f"{prefix}{i}_{j}")
                                                             for i in range(m)])
-            out = out.join(F.broadcast(renamed), ic, "left")
+            out = out.join(_maybe_broadcast(renamed, n_levels if n_levels is not None else 0), ic, "left")
         return out.select(*df.columns, *[
             sum((F.coalesce(F.col(f"{prefix}{i}_{j}"), F.lit(0.0)) for j in range(len(idx_cols))),
                 F.lit(0.0)).alias(f"{prefix}{i}") for i in range(m)])
@@ -365,7 +367,7 @@ class _Absorber:
         m = p.shape[1]
         vals = self._lookup(p, idx_cols)
         if vals is None:
-            pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m)
+            pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m, p.shape[0])
         else:
             pc = cells.withColumns({f"__p{i}": e for i, e in enumerate(vals)})
         w = _unit_window(ucols)
