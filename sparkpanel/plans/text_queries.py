@@ -363,8 +363,10 @@ g AS (
   UNION ALL
   SELECT doc_id, 'toxic' AS topic, toxic_human AS actual, toxic_bert AS predicted, p_toxic AS prob FROM g2
 ), cnt AS (
-  SELECT topic, count_if(actual = 1 AND predicted = 1) AS tp, count_if(actual = 0 AND predicted = 1) AS fp,
-         count_if(actual = 1 AND predicted = 0) AS fn, count_if(actual = 0 AND predicted = 0) AS tn
+  SELECT topic, CAST(count_if(actual = 1 AND predicted = 1) AS BIGINT) AS tp,
+         CAST(count_if(actual = 0 AND predicted = 1) AS BIGINT) AS fp,
+         CAST(count_if(actual = 1 AND predicted = 0) AS BIGINT) AS fn,
+         CAST(count_if(actual = 0 AND predicted = 0) AS BIGINT) AS tn
   FROM lng GROUP BY topic
 ), prf AS (
   SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
