@@ -143,15 +143,26 @@ class FEResult:
 
 def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True,
                     n_rows: int | None = None) -> DataFrame:
+    """Repeatedly drop rows whose level of any FE occurs once (see ``_prune``)."""
+    return _prune(df, fes, max_rounds, checkpoint, n_rows)[0]
+
+
+def _prune(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True,
+           n_rows: int | None = None, round_stats=None):
     """Repeatedly drop rows whose level of any FE occurs once.
 
     Each round is a partially aggregated count per FE and a semi join on the
     previous round's persisted rows; the final sample is checkpointed once
     (reliably, into the shared checkpoint folder), which also cuts the lineage.
+
+    ``round_stats``: optional function frame -> rows with a count column ``n``;
+    it replaces the plain count of every round, so the statistics of the final
+    sample come out of the converged round.  Returns (frame, last round's rows).
     """
     fes = list(fes)
+    last = None
     if not fes:
-        return df
+        return df, None
     d = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = d.count() if n_rows is None else n_rows
     for _ in range(max_rounds):
@@ -161,7 +172,12 @@ def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool
         for fe, keep in zip(fes, keeps):
             cur = cur.join(keep, _fe_cols(fe), "left_semi")
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-        m = cur.count()
+        if round_stats is None:
+            m = cur.count()
+        else:
+            rows = round_stats(cur)
+            m = sum(int(r["n"]) for r in rows)
+            last = rows
         d.unpersist()
         d = cur
         if m == n:
@@ -170,21 +186,25 @@ def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool
     if checkpoint:
         out = cut_lineage(d)
         d.unpersist()
-        return out
-    return d
+        return out, last
+    return d, last
 
 
 def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
                       prune_singletons: bool = True, extra=(), n_rows: int | None = None) -> DataFrame:
     """Rows used by the estimator (e(sample)): qualifier, complete cases, no singletons."""
+    return _sample(df, cols, fes, cluster, sample, prune_singletons, extra, n_rows)[0]
+
+
+def _sample(df, cols, fes, cluster, sample=None, prune_singletons=True, extra=(), n_rows=None, round_stats=None):
     need = _uniq(list(cols) + [c for fe in fes for c in _fe_cols(fe)] + _fe_cols(cluster or []) + list(extra))
     d = df
     if sample is not None:
         d = d.filter(sample)
     d = d.select(*need).dropna(subset=need)
     if prune_singletons:
-        d = drop_singletons(d, fes, n_rows=n_rows)
-    return d
+        return _prune(d, fes, n_rows=n_rows, round_stats=round_stats)
+    return d, None
 
 
 # ---------------------------------------------------------------------------
@@ -510,16 +530,21 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
     fes_g = [fe[0] if len(fe) == 1 else fe for fe in fes_g]
     gcol = by or "__grp"
     d = df if by else df.withColumn("__grp", F.lit(0))
-    d = estimation_sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol] + list(resid_by or []),
-                          n_rows=n_rows)
     ys = _uniq([s.y for s in specs])
-    # one aggregate: per-group N, y moments and FE level counts
+    # one aggregate: per-group N, y moments and FE level counts; it doubles as the
+    # row count of every singleton round, so the converged round delivers it
     aggs = [F.count(F.lit(1)).alias("n")]
     for j, y in enumerate(ys):
         aggs += [F.avg(y).alias(f"mean{j}"), F.stddev_samp(y).alias(f"sd{j}"), F.min(y).alias(f"min{j}"),
                  F.max(y).alias(f"max{j}"), F.var_pop(y).alias(f"vp{j}")]
     aggs += [F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}") for i, f in enumerate(fes_g)]
-    grows = d.groupBy(gcol).agg(*aggs).collect()
+
+    def stats(frame):
+        return frame.groupBy(gcol).agg(*aggs).collect()
+
+    d, last = _sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol] + list(resid_by or []),
+                      n_rows=n_rows, round_stats=stats)
+    grows = last if last is not None else stats(d)
     if not grows:
         raise ValueError("empty estimation sample")
     if len(grows) > MAX_GROUPS:
