@@ -289,16 +289,28 @@ class _Absorber:
         cells = cells.withColumn("__nu", F.sum("__c").over(_unit_window(ucols)))
         cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
         self._held.append(cells)
-        # 4) right-hand sides B = D' M_u V and the Jacobi preconditioner diag(A)
-        b = self._per_level_sums(d1, idx_cols, [F.col(c) for c in cols], None, n_small)
+        # 4) right-hand sides B = D' M_u V (and, for CG, the Jacobi preconditioner diag(A))
+        rhs = self._per_level_agg(d1, idx_cols, [F.col(c) for c in cols], None)
         if n_small <= DENSE_LEVELS:
+            b = self._to_matrix(rhs.collect(), n_small, len(cols))
             # few levels (e.g. years): A = A @ I in one job, then a min-norm solve
             a = self._matvec(cells, ucols, idx_cols, np.eye(n_small))
             a = (a + a.T) / 2.0
             alpha = np.linalg.lstsq(a, b, rcond=1e-12)[0]
             self.iterations = 1
         else:
-            diag = self._diag(cells, ucols, idx_cols, n_small)
+            # B and diag(A) in one job: a tagged union of the two small aggregates
+            parts = [rhs.withColumn("__kind", F.lit(0))]
+            parts += [dd.withColumn("__kind", F.lit(1)) for dd in self._diag_dfs(cells, ucols, idx_cols)]
+            both = parts[0]
+            for part in parts[1:]:
+                both = both.unionByName(part, allowMissingColumns=True)
+            rows = both.collect()
+            b = self._to_matrix([r for r in rows if r["__kind"] == 0], n_small, len(cols))
+            diag = np.zeros(n_small)
+            for r in rows:
+                if r["__kind"] == 1:
+                    diag[int(r["__idx"])] += float(r["d"])
             alpha = self._cg(cells, ucols, idx_cols, b, diag)
         # 5) apply alpha: v - alpha_row + mean_u(alpha_row)
         m = len(cols)
@@ -354,30 +366,35 @@ class _Absorber:
                 F.lit(0.0)).alias(f"{prefix}{i}") for i in range(m)])
 
     @staticmethod
-    def _per_level_sums(df: DataFrame, idx_cols: list[str], exprs, weight, n_small: int) -> np.ndarray:
-        """sum_{rows at level s} expr, for every level of every small FE -> (S x m)."""
+    def _per_level_agg(df: DataFrame, idx_cols: list[str], exprs, weight) -> DataFrame:
+        """(__idx, v0..): sum_{rows at level s} expr, for every level of every small FE."""
         m = len(exprs)
         vals = F.array(*[e for e in exprs]) if weight is None else F.array(*[weight * e for e in exprs])
         # evaluate the values (they may hold window expressions) before exploding,
         # otherwise the window would run over the exploded rows
         staged = df.select(*[F.col(c) for c in idx_cols], vals.alias("__v"))
         exploded = staged.select(F.explode(F.array(*[F.col(c) for c in idx_cols])).alias("__idx"), "__v")
-        agg = exploded.groupBy("__idx").agg(*[F.sum(F.col("__v")[i]).alias(f"v{i}") for i in range(m)])
+        return exploded.groupBy("__idx").agg(*[F.sum(F.col("__v")[i]).alias(f"v{i}") for i in range(m)])
+
+    @staticmethod
+    def _to_matrix(rows, n_small: int, m: int) -> np.ndarray:
         out = np.zeros((n_small, m))
-        for r in agg.collect():
+        for r in rows:
             out[int(r["__idx"])] = [r[f"v{i}"] for i in range(m)]
         return out
 
-    def _diag(self, cells: DataFrame, ucols, idx_cols, n_small: int) -> np.ndarray:
-        """diag(A)[s] = n_s - sum_u n_us^2 / n_u (no pairs: one row per cell)."""
-        out = np.zeros(n_small)
-        for ic in idx_cols:
-            per = (cells.groupBy(*ucols, ic).agg(F.sum("__c").alias("__nus"), F.first("__nu").alias("__nu"))
-                   .groupBy(ic).agg(F.sum(F.col("__nus") - F.col("__nus") * F.col("__nus") / F.col("__nu"))
-                                    .alias("d")))
-            for r in per.collect():
-                out[int(r[ic])] += float(r["d"])
-        return out
+    @classmethod
+    def _per_level_sums(cls, df: DataFrame, idx_cols: list[str], exprs, weight, n_small: int) -> np.ndarray:
+        """sum_{rows at level s} expr, for every level of every small FE -> (S x m)."""
+        return cls._to_matrix(cls._per_level_agg(df, idx_cols, exprs, weight).collect(), n_small, len(exprs))
+
+    @staticmethod
+    def _diag_dfs(cells: DataFrame, ucols, idx_cols) -> list[DataFrame]:
+        """diag(A)[s] = n_s - sum_u n_us^2 / n_u per small FE, as (__idx, d) frames (no pairs)."""
+        return [(cells.groupBy(*ucols, ic).agg(F.sum("__c").alias("__nus"), F.first("__nu").alias("__nu"))
+                 .groupBy(F.col(ic).alias("__idx"))
+                 .agg(F.sum(F.col("__nus") - F.col("__nus") * F.col("__nus") / F.col("__nu")).alias("d")))
+                for ic in idx_cols]
 
     def _matvec(self, cells: DataFrame, ucols, idx_cols, p: np.ndarray) -> np.ndarray:
         if p.shape[1] > MATVEC_BLOCK:
