@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from sparkpanel.llm import byte_bpe, perm_shards
+from sparkpanel.llm import block_knn, byte_bpe, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
 
 QUERIES = {
+    "op1_url_lm": url_lm.query,
+    "op2_block_knn": block_knn.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op4_risk_rules": risk_rules.query,
+    "op5_mix_tree": mix_tree.query,
+    "op6_winnow": winnow.query,
+    "op7_partition_join": partition_join.query,
+    "op9_hmm": hmm.query,
+    "op10_lang_tree": lang_tree.query,
     "op8_perm_shards": perm_shards.query,
 }
 
 ORACLES = {
+    "op2_block_knn": block_knn.ORACLE,
+    "op4_risk_rules": risk_rules.oracle(),
     "op8_perm_shards": perm_shards.oracle(),
 }
