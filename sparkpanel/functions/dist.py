@@ -63,7 +63,11 @@ def t_cdf(t: float, df: float) -> float:
 
 def t_ppf(prob: float, df: float) -> float:
     """Quantile of t(df) by bisection on the CDF (driver scalar only)."""
-    lo, hi = -1e3, 1e3
+    lo, hi = -1.0, 1.0
+    while t_cdf(lo, df) > prob:      # widen until the root is inside
+        lo *= 2
+    while t_cdf(hi, df) < prob:
+        hi *= 2
     for _ in range(200):
         mid = 0.5 * (lo + hi)
         if t_cdf(mid, df) < prob:

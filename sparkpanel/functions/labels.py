@@ -26,10 +26,6 @@ NO_TOPIC = "no topic"
 NO_TOPIC_FALLBACK = "No topic"
 # Names used for the same positions by the frequency report.
 TOPIC_ALIASES = {"european union": "eu", "elections/voting": "elections"}
-# Fixture lexicon: one lower-case substring per topic, in topic order, used by
-# the deterministic keyword labeller on the driver's documents table.
-FIXTURE_LEXICON = ("with this from that license que und der les los tion thble "
-                   "erly anan onou thwh ering ertion thing").split()
 # ---------------------------------------------------------------------------
 
 ALLOWED_REPLY_VALUES = TOPICS + [NO_TOPIC]
@@ -59,8 +55,8 @@ def topic_flags_from_array(arr: Column, topics=TOPICS, names=None) -> list[Colum
             for t, n in zip(topics, names)]
 
 
-def keyword_flag_exprs(text_col: Column, keywords=FIXTURE_LEXICON, names=TOPIC_COLUMNS) -> list[Column]:
-    """Keyword labeller (M2, shipped default): a topic is on when any of its
+def keyword_flag_exprs(text_col: Column, keywords, names=TOPIC_COLUMNS) -> list[Column]:
+    """Keyword labeller (M2): a topic is on when any of its
     keywords is a substring of the lower-cased text.  ``keywords`` holds one
     string or a list of strings per topic."""
     low = F.lower(text_col)
@@ -74,7 +70,7 @@ def keyword_flag_exprs(text_col: Column, keywords=FIXTURE_LEXICON, names=TOPIC_C
     return out
 
 
-def keyword_topics(text_col: Column, keywords=FIXTURE_LEXICON, topics=TOPICS) -> Column:
+def keyword_topics(text_col: Column, keywords, topics=TOPICS) -> Column:
     """Keyword labeller returning the topic list in topic order (empty -> [])."""
     low = F.lower(text_col)
     items = []
@@ -94,21 +90,20 @@ def keyword_topics(text_col: Column, keywords=FIXTURE_LEXICON, topics=TOPICS) ->
 def decode_reply(reply: Column) -> Column:
     """reply JSON -> struct(status, topics_json).
 
-    status: 'ok' (topics list kept), 'not_list' (key present but not a list, kept
-    and ends as [] after F4), 'bad_json' and 'no_topics_key' (rejected), 'no_call'
+    status: 'ok' (topics list kept), 'not_list' (key present but null, text or any
+    other non-list: kept as []), 'bad_json' and 'no_topics_key' (rejected), 'no_call'
     (NULL reply: no function call -> ["No topic"]).
     """
-    parsed_ok = F.try_parse_json(reply).isNotNull()
-    raw = F.get_json_object(reply, "$.topics")
-    topics_arr = F.from_json(reply, "topics ARRAY<STRING>").getField("topics")
+    whole = F.try_parse_json(reply)
+    topics = F.try_variant_get(whole, "$.topics", "variant")      # JSON null is a value of its own here
     status = (F.when(reply.isNull(), F.lit("no_call"))
-              .when(~parsed_ok, F.lit("bad_json"))
-              .when(raw.isNull(), F.lit("no_topics_key"))
-              .when(topics_arr.isNotNull() & F.ltrim(raw).startswith("["), F.lit("ok"))
+              .when(whole.isNull(), F.lit("bad_json"))
+              .when(topics.isNull(), F.lit("no_topics_key"))
+              .when(F.schema_of_variant(topics).startswith("ARRAY"), F.lit("ok"))
               .otherwise(F.lit("not_list")))
-    topics_json = (F.when(status == "ok", F.to_json(topics_arr))
+    topics_json = (F.when(status == "ok", F.to_json(topics))
                    .when(status == "no_call", F.lit('["No topic"]'))
-                   .when(status == "not_list", raw))
+                   .when(status == "not_list", F.lit("[]")))
     return F.struct(status.alias("status"), topics_json.alias("topics_json"))
 
 
@@ -119,9 +114,12 @@ def encode_list(arr: Column) -> Column:
 
 def parse_list(text: Column) -> Column:
     """list literal -> array<string>; anything else (NaN, NULL, scalar,
-    malformed, JSON null items) -> []."""
+    malformed, JSON null or boolean items) -> []."""
     parsed = F.from_json(text, "ARRAY<STRING>")
-    bad = parsed.isNull() | F.exists(parsed, lambda x: x.isNull()) | ~F.ltrim(text).startswith("[")
+    # a boolean item comes back as its name; as text it would be quoted
+    kinds = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    boolean = F.coalesce(F.exists(kinds, lambda v: F.schema_of_variant(v) == "BOOLEAN"), F.lit(False))
+    bad = parsed.isNull() | F.exists(parsed, lambda x: x.isNull()) | ~F.ltrim(text).startswith("[") | boolean
     return F.when(bad | text.isNull(), F.array().cast("array<string>")).otherwise(parsed)
 
 

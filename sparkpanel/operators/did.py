@@ -38,13 +38,13 @@ def surge_treatment(panel: DataFrame, unit: str, time: str, x: str, period1: tup
 
 
 def did(df: DataFrame, y: str, treatment: str, unit: str, time: str, cluster: str | None = None,
-        name: str = "did", **kw) -> fe.FEResult:
-    """Y on treatment with unit and time FE, SE clustered by unit."""
-    return fe.fe_ols(df, y, [treatment], fes=[unit, time], cluster=cluster or unit, name=name, **kw)
+        name: str = "did", prune_singletons: bool = False, **kw) -> fe.FEResult:
+    """Y on treatment with unit and time FE, SE clustered by unit.  Singletons stay in the sample."""
+    return fe.fe_ols(df, y, [treatment], fes=[unit, time], cluster=cluster or unit, name=name, prune_singletons=prune_singletons, **kw)
 
 
 def did_ptrends(df: DataFrame, y: str, treatment: str, treated: str, after: str, unit: str, time: str,
-                t0: int, name: str = "ptrends", **kw) -> tuple[fe.FEResult, float, float]:
+                t0: int, name: str = "ptrends", prune_singletons: bool = False, **kw) -> tuple[fe.FEResult, float, float]:
     """Adds treated*pre*(t - t0) and treated*post*(t - t0); H0: pre slope = 0.
 
     Returns the model and the F (1, G-1) test with its p-value.
@@ -55,7 +55,7 @@ def did_ptrends(df: DataFrame, y: str, treatment: str, treated: str, after: str,
         "post_trend": F.col(treated) * F.col(after) * trend,
     })
     res = fe.fit_models(d, [fe.Spec(y, [treatment, "pre_trend", "post_trend"], name=name)], fes=[unit, time],
-                        cluster=unit, residual_means_by=[treated, time], **kw)[0]
+                        cluster=unit, residual_means_by=[treated, time], prune_singletons=prune_singletons, **kw)[0]
     f, p = res.wald_f(["pre_trend"])
     return res, f, p
 
@@ -76,7 +76,7 @@ def did_trends(df: DataFrame, y: str, treated: str, time: str, ptrends: fe.FERes
 
 
 def event_study(df: DataFrame, y: str, treated: str, unit: str, time: str, base: int, periods,
-                name: str = "event_study", **kw) -> fe.FEResult:
+                name: str = "event_study", prune_singletons: bool = False, **kw) -> fe.FEResult:
     """Treated x period dummies for every period except ``base``, two-way FE.
 
     ``periods`` are the panel's periods (a short, known list such as the years).
@@ -84,4 +84,4 @@ def event_study(df: DataFrame, y: str, treated: str, unit: str, time: str, base:
     terms = {f"lead_lag_{t}": (F.col(treated) * (F.col(time) == F.lit(t)).cast("int")).cast("double")
              for t in periods if t != base}
     d = df.withColumns(terms)
-    return fe.fe_ols(d, y, list(terms), fes=[unit, time], cluster=unit, name=name, **kw)
+    return fe.fe_ols(d, y, list(terms), fes=[unit, time], cluster=unit, name=name, prune_singletons=prune_singletons, **kw)

@@ -34,8 +34,7 @@ from pyspark.sql import types as T
 from sparkpanel.functions import dist
 from sparkpanel.session import cut_lineage, local_frame
 
-BROADCAST_LEVELS = 200_000   # broadcast a per-level table only below this many levels
-MAX_CG_LEVELS = 2_000_000    # driver holds levels x columns doubles for CG
+DRIVER_VALUES = 500_000   # CG vectors of up to this many doubles are kept on the driver, larger ones as Spark tables
 
 
 def _fe_cols(fe) -> list[str]:
@@ -83,6 +82,11 @@ class FEResult:
     def se(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.vcov), 0.0, None))
 
+    @property
+    def omitted(self) -> list[str]:
+        """Terms left out because the FEs or the terms before them explain them."""
+        return [t for t, b in zip(self.terms, self.beta) if np.isnan(b)]
+
     @property
     def df_t(self) -> int:
         return (self.n_clusters - 1) if self.n_clusters else (self.nobs - self.dof_k)
@@ -102,26 +106,32 @@ class FEResult:
         return float(self.se[self.terms.index(term)])
 
     def wald_f(self, terms: list[str]) -> tuple[float, float]:
-        """Wald F on ``terms`` = 0 with this model's VCE; returns (F, p)."""
-        idx = [self.terms.index(t) for t in terms]
+        """Wald F on ``terms`` = 0 with this model's VCE; returns (F, p).  Omitted terms are not tested."""
+        idx = [self.terms.index(t) for t in terms if t not in self.omitted]
+        if not idx or np.isnan(self.vcov[np.ix_(idx, idx)]).any():
+            return float("nan"), float("nan")
         b = self.beta[idx]
         v = self.vcov[np.ix_(idx, idx)]
         f = float(b @ np.linalg.solve(v, b)) / len(idx)
         return f, dist.f_sf(f, len(idx), self.df_t)
 
     def table_rows(self, level: float = 0.95) -> list[tuple]:
-        crit = dist.t_ppf(0.5 + level / 2.0, self.df_t)
+        crit = dist.t_ppf(0.5 + level / 2.0, self.df_t) if self.df_t > 0 else float("nan")
         rows = []
         for i, t in enumerate(self.terms):
             b, s = float(self.beta[i]), float(self.se[i])
+            if np.isnan(b):
+                rows.append((self.name, i + 1, t, *[None] * 6, True))
+                continue
             tv = b / s if s > 0 else float("nan")
-            rows.append((self.name, i + 1, t, b, s, tv, dist.t_sf2(tv, self.df_t), b - crit * s, b + crit * s))
+            values = (b, s, tv, dist.t_sf2(tv, self.df_t) if not np.isnan(tv) else float("nan"), b - crit * s, b + crit * s)
+            rows.append((self.name, i + 1, t, *[None if np.isnan(v) else v for v in values], False))
         return rows
 
     def coefficients(self, spark: SparkSession, level: float = 0.95) -> DataFrame:
-        """(model, position, term, estimate, std_error, t, p, ci_lo, ci_hi)."""
+        """(model, position, term, estimate, std_error, t, p, ci_lo, ci_hi, omitted); an omitted term has NULLs."""
         schema = ("model string, position int, term string, estimate double, std_error double, "
-                  "t double, p double, ci_lo double, ci_hi double")
+                  "t double, p double, ci_lo double, ci_hi double, omitted boolean")
         return local_frame(spark, self.table_rows(level), schema)
 
     def stat_rows(self) -> list[tuple]:
@@ -130,7 +140,7 @@ class FEResult:
                 ("ymin", self.ymin), ("ymax", self.ymax), ("rss", self.rss)]
         if self.kind == "ols":
             vals.append(("r2", self.r2))
-        vals.extend((k, float(v)) for k, v in self.extra.items())
+        vals.extend((k, float(v)) for k, v in self.extra.items() if k != "group")
         return [(self.name, k, float(v)) for k, v in vals]
 
     def stats(self, spark: SparkSession) -> DataFrame:
@@ -141,83 +151,71 @@ class FEResult:
 # sample preparation
 
 
-def drop_singletons(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True,
-                    n_rows: int | None = None) -> DataFrame:
-    """Repeatedly drop rows whose level of any FE occurs once (see ``_prune``)."""
-    return _prune(df, fes, max_rounds, checkpoint, n_rows)[0]
-
+def drop_singletons(df: DataFrame, fes) -> DataFrame:
+    """Repeatedly drop rows whose level of any FE occurs once, until none is left."""
+    return _prune(df, fes)[0]
 
-def _prune(df: DataFrame, fes, max_rounds: int = 100, checkpoint: bool = True,
-           n_rows: int | None = None, round_stats=None):
-    """Repeatedly drop rows whose level of any FE occurs once.
 
-    Each round is a partially aggregated count per FE and a semi join on the
-    previous round's persisted rows; the final sample is checkpointed once
-    (reliably, into the shared checkpoint folder), which also cuts the lineage.
+def _prune(df: DataFrame, fes) -> tuple[DataFrame, DataFrame | None]:
+    """E2 on cells.  Returns (checkpointed rows, surviving cells with their row counts ``n``).
 
-    ``round_stats``: optional function frame -> rows with a count column ``n``;
-    it replaces the plain count of every round, so the statistics of the final
-    sample come out of the converged round.  Returns (frame, last round's rows).
+    The rows are reduced once to their distinct FE combinations.  Each round
+    counts every level over the cells and keeps the cells whose levels all occur
+    twice or more; its result is checkpointed, so a round's plan has the same size
+    whatever the number of rounds, and there is no limit on them.  The rows are
+    filtered once, by a semi join with the surviving cells.
     """
     fes = list(fes)
-    last = None
     if not fes:
         return df, None
-    d = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = d.count() if n_rows is None else n_rows
-    for _ in range(max_rounds):
-        # every FE's surviving levels come from the same input; one pass applies them all
-        keeps = [d.groupBy(*_fe_cols(fe)).count().filter(F.col("count") > 1).drop("count") for fe in fes]
-        cur = d
-        for fe, keep in zip(fes, keeps):
-            cur = cur.join(keep, _fe_cols(fe), "left_semi")
-        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-        if round_stats is None:
-            m = cur.count()
-        else:
-            rows = round_stats(cur)
-            m = sum(int(r["n"]) for r in rows)
-            last = rows
-        d.unpersist()
-        d = cur
-        if m == n:
+    keys = _uniq([c for fe in fes for c in _fe_cols(fe)])
+    cells = cut_lineage(df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    size = first = cells.count()
+    while True:
+        left = cells
+        for fe in fes:
+            fcols = _fe_cols(fe)
+            often = cells.groupBy(*fcols).agg(F.sum("n").alias("__n")).filter(F.col("__n") > 1).select(*fcols)
+            left = left.join(often, fcols, "left_semi")
+        left = cut_lineage(left)
+        m = left.count()
+        cells = left
+        if m == size:
             break
-        n = m
-    if checkpoint:
-        out = cut_lineage(d)
-        d.unpersist()
-        return out, last
-    return d, last
+        size = m
+    rows = df.dropna(subset=keys) if size == first else df.join(cells.select(*keys), keys, "left_semi").select(*df.columns)
+    return cut_lineage(rows), cells
 
 
 def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,
-                      prune_singletons: bool = True, extra=(), n_rows: int | None = None) -> DataFrame:
+                      prune_singletons: bool = True, extra=()) -> DataFrame:
     """Rows used by the estimator (e(sample)): qualifier, complete cases, no singletons."""
-    return _sample(df, cols, fes, cluster, sample, prune_singletons, extra, n_rows)[0]
+    return _sample(df, cols, fes, cluster, sample, prune_singletons, extra)[0]
 
 
-def _sample(df, cols, fes, cluster, sample=None, prune_singletons=True, extra=(), n_rows=None, round_stats=None):
+def _sample(df, cols, fes, cluster, sample=None, prune_singletons=True, extra=()):
+    """(rows, cells of the FEs with their row counts, or None without FEs)"""
     need = _uniq(list(cols) + [c for fe in fes for c in _fe_cols(fe)] + _fe_cols(cluster or []) + list(extra))
     d = df
     if sample is not None:
         d = d.filter(sample)
     d = d.select(*need).dropna(subset=need)
     if prune_singletons:
-        return _prune(d, fes, n_rows=n_rows, round_stats=round_stats)
-    return d, None
+        return _prune(d, fes)
+    keys = _uniq([c for fe in fes for c in _fe_cols(fe)])
+    d = cut_lineage(d)
+    return d, d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else None
 
 
 # ---------------------------------------------------------------------------
 # absorption
 
 
-LITERAL_MAX = 200_000   # levels x columns up to which CG directions travel as a folded literal
+LITERAL_MAX = 20_000    # levels x columns up to which CG directions travel as a folded literal
 DENSE_LEVELS = 16       # up to this many small-FE levels A is formed exactly (A @ I, one narrow job)
 MATVEC_BLOCK = 16       # columns per product job (wider rows fall out of whole-stage codegen)
-
-
-def _maybe_broadcast(df: DataFrame, n_levels: int) -> DataFrame:
-    return F.broadcast(df) if n_levels <= BROADCAST_LEVELS else df
+STALL = 30              # CG steps without progress after which the true residual decides
+RESIDUAL = 1e-8         # largest true residual (relative) that is accepted
 
 
 def _count_levels(df: DataFrame, fes) -> dict:
@@ -232,14 +230,12 @@ def _count_levels(df: DataFrame, fes) -> dict:
 class _Absorber:
     """Residualise model columns on several fixed effects (see module docstring)."""
 
-    def __init__(self, d: DataFrame, cols: list[str], fes, tol: float = 1e-13, max_iter: int | None = None,
-                 levels: dict | None = None):
+    def __init__(self, d: DataFrame, cols: list[str], fes, tol: float = 1e-13, levels: dict | None = None):
         self.spark = d.sparkSession
         self.cols = cols
         self.fes = list(fes)
         self.levels = levels if levels is not None else _count_levels(d, self.fes)
         self.tol = tol
-        self.max_iter = max_iter
         self.iterations = 0
         self.d = d
         self._held = []
@@ -259,25 +255,24 @@ class _Absorber:
         order = sorted(self.fes, key=lambda f: -self.levels[_fe_name(f)])
         unit, small = order[0], order[1:]
         ucols = _fe_cols(unit)
-        u_levels = self.levels[_fe_name(unit)]
         # 1) demean by the unit: partial aggregate + join back
         means = d.groupBy(*ucols).agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(cols)])
         other = [c for c in d.columns if c not in cols]
-        d1 = (d.join(_maybe_broadcast(means, u_levels), ucols)
+        d1 = (d.join(means, ucols)
               .select(*other, *[(F.col(c) - F.col(f"__m_{i}")).alias(c) for i, c in enumerate(cols)]))
         if not small:
             return d1
-        # 2) global index for the levels of every small FE (a bounded, checked table)
+        if sum(self.levels[_fe_name(f)] for f in small) * len(cols) > DRIVER_VALUES:
+            return self._solve_tables(d1, ucols, [_fe_cols(f) for f in small])
+        # 2) global index for the levels of every small FE (DRIVER_VALUES bounds their number)
         offset = 0
         idx_cols = []
         for j, fe in enumerate(small):
             fcols = _fe_cols(fe)
             n_lv = self.levels[_fe_name(fe)]
-            if n_lv > MAX_CG_LEVELS:
-                raise ValueError(f"fixed effect {_fe_name(fe)} has {n_lv} levels; absorb it as the unit instead")
             lv = (d.select(*fcols).distinct()
                   .withColumn(f"__s{j}", F.row_number().over(_global_order(fcols)) - 1 + offset))
-            d1 = d1.join(_maybe_broadcast(lv, n_lv), fcols)
+            d1 = d1.join(lv, fcols)
             idx_cols.append(f"__s{j}")
             offset += n_lv
         n_small = offset
@@ -317,15 +312,15 @@ class _Absorber:
         a_vals = self._lookup(alpha, idx_cols)
         if a_vals is None:
             adf = self._vec_df(alpha, "__a")
-            cells_a = self._attach(cells, adf, idx_cols, "__a", m, alpha.shape[0])
-            d2 = self._attach(d1, adf, idx_cols, "__a", m, alpha.shape[0])
+            cells_a = self._attach(cells, adf, idx_cols, "__a", m)
+            d2 = self._attach(d1, adf, idx_cols, "__a", m)
         else:
             cells_a = cells.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
             d2 = d1.withColumns({f"__a{i}": e for i, e in enumerate(a_vals)})
         ua = (cells_a.groupBy(*ucols)
               .agg(*[(F.sum(F.col("__c") * F.col(f"__a{i}")) / F.sum("__c")).alias(f"__ua{i}")
                      for i in range(m)]))
-        d2 = d2.join(_maybe_broadcast(ua, u_levels), ucols)
+        d2 = d2.join(ua, ucols)
         keep = [c for c in d1.columns if c not in cols and c not in idx_cols]
         return d2.select(*keep, *[(F.col(c) - F.col(f"__a{i}") + F.col(f"__ua{i}")).alias(c)
                                   for i, c in enumerate(cols)])
@@ -352,15 +347,13 @@ class _Absorber:
         return self.spark.createDataFrame(pdf, schema)   # Arrow: decoded in the JVM
 
     @staticmethod
-    def _attach(df: DataFrame, vec: DataFrame, idx_cols: list[str], prefix: str, m: int,
-                n_levels: int | None = None) -> DataFrame:
-        """Add ``prefix{i}`` = sum over small FEs of vec[level]; the level table is
-        broadcast only below the counted bound, joined by shuffle above it."""
+    def _attach(df: DataFrame, vec: DataFrame, idx_cols: list[str], prefix: str, m: int) -> DataFrame:
+        """Add ``prefix{i}`` = sum over small FEs of vec[level]."""
         out = df
         for j, ic in enumerate(idx_cols):
             renamed = vec.select(F.col("__idx").alias(ic), *[F.col(f"{prefix}{i}").alias(f"{prefix}{i}_{j}")
                                                             for i in range(m)])
-            out = out.join(_maybe_broadcast(renamed, n_levels if n_levels is not None else 0), ic, "left")
+            out = out.join(renamed, ic, "left")
         return out.select(*df.columns, *[
             sum((F.coalesce(F.col(f"{prefix}{i}_{j}"), F.lit(0.0)) for j in range(len(idx_cols))),
                 F.lit(0.0)).alias(f"{prefix}{i}") for i in range(m)])
@@ -404,7 +397,7 @@ class _Absorber:
         m = p.shape[1]
         vals = self._lookup(p, idx_cols)
         if vals is None:
-            pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m, p.shape[0])
+            pc = self._attach(cells, self._vec_df(p, "__p"), idx_cols, "__p", m)
         else:
             pc = cells.withColumns({f"__p{i}": e for i, e in enumerate(vals)})
         w = _unit_window(ucols)
@@ -414,33 +407,131 @@ class _Absorber:
 
     def _cg(self, cells, ucols, idx_cols, b: np.ndarray, diag: np.ndarray) -> np.ndarray:
         """Jacobi-preconditioned CG on A x = b for all columns at once (one job per step)."""
-        n_small = b.shape[0]
         minv = np.where(diag > 1e-12 * max(diag.max(), 1.0), 1.0 / np.where(diag == 0, 1.0, diag), 0.0)[:, None]
-        x = np.zeros_like(b)
-        r = b.copy()
+        x, r = np.zeros_like(b), b.copy()
         z = minv * r
         p = z.copy()
-        rz = (r * z).sum(axis=0)
-        bnorm = np.sqrt((b * b).sum(axis=0))
-        done = bnorm == 0
-        max_iter = self.max_iter or max(50, 4 * n_small)
-        for it in range(max_iter):
-            if done.all():
-                break
+        state = _Steps((r * z).sum(axis=0), np.sqrt((b * b).sum(axis=0)), self.tol)
+        while state.going():
             ap = self._matvec(cells, ucols, idx_cols, p)
-            self.iterations = it + 1
-            pap = (p * ap).sum(axis=0)
-            step = np.where(done | (pap <= 0), 0.0, rz / np.where(pap == 0, 1.0, pap))
+            step = state.step((p * ap).sum(axis=0))
             x += step * p
             r -= step * ap
-            done = done | (np.sqrt((r * r).sum(axis=0)) <= self.tol * np.where(bnorm == 0, 1.0, bnorm)) | (pap <= 0)
             z = minv * r
-            rz_new = (r * z).sum(axis=0)
-            beta = np.where(done, 0.0, rz_new / np.where(rz == 0, 1.0, rz))
-            p = np.where(done, 0.0, z + beta * p)
-            rz = rz_new
+            p = np.where(state.done, 0.0, z + state.beta((r * z).sum(axis=0), np.sqrt((r * r).sum(axis=0))) * p)
+        self.iterations = state.n
+        true = b - self._matvec(cells, ucols, idx_cols, x)
+        state.verify(np.sqrt((true * true).sum(axis=0)))
         return x
 
+    def _solve_tables(self, d1: DataFrame, ucols, small: list[list[str]]) -> DataFrame:
+        """The same CG with every vector in Spark: one table of levels per small FE
+        (x, r, p per column), checkpointed at each step.  Only one number per column
+        and dot product reaches the driver, so there is no limit on the levels."""
+        cols = self.cols
+        m = len(cols)
+        d1 = cut_lineage(d1)
+        keys = _uniq(ucols + [c for f in small for c in f])
+        cells = d1.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+        per_unit = cells.groupBy(*ucols).agg(F.sum("__c").alias("__nu"))
+        cells = cut_lineage(cells.join(per_unit, ucols))
+
+        def product(tables, prefix):
+            """Per FE: (levels, a0..) = A times the vectors ``prefix{i}`` of the level tables."""
+            pc = self._plus_levels(cells, tables, small, prefix, "__v")
+            mean = pc.groupBy(*ucols).agg(*[(F.sum(F.col("__c") * F.col(f"__v{i}")) / F.sum("__c")).alias(f"__m{i}") for i in range(m)])
+            pc = pc.join(mean, ucols).select(*keys, *[(F.col("__c") * (F.col(f"__v{i}") - F.col(f"__m{i}"))).alias(f"__w{i}") for i in range(m)])
+            return [pc.groupBy(*f).agg(*[F.sum(f"__w{i}").alias(f"a{i}") for i in range(m)]) for f in small]
+
+        def dots(tables, *pairs):
+            """Sums over all levels of products of columns: rows of one number per column."""
+            total = np.zeros((len(pairs), m))
+            both = None
+            for t in tables:
+                part = t.agg(*[F.sum(F.expr(e.format(i=i))).alias(f"d{k}_{i}") for k, e in enumerate(pairs) for i in range(m)])
+                both = part if both is None else both.unionByName(part)
+            for row in both.collect():
+                total += np.array([[row[f"d{k}_{i}"] or 0.0 for i in range(m)] for k in range(len(pairs))])
+            return total
+
+        tables = []
+        for f in small:
+            rhs = d1.groupBy(*f).agg(*[F.sum(c).alias(f"b{i}") for i, c in enumerate(cols)])
+            inner = cells.groupBy(*_uniq(ucols + f)).agg(F.sum("__c").alias("__n"), F.first("__nu").alias("__nu"))
+            diag = inner.groupBy(*f).agg(F.sum(F.col("__n") - F.col("__n") * F.col("__n") / F.col("__nu")).alias("diag"), F.sum("__n").alias("size"))
+            inv = F.when(F.col("diag") > 1e-12 * F.col("size"), 1.0 / F.col("diag")).otherwise(0.0)
+            t = rhs.join(diag, f).withColumn("inv", inv).drop("diag", "size")
+            tables.append(cut_lineage(t.select("*", *[F.lit(0.0).alias(f"x{i}") for i in range(m)], *[F.col(f"b{i}").alias(f"r{i}") for i in range(m)],
+                                               *[(F.col("inv") * F.col(f"b{i}")).alias(f"p{i}") for i in range(m)])))
+        rz, bb = dots(tables, "r{i} * inv * r{i}", "b{i} * b{i}")
+        state = _Steps(rz, np.sqrt(bb), self.tol)
+        while state.going():
+            joined = [cut_lineage(t.join(a, f)) for t, a, f in zip(tables, product(tables, "p"), small)]
+            (pap,) = dots(joined, "p{i} * a{i}")
+            step = state.step(pap)
+            moved = [t.withColumns({f"x{i}": F.col(f"x{i}") + float(step[i]) * F.col(f"p{i}") for i in range(m)}
+                                   | {f"r{i}": F.col(f"r{i}") - float(step[i]) * F.col(f"a{i}") for i in range(m)}).drop(*[f"a{i}" for i in range(m)])
+                     for t in joined]
+            rz, rr = dots(moved, "r{i} * inv * r{i}", "r{i} * r{i}")
+            beta = state.beta(rz, np.sqrt(rr))
+            tables = [t.withColumns({f"p{i}": F.lit(0.0) if state.done[i] else F.col("inv") * F.col(f"r{i}") + float(beta[i]) * F.col(f"p{i}")
+                                     for i in range(m)}) for t in moved]
+            tables = [cut_lineage(t) for t in tables]
+        self.iterations = state.n
+        final = [t.join(a, f) for t, a, f in zip(tables, product(tables, "x"), small)]
+        (rr,) = dots(final, "(b{i} - a{i}) * (b{i} - a{i})")
+        state.verify(np.sqrt(rr))
+        at = self._plus_levels(cells, tables, small, "x", "__a")
+        mean = at.groupBy(*ucols).agg(*[(F.sum(F.col("__c") * F.col(f"__a{i}")) / F.sum("__c")).alias(f"__ua{i}") for i in range(m)])
+        d2 = self._plus_levels(d1, tables, small, "x", "__a").join(mean, ucols)
+        keep = [c for c in d1.columns if c not in cols]
+        return d2.select(*keep, *[(F.col(c) - F.col(f"__a{i}") + F.col(f"__ua{i}")).alias(c) for i, c in enumerate(cols)])
+
+    def _plus_levels(self, df: DataFrame, tables, small, prefix: str, out: str) -> DataFrame:
+        """``df`` with out{i} = sum over the small FEs of prefix{i} at the row's level."""
+        m, d = len(self.cols), df
+        for j, (t, f) in enumerate(zip(tables, small)):
+            d = d.join(t.select(*f, *[F.col(f"{prefix}{i}").alias(f"__t{j}_{i}") for i in range(m)]), f)
+        sums = [sum((F.col(f"__t{j}_{i}") for j in range(len(small))), F.lit(0.0)).alias(f"{out}{i}") for i in range(m)]
+        return d.select(*df.columns, *sums)
+
+
+class _Steps:
+    """Step lengths of CG, one per column, and when to end.
+
+    A column is done when its residual is below ``tol``, when its direction leaves
+    the range of A (rounding), or after STALL steps without progress.  What counts
+    is the true residual of the solution: ``verify`` raises when it is too large.
+    """
+
+    def __init__(self, rz, bnorm, tol):
+        self.rz, self.bnorm, self.tol, self.n = rz, bnorm, tol, 0
+        self.done = bnorm == 0
+        self.best, self.since = np.full(len(bnorm), np.inf), np.zeros(len(bnorm), int)
+
+    def going(self) -> bool:
+        return not self.done.all()
+
+    def step(self, pap):
+        self.n += 1
+        stop = self.done | (pap <= 0)
+        self.done = stop
+        return np.where(stop, 0.0, self.rz / np.where(pap == 0, 1.0, pap))
+
+    def beta(self, rz, rnorm):
+        better = rnorm < self.best
+        self.since = np.where(better, 0, self.since + 1)
+        self.best = np.minimum(self.best, rnorm)
+        self.done = self.done | (rnorm <= self.tol * np.where(self.bnorm == 0, 1.0, self.bnorm)) | (self.since >= STALL)
+        out = np.where(self.done, 0.0, rz / np.where(self.rz == 0, 1.0, self.rz))
+        self.rz = rz
+        return out
+
+    def verify(self, rnorm) -> None:
+        worst = float(np.max(rnorm / np.where(self.bnorm == 0, 1.0, self.bnorm), initial=0.0))
+        if worst > RESIDUAL:
+            raise ArithmeticError(f"fixed effects not solved: relative residual {worst:.2e} after {self.n} steps")
+
 
 def _global_order(cols):
     return Window.orderBy(*cols)
@@ -486,7 +577,40 @@ class Spec:
         return _uniq([self.y] + list(self.exog) + list(self.endog) + list(self.instruments))
 
 
-MAX_GROUPS = 1000
+#: A regressor is omitted when less than this share of its variation is left by the FEs, or by the regressors before it.
+COLLINEAR = 1e-9
+
+
+def _independent(M: np.ndarray, raw: np.ndarray, order: list[int]) -> list[int]:
+    """The columns of ``order`` that are neither absorbed (against their raw sum of squares)
+    nor a combination of the ones kept before them; by elimination in that order."""
+    kept: list[int] = []
+    for i in order:
+        if M[i, i] <= COLLINEAR * raw[i] or M[i, i] <= 0:
+            continue
+        rest = M[i, i]
+        if kept:
+            rest -= M[i, kept] @ _solve_sym(M[np.ix_(kept, kept)], M[kept, i])
+        if rest > COLLINEAR * M[i, i]:
+            kept.append(i)
+    return kept
+
+
+def _weak_identification(M: np.ndarray, endog: list[int], exog: list[int], excluded: list[int], dof: float) -> float:
+    """Cragg-Donald F: smallest eigenvalue of the first stages' explained against unexplained variation, per instrument."""
+    def without(a, b):
+        if not exog:
+            return M[np.ix_(a, b)]
+        return M[np.ix_(a, b)] - M[np.ix_(a, exog)] @ _solve_sym(M[np.ix_(exog, exog)], M[np.ix_(exog, b)])
+
+    zz, zx, xx = without(excluded, excluded), without(excluded, endog), without(endog, endog)
+    fitted = zx.T @ _solve_sym(zz, zx)
+    if dof <= 0:
+        return float("nan")
+    noise = (xx - fitted) / dof
+    half = np.linalg.cholesky((noise + noise.T) / 2)
+    inner = np.linalg.solve(half, np.linalg.solve(half, fitted).T)
+    return float(np.linalg.eigvalsh((inner + inner.T) / 2).min() / len(excluded))
 
 
 def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=None, by: str | None = None,
@@ -529,18 +653,18 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     alone = [s for i, s in enumerate(specs) if row[f"s{i}"] != row["u"]]
     out = []
     if shared:
-        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row["u"]),
+        out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol,
                            resid_by=residual_means_by)
     for i, s in enumerate(specs):
         if s in alone:
-            out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol, n_rows=int(row[f"s{i}"]),
+            out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol,
                                resid_by=residual_means_by)
     base.unpersist()
     order = {s.name: i for i, s in enumerate(specs)}
     return sorted(out, key=lambda r: (order[r.extra_name], r.extra.get("group", 0)))
 
 
-def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=None, resid_by=None) -> list[FEResult]:
+def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=None) -> list[FEResult]:
     cols = _uniq([c for s in specs for c in s.cols()])
     # FEs interacted with the group when estimating by group
     fes_g = [tuple(_fe_cols(fe) + ([by] if by and by not in _fe_cols(fe) else [])) for fe in fes]
@@ -548,24 +672,22 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
     gcol = by or "__grp"
     d = df if by else df.withColumn("__grp", F.lit(0))
     ys = _uniq([s.y for s in specs])
-    # one aggregate: per-group N, y moments and FE level counts; it doubles as the
-    # row count of every singleton round, so the converged round delivers it
-    aggs = [F.count(F.lit(1)).alias("n")]
+    d, cells = _sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol] + list(resid_by or []))
+    # per group: N, y moments and the raw variation of every column; FE levels come from the cells
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(f"v{j}") for j, c in enumerate(cols)]]
     for j, y in enumerate(ys):
         aggs += [F.avg(y).alias(f"mean{j}"), F.stddev_samp(y).alias(f"sd{j}"), F.min(y).alias(f"min{j}"),
                  F.max(y).alias(f"max{j}"), F.var_pop(y).alias(f"vp{j}")]
-    aggs += [F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}") for i, f in enumerate(fes_g)]
-
-    def stats(frame):
-        return frame.groupBy(gcol).agg(*aggs).collect()
-
-    d, last = _sample(d, cols, fes_g, ccols, None, prune_singletons, extra=[gcol] + list(resid_by or []),
-                      n_rows=n_rows, round_stats=stats)
-    grows = last if last is not None else stats(d)
+    grows = [r.asDict() for r in d.groupBy(gcol).agg(*aggs).collect()]
     if not grows:
         raise ValueError("empty estimation sample")
-    if len(grows) > MAX_GROUPS:
-        raise ValueError(f"{len(grows)} groups; 'by' is meant for a few groups")
+    if cells is not None:
+        per = [F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}") for i, f in enumerate(fes_g)]
+        if not by:
+            cells = cells.withColumn(gcol, F.lit(0))
+        found = {r[gcol]: r.asDict() for r in cells.groupBy(gcol).agg(*per).collect()}
+        for r in grows:
+            r.update({k: v for k, v in found[r[gcol]].items() if k != gcol})
     groups = sorted(r[gcol] for r in grows)
     gstat = {r[gcol]: r for r in grows}
     gidx = {g: i for i, g in enumerate(groups)}
@@ -595,16 +717,35 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
     fits = {}
     for si, s in enumerate(specs):
         X = list(s.endog) + list(s.exog)
-        W = list(s.exog) + list(s.instruments) if s.endog else list(s.exog)
         for g in groups:
             M = Ms[gidx[g]]
-            iy, ix, iw = pos[s.y], [pos[c] for c in X], [pos[c] for c in W]
+            raw = np.array([float(gstat[g][f"v{j}"] or 0.0) * int(gstat[g]["n"]) for j in range(m)])
+            at = lambda names: [pos[c] for c in names]
+            kept = _independent(M, raw, at(list(s.exog) + list(s.endog)))
+            ix = [pos[c] for c in X if pos[c] in kept]
+            exog = [i for i in at(s.exog) if i in kept]
+            endog = [i for i in at(s.endog) if i in kept]
+            excluded = [i for i in _independent(M, raw, exog + at(s.instruments)) if i not in exog] if endog else []
+            if len(excluded) < len(endog):
+                raise ValueError(f"{s.name}: not identified, fewer independent instruments than endogenous regressors")
+            iw, iy = exog + excluded, pos[s.y]
             XW, WW = M[np.ix_(ix, iw)], M[np.ix_(iw, iw)]
-            Pi = _solve_sym(WW, XW.T)
-            XhXh = XW @ Pi
-            beta = _solve_sym(XhXh, Pi.T @ M[iw, iy])
+            k = len(ix)
+            if k:
+                Pi = _solve_sym(WW, XW.T)
+                XhXh = XW @ Pi
+                beta, bread = _solve_sym(XhXh, Pi.T @ M[iw, iy]), _inv_sym(XhXh)
+            else:
+                Pi, beta, bread = np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
             rss = float(M[iy, iy] - 2 * beta @ M[ix, iy] + beta @ M[np.ix_(ix, ix)] @ beta)
-            fits[(si, g)] = dict(X=X, W=W, Pi=Pi, beta=beta, bread=_inv_sym(XhXh), rss=rss, tss=float(M[iy, iy]))
+            # over all terms: an omitted one has coefficient 0 in fitted values and scores
+            full, place = np.zeros(len(X)), [X.index(cols[i]) for i in ix]
+            full[place] = beta
+            Pi_all = np.zeros((m, len(X)))
+            if k:
+                Pi_all[np.ix_(iw, place)] = Pi
+            fits[(si, g)] = dict(X=X, place=place, Pi=Pi_all, beta=full, bread=bread, rss=rss, tss=float(M[iy, iy]), M=M,
+                                 endog=endog, exog=exog, excluded=excluded)
     # scores: xhat_i * u_i summed per (group, cluster), then outer products per group
     def per_group(values):
         if len(groups) == 1:
@@ -615,13 +756,14 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
     score_cols, meat_aggs, resid_aggs = [], [], []
     for si, s in enumerate(specs):
         f0 = fits[(si, groups[0])]
-        X, W = f0["X"], f0["W"]
+        X = f0["X"]
         k = len(X)
         uhat = F.col(s.y) - sum((per_group([fits[(si, g)]["beta"][a] for g in groups]) * F.col(c)
                                  for a, c in enumerate(X)), F.lit(0.0))
         for a in range(k):
-            xhat = sum((per_group([fits[(si, g)]["Pi"][w, a] for g in groups]) * F.col(cw)
-                        for w, cw in enumerate(W)), F.lit(0.0))
+            used = [w for w in range(m) if any(fits[(si, g)]["Pi"][w, a] for g in groups)]
+            xhat = sum((per_group([fits[(si, g)]["Pi"][w, a] for g in groups]) * F.col(cols[w])
+                        for w in used), F.lit(0.0))
             score_cols.append(F.sum(xhat * uhat).alias(f"s{si}_{a}"))
         meat_aggs += [F.sum(F.col(f"s{si}_{a}") * F.col(f"s{si}_{b2}")).alias(f"m{si}_{a}_{b2}")
                       for a in range(k) for b2 in range(a, k)]
@@ -646,26 +788,37 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, n_rows=No
             f = fits[(si, g)]
             st = gstat[g]
             nobs = int(st["n"])
-            k = len(f["X"])
+            place, terms = f["place"], len(f["X"])
+            k = len(place)
             absorbed = sum(int(st[f"l{i}"]) - (1 if dof == "levels_minus_one" else 0) for i in counted)
             dof_k = k + absorbed
+            vcov = np.full((terms, terms), np.nan)
             if ccols:
                 mr = meat[gidx[g]]
                 G = int(mr["g"])
-                mt = np.zeros((k, k))
-                for a in range(k):
-                    for b2 in range(a, k):
+                mt = np.zeros((terms, terms))
+                for a in range(terms):
+                    for b2 in range(a, terms):
                         mt[a, b2] = mt[b2, a] = float(mr[f"m{si}_{a}_{b2}"])
-                q = (G / (G - 1.0)) * ((nobs - 1.0) / (nobs - dof_k))
-                vcov = q * f["bread"] @ mt @ f["bread"]
+                # with one cluster, or no degree of freedom left, there is no variance estimate
+                if G > 1 and nobs > dof_k:
+                    q = (G / (G - 1.0)) * ((nobs - 1.0) / (nobs - dof_k))
+                    vcov[np.ix_(place, place)] = q * f["bread"] @ mt[np.ix_(place, place)] @ f["bread"]
             else:
                 G = None
-                vcov = f["bread"] * f["rss"] / (nobs - dof_k)
+                if nobs > dof_k:
+                    vcov[np.ix_(place, place)] = f["bread"] * f["rss"] / (nobs - dof_k)
+            beta = np.full(terms, np.nan)
+            beta[place] = f["beta"][place]
             extra = {"cg_iterations": absorber.iterations}
             name = s.name if len(groups) == 1 else f"{s.name}[{gcol}={g}]"
             if by:
                 extra["group"] = g
-            res = FEResult(name=name, kind="iv" if s.endog else "ols", depvar=s.y, terms=f["X"], beta=f["beta"],
+            if f["endog"]:
+                # every absorbed level counts here, nested in the cluster or not
+                free = nobs - k - sum(int(st[f"l{i}"]) for i in range(len(fes_g)) if not any(fe_sets[i] < o for o in fe_sets))
+                extra["cragg_donald_F"] = _weak_identification(f["M"], f["endog"], f["exog"], f["excluded"], free)
+            res = FEResult(name=name, kind="iv" if s.endog else "ols", depvar=s.y, terms=f["X"], beta=beta,
                            vcov=vcov, nobs=nobs, n_clusters=G, dof_k=dof_k, rss=f["rss"], tss_within=f["tss"],
                            tss_overall=float(st[f"vp{yj}"]) * nobs, ymean=float(st[f"mean{yj}"]),
                            ysd=float(st[f"sd{yj}"] or 0.0), ymin=float(st[f"min{yj}"]),
@@ -700,12 +853,19 @@ def fe_iv(df: DataFrame, y: str, exog, endog, instruments, fes=(), cluster=None,
                       fes=fes, cluster=cluster, **kw)
 
 
-def first_stage(df: DataFrame, endog: str, exog, instruments, fes=(), cluster=None, **kw) -> FEResult:
-    """First-stage regression with the cluster-robust F on the excluded instruments."""
-    res = fe_regress(df, endog, exog=list(instruments) + list(exog), fes=fes, cluster=cluster, **kw)
-    f, p = res.wald_f(list(instruments))
-    res.extra["first_stage_F"] = f
-    res.extra["first_stage_p"] = p
+def first_stages(df: DataFrame, endog, exog, instruments, fes=(), cluster=None, **kw) -> list[FEResult]:
+    """The first stage of every endogenous regressor, in shared passes, with the
+    cluster-robust F on the excluded instruments."""
+    out = fit_models(df, [Spec(e, list(instruments) + list(exog), name=f"first_{e}") for e in endog], fes, cluster, **kw)
+    for res in out:
+        res.extra["first_stage_F"], res.extra["first_stage_p"] = res.wald_f(list(instruments))
+    return out
+
+
+def first_stage(df: DataFrame, endog: str, exog, instruments, fes=(), cluster=None, name: str | None = None, **kw) -> FEResult:
+    """E6 for one endogenous regressor."""
+    (res,) = first_stages(df, [endog], exog, instruments, fes, cluster, **kw)
+    res.name = name or res.name
     return res
 
 

@@ -36,30 +36,38 @@ def topic_frequency(df: DataFrame, topic_cols: list[str], labels: list[str] | No
 def topic_share_by_group(df_flags: DataFrame, group_cols: list[str], topic_cols: list[str]) -> DataFrame:
     """Share of texts carrying each topic per group (e.g. language x period).
 
-    Unpivot to (group..., topic, flag) and aggregate; the group total comes from
-    the same aggregate, so no second pass or join is needed.
+    One row per group comes out of the aggregate (all topic sums and the group's
+    total); only those few rows are turned into the long form.
     """
-    long = df_flags.unpivot(group_cols, topic_cols, "topic", "flag")
-    return (long.groupBy(*group_cols, "topic")
-            .agg(F.sum("flag").cast("long").alias("n_topic"), F.count(F.lit(1)).alias("n_texts"))
-            .withColumn("share", F.col("n_topic") / F.col("n_texts")))
+    sums = df_flags.groupBy(*group_cols).agg(*[F.sum(c).cast("long").alias(c) for c in topic_cols], F.count(F.lit(1)).alias("n_texts"))
+    cells = F.array(*[F.struct(F.lit(c).alias("topic"), F.col(c).alias("n_topic")) for c in topic_cols])
+    long = sums.select(*group_cols, "n_texts", F.explode(cells).alias("x"))
+    return long.select(*group_cols, "x.topic", "x.n_topic", "n_texts", F.try_divide("n_topic", "n_texts").alias("share"))
 
 
-def share_decomposition(shares: DataFrame, group_col: str, a, b) -> DataFrame:
-    """I6 split of a difference between two groups (a, b), per topic.
+def share_decomposition(df: DataFrame, group_col: str, topic_cols: list[str], outcome: str, a, b) -> DataFrame:
+    """The difference of a 0/1 (or numeric) outcome's mean between groups a and b, split by topic.
 
-    diff = share_b - share_a.  With texts of the two groups weighted 50/50 this is
-    reported together with each group's mix of the topic among all tagged topics
-    so the within-topic part (share change) and the topic-mix part (change of the
-    topic's weight in all tags) can be read side by side.
+    A row counts for each topic it carries (tags).  With w the topic's share of a
+    group's tags (its topic mix) and m the outcome's mean within the topic, the
+    tag-weighted gap  sum(w_b m_b) - sum(w_a m_a)  is exactly the sum over topics of
+
+        within = (w_a + w_b) / 2 * (m_b - m_a)      the change within the topic
+        mix    = (m_a + m_b) / 2 * (w_b - w_a)      the change of the topic's weight
+
+    A topic without tags in a group has weight 0 there, and takes the other group's mean.
     """
-    keyed = shares.filter(F.col(group_col).isin(a, b))
-    tot = keyed.groupBy(group_col).agg(F.sum("n_topic").alias("n_tags"))
-    mix = (keyed.join(F.broadcast(tot), group_col)
-           .withColumn("mix", F.col("n_topic") / F.col("n_tags")))
-    pa = mix.filter(F.col(group_col) == a).select("topic", F.col("share").alias("share_a"), F.col("mix").alias("mix_a"))
-    pb = mix.filter(F.col(group_col) == b).select("topic", F.col("share").alias("share_b"), F.col("mix").alias("mix_b"))
-    return (pa.join(pb, "topic", "full_outer")
-            .select("topic",
-                    (F.coalesce(F.col("share_b"), F.lit(0.0)) - F.coalesce(F.col("share_a"), F.lit(0.0))).alias("share_diff"),
-                    (F.coalesce(F.col("mix_b"), F.lit(0.0)) - F.coalesce(F.col("mix_a"), F.lit(0.0))).alias("mix_diff")))
+    groups = df.filter(F.col(group_col).isin(a, b))
+    aggs = [F.sum(c).cast("double").alias(f"n_{i}") for i, c in enumerate(topic_cols)]
+    aggs += [F.sum(F.col(c) * F.col(outcome)).cast("double").alias(f"s_{i}") for i, c in enumerate(topic_cols)]
+    sums = groups.groupBy(group_col).agg(*aggs)                     # two rows
+    tags = sum((F.col(f"n_{i}") for i in range(len(topic_cols))), F.lit(0.0))
+    cells = F.array(*[F.struct(F.lit(c).alias("topic"), F.try_divide(F.col(f"n_{i}"), tags).alias("w"), F.try_divide(F.col(f"s_{i}"), F.col(f"n_{i}")).alias("m"))
+                      for i, c in enumerate(topic_cols)])
+    long = sums.select(F.col(group_col).alias("g"), F.explode(cells).alias("x")).select("g", "x.*")
+    pick = lambda g, c: F.max(F.when(F.col("g") == g, F.col(c)))
+    both = long.groupBy("topic").agg(F.coalesce(pick(a, "w"), F.lit(0.0)).alias("w_a"), F.coalesce(pick(b, "w"), F.lit(0.0)).alias("w_b"),
+                                     pick(a, "m").alias("m1"), pick(b, "m").alias("m2"))
+    both = both.select("topic", "w_a", "w_b", F.coalesce("m1", "m2", F.lit(0.0)).alias("m_a"), F.coalesce("m2", "m1", F.lit(0.0)).alias("m_b"))
+    return both.select("*", ((F.col("w_a") + F.col("w_b")) / 2 * (F.col("m_b") - F.col("m_a"))).alias("within"),
+                       ((F.col("m_a") + F.col("m_b")) / 2 * (F.col("w_b") - F.col("w_a"))).alias("mix"))

@@ -3,10 +3,10 @@
 ``label_texts`` sends texts to a caller-supplied function in Arrow batches via
 ``mapInPandas``: the function gets a list of texts and returns one reply per
 text (JSON text of ``{"topics": [...]}`` or None for "no function call"), with
-optional token usage.  An exception inside the function marks the rows of that
-batch with an ``error`` instead of killing the job; those rows are split off
+optional token usage.  An exception inside the function marks the rows that
+cause it with an ``error`` instead of killing the job; those rows are split off
 by ``split_rejects`` together with undecodable replies.  Without a function,
-the deterministic keyword labeller runs as plain column expressions.
+a deterministic keyword labeller runs as plain column expressions.
 
 Remote labelling is costly and not repeatable: write the labelled output
 (``sources.write_table``) before using it further.
@@ -25,9 +25,16 @@ REPLY_SCHEMA = ("prompt_tokens long, completion_tokens long, reply string, error
 
 
 def label_texts(df: DataFrame, text_col: str, labeller: Callable | None = None, batch_size: int = 64,
-                keywords=L.FIXTURE_LEXICON) -> DataFrame:
-    """Append ``reply``, ``usage`` (prompt, completion, total tokens) and ``error``."""
+                keywords=None) -> DataFrame:
+    """Append ``reply``, ``usage`` (prompt, completion, total tokens) and ``error``.
+
+    ``labeller`` is the caller's function; without one, ``keywords`` (words per
+    topic, in topic order) drive the keyword labeller.  When a batch fails, its
+    texts are tried one by one, so that only the failing ones are marked.
+    """
     if labeller is None:
+        if keywords is None:
+            raise ValueError("pass a labeller function or the keywords of each topic")
         topics = L.keyword_topics(F.col(text_col), keywords)
         return df.withColumns({
             "reply": F.to_json(F.struct(topics.alias("topics"))),
@@ -43,20 +50,9 @@ def label_texts(df: DataFrame, text_col: str, labeller: Callable | None = None,
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size].copy()
-                texts = chunk[text_col].tolist()
-                try:
-                    replies = labeller(texts)
-                    if len(replies) != len(texts):
-                        raise ValueError(f"labeller returned {len(replies)} replies for {len(texts)} texts")
-                    chunk["reply"] = [_reply_text(r) for r in replies]
-                    chunk["prompt_tokens"] = [_usage(r, "prompt_tokens") for r in replies]
-                    chunk["completion_tokens"] = [_usage(r, "completion_tokens") for r in replies]
-                    chunk["error"] = None
-                except Exception as e:  # noqa: BLE001 - reported per row, job continues
-                    chunk["reply"] = None
-                    chunk["prompt_tokens"] = 0
-                    chunk["completion_tokens"] = 0
-                    chunk["error"] = f"{type(e).__name__}: {e}"
+                rows = _label_rows(labeller, chunk[text_col].tolist())
+                for k, name in enumerate(("reply", "prompt_tokens", "completion_tokens", "error")):
+                    chunk[name] = [r[k] for r in rows]
                 chunk["prompt_tokens"] = chunk["prompt_tokens"].astype("int64")
                 chunk["completion_tokens"] = chunk["completion_tokens"].astype("int64")
                 yield chunk
@@ -68,6 +64,20 @@ def label_texts(df: DataFrame, text_col: str, labeller: Callable | None = None,
                       .alias("usage"), "error")
 
 
+def _label_rows(labeller: Callable, texts: list) -> list[tuple]:
+    """(reply, prompt tokens, completion tokens, error) of each text; a failing batch is halved down to its bad rows."""
+    try:
+        replies = labeller(texts)
+        if len(replies) != len(texts):
+            raise ValueError(f"labeller returned {len(replies)} replies for {len(texts)} texts")
+        return [(_reply_text(r), _usage(r, "prompt_tokens"), _usage(r, "completion_tokens"), None) for r in replies]
+    except Exception as e:  # noqa: BLE001 - reported per row, job continues
+        if len(texts) == 1:
+            return [(None, 0, 0, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return _label_rows(labeller, texts[:half]) + _label_rows(labeller, texts[half:])
+
+
 def _reply_text(r):
     if r is None:
         return None

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,14 +27,34 @@ def assert_unique(df: DataFrame, keys: list[str], side: str = "data", examples:
         raise DuplicateKeyError(f"keys {keys} are not unique in {side}: {shown}")
 
 
+def _unique_rows(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """J3 without a pass of its own: ``df`` whose rows raise as soon as a key has a second one.
+
+    The count per key shares the join's partitioning by the keys, so the check
+    costs no further shuffle.
+    """
+    w = Window.partitionBy(*keys)
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    message = F.concat(F.lit(f"keys {keys} are not unique in {side}: ("), shown, F.lit(")"))
+    once = F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("__n", F.count(F.lit(1)).over(w)).filter(once).drop("__n")
+
+
 def merge(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "1:1",
-          keep: str | None = None, check: bool = True) -> DataFrame:
-    """J1 / J2.  ``keep``: None (all rows, with ``_merge``) or "match" (inner, no ``_merge``)."""
-    if check:
-        if kind in ("1:1", "m:1"):
-            assert_unique(right, keys, "right")
-        if kind in ("1:1", "1:m"):
-            assert_unique(left, keys, "left")
+          keep: str | None = None, check: bool | str = True) -> DataFrame:
+    """J1 / J2.  ``keep``: None (all rows, with ``_merge``) or "match" (inner, no ``_merge``).
+
+    A key that occurs twice on a side that must be unique is an error.  ``check``
+    True looks at once, in a pass over that side; "join" looks within the join's
+    own shuffle, and the job stops when the result is computed.
+    """
+    unique = (["right"] if kind in ("1:1", "m:1") else []) + (["left"] if kind in ("1:1", "1:m") else [])
+    if check == "join":
+        right = _unique_rows(right, keys, "right") if "right" in unique else right
+        left = _unique_rows(left, keys, "left") if "left" in unique else left
+    elif check:
+        for side in unique:
+            assert_unique(left if side == "left" else right, keys, side)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     if keep == "match":
         r = right.select(*keys, *[c for c in right.columns if c not in keys and c not in shared])

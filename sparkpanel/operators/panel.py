@@ -56,8 +56,12 @@ def period_means(df: DataFrame, unit: str, time: str, x: str, periods: dict) ->
     ``periods`` maps output name -> (lo, hi); periods may overlap (1981 can be
     in both, as in the reference).
     """
-    return with_group_stats(df, [unit], **{name: F.avg(M.cond(M.inrange(F.col(time), lo, hi), F.col(x)))
-                                           for name, (lo, hi) in periods.items()})
+    return with_group_stats(df, [unit], **period_mean_columns(time, x, periods))
+
+
+def period_mean_columns(time: str, x: str, periods: dict) -> dict[str, Column]:
+    """The aggregates of ``period_means``, to be attached together with other group statistics."""
+    return {name: F.avg(M.cond(M.inrange(F.col(time), lo, hi), F.col(x))) for name, (lo, hi) in periods.items()}
 
 
 def scalar(df: DataFrame, expr: Column):
@@ -78,7 +82,12 @@ def period_flag(df: DataFrame, time: str, after: int, name: str = "after") -> Da
 
 
 def one_hot(df: DataFrame, col: str, levels, prefix: str) -> DataFrame:
-    """One 0/1 column per level (``tabulate, generate``): prefix1..prefixK."""
+    """One 0/1 column per level (``tabulate, generate``): prefix1..prefixK.
+
+    ``levels`` None: the distinct non-missing values in rising order (as many columns as values).
+    """
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
     return df.withColumns({f"{prefix}{i}": (F.col(col) == F.lit(v)).cast("int")
                            for i, v in enumerate(levels, start=1)})
 
@@ -113,10 +122,10 @@ def shift_share(shares: DataFrame, shocks: DataFrame, unit: str, cat: str, time:
 
 
 def shares_of(df: DataFrame, unit: str, cat: str, value: str, name: str = "share") -> DataFrame:
-    """Share of each category in a unit's total value (two-level group-by)."""
+    """Share of each category in a unit's total value (two-level group-by); NULL where the total is 0."""
     per = df.groupBy(unit, cat).agg(F.sum(value).alias("__v"))
     tot = per.groupBy(unit).agg(F.sum("__v").alias("__t"))
-    return per.join(tot, unit).select(unit, cat, (F.col("__v") / F.col("__t")).alias(name))
+    return per.join(tot, unit).select(unit, cat, F.try_divide("__v", "__t").alias(name))
 
 
 def hhi(df: DataFrame, market: str, firm: str, value: str) -> DataFrame:

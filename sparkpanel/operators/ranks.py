@@ -33,12 +33,13 @@ def global_rank(df: DataFrame, order_cols, name: str = "_n", total: str | None =
     """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a deterministic tiebreaker (position in the input) makes the range key unique,
-    # so a value shared by a third of the rows still spreads over many tasks
-    order = _order_exprs(order_cols) + [F.col("__tb")]
-    s = (df.withColumn("__tb", F.monotonically_increasing_id())
+    # a hash of the whole row breaks ties, so that the order is the same in every run; rows that
+    # are equal altogether are exchangeable and are spread by their place in the input, so that
+    # a value that a third of the rows share still goes to many tasks
+    order = _order_exprs(order_cols) + [F.col("__tb"), F.col("__at")]
+    s = (df.withColumns({"__tb": F.xxhash64(*df.columns), "__at": F.monotonically_increasing_id()})
          .repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-         .drop("__tb")
+         .drop("__tb", "__at")
          .withColumn("__mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
     s = s.withColumn("__pid", F.shiftright(F.col("__mid"), 33))

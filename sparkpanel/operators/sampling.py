@@ -12,35 +12,56 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkpanel.operators.ranks import global_rank
-
-TAKE_ORDERED_MAX = 100_000   # up to this n a bounded top-n (TakeOrderedAndProject) is used
+BINS = 4096      # equal ranges of the hash's first 12 bits
 
 
 def hash_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _first_n(df: DataFrame, n: int, counts: dict[int, int], key: str, seed: int) -> tuple[F.Column, DataFrame]:
+    """(condition of the ranges that belong whole to the first n rows in hash order, the rows still needed).
+
+    ``counts``: rows per range.  Only the range in which the n-th row falls is
+    ranked, 1/BINS of the keys; whole ranges are taken by a filter.
+    """
+    done, cut = 0, 0
+    while cut < BINS and done + counts.get(cut, 0) <= n:
+        done += counts.get(cut, 0)
+        cut += 1
+    edge = df.filter(_range(key, seed) == cut).select(key, hash_key(key, seed).alias("__h")).orderBy("__h", key).limit(n - done)
+    return _range(key, seed) < cut, edge.select(key)
+
+
+def _range(key: str, seed: int) -> F.Column:
+    return F.conv(F.substring(hash_key(key, seed), 1, 3), 16, 10).cast("int")
+
+
+def _counts(df: DataFrame, key: str, seed: int) -> dict[int, int]:
+    return {r["b"]: r["count"] for r in df.groupBy(_range(key, seed).alias("b")).count().collect()}     # BINS rows
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly ``n`` rows without replacement; error when n > N."""
-    total = df.count()
+    """Exactly ``n`` rows without replacement (``key`` identifies a row); error when n > N."""
+    counts = _counts(df, key, seed)
+    total = sum(counts.values())
     if n > total:
         raise ValueError(f"cannot take a sample of {n} rows from {total} without replacement")
-    h = df.withColumn("__h", hash_key(key, seed))
-    if n <= TAKE_ORDERED_MAX:
-        return h.orderBy("__h", key).limit(n).drop("__h")
-    ranked = global_rank(h, ["__h", key], "__rk", None)
-    return ranked.filter(F.col("__rk") <= n).drop("__h", "__rk")
+    whole, edge = _first_n(df, n, counts, key, seed)
+    return df.filter(whole).unionByName(df.join(edge, key, "left_semi").select(*df.columns))
 
 
 def split(df: DataFrame, test: float, seed: int, key: str, name: str = "split") -> DataFrame:
-    """``ceil(test * N)`` rows with the smallest hash are 'test', the rest 'train'."""
-    h = df.withColumn("__h", hash_key(key, seed))
-    ranked = global_rank(h, ["__h", key], "__rk", "__tot")
+    """The ``ceil(test * N)`` rows with the smallest hash are 'test', the rest 'train'.
+
+    The rows themselves are not moved: only the keys of one hash range are ranked.
+    """
+    counts = _counts(df, key, seed)
     fr = Fraction(str(test))   # exact ceil(test * N) in integer arithmetic
-    n_test = F.floor((F.col("__tot") * fr.numerator + (fr.denominator - 1)) / fr.denominator)
-    return (ranked.withColumn(name, F.when(F.col("__rk") <= n_test, F.lit("test")).otherwise(F.lit("train")))
-            .drop("__h", "__rk", "__tot"))
+    n_test = -(-sum(counts.values()) * fr.numerator // fr.denominator)
+    whole, edge = _first_n(df, n_test, counts, key, seed)
+    marked = df.join(edge.withColumn("__e", F.lit(True)), key, "left")
+    return marked.withColumn(name, F.when(whole | F.coalesce("__e", F.lit(False)), F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, name)
 
 
 def sample_per_topic(df_flags: DataFrame, key: str, topic_cols: list[str], n: int, seed: int) -> DataFrame:

@@ -15,8 +15,9 @@ from sparkpanel.operators import fe
 from sparkpanel.operators import merge as J
 from sparkpanel.operators import panel as P
 from sparkpanel.operators import ranks as R
+from sparkpanel.plans import fe_sql as S
 from sparkpanel.plans.panel_data import balanced_panel, orders_year, regression_panel
-from sparkpanel.session import local_frame
+from sparkpanel.session import cut_lineage, local_frame
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -56,7 +57,7 @@ o AS (
 ), li AS (
   SELECT l_orderkey, sum(l_quantity) AS q, sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_cents,
          count(*) AS n_lines
-  FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_orderkey
+  FROM lineitem GROUP BY l_orderkey
 ), lagg AS (
   SELECT o.cust, o.yr, sum(q) AS q, sum(disc_cents) / (sum(n_lines) * 100) AS avg_disc
   FROM li JOIN o ON li.l_orderkey = o.o_orderkey GROUP BY o.cust, o.yr
@@ -133,7 +134,7 @@ def q_merge_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = (li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "cust"), "l_orderkey")
              .groupBy("cust", F.year("l_shipdate").alias("yr"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")))
-    m = J.merge(left, right, ["cust", "yr"], "1:1")
+    m = J.merge(left, right, ["cust", "yr"], "1:1", check="join")
     return m.select("cust", "yr", "n", r6("dollars").alias("dollars"), r6("q").alias("q"), "_merge")
 
 
@@ -145,7 +146,7 @@ def q_merge_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir).select("cust", "yr", "no")
     cust = load_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), "c_nationkey",
                                                          "c_acctbal", "c_mktsegment")
-    return J.merge(p, cust, ["cust"], "m:1", keep="match")
+    return J.merge(p, cust, ["cust"], "m:1", keep="match", check="join")
 
 
 # --- P18 / W4 / W1 / A7 / P11 / P12: ids, ranks, buckets ----------------------------
@@ -183,16 +184,18 @@ WITH {PANEL_CTE}, b AS (
 SELECT cust, yr, "group",
        CAST("group" = 1 AS INTEGER) AS g1, CAST("group" = 2 AS INTEGER) AS g2,
        CAST("group" = 3 AS INTEGER) AS g3, CAST("group" = 4 AS INTEGER) AS g4,
-       round(x * ("group" = 1)::INTEGER, 6) AS xg1, round(x * ("group" = 4)::INTEGER, 6) AS xg4,
-       no * ("group" = 1)::INTEGER AS zg1, no * ("group" = 4)::INTEGER AS zg4
+       round(x * ("group" = 1)::INTEGER, 6) AS xg1, round(x * ("group" = 2)::INTEGER, 6) AS xg2,
+       round(x * ("group" = 3)::INTEGER, 6) AS xg3, round(x * ("group" = 4)::INTEGER, 6) AS xg4,
+       no * ("group" = 1)::INTEGER AS zg1, no * ("group" = 2)::INTEGER AS zg2,
+       no * ("group" = 3)::INTEGER AS zg3, no * ("group" = 4)::INTEGER AS zg4
 FROM b""")
 def q_quantile_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir).select("cust", "yr", "acctbal", "x", "no")
     b = R.quantile_bucket(p, ["acctbal", "cust", "yr"], 4, "group")
-    b = P.one_hot(b, "group", [1, 2, 3, 4], "g")
+    b = P.one_hot(b, "group", None, "g")        # levels found from the data
     b = P.interact(b, {"x": "xg", "no": "zg"}, ["g1", "g2", "g3", "g4"])
-    return b.select("cust", "yr", "group", "g1", "g2", "g3", "g4", r6("xg1").alias("xg1"),
-                    r6("xg4").alias("xg4"), "zg1", "zg4")
+    return b.select("cust", "yr", "group", "g1", "g2", "g3", "g4", *[r6(f"xg{i}").alias(f"xg{i}") for i in range(1, 5)],
+                    *[f"zg{i}" for i in range(1, 5)])
 
 
 @register("tabulate", _BUCKET_SQL + """
@@ -222,8 +225,8 @@ WITH {BALANCED_CTE}, s AS (
 SELECT * FROM s WHERE active_max = 1 AND yr BETWEEN {PERIOD1[0]} AND {PERIOD2[1]}""")
 def q_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balanced_panel(spark, sf_dir).withColumn("active", (F.col("no") > 0).cast("int"))
-    b = P.group_max(b, "cust", "active", "active_max")
-    b = P.period_means(b, "cust", "yr", "dollars", {"mean_spend1": PERIOD1, "mean_spend2": PERIOD2})
+    b = J.with_group_stats(b, ["cust"], active_max=F.max("active"),
+                           **P.period_mean_columns("yr", "dollars", {"mean_spend1": PERIOD1, "mean_spend2": PERIOD2}))
     b = P.keep_years(P.keep_equal(b, "active_max", 1), "yr", PERIOD1[0], PERIOD2[1])
     return b.select("cust", "yr", "active_max", r6("mean_spend1").alias("mean_spend1"),
                     r6("mean_spend2").alias("mean_spend2"))
@@ -296,27 +299,42 @@ def q_intensive_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.intensive_margin(p, "cust", "yr", "urg", AFTER)
 
 
-@register("shift_share", f"""
+def _shift_share_sql(price: str) -> str:
+    return f"""
 WITH lx AS (
-  SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, p_type, l_extendedprice
+  SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, p_type, {price} AS v
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 ), pre AS (
-  SELECT cust, p_type, sum(l_extendedprice) AS v FROM lx WHERE yr <= {AFTER} GROUP BY 1, 2
+  SELECT cust, p_type, sum(v) AS v FROM lx WHERE yr <= {AFTER} GROUP BY 1, 2
 ), sh AS (
-  SELECT cust, p_type, v / sum(v) OVER (PARTITION BY cust) AS share FROM pre
+  SELECT cust, p_type, v / nullif(sum(v) OVER (PARTITION BY cust), 0) AS share FROM pre
 ), shock AS (
-  SELECT p_type, yr, sum(l_extendedprice) AS shock FROM lx GROUP BY 1, 2
+  SELECT p_type, yr, sum(v) AS shock FROM lx GROUP BY 1, 2
 )
 SELECT cust, yr, round(ln(sum(share * shock)), 6) AS z
-FROM sh JOIN shock ON sh.p_type = shock.p_type GROUP BY cust, yr""")
-def q_shift_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lx = _line_cust_type(spark, sf_dir)
-    shares = P.shares_of(lx.filter(F.col("yr") <= AFTER), "cust", "p_type", "l_extendedprice")
-    shocks = lx.groupBy("p_type", "yr").agg(F.sum("l_extendedprice").alias("shock"))
+FROM sh JOIN shock ON sh.p_type = shock.p_type GROUP BY cust, yr"""
+
+
+def _shift_share(spark: SparkSession, sf_dir: str, price) -> DataFrame:
+    # lines are reduced once to (customer, category, year): shares and shocks both come from these cells
+    cells = cut_lineage(_line_cust_type(spark, sf_dir).groupBy("cust", "p_type", "yr").agg(F.sum(price).alias("v")))
+    shares = P.shares_of(cells.filter(F.col("yr") <= AFTER), "cust", "p_type", "v")
+    shocks = cells.groupBy("p_type", "yr").agg(F.sum("v").alias("shock"))
     z = P.shift_share(shares, shocks, "cust", "p_type", "yr")
     return z.select("cust", "yr", r6("z").alias("z"))
 
 
+@register("shift_share", _shift_share_sql("l_extendedprice"))
+def q_shift_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shift_share(spark, sf_dir, F.col("l_extendedprice"))
+
+
+@register("shift_share_zero", _shift_share_sql(f"CASE WHEN o_custkey % 50 = 0 AND year(o_orderdate) <= {AFTER} THEN 0 ELSE l_extendedprice END"))
+def q_shift_share_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3 where every 50th customer has no spending before the cutoff: their shares and instruments are NULL."""
+    return _shift_share(spark, sf_dir, F.when((F.col("cust") % 50 == 0) & (F.col("yr") <= AFTER), 0.0).otherwise(F.col("l_extendedprice")))
+
+
 def _line_cust_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     o = orders_year(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "cust", "yr")
@@ -324,25 +342,39 @@ def _line_cust_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, "l_orderkey").join(part, "l_partkey")
 
 
-@register("hhi", """
+def _hhi_sql(price: str) -> str:
+    return f"""
 WITH v AS (
-  SELECT c_nationkey AS nation, l_suppkey, sum(l_extendedprice) AS v
+  SELECT c_nationkey AS nation, l_suppkey, sum({price}) AS v
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   GROUP BY 1, 2
-), s AS (SELECT nation, v / sum(v) OVER (PARTITION BY nation) AS share FROM v)
+), s AS (SELECT nation, v / nullif(sum(v) OVER (PARTITION BY nation), 0) AS share FROM v)
 SELECT nation, round(sum(share * share), 6) AS hhi, count(*) AS n_firms,
        round(1 - sum(share * share), 6) AS competition
-FROM s GROUP BY nation""")
-def q_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM s GROUP BY nation"""
+
+
+def _hhi(spark: SparkSession, sf_dir: str, price) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     o = load_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
                                                     F.col("o_custkey").alias("c_custkey"))
     c = load_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    lx = li.join(o, "l_orderkey").join(c, "c_custkey")
-    h = P.hhi(lx, "nation", "l_suppkey", "l_extendedprice")
+    lx = li.join(o, "l_orderkey").join(c, "c_custkey").withColumn("v", price)
+    h = P.hhi(lx, "nation", "l_suppkey", "v")
     return h.select("nation", r6("hhi").alias("hhi"), "n_firms", r6("competition").alias("competition"))
 
 
+@register("hhi", _hhi_sql("l_extendedprice"))
+def q_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hhi(spark, sf_dir, F.col("l_extendedprice"))
+
+
+@register("hhi_zero", _hhi_sql("CASE WHEN c_nationkey = 3 THEN 0 ELSE l_extendedprice END"))
+def q_hhi_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 with a market whose total is 0: its index is NULL."""
+    return _hhi(spark, sf_dir, F.when(F.col("nation") == 3, 0.0).otherwise(F.col("l_extendedprice")))
+
+
 @register("competition_weighted", """
 WITH lx AS (
   SELECT o_custkey AS cust, p_type, l_suppkey, l_extendedprice
@@ -360,7 +392,8 @@ def q_competition_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("o_custkey").alias("cust"))
     part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     lx = li.join(o, "l_orderkey").join(part, "l_partkey")
-    c = P.competition_weighted(lx, "cust", "p_type", "l_suppkey", "l_extendedprice")
+    lx = cut_lineage(lx.groupBy("cust", "p_type", "l_suppkey").agg(F.sum("l_extendedprice").alias("v")))     # read by both indices
+    c = P.competition_weighted(lx, "cust", "p_type", "l_suppkey", "v")
     return c.select("cust", r6("comp_wtd").alias("comp_wtd"))
 
 
@@ -387,10 +420,28 @@ SELECT count(*) AS N, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd,
        round(min(y), 6) AS min, round(max(y), 6) AS max
 FROM r3""")
 def q_y_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = regression_panel(spark, sf_dir)
-    d = fe.estimation_sample(p, ["y", "x"], ["cust", "yr"], "cust")
-    return d.agg(F.count(F.lit(1)).alias("N"), r6(F.avg("y")).alias("mean"), r6(F.stddev_samp("y")).alias("sd"),
-                 r6(F.min("y")).alias("min"), r6(F.max("y")).alias("max"))
+    (res,) = fe.fit_models(regression_panel(spark, sf_dir), [fe.Spec("y", ["x"])], fes=["cust", "yr"], cluster="cust")
+    v = fe.y_summary(res)
+    return local_frame(spark, [(int(v["N"]), *[round(v[k], 6) for k in ("mean", "sd", "min", "max")])],
+                       "N long, mean double, sd double, min double, max double")
+
+
+CHAIN = 12      # customers of a block; pruning a chain takes as many rounds
+
+
+@register("singleton_chains", f"""
+WITH c AS (SELECT c_custkey // {CHAIN} AS block, c_custkey % {CHAIN} AS i,
+                  count(*) OVER (PARTITION BY c_custkey // {CHAIN}) AS size FROM customer)
+SELECT block * 100 + i AS u, block * 100 + i AS t FROM c WHERE block % 2 = 0
+UNION ALL SELECT block * 100 + i, block * 100 + (i + 1) % size FROM c WHERE block % 2 = 0""")
+def q_singleton_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 over blocks of customers: in even blocks the units and periods form a cycle,
+    which survives; in odd blocks a chain, which is peeled from both ends until nothing is left."""
+    c = load_table(spark, sf_dir, "customer").select(F.expr(f"c_custkey DIV {CHAIN}").alias("block"), (F.col("c_custkey") % CHAIN).alias("i"))
+    c = J.with_group_stats(c, ["block"], size=F.count(F.lit(1)))
+    after = F.when(F.col("block") % 2 == 0, (F.col("i") + 1) % F.col("size")).otherwise(F.col("i") + 1)
+    rows = c.select((F.col("block") * 100 + F.col("i")).alias("u"), F.explode(F.array(F.col("block") * 100 + F.col("i"), F.col("block") * 100 + after)).alias("t"))
+    return fe.drop_singletons(rows, ["u", "t"]).select("u", "t")
 
 
 @register("demean_balanced", f"""
@@ -406,52 +457,87 @@ def q_demean_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("cust", "yr", r6("no").alias("no_dm"), F.round("dollars", 4).alias("dollars_dm"))
 
 
-# --- E3-E7 / E14 / I5: regressions (golden values in tests; rows-only here) ----------
+# --- E1 / E3-E7 / E14 / I5: regressions ----------------------------------------------
 
 FULL = ["x", "disc", "urg"]
+CY, CSY = ["cust", "yr"], ["cust", ("state", "yr")]
+
+
+def _li(spark, sf_dir):
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    o = load_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust"))
+    return li.join(o, "l_orderkey")
 
 
-def _coef_frame(spark, res: fe.FEResult) -> DataFrame:
-    return res.coefficients(spark)
+@register("demean_two_way", S.query(
+    ["li AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS cust, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p "
+     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"] + S.demeaned("dm", "li", ["q", "p"], ["l_partkey", "cust"]),
+    "SELECT l_orderkey, l_linenumber, round(q, 5) AS q_dm, round(p, 2) AS p_dm FROM dm"))
+def q_demean_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on an unbalanced table whose second FE has thousands of levels: lines by part and customer."""
+    li = _li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "cust", F.col("l_quantity").cast("double").alias("q"),
+                                   F.col("l_extendedprice").cast("double").alias("p"))
+    d = fe.absorb(li, ["q", "p"], ["l_partkey", "cust"])
+    return d.select("l_orderkey", "l_linenumber", F.round("q", 5).alias("q_dm"), F.round("p", 2).alias("p_dm"))
 
 
-@register("fe_ols")
+def coef_frame(spark, res: fe.FEResult, **more) -> DataFrame:
+    """Coefficients rounded as in the SQL twins (p is in the tests: it has no SQL form)."""
+    c = res.coefficients(spark)
+    return c.select("model", "position", "term", r6("estimate").alias("estimate"), r6("std_error").alias("std_error"), F.round("t", 4).alias("t"),
+                    r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"), "omitted", *[(F.lit(v).cast("long") if isinstance(v, int) else F.lit(v)).alias(k) for k, v in more.items()])
+
+
+def _panel_sql(*regressions: list[str], extra: tuple = ()) -> list[str]:
+    return [PANEL_CTE.strip(), *extra] + [c for r in regressions for c in r]
+
+
+@register("fe_ols", S.query(_panel_sql(S.regression("ols_simple", "panel", "y", ["x"], fes=CY), S.regression("ols_full", "panel", "y", FULL, fes=CY)),
+                            S.coef_select(["ols_simple", "ols_full"])))
 def q_fe_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
     res = fe.fit_models(p, [fe.Spec("y", ["x"], name="ols_simple"), fe.Spec("y", FULL, name="ols_full")],
-                        fes=["cust", "yr"], cluster="cust")
-    return _union([_coef_frame(spark, r) for r in res])
+                        fes=CY, cluster="cust")
+    return _union([coef_frame(spark, r) for r in res])
 
 
-@register("fe_ols_stateyr")
+@register("fe_ols_stateyr", S.query(_panel_sql(S.regression("ols_full_stateyr", "panel", "y", FULL, fes=CSY)), S.coef_select(["ols_full_stateyr"])))
 def q_fe_ols_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
-    r = fe.fe_ols(p, "y", FULL, fes=["cust", ("state", "yr")], cluster="cust", name="ols_full_stateyr")
-    return _coef_frame(spark, r)
+    return coef_frame(spark, fe.fe_ols(p, "y", FULL, fes=CSY, cluster="cust", name="ols_full_stateyr"))
 
 
-@register("fe_iv")
+@register("fe_omitted", S.query(_panel_sql(S.regression("omitted", "panel", "y", ["x", "disc"], fes=CY, omitted=["acctbal", "x2"])),
+                                S.coef_select(["omitted"], ", n, g")))
+def q_fe_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with a column that the unit absorbs and one that is twice another: both are omitted."""
+    p = regression_panel(spark, sf_dir).withColumn("x2", 2 * F.col("x"))
+    r = fe.fe_ols(p, "y", ["x", "disc", "acctbal", "x2"], fes=CY, cluster="cust", name="omitted")
+    return coef_frame(spark, r, n=r.nobs, g=r.n_clusters)
+
+
+@register("fe_iv", S.query(_panel_sql(S.regression("iv_simple", "panel", "y", [], ["x"], ["no"], fes=CY),
+                                      S.regression("iv_full", "panel", "y", ["disc", "urg"], ["x"], ["no"], fes=CY)), S.coef_select(["iv_simple", "iv_full"])))
 def q_fe_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
     res = fe.fit_models(p, [fe.Spec("y", [], ["x"], ["no"], name="iv_simple"),
                             fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="iv_full")],
-                        fes=["cust", "yr"], cluster="cust")
-    return _union([_coef_frame(spark, r) for r in res])
+                        fes=CY, cluster="cust")
+    return _union([coef_frame(spark, r) for r in res])
 
 
-@register("fe_iv_stateyr")
+@register("fe_iv_stateyr", S.query(_panel_sql(S.regression("iv_full_stateyr", "panel", "y", ["disc", "urg"], ["x"], ["no"], fes=CSY)), S.coef_select(["iv_full_stateyr"])))
 def q_fe_iv_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
-    r = fe.fe_iv(p, "y", ["disc", "urg"], ["x"], ["no"], fes=["cust", ("state", "yr")], cluster="cust",
-                 name="iv_full_stateyr")
-    return _coef_frame(spark, r)
+    return coef_frame(spark, fe.fe_iv(p, "y", ["disc", "urg"], ["x"], ["no"], fes=CSY, cluster="cust", name="iv_full_stateyr"))
 
 
-@register("first_stage")
+@register("first_stage", S.query(_panel_sql(S.regression("first_stage", "panel", "x", ["no", "disc", "urg"], fes=CY), S.wald("first_stage", [0])),
+                                 S.coef_select(["first_stage"], ", round(f, 3) AS first_stage_F").replace("FROM first_stage", "FROM first_stage, first_stage_f")))
 def q_first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regression_panel(spark, sf_dir)
-    r = fe.first_stage(p, "x", ["disc", "urg"], ["no"], fes=["cust", "yr"], cluster="cust", name="first_stage")
-    return _coef_frame(spark, r).withColumn("first_stage_F", F.lit(r.extra["first_stage_F"]))
+    r = fe.first_stage(p, "x", ["disc", "urg"], ["no"], fes=CY, cluster="cust", name="first_stage")
+    return coef_frame(spark, r, first_stage_F=round(r.extra["first_stage_F"], 3))
 
 
 def quartile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,23 +548,41 @@ def quartile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.interact(b, {"x": "xg", "no": "zg"}, ["g1", "g2", "g3", "g4"])
 
 
-@register("fe_iv_groups")
+QUARTILE_CTE = """qp AS MATERIALIZED (
+  SELECT *, {} FROM (SELECT *, CAST(ceil(4.0 * row_number() OVER (ORDER BY acctbal, cust, yr) / count(*) OVER ()) AS INTEGER) AS grp FROM panel)
+)""".format(", ".join(f"x * (grp = {i})::INTEGER AS xg{i}, no * (grp = {i})::INTEGER AS zg{i}" for i in range(1, 5)))
+XG, ZG = [f"xg{i}" for i in range(1, 5)], [f"zg{i}" for i in range(1, 5)]
+
+
+@register("fe_iv_groups", S.query(_panel_sql(S.regression("iv_groups", "qp", "y", ["disc", "urg"], XG, ZG, fes=CSY), extra=(QUARTILE_CTE,)), S.coef_select(["iv_groups"])))
 def q_fe_iv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = quartile_frame(spark, sf_dir)
-    r = fe.fe_iv(b, "y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"],
-                 fes=["cust", ("state", "yr")], cluster="cust", name="iv_groups")
-    return _coef_frame(spark, r)
+    return coef_frame(spark, fe.fe_iv(b, "y", ["disc", "urg"], XG, ZG, fes=CSY, cluster="cust", name="iv_groups"))
 
 
-@register("iv_by_quartile")
+_FIRST_FOUR = [S.regression(f"first_{e}", "qp", e, [*ZG, "disc", "urg"], fes=CSY) + S.wald(f"first_{e}", [0, 1, 2, 3]) for e in XG]
+
+
+@register("first_stages_groups", S.query(
+    _panel_sql(*_FIRST_FOUR, extra=(QUARTILE_CTE,)),
+    " UNION ALL ".join(S.coef_select([f"first_{e}"], ", round(f, 2) AS first_stage_F").replace(f"FROM first_{e}", f"FROM first_{e}, first_{e}_f") for e in XG)))
+def q_first_stages_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 for E7: the four first stages with the F on the four excluded instruments."""
+    res = fe.first_stages(quartile_frame(spark, sf_dir), XG, ["disc", "urg"], ZG, fes=CSY, cluster="cust")
+    return _union([coef_frame(spark, r, first_stage_F=round(r.extra["first_stage_F"], 2)) for r in res])
+
+
+_QUARTILES = [[f"qp{g} AS MATERIALIZED (SELECT * FROM qp WHERE grp = {g})"]
+              + S.regression(f"q{g}", f"qp{g}", "y", ["disc", "urg"], ["x"], ["no"], fes=CSY, model=f"q[group={g}]") for g in range(1, 5)]
+
+
+@register("iv_by_quartile", S.query(_panel_sql(*_QUARTILES, extra=(QUARTILE_CTE,)), S.coef_select([f"q{g}" for g in range(1, 5)], ", n, g")))
 def q_iv_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One IV per quartile, each pruned within its own sub-sample - all four
     in the same passes (FEs interacted with the quartile)."""
     b = quartile_frame(spark, sf_dir)
-    res = fe.fit_models(b, [fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="q")],
-                        fes=["cust", ("state", "yr")], cluster="cust", by="group")
-    return _union([_coef_frame(spark, r).withColumn("N", F.lit(r.nobs)).withColumn("G", F.lit(r.n_clusters))
-                   for r in res])
+    res = fe.fit_models(b, [fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="q")], fes=CSY, cluster="cust", by="group")
+    return _union([coef_frame(spark, r, n=r.nobs, g=r.n_clusters) for r in res])
 
 
 def _union(frames):
@@ -524,13 +628,22 @@ def q_did_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("treated", "yr", r6("mean_y").alias("mean_y"), "n")
 
 
-@register("event_study")
+DID_CTE = FLAGS_CTE.strip() + """, dd AS MATERIALIZED (
+  SELECT cust, yr, CAST(no AS DOUBLE) AS no, treated, after, treated * after AS treatment,
+         treated * (1 - after) * (yr - lo) AS pre_trend, treated * after * (yr - lo) AS post_trend, {}
+  FROM flags, yrs
+)""".format(", ".join(f"CAST(treated * (yr = {t})::INTEGER AS DOUBLE) AS lead_lag_{t}" for t in range(1990, 2010)))
+#: Order years of the driver's tables.
+YEARS = range(1995, 2002)
+
+
+@register("event_study", S.query([DID_CTE] + S.regression("event_study", "dd", "no", [f"lead_lag_{t}" for t in YEARS if t != BASE], fes=CY, prune=False, sweeps=2),
+                                 S.coef_select(["event_study"])))
 def q_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.plans.panel_data import year_range
     lo, hi = year_range(spark, sf_dir)
     d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
-    r = D.event_study(d, "no", "treated", "cust", "yr", BASE, range(lo, hi + 1))
-    return r.coefficients(spark)
+    return coef_frame(spark, D.event_study(d, "no", "treated", "cust", "yr", BASE, range(lo, hi + 1)))
 
 
 @register("event_study_effects", f"""
@@ -551,16 +664,22 @@ def q_event_study_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.coefficients(spark).select("term", r6("estimate").alias("estimate"))
 
 
-@register("did_ptrends")
+_PTRENDS = S.regression("ptrends", "dd", "no", ["treatment", "pre_trend", "post_trend"], fes=CY, prune=False, carry=["treated"], sweeps=2)
+
+
+@register("did_ptrends", S.query([DID_CTE] + _PTRENDS + S.wald("ptrends", [1]),
+                                 S.coef_select(["ptrends"], ", round(f, 4) AS pre_trend_F").replace("FROM ptrends", "FROM ptrends, ptrends_f")))
 def q_did_ptrends(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.plans.panel_data import year_range
     lo, _ = year_range(spark, sf_dir)
     d = did_frame(spark, sf_dir).withColumn("no", F.col("no").cast("double"))
-    r, f, p = D.did_ptrends(d, "no", "treatment", "treated", "after", "cust", "yr", lo)
-    return r.coefficients(spark).withColumn("pre_trend_F", F.lit(f)).withColumn("pre_trend_p", F.lit(p))
+    r, f, _ = D.did_ptrends(d, "no", "treatment", "treated", "after", "cust", "yr", lo)
+    return coef_frame(spark, r, pre_trend_F=round(f, 4))
 
 
-@register("did_trend_lines")
+@register("did_trend_lines", S.query([DID_CTE] + _PTRENDS, """
+SELECT treated, yr, round(mean_y, 6) AS mean_y, round(mean_y - mean_resid, 6) AS fitted_y, n
+FROM (SELECT treated, yr, avg(no) AS mean_y, count(*) AS n FROM dd GROUP BY ALL) JOIN (SELECT treated, yr, avg(resid) AS mean_resid FROM ptrends_u GROUP BY ALL) USING (treated, yr)"""))
 def q_did_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E10 plot table: observed and linear-trends fitted means by group and year."""
     from sparkpanel.plans.panel_data import year_range
@@ -573,43 +692,89 @@ def q_did_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- S5 / S6 / E12 / E13: reports ----------------------------------------------------
 
-@register("regression_table")
+#: The six columns of the results table: (name, exogenous, endogenous, instruments, FEs).
+TABLE_MODELS = [("(1)", ["x"], [], [], CY), ("(2)", [], ["x"], ["no"], CY), ("(3)", FULL, [], [], CY), ("(4)", ["disc", "urg"], ["x"], ["no"], CY),
+                ("(5)", FULL, [], [], CSY), ("(6)", ["disc", "urg"], ["x"], ["no"], CSY)]
+TABLE_LABELS = {"x": "Log spending", "disc": "Discount", "urg": "Urgent orders"}
+MODEL_NAMES = [m[0] for m in TABLE_MODELS]
+
+
+def table_fits(spark: SparkSession, panel: DataFrame, sample=None):
+    """All six models, stored by name; those with the same FEs are fitted together."""
+    from sparkpanel.operators import report
+    store, by_fes = report.Estimates(), {}
+    for name, exog, endog, inst, fes in TABLE_MODELS:
+        by_fes.setdefault(str(fes), (fes, []))[1].append(fe.Spec("y", exog, endog, inst, name))
+    for fes, specs in by_fes.values():
+        for res in fe.fit_models(panel, specs, fes=fes, cluster="cust", sample=sample):
+            store.store(res.name, res)
+    return store
+
+
+def results_table(spark: SparkSession, panel: DataFrame, sample=None) -> DataFrame:
+    from sparkpanel.operators import report
+    store = table_fits(spark, panel, sample)
+    coefs = _union([store[n].coefficients(spark) for n in MODEL_NAMES])
+    stats = _union([store[n].stats(spark) for n in MODEL_NAMES])
+    return report.regression_table(coefs, stats, MODEL_NAMES, dec=5, keep=list(TABLE_LABELS), labels=TABLE_LABELS)
+
+
+def _table_sql(source: str, tag: str) -> list[str]:
+    """CTEs that end in table_{tag}: the formatted table of the six models over ``source``."""
+    out, cells = [], []
+    for k, (name, exog, endog, inst, fes) in enumerate(TABLE_MODELS):
+        here = f"{tag}{k}"
+        out += S.regression(here, source, "y", exog, endog, inst, fes=fes)
+        star = " ".join(f"WHEN abs(t) > {S.t_quantile('g - 1', z)} THEN '{x}'" for z, x in ((2.5758293035489004, "***"), (1.959963984540054, "**"), (1.6448536269514722, "*")))
+        term = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TABLE_LABELS, start=1))
+        label = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TABLE_LABELS.items())
+        cells += [f"SELECT CASE term {term} END AS ord, CASE term {label} END AS row, 'b' AS stat, '{name}' AS model, format('{{:.5f}}', estimate) || CASE {star} ELSE '' END AS cell FROM {here}",
+                  f"SELECT CASE term {term} END, CASE term {label} END, 'se', '{name}', '(' || format('{{:.5f}}', std_error) || ')' FROM {here}",
+                  f"SELECT 1000, 'Observations', 'value', '{name}', format('{{:,}}', n) FROM {here}_fit",
+                  f"SELECT 1001, 'R-squared', 'value', '{name}', format('{{:.5f}}', {'r2_within' if endog else 'r2'}) FROM {here}_fit"]
+    out.append(f"table_{tag} AS (SELECT ord::INTEGER AS ord, row, stat, " + ", ".join(f"max(cell) FILTER (model = '{n}') AS \"{n}\"" for n in MODEL_NAMES)
+               + f" FROM ({' UNION ALL '.join(cells)}) GROUP BY ord, row, stat)")
+    return out
+
+
+@register("regression_table", S.query(_panel_sql(_table_sql("panel", "ta")), "SELECT * FROM table_ta"))
 def q_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark import StorageLevel
-    from sparkpanel.operators import report
     p = regression_panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)   # two FE sets read it
-    specs = [
-        ("(1)", dict(exog=["x"], fes=["cust", "yr"])),
-        ("(2)", dict(endog=["x"], instruments=["no"], fes=["cust", "yr"])),
-        ("(3)", dict(exog=FULL, fes=["cust", "yr"])),
-        ("(4)", dict(exog=["disc", "urg"], endog=["x"], instruments=["no"], fes=["cust", "yr"])),
-        ("(5)", dict(exog=FULL, fes=["cust", ("state", "yr")])),
-        ("(6)", dict(exog=["disc", "urg"], endog=["x"], instruments=["no"], fes=["cust", ("state", "yr")])),
-    ]
-    store = report.Estimates()
-    by_fes = {}
-    for name, kw in specs:
-        fes_key = tuple(map(str, kw["fes"]))
-        by_fes.setdefault(fes_key, (kw["fes"], []))[1].append(
-            fe.Spec("y", kw.get("exog", []), kw.get("endog", []), kw.get("instruments", []), name))
-    for fes_list, group in by_fes.values():
-        for res in fe.fit_models(p, group, fes=fes_list, cluster="cust"):
-            store.store(res.name, res)
+    out = results_table(spark, p)
+    p.unpersist()
+    return out
+
+
+INTENSIVE_CTE = f"""ip AS MATERIALIZED (
+  SELECT *, CAST(sum(CASE WHEN urg > 0 AND yr < {AFTER} THEN 1 ELSE 0 END) OVER (PARTITION BY cust) >= 1 AS INTEGER) AS intensive FROM panel
+), ip1 AS MATERIALIZED (SELECT * FROM ip WHERE intensive = 1)"""
+
+
+@register("regression_table_sample", S.query(_panel_sql(_table_sql("ip1", "tb"), extra=(INTENSIVE_CTE,)), "SELECT * FROM table_tb"))
+def q_regression_table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 with the sample qualifier (P6): the same six models over the units of the intensive margin."""
+    from pyspark import StorageLevel
+    p = P.intensive_margin(regression_panel(spark, sf_dir), "cust", "yr", "urg", AFTER).persist(StorageLevel.MEMORY_AND_DISK)
+    out = results_table(spark, p, sample=F.col("intensive") == 1)
     p.unpersist()
-    names = [n for n, _ in specs]
-    coefs = _union([store[n].coefficients(spark) for n in names])
-    stats = _union([store[n].stats(spark) for n in names])
-    return report.regression_table(coefs, stats, names, dec=5, keep=["x"],
-                                   labels={"x": "ltotal_dollars"})
+    return out
+
+
+_COEF_LABELS = {"xg1": "q1", "xg2": "q2", "xg3": "q3", "xg4": "q4", "xg5": "Baseline"}
 
 
-@register("coef_table")
+@register("coef_table", S.query(
+    _panel_sql(S.regression("iv1", "qp", "y", ["disc", "urg"], XG, ZG, fes=CSY), S.regression("baseline", "qp", "y", ["disc", "urg"], ["x"], ["no"], fes=CSY), extra=(QUARTILE_CTE,)),
+    "SELECT model, term, 'q' || right(term, 1) AS label, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi "
+    "FROM iv1 WHERE term LIKE 'xg%' UNION ALL SELECT 'Baseline', 'xg5', 'Baseline', round(estimate, 6), round(std_error, 6), "
+    f"round(estimate - {S._Z!r} * std_error, 6), round(estimate + {S._Z!r} * std_error, 6) FROM baseline WHERE term = 'x'"))
 def q_coef_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import report
     b = quartile_frame(spark, sf_dir)
     r, base = fe.fit_models(b, [
-        fe.Spec("y", ["disc", "urg"], ["xg1", "xg2", "xg3", "xg4"], ["zg1", "zg2", "zg3", "zg4"], name="iv1"),
-        fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="baseline")], fes=["cust", ("state", "yr")], cluster="cust")
+        fe.Spec("y", ["disc", "urg"], XG, ZG, name="iv1"),
+        fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="baseline")], fes=CSY, cluster="cust")
     baseline = report.estimates_frame(spark, [("xg5", base.coef("x"), base.stderr("x"))], model="Baseline")
-    labels = {"xg1": "q1", "xg2": "q2", "xg3": "q3", "xg4": "q4", "xg5": "Baseline"}
-    return report.coef_table([r.coefficients(spark), baseline], ["xg1", "xg2", "xg3", "xg4", "xg5"], labels)
+    t = report.coef_table([r.coefficients(spark), baseline], list(_COEF_LABELS), _COEF_LABELS)
+    return t.select("model", "term", "label", *[r6(c).alias(c) for c in ("estimate", "std_error", "ci_lo", "ci_hi")])

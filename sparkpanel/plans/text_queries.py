@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkpanel.functions import labels as L
 from sparkpanel.operators import frequency
-from sparkpanel.plans.sqlgen import keyword_flags_sql, lit, q, stack_sql
+from sparkpanel.plans.sqlgen import FIXTURE_LEXICON, keyword_flags_sql, lit, q, stack_sql
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def register(name, sql=None):
 def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> doc_id + 19 topic dummies from the keyword labeller."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", *L.keyword_flag_exprs(F.col("text")))
+    return docs.select("doc_id", *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON))
 
 
 # --- topic_frequency (flagship) ---------------------------------------------
@@ -77,27 +77,31 @@ def q_topic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyword_topics_sql() -> str:
     items = ", ".join(f"CASE WHEN strpos(lower(text), {lit(k)}) > 0 THEN {lit(t)} END"
-                      for k, t in zip(L.FIXTURE_LEXICON, L.TOPICS))
+                      for k, t in zip(FIXTURE_LEXICON, L.TOPICS))
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def synthetic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labeller reply per document, derived from the keyword topics of its text.
 
-    ``doc_id % 7`` picks one reply shape so every decoding branch is exercised:
+    ``doc_id % 10`` picks one reply shape so every decoding branch is exercised:
     0 list, 1 list with the sentinel, 2 topics not a list, 3 malformed JSON,
-    4 no topics key, 5 no function call, 6 list with a value outside the enum.
+    4 no topics key, 5 no function call, 6 list with a value outside the enum,
+    7 topics null, 8 a text that looks like a list, 9 a list with a boolean.
     """
     # topics computed once per text (CASE branches do not share subexpressions)
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", L.keyword_topics(F.col("text")).alias("t"))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", L.keyword_topics(F.col("text"), FIXTURE_LEXICON).alias("t"))
     t = F.col("t")
-    k = F.col("doc_id") % 7
+    k = F.col("doc_id") % 10
     reply = (F.when(k == 0, F.to_json(F.struct(t.alias("topics"))))
              .when(k == 1, F.to_json(F.struct(F.concat(F.array(F.lit(L.NO_TOPIC)), t).alias("topics"))))
              .when(k == 2, F.to_json(F.struct(F.coalesce(F.try_element_at(t, F.lit(1)), F.lit("none")).alias("topics"))))
              .when(k == 3, F.concat(F.lit('{"topics": ["'), F.coalesce(F.try_element_at(t, F.lit(1)), F.lit("")), F.lit('"')))
              .when(k == 4, F.to_json(F.struct(F.size(t).alias("n"))))
-             .when(k == 6, F.to_json(F.struct(F.concat(t, F.array(F.lit("made up"))).alias("topics")))))
+             .when(k == 6, F.to_json(F.struct(F.concat(t, F.array(F.lit("made up"))).alias("topics"))))
+             .when(k == 7, F.lit('{"topics":null}'))
+             .when(k == 8, F.lit('{"topics":"[\\"economics\\"]"}'))
+             .when(k == 9, F.lit('{"topics":[true,"economics"]}')))
     return docs.select("doc_id", reply.alias("reply"))
 
 
@@ -106,14 +110,17 @@ _ALLOWED_SQL = "[" + ", ".join(lit(a) for a in L.ALLOWED_REPLY_VALUES) + "]"
 _PARSE_SQL = f"""
 WITH f AS (SELECT doc_id, {_keyword_topics_sql()} AS topics FROM documents
 ), r AS (
-  SELECT doc_id, CASE doc_id % 7
+  SELECT doc_id, CASE doc_id % 10
     WHEN 0 THEN to_json({{'topics': topics}})::VARCHAR
     WHEN 1 THEN to_json({{'topics': list_concat(['no topic'], topics)}})::VARCHAR
     WHEN 2 THEN to_json({{'topics': coalesce(topics[1], 'none')}})::VARCHAR
     WHEN 3 THEN '{{"topics": ["' || coalesce(topics[1], '') || '"'
     WHEN 4 THEN to_json({{'n': CAST(len(topics) AS INTEGER)}})::VARCHAR
     WHEN 5 THEN NULL
-    ELSE to_json({{'topics': list_concat(topics, ['made up'])}})::VARCHAR END AS reply
+    WHEN 6 THEN to_json({{'topics': list_concat(topics, ['made up'])}})::VARCHAR
+    WHEN 7 THEN '{{"topics":null}}'
+    WHEN 8 THEN '{{"topics":"[\\"economics\\"]"}}'
+    ELSE '{{"topics":[true,"economics"]}}' END AS reply
   FROM f
 ), v AS (
   SELECT doc_id, reply, try(json_extract(reply, '$.topics')) AS tj FROM r
@@ -123,8 +130,8 @@ WITH f AS (SELECT doc_id, {_keyword_topics_sql()} AS topics FROM documents
     WHEN json_type(tj) = 'ARRAY' THEN 'ok' ELSE 'not_list' END AS status
   FROM v
 ), p AS (
-  SELECT doc_id, status, CASE WHEN status = 'ok' THEN from_json(CASE WHEN json_type(tj) = 'ARRAY' THEN tj END,
-                                                                 '["VARCHAR"]')
+  SELECT doc_id, status, CASE WHEN status = 'ok' AND doc_id % 10 = 9 THEN []::VARCHAR[]
+    WHEN status = 'ok' THEN from_json(CASE WHEN json_type(tj) = 'ARRAY' THEN tj END, '["VARCHAR"]')
     WHEN status = 'no_call' THEN ['No topic'] WHEN status = 'not_list' THEN []::VARCHAR[] END AS arr
   FROM s
 ), c AS (
@@ -142,18 +149,15 @@ FROM j"""
 
 @register("label_parse", _PARSE_SQL)
 def q_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = synthetic_replies(spark, sf_dir)
-    dec = r.select("doc_id", L.decode_reply(F.col("reply")).alias("d"))
-    kept = F.col("d.status").isin("ok", "not_list", "no_call")
-    arr = F.when(kept, L.clean_topics(L.parse_list(F.col("d.topics_json"))))
-    x = dec.select("doc_id", F.col("d.status").alias("status"), arr.alias("cleaned"))
+    from sparkpanel.operators import labelling
+    x = labelling.clean_labels(synthetic_replies(spark, sf_dir), "reply", "cleaned")
     x = x.withColumn("topics_json", L.encode_list(F.col("cleaned")))
     flags = L.topic_flag_exprs(F.col("topics_json"))
     vec = F.concat(F.lit("["), F.concat_ws(", ", *[f.cast("string") for f in flags]), F.lit("]"))
     n_flagged = F.when(F.col("topics_json").isNotNull(),
                        F.aggregate(L.parse_int_array(vec), F.lit(0), lambda a, v: a + v))
     return x.select("doc_id", "status", F.array_join("cleaned", "|").alias("topics"),
-                    F.size("cleaned").alias("n_topics"), F.size(L.invalid_topics(F.col("cleaned"))).alias("n_invalid"),
+                    F.size("cleaned").alias("n_topics"), F.size("invalid_topics").alias("n_invalid"),
                     "topics_json", n_flagged.alias("n_flagged"))
 
 
@@ -200,12 +204,29 @@ FROM u""")
 def q_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("text")
     prompt = F.lit(SYSTEM_PROMPT_TOKENS) + _word_count(F.col("text"))
-    completion = F.lit(3) + 2 * F.size(L.keyword_topics(F.col("text")))
+    completion = F.lit(3) + 2 * F.size(L.keyword_topics(F.col("text"), FIXTURE_LEXICON))
     u = docs.select(F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
                              (prompt + completion).alias("total_tokens")).alias("usage"))
-    return u.agg(F.count(F.lit(1)).alias("n_rows"),
-                 *[F.sum(f"usage.{k}").cast("long").alias(k) for k in ("prompt_tokens", "completion_tokens",
-                                                                       "total_tokens")])
+    from sparkpanel.operators import labelling
+    return labelling.usage_totals(u)
+
+
+# --- M2 / F2-F6 / F1 / P13: the labelling chain -----------------------------------------
+
+@register("labelling_chain", f"""
+WITH t AS (SELECT doc_id, {_keyword_topics_sql()} AS topics FROM documents
+), f AS (SELECT doc_id, topics, {", ".join(f"list_contains(topics, {lit(t)})::INTEGER AS {q(c)}" for t, c in zip(L.TOPICS, L.TOPIC_COLUMNS))} FROM t)
+SELECT doc_id, 'ok' AS status, array_to_string(topics, '|') AS topics, 0 AS n_invalid,
+       concat_ws(',', {", ".join(q(c) for c in L.TOPIC_COLUMNS)}) AS labels
+FROM f""")
+def q_labelling_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts -> replies -> decoded, cleaned topics -> rejects split off -> 19 dummies -> packed vector."""
+    from sparkpanel.operators import labelling, reshape
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept, _ = labelling.split_rejects(labelling.clean_labels(labelling.label_texts(docs, "text", keywords=FIXTURE_LEXICON)))
+    packed = reshape.pack(labelling.to_dummies(kept), L.TOPIC_COLUMNS, "labels")
+    return packed.select("doc_id", "status", F.array_join("topics", "|").alias("topics"), F.size("invalid_topics").alias("n_invalid"),
+                         F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
 # --- F8 / A15: encoding ---------------------------------------------------------------
@@ -240,13 +261,10 @@ def q_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- F9 / F10 / P1-P4: scoring ------------------------------------------------------
 
-N_TOPICS = len(L.TOPICS)
-
-
 @register("score_binarize", f"""
 WITH s AS (
   SELECT CAST(vec_id AS INTEGER) AS vec_id, label,
-         list_transform(embedding[1:{N_TOPICS}], lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS probs
+         list_transform(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS probs
   FROM embeddings
 )
 SELECT vec_id, label, round(list_sum(probs), 6) AS p_sum, round(probs[1], 6) AS p_first,
@@ -257,7 +275,7 @@ def q_score_binarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.functions import numeric as N
     emb = load_table(spark, sf_dir, "embeddings")
     s = emb.select(N.strict_cast(F.col("vec_id"), "int", "vec_id").alias("vec_id"), "label",
-                   N.sigmoid(F.slice("embedding", 1, N_TOPICS)).alias("probs"))
+                   N.sigmoid(F.col("embedding")).alias("probs"))
     s = s.withColumn("pred", N.binarize(F.col("probs"), 0.5))
     return s.select("vec_id", "label", F.round(F.aggregate("probs", F.lit(0.0), lambda a, v: a + v), 6).alias("p_sum"),
                     F.round(F.col("probs")[0], 6).alias("p_first"),
@@ -317,51 +335,71 @@ FROM lng GROUP BY lang, period, topic""")
 def q_topic_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     flags = docs.select("lang", (F.col("doc_id") % 4).cast("int").alias("period"),
-                        *L.keyword_flag_exprs(F.col("text")))
+                        *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON))
     s = frequency.topic_share_by_group(flags, ["lang", "period"], L.TOPIC_COLUMNS)
     return s.select("lang", "period", "topic", "n_topic", "n_texts", F.round("share", 6).alias("share"))
 
 
-# --- A8-A14 / P16 / P17 / M6: evaluation against gold labels ----------------------------
-# Gold: labels(quality, toxic).  Scores are a fixed function of n_chars so the
-# oracle is exact: p_quality = (n_chars % 200) / 200, p_toxic = (n_chars % 50) / 50.
+@register("share_decomposition", f"""
+WITH f AS (SELECT lang, CAST(length(text) > 2000 AS INTEGER) AS long_text, {keyword_flags_sql()} FROM documents WHERE lang IN ('en', 'fr')
+), lng AS (UNPIVOT f ON {", ".join(q(c) for c in L.TOPIC_COLUMNS)} INTO NAME topic VALUE flag
+), c AS (SELECT lang, topic, sum(flag)::DOUBLE AS n, sum(flag * long_text)::DOUBLE AS s FROM lng GROUP BY ALL
+), m AS (SELECT lang, topic, n / sum(n) OVER (PARTITION BY lang) AS w, CASE WHEN n > 0 THEN s / n END AS m FROM c
+), b AS (SELECT a.topic, a.w AS w_a, b.w AS w_b, coalesce(a.m, b.m, 0) AS m_a, coalesce(b.m, a.m, 0) AS m_b
+         FROM m a JOIN m b ON a.topic = b.topic AND a.lang = 'en' AND b.lang = 'fr')
+SELECT topic, round(w_a, 6) AS w_a, round(w_b, 6) AS w_b, round((w_a + w_b) / 2 * (m_b - m_a), 6) AS within,
+       round((m_a + m_b) / 2 * (w_b - w_a), 6) AS mix FROM b""")
+def q_share_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why French texts are longer or shorter than English ones: within topics, or by their mix of topics."""
+    docs = load_table(spark, sf_dir, "documents").select("lang", "text")
+    flags = docs.select("lang", (F.length("text") > 2000).cast("int").alias("long_text"), *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON))
+    d = frequency.share_decomposition(flags, "lang", L.TOPIC_COLUMNS, "long_text", "en", "fr")
+    return d.select("topic", *[F.round(c, 6).alias(c) for c in ("w_a", "w_b", "within", "mix")])
+
 
-EVAL_TOPICS = ["quality", "toxic"]
+# --- A8-A14 / P16 / P17 / M6: evaluation on 19 paired columns --------------------------
+# Actual: the keyword labeller.  Scores are a fixed function of n_chars and the
+# topic's place k, so the oracle is exact: p = (n_chars * (k + 3) % 200) / 200.
+
+EVAL_TOPICS = L.TOPIC_COLUMNS
 
 
 def gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired wide frame ``{topic}_human`` / ``{topic}_bert`` plus the probabilities."""
+    """Paired wide frame ``{topic}_human`` / ``{topic}_bert`` plus the probabilities ``{topic}_p``."""
     from sparkpanel.functions import numeric as N
-    lab = load_table(spark, sf_dir, "labels")
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    g = lab.join(docs, "doc_id").select(
-        "doc_id", F.col("quality").alias("quality_human"), F.col("toxic").alias("toxic_human"),
-        F.array((F.col("n_chars") % 200).cast("double") / 200, (F.col("n_chars") % 50).cast("double") / 50)
-        .alias("probs"))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    names = [f"{t}_human" for t in EVAL_TOPICS]
+    g = docs.select("doc_id", *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON, names),
+                    F.array(*[(F.col("n_chars") * (k + 3) % 200).cast("double") / 200 for k in range(len(EVAL_TOPICS))]).alias("probs"))
     g = g.withColumn("pred", N.binarize(F.col("probs"), 0.5))
-    return g.select("doc_id", "quality_human", "toxic_human",
-                    F.col("probs")[0].alias("p_quality"), F.col("probs")[1].alias("p_toxic"),
-                    F.col("pred")[0].alias("quality_bert"), F.col("pred")[1].alias("toxic_bert"))
+    return g.select("doc_id", *names, *[F.col("probs")[k].alias(f"{t}_p") for k, t in enumerate(EVAL_TOPICS)],
+                    *[F.col("pred")[k].alias(f"{t}_bert") for k, t in enumerate(EVAL_TOPICS)])
 
 
-def gold_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_pairs(spark: SparkSession, sf_dir: str):
+    """(wide frame, its pairs of columns, found by their names)"""
     from sparkpanel.operators import reshape
     w = gold_wide(spark, sf_dir)
-    pairs = reshape.find_pairs(w.columns, "_human", "_bert")
-    return reshape.to_long(w, ["doc_id"], pairs, extra={"prob": {"quality": "p_quality", "toxic": "p_toxic"}})
+    return w, reshape.find_pairs(w.columns, "_human", "_bert")
+
+
+def gold_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import reshape
+    w, pairs = gold_pairs(spark, sf_dir)
+    return reshape.to_long(w, ["doc_id"], pairs, extra={"prob": {t: f"{t}_p" for t in EVAL_TOPICS}})
 
 
-_LONG_CTE = """
+def gold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkpanel.operators import evaluate as V
+    return V.counts_wide(*gold_pairs(spark, sf_dir))
+
+
+_P_SQL = [f"CAST(n_chars * {k + 3} % 200 AS DOUBLE) / 200" for k in range(len(EVAL_TOPICS))]
+_LONG_CTE = f"""
 g AS (
-  SELECT l.doc_id, l.quality AS quality_human, l.toxic AS toxic_human,
-         CAST(d.n_chars % 200 AS DOUBLE) / 200 AS p_quality, CAST(d.n_chars % 50 AS DOUBLE) / 50 AS p_toxic
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
-), g2 AS (
-  SELECT *, CAST(p_quality > 0.5 AS INTEGER) AS quality_bert, CAST(p_toxic > 0.5 AS INTEGER) AS toxic_bert FROM g
+  SELECT doc_id, n_chars, {keyword_flags_sql()} FROM documents
 ), lng AS (
-  SELECT doc_id, 'quality' AS topic, quality_human AS actual, quality_bert AS predicted, p_quality AS prob FROM g2
-  UNION ALL
-  SELECT doc_id, 'toxic' AS topic, toxic_human AS actual, toxic_bert AS predicted, p_toxic AS prob FROM g2
+  {" UNION ALL ".join(f"SELECT doc_id, '{t}' AS topic, {q(t)} AS actual, CAST({p} > 0.5 AS INTEGER) AS predicted, {p} AS prob FROM g" for t, p in zip(EVAL_TOPICS, _P_SQL))}
 ), cnt AS (
   SELECT topic, CAST(count_if(actual = 1 AND predicted = 1) AS BIGINT) AS tp,
          CAST(count_if(actual = 0 AND predicted = 1) AS BIGINT) AS fp,
@@ -404,7 +442,7 @@ SELECT topic, actual, predicted, n, round(CASE WHEN tot = 0 THEN 0.0 ELSE CAST(n
 FROM cells""")
 def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    c = V.confusion(gold_long(spark, sf_dir))
+    c = V.confusion(gold_counts(spark, sf_dir))
     return c.select("topic", "actual", "predicted", "n", F.round("share", 6).alias("share"))
 
 
@@ -418,7 +456,7 @@ SELECT topic, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
        round(accuracy, 6) AS accuracy, support FROM tm""")
 def q_topic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    return _r6(V.topic_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1", "accuracy"})
+    return _r6(V.topic_metrics(gold_counts(spark, sf_dir)), {"precision", "recall", "f1", "accuracy"})
 
 
 @register("micro_metrics", f"""
@@ -426,7 +464,7 @@ WITH {_LONG_CTE}
 SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM micro2""")
 def q_micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    return _r6(V.micro_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1"})
+    return _r6(V.micro_metrics(gold_counts(spark, sf_dir)), {"precision", "recall", "f1"})
 
 
 @register("macro_metrics", f"""
@@ -434,7 +472,7 @@ WITH {_LONG_CTE}
 SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM macro""")
 def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    return _r6(V.macro_metrics(gold_long(spark, sf_dir)), {"precision", "recall", "f1"})
+    return _r6(V.macro_metrics(V.counts(gold_long(spark, sf_dir))), {"precision", "recall", "f1"})
 
 
 @register("subset_accuracy", f"""
@@ -442,7 +480,7 @@ WITH {_LONG_CTE}
 SELECT round(subset_accuracy, 6) AS subset_accuracy FROM subset""")
 def q_subset_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    return _r6(V.subset_accuracy(gold_long(spark, sf_dir), "doc_id"), {"subset_accuracy"})
+    return _r6(V.subset_accuracy(*gold_pairs(spark, sf_dir)), {"subset_accuracy"})
 
 
 @register("metrics_summary", f"""
@@ -456,7 +494,7 @@ UNION ALL SELECT 'macro_recall', round(recall, 6) FROM macro
 UNION ALL SELECT 'macro_f1', round(f1, 6) FROM macro""")
 def q_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkpanel.operators import evaluate as V
-    return _r6(V.metrics_summary(gold_long(spark, sf_dir), "doc_id"), {"value"})
+    return _r6(V.metrics_summary(*gold_pairs(spark, sf_dir)), {"value"})
 
 
 @register("holdout_metrics", f"""
@@ -477,45 +515,41 @@ def q_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(V.holdout_metrics(gold_long(spark, sf_dir), "prob"), {"loss", "accuracy", "recall", "precision"})
 
 
-@register("comparison", """
-SELECT l.doc_id, CAST(d.n_chars % 200 AS DOUBLE) / 200 AS p_quality, CAST(d.n_chars % 50 AS DOUBLE) / 50 AS p_toxic,
-       l.quality AS quality_actual, l.toxic AS toxic_actual,
-       CAST(CAST(d.n_chars % 200 AS DOUBLE) / 200 > 0.5 AS INTEGER) AS quality_predicted,
-       CAST(CAST(d.n_chars % 50 AS DOUBLE) / 50 > 0.5 AS INTEGER) AS toxic_predicted
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+@register("comparison", f"""
+WITH g AS (SELECT doc_id, n_chars, {keyword_flags_sql()} FROM documents)
+SELECT doc_id, {", ".join(f"{p} AS p_{t}, {q(t)} AS {t}_actual, CAST({p} > 0.5 AS INTEGER) AS {t}_predicted" for t, p in zip(EVAL_TOPICS, _P_SQL))}
+FROM g""")
 def q_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: hold-out comparison table - probabilities, packed actual and predicted
     vectors unpacked into ``_actual`` / ``_predicted`` columns."""
     from sparkpanel.functions import numeric as N
     from sparkpanel.operators import reshape
-    lab = load_table(spark, sf_dir, "labels")
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    s = lab.join(docs, "doc_id").select(
-        "doc_id", F.array("quality", "toxic").alias("actual_labels"),
-        F.array((F.col("n_chars") % 200).cast("double") / 200, (F.col("n_chars") % 50).cast("double") / 50)
-        .alias("predicted_probs"))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    s = docs.select("doc_id", F.array(*L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON)).alias("actual_labels"),
+                    F.array(*[(F.col("n_chars") * (k + 3) % 200).cast("double") / 200 for k in range(len(EVAL_TOPICS))]).alias("predicted_probs"))
     s = s.withColumn("predicted_labels", N.binarize(F.col("predicted_probs"), 0.5))
     s = reshape.unpack(s, "actual_labels", EVAL_TOPICS, "_actual")
     s = reshape.unpack(s, "predicted_labels", EVAL_TOPICS, "_predicted")
-    return s.select("doc_id", F.col("predicted_probs")[0].alias("p_quality"), F.col("predicted_probs")[1].alias("p_toxic"),
-                    "quality_actual", "toxic_actual", "quality_predicted", "toxic_predicted")
+    return s.select("doc_id", *[F.col("predicted_probs")[k].alias(f"p_{t}") for k, t in enumerate(EVAL_TOPICS)],
+                    *[f"{t}_actual" for t in EVAL_TOPICS], *[f"{t}_predicted" for t in EVAL_TOPICS])
+
+
+# --- M3 / M4 / M5: topic model -----------------------------------------------------------
+# A trained model has no SQL form; its twin states what must hold for every text: one row each,
+# probabilities between 0 and 1, and a label where the probability is over 0.5.
 
+GOLD_TOPICS = ["quality", "toxic"]
 
-# --- M3 / M4 / M5: topic model (rows-only check) ---------------------------------------
 
-@register("topic_model")
+@register("topic_model", "SELECT doc_id, true AS p_in_range, true AS label_follows_p, 2 AS n_labels FROM documents")
 def q_topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on labelled documents (80/20 seeded split), score every document."""
+    """Train on labelled documents (80/20 seeded split) with the operator's defaults, score every document."""
     from sparkpanel.operators import model, sampling
     lab = load_table(spark, sf_dir, "labels")
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    gold = sampling.split(lab.join(docs, "doc_id"), TEST_SHARE, SEED, "doc_id")
-    train = gold.filter(F.col("split") == "train")
-    valid = gold.filter(F.col("split") == "test")
-    tm = model.fit_topics(train, "text", EVAL_TOPICS, valid=valid, reg_grid=(0.1, 0.01), max_iter=20,
-                          num_features=1 << 16)
+    gold = sampling.split(lab, TEST_SHARE, SEED, "doc_id").join(docs, "doc_id")
+    tm = model.fit_topics(gold.filter(F.col("split") == "train"), "text", GOLD_TOPICS, valid=gold.filter(F.col("split") == "test"))
     scored = tm.score(docs, keep=["doc_id"])
-    return scored.select("doc_id", F.col("probabilities")[0].alias("p_quality"),
-                         F.col("probabilities")[1].alias("p_toxic"),
-                         F.col("predicted_label")[0].alias("pred_quality"),
-                         F.col("predicted_label")[1].alias("pred_toxic"))
+    ok = F.forall("probabilities", lambda p: (p >= 0) & (p <= 1))
+    follows = F.forall(F.zip_with("probabilities", "predicted_label", lambda p, y: (p > 0.5).cast("int") == y), lambda x: x)
+    return scored.select("doc_id", ok.alias("p_in_range"), follows.alias("label_follows_p"), F.size("predicted_label").alias("n_labels"))

@@ -1,11 +1,14 @@
 """Session helpers.
 
 The cluster names a shared checkpoint folder in ``spark.checkpoint.dir``; we
-read it from the session and only pick our own when it is unset (tests).
+read it from the session.  Where it is unset, a session without executors of
+its own (``local`` master, as in tests) gets a scratch folder; any other one is
+an error, because executors would write to their own disks.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,13 +47,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
+    """Return the shared checkpoint folder; an error on a cluster that names none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sparkpanel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -68,3 +68,54 @@ def test_paths_equal_brute_force(panel, monkeypatch, dense, literal):
     b, n = _brute(rows)
     assert r.nobs == n
     assert r.coef("x") == pytest.approx(b, abs=1e-9)
+
+
+def test_level_tables_equal_brute_force(panel, monkeypatch):
+    """CG whose vectors are Spark tables (what runs above DRIVER_VALUES)."""
+    rows, df = panel
+    monkeypatch.setattr(fe, "DRIVER_VALUES", 0)
+    r = fe.fe_ols(df, "y", ["x"], fes=["u", ("st", "t")], cluster="u")
+    b, n = _brute(rows)
+    assert r.nobs == n and r.coef("x") == pytest.approx(b, abs=1e-9)
+
+
+def test_unsolved_system_is_an_error():
+    steps = fe._Steps(np.ones(2), np.ones(2), 1e-13)
+    steps.verify(np.array([1e-9, 0.0]))
+    with pytest.raises(ArithmeticError):
+        steps.verify(np.array([1e-3, 0.0]))
+
+
+def test_long_chain_is_pruned_to_nothing(spark):
+    """A chain of units and periods loses one row at each end per round; a plan that grew with the rounds would not end."""
+    rows = [(u, t) for u in range(30) for t in (u, u + 1)]
+    assert fe.drop_singletons(spark.createDataFrame(rows, "u int, t int"), ["u", "t"]).count() == 0
+    ring = [(u, t) for u in range(6) for t in (u, (u + 1) % 6)]
+    assert fe.drop_singletons(spark.createDataFrame(ring, "u int, t int"), ["u", "t"]).count() == 12
+
+
+def test_omitted_terms(panel):
+    rows, df = panel
+    d = df.withColumns({"own": df["u"] * 1.5, "x2": 2 * df["x"], "z": df["x"] + df["y"] * 0})
+    base = fe.fe_ols(df, "y", ["x"], fes=["u", "t"], cluster="u")
+    r = fe.fe_ols(d, "y", ["own", "x", "x2", "z"], fes=["u", "t"], cluster="u")
+    assert r.omitted == ["own", "x2", "z"] and r.dof_k == base.dof_k
+    assert r.coef("x") == pytest.approx(base.coef("x"), abs=1e-10) and r.stderr("x") == pytest.approx(base.stderr("x"), abs=1e-10)
+    assert r.wald_f(["x", "x2"])[0] == pytest.approx(base.wald_f(["x"])[0])
+    table = {c.term: c for c in r.coefficients(df.sparkSession).collect()}
+    assert table["own"].omitted and table["own"].estimate is None and not table["x"].omitted
+
+
+def test_no_variance_without_degrees_of_freedom(spark):
+    one = spark.createDataFrame([(1, i, float(i * i % 7), float(i)) for i in range(6)], "u int, t int, y double, x double")
+    r = fe.fe_ols(one, "y", ["x"], fes=["u"], cluster="u")
+    assert np.isnan(r.stderr("x")) and np.isfinite(r.coef("x"))
+
+
+def test_weak_identification_equals_first_stage_f(panel):
+    """With one endogenous regressor Cragg-Donald is the homoskedastic first-stage F."""
+    rows, df = panel
+    d = df.withColumn("z", df["x"] + 0.5 * df["y"])
+    iv = fe.fe_iv(d, "y", [], ["x"], ["z"], fes=["u", "t"], cluster="u")
+    first = fe.fe_ols(d, "x", ["z"], fes=["u", "t"], dof="levels")
+    assert iv.extra["cragg_donald_F"] == pytest.approx((first.coef("z") / first.stderr("z")) ** 2, rel=0.02)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkpanel.operators import labelling, model, frequency
 from sparkpanel.plans import text_queries as TQ
+from sparkpanel.plans.sqlgen import FIXTURE_LEXICON
 from sparkpanel.sources import read_table, write_table
 from sparkpanel.streaming.scoring import stream_transform
 from sparkpanel.functions import labels as L
@@ -71,7 +72,7 @@ def test_stream_flags_available_now(spark):
     docs.repartition(3).write.mode("overwrite").parquet(src)
 
     def transform(s):
-        return s.select("doc_id", *L.keyword_flag_exprs(F.col("text")))
+        return s.select("doc_id", *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON))
 
     stream_transform(spark, src, docs.schema, transform, sink, name=os.path.basename(sink), max_files_per_trigger=1)
     streamed = spark.read.parquet(sink)
@@ -81,10 +82,37 @@ def test_stream_flags_available_now(spark):
     assert [r.n for r in a] == [r.n for r in b] and streamed.count() == docs.count()
 
 
-def test_share_decomposition(spark):
-    flags = TQ.document_flags(spark, SF001).join(
-        spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    shares = frequency.topic_share_by_group(flags, ["lang"], L.TOPIC_COLUMNS)
-    dec = frequency.share_decomposition(shares, "lang", "en", "de").collect()
-    assert len(dec) == len(L.TOPIC_COLUMNS)
-    assert abs(sum(r.mix_diff for r in dec)) < 1e-9
+def test_share_decomposition_adds_up(spark):
+    rows = [("a", 1, 0, 1.0), ("a", 1, 1, 0.0), ("a", 0, 1, 1.0), ("b", 1, 0, 0.0), ("b", 1, 0, 1.0), ("b", 0, 0, 1.0), ("c", 1, 1, 9.0)]
+    df = spark.createDataFrame(rows, "g string, t1 int, t2 int, y double")
+    dec = {r.topic: r for r in frequency.share_decomposition(df, "g", ["t1", "t2"], "y", "a", "b").collect()}
+    mean = lambda g: sum(y * (p + q) for h, p, q, y in rows if h == g) / sum(p + q for h, p, q, y in rows if h == g)
+    assert abs(sum(r.within + r.mix for r in dec.values()) - (mean("b") - mean("a"))) < 1e-12
+    assert dec["t2"].w_b == 0 and dec["t2"].within == 0
+
+
+def test_early_stopping_happens(spark):
+    df = spark.createDataFrame([(i, f"w{i} noise{(i * 7919) % 50}", (i * 104729) % 2) for i in range(120)], "id long, text string, y int")
+    tm = model.fit_topics(df.filter("id < 80"), "text", ["y"], valid=df.filter("id >= 80"), max_iter=5, num_features=256, patience=2)
+    assert 3 <= tm.steps["y"] < len(model.REG_GRID) and tm.chosen["y"] in model.REG_GRID
+    assert len(model.REG_GRID) > 5          # longer than the default patience
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from sparkpanel import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())

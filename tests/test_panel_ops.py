@@ -104,3 +104,23 @@ def test_global_rank_hot_value_spreads(spark):
     assert sorted(x._n for x in r.collect()) == list(range(1, 3001))
     sizes = [c for c in r.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
     assert max(sizes) < 1500
+
+
+def test_merge_check_within_the_join(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, "c"), (1, "d")], "k int, y string")
+    with pytest.raises(Exception, match="not unique in right"):
+        J.merge(left, right, ["k"], "m:1", check="join").collect()
+    assert J.merge(left, right.limit(1), ["k"], "1:1", check="join").count() == 2
+
+
+def test_zero_totals_give_null_shares(spark):
+    df = spark.createDataFrame([(1, "a", 0.0), (1, "b", 0.0), (2, "a", 3.0)], "u int, c string, v double")
+    got = {(r.u, r.c): r.share for r in P.shares_of(df, "u", "c", "v").collect()}
+    assert got == {(1, "a"): None, (1, "b"): None, (2, "a"): 1.0}
+
+
+def test_t_quantiles_far_out():
+    from sparkpanel.functions import dist
+    assert dist.t_ppf(0.9999, 1) == pytest.approx(3183.0988, rel=1e-5)
+    assert dist.t_ppf(0.025, 30) == pytest.approx(-2.042272, abs=1e-5)

@@ -64,15 +64,15 @@ def test_threshold_is_strict(spark):
 
 def test_one_class_confusion(spark):
     long = spark.createDataFrame([(i, "t", 0, 0) for i in range(5)], "id int, topic string, actual int, predicted int")
-    cells = {(r.actual, r.predicted): r.n for r in V.confusion(long).collect()}
+    cells = {(r.actual, r.predicted): r.n for r in V.confusion(V.counts(long)).collect()}
     assert cells == {(0, 0): 5, (0, 1): 0, (1, 0): 0, (1, 1): 0}
-    m = V.topic_metrics(long).first()
+    m = V.topic_metrics(V.counts(long)).first()
     assert (m.precision, m.recall, m.f1, m.accuracy, m.support) == (0.0, 0.0, 0.0, 1.0, 0)
 
 
 def test_micro_f1_identity(spark):
-    long = TQ.gold_long(spark, SF01)
-    m = V.micro_metrics(long).first()
+    m = V.micro_metrics(V.counts(TQ.gold_long(spark, SF01))).first()
+    assert m == V.micro_metrics(TQ.gold_counts(spark, SF01)).first()
     assert m.f1 == pytest.approx(2 * m.precision * m.recall / (m.precision + m.recall))
 
 
@@ -121,13 +121,13 @@ def test_label_texts_custom_labeller_and_errors(spark):
         return [{"reply": '{"topics": ["taxation", "no topic"]}', "prompt_tokens": 10, "completion_tokens": 2}
                 for _ in texts]
 
-    out = labelling.label_texts(df, "text", labeller, batch_size=2)
+    out = labelling.label_texts(df, "text", labeller, batch_size=4)
     cleaned = labelling.clean_labels(out)
     ok, bad = labelling.split_rejects(cleaned)
-    assert ok.count() == 8 and bad.count() == 2
+    assert ok.count() == 9 and [r.text for r in bad.collect()] == ["text 7"]     # the rest of its batch is kept
     assert {tuple(r.topics) for r in ok.select("topics").collect()} == {("taxation",)}
     tot = labelling.usage_totals(ok).first()
-    assert (tot.n_rows, tot.prompt_tokens, tot.completion_tokens, tot.total_tokens) == (8, 80, 16, 96)
+    assert (tot.n_rows, tot.prompt_tokens, tot.completion_tokens, tot.total_tokens) == (9, 90, 18, 108)
 
 
 def test_dummies_string_and_array_agree(spark):
@@ -144,3 +144,37 @@ def test_topic_share_sums(spark):
     s = frequency.topic_share_by_group(flags, ["g"], L.TOPIC_COLUMNS)
     n = {r.topic: r.n_topic for r in s.collect()}
     assert n["immigration"] == 87
+
+
+def test_label_texts_needs_a_labeller(spark):
+    with pytest.raises(ValueError):
+        labelling.label_texts(spark.createDataFrame([("x",)], "text string"), "text")
+
+
+def test_reply_shapes(spark):
+    replies = [('{"topics": null}', "not_list", []), ('{"topics": "[\\"economics\\"]"}', "not_list", []), ('{"topics": [true, 1]}', "ok", []),
+               ('{"topics": ["a", null]}', "ok", []), ('{"topics": [1, 2]}', "ok", ["1", "2"]), ('{"other": 1}', "no_topics_key", None), ('{"topics": ["a"', "bad_json", None),
+               (None, "no_call", ["No topic"]), ('{"topics": []}', "ok", [])]
+    df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(replies)], "i int, reply string")
+    got = {r.i: (r.status, r.topics) for r in labelling.clean_labels(df).collect()}
+    assert got == {i: (s, t) for i, (_, s, t) in enumerate(replies)}
+
+
+def test_summary_from_wide_equals_long(spark):
+    wide, pairs = TQ.gold_pairs(spark, SF01)
+    got = {r.metric: r.value for r in V.metrics_summary(wide, pairs).collect()}
+    c = V.counts(TQ.gold_long(spark, SF01))
+    mi, ma = V.micro_metrics(c).first(), V.macro_metrics(c).first()
+    for n in ("precision", "recall", "f1"):
+        assert got[f"micro_{n}"] == pytest.approx(mi[n]) and got[f"macro_{n}"] == pytest.approx(ma[n])
+    assert got["subset_accuracy"] == pytest.approx(V.subset_accuracy(wide, pairs).first()[0])
+
+
+def test_split_and_sample_are_prefixes_of_the_hash_order(spark):
+    import hashlib
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    order = sorted(range(3000), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))
+    assert {r.k for r in sampling.sample_n(df, 777, 7, "k").collect()} == set(order[:777])
+    test = {r.k for r in sampling.split(df, 0.33, 7, "k").filter("split = 'test'").collect()}
+    assert test == set(order[:990])
+    assert sampling.sample_n(df, 0, 7, "k").count() == 0 and sampling.sample_n(df, 3000, 7, "k").count() == 3000
