@@ -174,7 +174,7 @@ def oracle() -> str:
 WITH t AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (SELECT *, regexp_extract_all(text, '{sep}+') AS words,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{sep}')) AS lines FROM t),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{sep}')) AS lines FROM t),
 g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM w, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i)),
 d AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
 r AS (SELECT rid, count(DISTINCT i + j) AS n FROM d, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
@@ -193,7 +193,7 @@ x AS (SELECT lang, good, rule, ratio FROM (
 k AS (SELECT lang, rule, cutoff, count_if(good) AS ng, count_if(NOT good) AS nb, count_if(good AND ratio > cutoff) AS kg, count_if(NOT good AND ratio > cutoff) AS kb
   FROM x JOIN (VALUES {grid}) AS grid(rule, cutoff) USING (rule) GROUP BY ALL),
 a AS (SELECT *, (SELECT sum(exp(lgamma(ng + 1) - lgamma(j + 1) - lgamma(ng - j + 1) + j * ln({p}) + (ng - j) * ln({1 - p})))
-    FROM (SELECT unnest(range(0, kg + 1)) AS j)) AS tail FROM k),
+    FROM (SELECT unnest(range(0, kg::BIGINT + 1)) AS j)) AS tail FROM k),
 cut AS (SELECT lang, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM a
   WHERE kg < ng AND kg <= ng * {p} AND tail <= {DELTA} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM x)) * {len(RULES) * steps}) AND kb > 0 AND kb * ng >= {LIFT} * kg * nb
   GROUP BY lang)
