@@ -12,17 +12,18 @@ of word n-grams.  Sets of size n and at most n then differ in at most
   partners can be there, in the next.
 * Cost-based allocation.  A set needs only H + 1 of its segments to probe, and has
   about a fifth more.  It leaves out its most frequent ones (boilerplate that
-  many texts share), so that hot segments are not joined.  A partner must then
-  agree in a known number of the others, which prunes most candidates.
+  many texts share), so that hot segments are not joined.
 * One-deletion neighbourhoods.  Small sets (bands below ``SMALL``) have half as
   many segments, each of which may differ by one token: they index the subset and
   the subset without any one token.
 * Candidates are found in two steps, so that no group is expanded into all its
   pairs.  First every probe meets one anchor of its segment's group, the set that
-  shares most with others; verified pairs give components.  Then only pairs of
-  different components are joined and verified.  Members of a component need no
-  further links, as the result is the component; no link between components is
-  lost.
+  shares most with others; verified pairs give components.  Then the sets that
+  share a segment with another component are partitioned once more, a token to a
+  segment, and again probe with their rarest ones (see ``cross_candidates``);
+  only pairs of different components are joined and verified.  Members of a
+  component need no further links, as the result is the component; no link
+  between components is lost.
 * Verification counts the intersection of the two whole sets, from the texts.
 
 Identical sets are one node.  Rows of segments travel as packed blocks to
@@ -40,7 +41,8 @@ only.  Tokens and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -55,6 +57,8 @@ GROWTH, SMALL = 1.6, 128
 BUCKET_ROWS, BUFFER_ROWS, LOCAL_HOT = 1_500_000, 2_000_000, 16
 #: A segment is left out only if more sets than this have it.
 CHEAP = 8
+#: Growth of the size classes by which the last candidates are joined.
+CLASS = 1.02
 _K = np.uint64(0xD6E8FEB86659FD93)
 ROW = np.dtype([("sig", "<u8"), ("node", "<u8"), ("slack", "u1")])      # slack 255: indexed, does not probe
 
@@ -208,8 +212,18 @@ def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, n long, node long, short int")
 
 
-def shared_segments(docs: DataFrame, width: int, percent: int, buckets: int, empties: frozenset) -> DataFrame:
-    """sig, node, slack, freq: the segments that two nodes or more have (a row may be repeated)."""
+def token_rows(tok: np.ndarray, off: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The finest partition: every token is a segment."""
+    rows = np.zeros(len(tok), ROW)
+    rows["sig"], rows["node"] = tok, np.repeat(node, np.diff(off))
+    return rows
+
+
+def shared(docs: DataFrame, width: int, rows_of, buckets: int) -> DataFrame:
+    """sig, node, slack, freq: the segments that two nodes or more have (a row may be repeated).
+
+    ``rows_of`` makes the rows (ROW) of sets, tokens and offsets and nodes.
+    """
 
     def run(batches):
         held, rows_held, seen = [], 0, set()
@@ -248,7 +262,7 @@ def shared_segments(docs: DataFrame, width: int, percent: int, buckets: int, emp
                 seen.update(node.tolist())
                 n = np.where(fresh, np.diff(off), 0)                      # copies within the task send nothing
                 keep = np.repeat(fresh, np.diff(off))
-                held.append(segment_rows(tok[keep], np.append(0, np.cumsum(n)), node, percent, empties))
+                held.append(rows_of(tok[keep], np.append(0, np.cumsum(n)), node))
                 rows_held += len(held[-1])
                 if rows_held > BUFFER_ROWS:
                     yield from flush()
@@ -297,6 +311,40 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def cross_candidates(left: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of nodes of different components that can link.  ``left`` has node, comp, n, text.
+
+    The finest universe partition, one token a segment, with the same allocation:
+    tokens are put in order of frequency, and sets of sizes n >= m that share o
+    tokens, o = ceil(p (n + m) / (100 + p)) being required, share one that is among
+    the first n - o + 1 of the one and the first m - o + 1 of the other.  In a group
+    of edited copies these are the edits, not the text they have in common, so the
+    candidates do not grow with the square of the group.
+    """
+    total = left.agg(F.sum("n")).first()[0] or 0
+    tokens = shared(left, width, token_rows, max(12, int(total) // BUCKET_ROWS + 1)).select("sig", "node", "freq").distinct()
+    freq = tokens.groupBy("sig").agg(F.max("freq").alias("f"), F.count("*").alias("c"))
+    of = tokens.select("sig", "node").distinct().join(freq, "sig").join(left.select("node", "comp", "n"), "node")
+    by_node = Window.partitionBy("node")
+    rank = F.row_number().over(by_node.orderBy("f", "c", "sig"))
+    # tokens that no other set has come first
+    of = of.withColumn("pos", (F.col("n") - F.count("*").over(by_node) + rank - 1).cast("long"))
+    need = lambda a, b: F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(CLASS) + 1e-9).cast("int")
+    n = F.col("n")
+    least = F.ceil(n * percent / 100.0 - 1e-9).cast("long")
+    of = written(of.filter(F.col("pos") <= n - need(n, least)).select("sig", "node", "comp", "n", "pos"))
+    small = of.filter(F.col("pos") <= n - need(n, n)).select("sig", size_class(n).alias("cls"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("m"), F.col("pos").alias("pb"))
+    large = of.withColumns({"cls": F.explode(F.sequence(size_class(least), size_class(n))), "least": least})
+    smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(CLASS), F.col("cls")) - 1e-6).cast("long"))
+    large = large.filter(F.col("pos") <= n - need(n, smallest)).select("sig", "cls", F.col("node").alias("a"), F.col("comp").alias("ca"), "n", F.col("pos").alias("pa"))
+    o = need(F.col("n"), F.col("m"))
+    fits = (F.col("ca") != F.col("cb")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))) \
+        & (F.col("m") * 100 >= F.col("n") * percent) & (F.col("pa") <= F.col("n") - o) & (F.col("pb") <= F.col("m") - o)
+    pairs = large.join(small, ["sig", "cls"]).filter(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of all nodes with links: labels spread, then labels of labels, until nothing changes."""
     ends = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct())
@@ -317,19 +365,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = written(set_table(docs, width, percent))
     stats = sets.agg(F.sum("n"), F.collect_set(F.when(F.col("short") >= 0, F.col("short")))).first()     # bands: a few dozen
     buckets = max(12, int((stats[0] or 0) * 0.35) // BUCKET_ROWS + 1)
-    shared = shared_segments(docs, width, percent, buckets, frozenset(stats[1] or []))
+    found = shared(docs, width, partial(segment_rows, percent=percent, empties=frozenset(stats[1] or [])), buckets)
     nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("n").alias("n"), F.min("doc_id").alias("rep"))
 
     # cost-based allocation: each node leaves out its most frequent segments, within its slack
-    rows = shared.repartition("node").groupBy("node", "sig").agg(F.min("slack").alias("slack"), F.max("freq").alias("freq"))
+    rows = found.repartition("node").groupBy("node", "sig").agg(F.min("slack").alias("slack"), F.max("freq").alias("freq"))
     by_cost = Window.partitionBy("node").orderBy(F.desc(F.when(F.col("slack") < 255, F.col("freq")).otherwise(-1)), "sig")
     rows = rows.withColumns({"rank": F.row_number().over(by_cost), "weight": F.sum("freq").over(Window.partitionBy("node")),
                              "spare": F.min("slack").over(Window.partitionBy("node"))})
     left_out = (F.col("rank") <= F.col("spare")) & (F.col("freq") > CHEAP) & (F.col("slack") < 255)
-    rows = rows.withColumn("probe", (F.col("slack") < 255) & ~left_out)
-    dropped = F.sum(left_out.cast("int")).over(Window.partitionBy("node"))
-    rows = rows.withColumn("need", F.col("spare") + 1 - dropped)          # segments in which a partner must agree
-    rows = written(rows.select("sig", "node", "probe", "need", "weight"))
+    rows = rows.withColumns({"own": F.col("slack") < 255, "probe": (F.col("slack") < 255) & ~left_out})
+    # of all segments that a set can probe with, spare + 1 must agree with a partner's: other sets only answer
+    rows = rows.withColumn("able", F.sum(F.col("own").cast("int")).over(Window.partitionBy("node")) > F.col("spare"))
+    rows = written(rows.select("sig", "node", "own", "probe", "spare", "able", "weight"))
+    rows = written(rows.join(rows.filter("able AND probe").select("sig").distinct(), "sig", "left_semi"))
 
     involved = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     once = docs.filter(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
@@ -338,22 +387,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = written(texts)
 
     # every probe meets its group's anchor
-    anchors = rows.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x"), F.count_if("probe").alias("probes")).filter("probes > 0").select("sig", F.col("x.node").alias("b"))
-    stars = rows.filter("probe").select("sig", F.col("node").alias("a")).join(anchors, "sig").filter("a <> b").select("a", "b").distinct()
+    anchors = rows.groupBy("sig").agg(F.max(F.struct("weight", "node", "able")).alias("x")).select("sig", F.col("x.node").alias("b"), F.col("x.able").alias("able_b"))
+    stars = rows.filter("probe").select("sig", F.col("node").alias("a"), "able").join(anchors, "sig")
+    stars = written(stars.filter("a <> b AND (able OR able_b)").select("a", "b").distinct())
     links = written(verified(stars, texts, width, percent))
     comp = components(links)
 
-    # pairs of different components
+    # pairs of different components: the sets whose segments other components have too, by their tokens
     own = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = own.join(texts.select("node", "n"), "node")
     mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("probe").alias("probes")).filter("lo <> hi and probes > 0").select("sig")
-    own = written(own.join(mixed, "sig", "left_semi").select("sig", "node", "comp", "n", "probe", "need"))
-    s = own.filter("probe").select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "need")
-    r = own.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & (F.col("nb") * 100 >= F.col("na") * percent)
-    cross = s.join(r, "sig").filter(fits).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("a", "b")
-    # a pair that both sets propose, or that failed already, is verified once
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = written(own.join(mixed, "sig", "left_semi"))
+    able = own.filter("own").groupBy("node").agg(F.count("*").alias("k"), F.first("spare").alias("spare")).filter("k > spare").select("node")
+    asked = own.filter("probe").join(able, "node", "left_semi").select("sig").distinct()
+    open_ = written(own.join(asked, "sig", "left_semi").select("node", "comp").distinct())
+    left = written(texts.join(open_, "node").select("node", "comp", "n", "text"))
+    cross = cross_candidates(left, width, percent)
+    # a pair that failed already is not verified again
     cross = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     more = verified(cross, texts, width, percent)
     comp = components(links.union(more))
