@@ -5,8 +5,12 @@ The numpy helpers work on one bounded slice of texts at a time, inside Spark tas
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from functools import lru_cache
 from itertools import count
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,25 @@ SEP_RE = r"[\x20\x09-\x0D]"
 SLICE_BYTES = 2 << 20
 
 _names = count()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of an application, unless they find it by PYTHONPATH or working folder."""
+    package = Path(__file__).resolve().parent.parent
+    places = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if spark.sparkContext.applicationId in _shipped or any(Path(p, package.name).is_dir() for p in places):
+        return
+    zipped = Path(tempfile.mkdtemp(prefix="sparkpanel-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(zipped))
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -47,6 +67,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def largest(df: DataFrame, count_col: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of largest count (a positive whole number), ties by the given columns.
+
+    Rows are counted by powers of two first, and only those from the power that
+    holds the n-th row on are sorted, so that tasks do not each send n rows.
+    """
+    power = F.floor(F.log2(F.col(count_col).cast("double"))).cast("int")
+    bins = sorted(((r["b"], r["count"]) for r in df.groupBy(power.alias("b")).count().collect()), reverse=True)     # 64 rows at most
+    least, seen = 0, 0
+    for b, k in bins:
+        least, seen = b, seen + k
+        if seen >= n:
+            break
+    return df.filter(power >= least).orderBy(F.desc(count_col), *ties).limit(n)
+
+
 def words_col(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null: empty."""
     parts = F.split(F.coalesce(text, F.lit("")), SEP_RE + "+")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpanel.llm.common import table, text_bytes, text_slices, written
+from sparkpanel.llm.common import largest, table, text_bytes, text_slices, written
 
 #: (verdict, rule) of the registered query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -161,7 +161,7 @@ def train(labelled: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTE
     by_context = counts.groupBy("cls", "ctx").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"))
     out = Model([], [], [], [], [], order)
     for cls in (0, 1):
-        top = by_context.filter(F.col("cls") == cls).orderBy(F.desc("seen"), "ctx").limit(max_contexts)
+        top = largest(by_context.filter(F.col("cls") == cls), "seen", max_contexts, "ctx")
         kept = top.toPandas().sort_values("ctx")            # at most max_contexts rows
         pairs = counts.filter(F.col("cls") == cls).join(F.broadcast(top.select("ctx")), "ctx").toPandas()
         key = pairs["ctx"].to_numpy(np.uint64) << np.uint64(6) | pairs["sym"].to_numpy(np.uint64)
