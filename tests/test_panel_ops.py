@@ -124,3 +124,17 @@ def test_t_quantiles_far_out():
     from sparkpanel.functions import dist
     assert dist.t_ppf(0.9999, 1) == pytest.approx(3183.0988, rel=1e-5)
     assert dist.t_ppf(0.025, 30) == pytest.approx(-2.042272, abs=1e-5)
+
+
+def test_results_table_and_its_text(spark):
+    from sparkpanel.operators import report
+    coefs = spark.createDataFrame([("(1)", 1, "x", 0.5, 0.1, 0.001), ("(2)", 1, "x", 0.25, 0.2, 0.2), ("(2)", 2, "z", None, None, None)],
+                                  "model string, position int, term string, estimate double, std_error double, p double")
+    stats = spark.createDataFrame([("(1)", "N", 1234.0), ("(1)", "r2", 0.9), ("(1)", "r2_within", 0.1), ("(2)", "N", 10.0), ("(2)", "r2_within", -0.3)],
+                                  "model string, stat string, value double")
+    t = report.regression_table(coefs, stats, ["(1)", "(2)"], dec=3, keep=["x", "z"], labels={"x": "Spending", "z": "Zero"})
+    rows = {(r.row, r.stat): (r["(1)"], r["(2)"]) for r in t.collect()}
+    assert rows["Spending", "b"] == ("0.500***", "0.250") and rows["Spending", "se"] == ("(0.100)", "(0.200)")
+    assert rows["Zero", "b"] == (None, None) and rows["Observations", "value"] == ("1,234", "10") and rows["R-squared", "value"] == ("0.900", "-0.300")
+    text = report.render_table(t, ["(1)", "(2)"], "Table 1", ["OLS", "IV"], ["SE in brackets"]).split("\n")
+    assert text[0] == "Table 1" and text[3].split() == ["OLS", "IV"] and text[5].split() == ["Spending", "0.500***", "0.250"] and text[-1] == "SE in brackets"
