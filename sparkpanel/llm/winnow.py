@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpanel.llm.common import SEP_RE, let, table, written
+from sparkpanel.llm.common import SEP_RE, SEPARATORS, let, table, written
 
 MIN_WORDS = 50
 
@@ -42,7 +42,7 @@ MIN_WORDS = 50
 def lines_of(text: Column) -> Column:
     """array<struct<p, n, a, b>> of a text's lines with a word: place, words, two hashes."""
     def line(raw: Column, p: Column) -> Column:
-        s = F.regexp_replace(raw, f"^{SEP_RE}+|{SEP_RE}+$", "")
+        s = F.btrim(raw, F.lit(SEPARATORS.decode()))
         return F.struct(p.cast("int").alias("p"), F.when(s == "", 0).otherwise(F.size(F.split(s, SEP_RE + "+"))).alias("n"),
                         F.xxhash64(s).alias("a"), F.xxhash64(F.lit(7), s).alias("b"))
 
@@ -101,7 +101,8 @@ def agreeing(mine: Column, other: Column) -> Column:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the text) and ``gone``: the line numbers (from 0) to delete, for each text that has some."""
     rows = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), lines_of(docs[text_col]).alias("lines"))
-    spots = rows.select("id", "th", F.explode(windows_of(F.col("lines"), min_words)).alias("w")).select("id", "th", "w.*")
+    # read twice: for the counts of fingerprints, and for the windows that go on
+    spots = written(rows.select("id", "th", F.explode(windows_of(F.col("lines"), min_words)).alias("w")).select("id", "th", "w.*"))
     marks = spots.select("f", "id", "th", "fp").distinct()
     twice = marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     spots = written(spots.join(twice, "f", "left_semi").drop("f", "fp"))
