@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkpanel.llm.common import mix, table, text_slices, word_hashes, written
+from sparkpanel.llm.common import largest, mix, table, text_slices, word_hashes, written
 
 STATES, TOP, SHAPES, HEAVY = 8, 2_000, 128, 100_000
 SEGMENT, ROUNDS, START_DOCS, START_ROUNDS = 128, 2, 600, 12
@@ -125,7 +125,7 @@ class Vocab:
 
 def vocabulary(counts: DataFrame, top: int = TOP, heavy: int = HEAVY) -> Vocab:
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    most = counts.orderBy(F.desc("c"), "tok").limit(heavy).toPandas()            # at most ``heavy`` rows
+    most = largest(counts, "c", heavy, "tok").toPandas()            # at most ``heavy`` rows
     word = (most["tok"] != END).to_numpy()
     cls = np.where(word, np.cumsum(word) - 1, -1)
     cls[cls >= top] = -1
@@ -328,7 +328,10 @@ def score_documents(docs: DataFrame, states: int = STATES, top: int = TOP, heavy
     train = docs.filter(~held_out(docs["doc_id"])).select("doc_id", text.alias("text"))
     counts = written(count_tokens(train))
     vocab = vocabulary(counts, top, heavy)
-    sample = train.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(start_docs)
+    # smallest hashes: a range that holds twice as many texts is cut out before anything is sorted
+    texts = counts.filter(F.col("tok") == int(END)).agg(F.sum("c")).first()[0] or 0
+    bound = int(-(1 << 63) + (1 << 64) * min(1.0, 2 * start_docs / max(texts, 1))) - 1
+    sample = train.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.col("h") <= min(bound, (1 << 63) - 1)).orderBy("h", "text").limit(start_docs)
     t = train_start(sample, vocab, states, start_rounds)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)        # ``heavy`` tokens
     for _ in range(rounds):
