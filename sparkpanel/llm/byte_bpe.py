@@ -40,7 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkpanel.llm.common import SLICE_BYTES, mix, table, text_bytes, text_slices
+from sparkpanel.llm.common import mix, table, text_bytes, text_slices
+
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 20
 
 # Classes of code points; the order of the transition table below.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE_LAST, WHITE_LAST, WHITE_MORE, INSIDE, END = range(10)
@@ -211,8 +214,8 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 class ByteBPE:
     """Encoder and decoder of one rank file, with its cache of pieces (bounded; emptied when full)."""
 
-    SLOTS = 1 << 20
-    MAX_PIECES = 600_000
+    SLOTS = 1 << 19
+    MAX_PIECES = 300_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -302,7 +305,7 @@ class ByteBPE:
 
 @lru_cache(4)
 def codec(path: str) -> ByteBPE:
-    """One codec a worker process, so its cache lives on between tasks."""
+    """One codec a worker process; its cache is emptied at the end of a task."""
     return ByteBPE(path)
 
 
@@ -367,6 +370,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(a, b - a) for c in keep), _lists(ids, tokens, pa.int32()), _lists(ends, tokens, pa.int32())],
                     names=[*keep, "ids", "ends"])
+        bpe.reset()      # an idle worker holds no cache
 
     return df.select(*(df[c] for c in keep), df[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
 
@@ -406,6 +410,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(a, b - a) for c in keep), pa.array(tokens, pa.int64()), *map(pa.array, shas)],
                     names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.reset()      # an idle worker holds no cache
 
     return df.select(*(df[c] for c in keep), df[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
 

@@ -40,6 +40,7 @@ from sparkpanel.llm.common import mix, table, text_bytes, text_slices, written
 DIMS = 4_096
 PER_LANG = 600
 FAMILY_ROWS = 6_000    # rows of a family's decision, over all languages
+SLICE_BYTES = 1 << 19  # text whose features are made at once
 STEPS = 200
 RIDGE = 1e-4
 
@@ -167,7 +168,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Tree:
 
     def vectors(batches):
         for batch in batches:
-            for a, b in text_slices(batch.column("text")):
+            for a, b in text_slices(batch.column("text"), SLICE_BYTES):
                 x = features(batch.column("text").slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("n").slice(a, b - a),
                                                   pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "n", "x"])
@@ -217,7 +218,7 @@ def predict(df: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, known = batch.column("__text"), np.asarray(batch.column("__known"))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE_BYTES):
                 lang, score = ["und"] * (b - a), np.zeros(b - a)
                 at = np.flatnonzero(known[a:b])
                 if len(at) and shared.value.langs:

@@ -54,7 +54,7 @@ from sparkpanel.llm.common import mix, table, text_slices, word_hashes, written
 
 GROWTH, SMALL = 1.6, 128
 #: Segment rows of a bucket, rows a task holds before it sends them, and members from which a segment counts as frequent in a task.
-BUCKET_ROWS, BUFFER_ROWS, LOCAL_HOT = 1_500_000, 2_000_000, 16
+BUCKET_ROWS, BUFFER_ROWS, LOCAL_HOT = 1_500_000, 1_000_000, 16
 #: A segment is left out only if more sets than this have it.
 CHEAP = 8
 #: Growth of the size classes by which the last candidates are joined.
@@ -257,7 +257,7 @@ def shared(docs: DataFrame, width: int, rows_of, buckets: int) -> DataFrame:
                 tok, off = shingles(batch.column("text").slice(a, b - a), width)
                 node = node_of(tok, off)
                 fresh = np.fromiter((x not in seen for x in node.tolist()), bool, len(node))
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.update(node.tolist())
                 n = np.where(fresh, np.diff(off), 0)                      # copies within the task send nothing
