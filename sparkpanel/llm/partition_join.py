@@ -376,8 +376,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     left_out = (F.col("rank") <= F.col("spare")) & (F.col("freq") > CHEAP) & (F.col("slack") < 255)
     rows = rows.withColumns({"own": F.col("slack") < 255, "probe": (F.col("slack") < 255) & ~left_out})
     # of all segments that a set can probe with, spare + 1 must agree with a partner's: other sets only answer
-    rows = rows.withColumn("able", F.sum(F.col("own").cast("int")).over(Window.partitionBy("node")) > F.col("spare"))
-    rows = written(rows.select("sig", "node", "own", "probe", "spare", "able", "weight"))
+    rows = rows.withColumn("owned", F.sum(F.col("own").cast("int")).over(Window.partitionBy("node")))
+    rows = rows.withColumn("able", F.col("owned") > F.col("spare"))
+    rows = written(rows.select("sig", "node", "own", "probe", "spare", "owned", "able", "weight"))
+    # segments that no able set probes go, but a partner may agree in them: they still count below
     rows = written(rows.join(rows.filter("able AND probe").select("sig").distinct(), "sig", "left_semi"))
 
     involved = nodes.join(rows.select("node").distinct(), "node", "left_semi")
@@ -395,9 +397,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # pairs of different components: the sets whose segments other components have too, by their tokens
     own = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("probe").alias("probes")).filter("lo <> hi and probes > 0").select("sig")
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
     own = written(own.join(mixed, "sig", "left_semi"))
-    able = own.filter("own").groupBy("node").agg(F.count("*").alias("k"), F.first("spare").alias("spare")).filter("k > spare").select("node")
+    # own segments in which a set of another component may agree: those met here, and those that went because nobody probes them
+    stay = rows.filter("own").groupBy("node").agg(F.count("*").alias("stay"))
+    met = own.filter("own").groupBy("node").agg(F.count("*").alias("k"), F.first("spare").alias("spare"), F.first("owned").alias("owned"))
+    able = met.join(stay, "node").filter("k + owned - stay > spare").select("node")
     asked = own.filter("probe").join(able, "node", "left_semi").select("sig").distinct()
     open_ = written(own.join(asked, "sig", "left_semi").select("node", "comp").distinct())
     left = written(texts.join(open_, "node").select("node", "comp", "n", "text"))

@@ -145,3 +145,25 @@ def test_shingles_hash_equal_words_equally():
     tok, off = J.shingles(pa.array(["a b c d e", "A  B\tC\nD e", "a b c", None, "a b c d a b c d"]), 4)
     parts = [tok[a:b] for a, b in zip(off[:-1], off[1:])]
     assert [len(p) for p in parts] == [2, 2, 1, 0, 4] and (parts[0] == parts[1]).all()
+
+
+def test_links_over_segments_that_all_leave_out(docs_of):
+    """a and b agree in twelve segments that every holder leaves out, and in eleven whose anchor is a third set."""
+    first, segments, _ = J.bands(85)
+    band = int(np.searchsorted(first, 181, side="right")) - 1
+    names = [f"w{i}" for i in range(12_000)]
+    tok, _ = J.shingles(pa.array(names), 1)
+    m = int(segments[band])
+    seg = (J.mix(tok + np.array([band + 1], np.uint64) * J._K) >> np.uint64(32)) % np.uint64(m)
+    pool = {k: [names[i] for i in np.flatnonzero(seg == k)] for k in range(m)}
+    take = lambda ks: {k: [pool[k].pop() for _ in range(4)] for k in ks}
+    common, linked, other, rest = take(range(12)), take(range(12, 23)), take(range(23, 35)), take(range(23, m))
+    a = common | linked | {k: w[1:] if 23 <= k < 34 else w for k, w in rest.items()}
+    b = common | linked | {k: w[1:] if 34 <= k < 45 else w for k, w in rest.items()}
+    sets = [a, b, take(range(12)) | linked | other | take(range(35, m))]
+    sets += [common | take(range(12, m)) for _ in range(10)]
+    sets += [take(range(23)) | other | take(range(35, m)) for _ in range(15)]
+    rows = [(i, " ".join(w for k in sorted(s) for w in s[k])) for i, s in enumerate(sets)]
+    want = brute(rows, 1, 85)
+    assert (1, 181, 0) in want
+    assert run(docs_of(rows), 1, 85) == want
