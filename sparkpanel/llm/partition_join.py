@@ -76,11 +76,14 @@ def reach(n, percent: int):
 
 @lru_cache(8)
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size of each band (and one more), its segments, and whether it uses one-deletion neighbourhoods."""
+    """First size of each band (and one more), its segments, and whether it uses one-deletion neighbourhoods.
+
+    The first band holds the sets that have larger partners only.
+    """
     least = 1
     while not differences(least, percent):
         least += 1
-    first = [least]
+    first = [*range(-(-least * percent // 100), least)][:1] + [least]
     while first[-1] < 1 << 40:
         first.append(max(first[-1] + 1, int(np.ceil(first[-1] * GROWTH))))
     first = np.array(first, np.int64)

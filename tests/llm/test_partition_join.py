@@ -167,3 +167,28 @@ def test_links_over_segments_that_all_leave_out(docs_of):
     want = brute(rows, 1, 85)
     assert (1, 181, 0) in want
     assert run(docs_of(rows), 1, 85) == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_every_small_pair_of_sizes_meets(percent):
+    """All sizes up to 30 with the least intersection that links: the larger set meets the smaller one in a probed segment."""
+    rng = np.random.default_rng(3)
+    for n in range(1, 31):
+        for m in range(1, n + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both > m or n == m == both:
+                continue
+            for _ in range(3):
+                pick = np.unique(rng.integers(0, 1 << 62, n + m - both).astype(np.uint64))
+                rng.shuffle(pick)
+                big, small = np.sort(pick[:n]), np.sort(pick[n - both:])
+                rows = J.segment_rows(np.concatenate((big, small)), np.array([0, n, n + m]), np.array([1, 2], np.uint64), percent)
+                probes = rows[(rows["node"] == 1) & (rows["slack"] < 255)]
+                assert np.isin(probes["sig"], rows["sig"][rows["node"] == 2]).any(), (n, m)
+
+
+def test_smallest_texts_link(docs_of):
+    nine = [f"x{i}" for i in range(9)]
+    rows = [(1, " ".join(nine)), (2, " ".join([*nine, "y"])), (3, " ".join(nine[:8])), (4, " ".join(["z", *nine]))]
+    assert run(docs_of(rows), 4, 85) == brute(rows, 4, 85)
+    assert run(docs_of(rows), 5, 80) == brute(rows, 5, 80)
