@@ -363,7 +363,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, n_shingles, component_id of every row; see the module's text.  th is xxhash64 of the text."""
+    """doc_id, th, n_shingles, component_id, comp of every row; see the module's text.
+
+    th is xxhash64 of the text.  comp tells components apart, whatever their ids
+    (null: no words); component_id is the smallest id in the component.
+    """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sets = written(set_table(docs, width, percent))
     stats = sets.agg(F.sum("n"), F.collect_set(F.when(F.col("short") >= 0, F.col("short")))).first()     # bands: a few dozen
@@ -417,9 +421,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     named = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
+    named = named.join(least, "comp").select("node", "comp", "component_id")
     out = sets.join(named, (sets["node"] == named["node"]) & (sets["n"] > 0), "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

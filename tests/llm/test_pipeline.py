@@ -55,3 +55,12 @@ def test_edges(spark):
     assert single.columns == docs.columns and sorted(str(r.doc_id) for r in single.collect()) == ["1", "2", "3", "4", "5", "None"]
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_null_and_shared_ids_are_no_group(spark):
+    """Unlinked documents stay, whatever their ids; linked ones go, whatever their ids."""
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[0]), (8, texts[5]), (9, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.ngram_join(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in dict.fromkeys(rows) if i != 9)
