@@ -15,11 +15,10 @@ Training:
 * the ``HEAVY`` most frequent tokens (a fixed bound) go to all tasks; the other
   words of a text meet their counts in a shuffle join, so a frequent word is
   never a hot key;
-* Baum-Welch: starting tables from ``START_ROUNDS`` rounds on at most
-  ``START_DOCS`` training texts (those of smallest hash), then ``ROUNDS`` rounds
-  over all training texts.  Each task sums its expected counts over segments of
-  ``SEGMENT`` tokens that cover its whole texts; one aggregate per round adds
-  the tasks' tables.
+* Baum-Welch: every round covers all training texts, whose classes are written
+  once.  Each task sums its expected counts over segments of ``SEGMENT`` tokens
+  that cover its whole texts; one aggregate per round adds the tasks' tables.
+  Rounds end when the summed log likelihood rises by less than ``RISE`` of itself.
 
 Scoring runs the scaled forward recursion over whole texts, many texts abreast.
 
@@ -40,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkpanel.llm.common import largest, mix, table, text_slices, word_hashes, written
+from sparkpanel.llm.common import SLICE_BYTES, largest, mix, table, text_slices, word_hashes, written
 
 STATES, TOP, SHAPES, HEAVY = 8, 2_000, 128, 100_000
-SEGMENT, ROUNDS, START_DOCS, START_ROUNDS = 128, 2, 600, 12
+SEGMENT, RISE = 128, 1e-4
 SMOOTH = 0.1
 END = np.int64(-1)          # the end token's number; no word has it
 SEED = 20240607
@@ -148,6 +147,7 @@ class Tables:
     start: np.ndarray       # state probabilities of the first token
     move: np.ndarray        # from state to state
     emit: np.ndarray        # class by state: emit[class, state]
+    log_like: float = -np.inf   # of the training texts, under the tables that these were made from
 
 
 def first_tables(vocab: Vocab, states: int, seed: int = SEED) -> Tables:
@@ -204,47 +204,54 @@ def next_tables(start: np.ndarray, move: np.ndarray, emit: np.ndarray, vocab: Vo
     return Tables(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train_start(texts: DataFrame, vocab: Vocab, states: int, rounds: int) -> Tables:
-    """Rounds on a bounded sample, in one task.  ``texts`` has at most START_DOCS rows (text, h)."""
+def classes_of(texts: DataFrame, vocab) -> DataFrame:
+    """seq: the classes of each text's tokens, 16 bits each; ``vocab`` is a broadcast Vocab."""
 
     def run(batches):
-        batches = list(batches)
-        t = first_tables(vocab, states)
-        if batches and sum(b.num_rows for b in batches):
-            rows = pa.Table.from_batches(batches).sort_by([("h", "ascending"), ("text", "ascending")])
-            tok, shape, off = tokens_of(pa.concat_arrays(rows.column("text").chunks))
-            seq, _ = vocab.look_up(tok, shape)
-            for _ in range(rounds):
-                t = next_tables(*expected_counts(seq, off, t)[:3], vocab)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (t.start, t.move, t.emit)], names=["start", "move", "emit"])
-
-    r = texts.coalesce(1).mapInArrow(run, "start binary, move binary, emit binary").first()
-    if r is None:
-        return first_tables(vocab, states)
-    return Tables(np.frombuffer(r["start"]), np.frombuffer(r["move"]).reshape(states, states), np.frombuffer(r["emit"]).reshape(-1, states))
+        for batch in batches:
+            for a, b in text_slices(batch.column("text")):
+                tok, shape, off = tokens_of(batch.column("text").slice(a, b - a))
+                seq = vocab.value.look_up(tok, shape)[0].astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([seq[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], names=["seq"])
+
+    return texts.select("text").mapInArrow(run, "seq binary")
 
 
 def train_round(texts: DataFrame, vocab, t: Tables) -> Tables:
-    """One Baum-Welch round over all texts; ``vocab`` is a broadcast Vocab."""
+    """One Baum-Welch round over all texts, or their ``classes_of``; ``vocab`` is a broadcast Vocab."""
+    rows = texts if "seq" in texts.columns else classes_of(texts, vocab)
     states, classes = len(t.start), len(t.emit)
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(t)
+    size = states + states * states + states * classes
+    shared = texts.sparkSession.sparkContext.broadcast(t)
 
     def run(batches):
-        total = np.zeros(states + states * states + states * classes)
+        total = np.zeros(size + 1)
         for batch in batches:
-            for a, b in text_slices(batch.column("text")):
-                tok, shape, off = tokens_of(batch.column("text").slice(a, b - a))
-                seq, _ = vocab.value.look_up(tok, shape)
-                s, m, e, _ = expected_counts(seq, off, shared.value)
-                total += np.concatenate((s, m.ravel(), e.ravel()))
+            for a, b in text_slices(batch.column("seq"), SLICE_BYTES // 3):
+                parts = [np.frombuffer(x, np.uint16) for x in batch.column("seq").slice(a, b - a).to_pylist()]
+                seq, off = np.concatenate(parts).astype(np.int64), np.append(0, np.cumsum([len(x) for x in parts]))
+                s, m, e, log_like = expected_counts(seq, off, shared.value)
+                total += np.concatenate((s, m.ravel(), e.ravel(), [log_like]))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["k", "x"])
 
-    sums = texts.select("text").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas()   # the tables' size
-    total = np.zeros(states + states * states + states * classes)
+    sums = rows.select("seq").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas()   # the tables' size
+    total = np.zeros(size + 1)
     total[sums["k"].to_numpy(int)] = sums["x"].to_numpy(float)
-    return next_tables(total[:states], total[states:states + states * states].reshape(states, states), total[states + states * states:].reshape(states, classes), vocab.value)
+    new = next_tables(total[:states], total[states:states + states * states].reshape(states, states), total[states + states * states:size].reshape(states, classes), vocab.value)
+    new.log_like = float(total[size])
+    return new
+
+
+def train_all(texts: DataFrame, vocab, states: int, rise: float = RISE) -> Tables:
+    """Rounds over all texts until their log likelihood stops rising; ``vocab`` is a broadcast Vocab."""
+    rows = written(classes_of(texts, vocab))
+    t = first_tables(vocab.value, states)
+    while True:
+        new = train_round(rows, vocab, t)
+        if new.log_like - t.log_like <= rise * abs(new.log_like):
+            return new
+        t = new
 
 
 def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables) -> np.ndarray:
@@ -321,21 +328,14 @@ def score_texts(df: DataFrame, counts: DataFrame, vocab, t: Tables) -> DataFrame
         (F.col("base") + logs - F.col("n_tokens") * each).alias("base_score"), (F.col("model") + logs).alias("score"))
 
 
-def score_documents(docs: DataFrame, states: int = STATES, top: int = TOP, heavy: int = HEAVY, rounds: int = ROUNDS,
-                    start_docs: int = START_DOCS, start_rounds: int = START_ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, top: int = TOP, heavy: int = HEAVY, rise: float = RISE) -> DataFrame:
     """``docs`` (doc_id, text, ...) without text, with held_out, the counts and both scores."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     train = docs.filter(~held_out(docs["doc_id"])).select("doc_id", text.alias("text"))
     counts = written(count_tokens(train))
     vocab = vocabulary(counts, top, heavy)
-    # smallest hashes: a range that holds twice as many texts is cut out before anything is sorted
-    texts = counts.filter(F.col("tok") == int(END)).agg(F.sum("c")).first()[0] or 0
-    bound = int(-(1 << 63) + (1 << 64) * min(1.0, 2 * start_docs / max(texts, 1))) - 1
-    sample = train.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.col("h") <= min(bound, (1 << 63) - 1)).orderBy("h", "text").limit(start_docs)
-    t = train_start(sample, vocab, states, start_rounds)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)        # ``heavy`` tokens
-    for _ in range(rounds):
-        t = train_round(train, shared, t)
+    t = train_all(train, shared, states, rise)
     rows = docs.drop("held_out", "train_tokens").withColumns({"held_out": held_out(docs["doc_id"]), "text": text})
     return score_texts(rows, counts, shared, t).withColumn("train_tokens", F.lit(vocab.n).cast("long"))
 

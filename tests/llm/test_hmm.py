@@ -129,3 +129,21 @@ def test_edges(spark, docs_of):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     (alone,) = H.score_documents(docs_of([(held, "a b")])).collect()
     assert alone.held_out and alone.train_tokens == 0 and alone.base_score == 0 and alone.n_known == 0
+
+
+def test_training_reads_all_texts_until_the_likelihood_stops_rising(spark, docs_of, monkeypatch):
+    """Every round covers each training text, and a further round gains next to nothing."""
+    rows = [(i, " ".join(f"{'ab'[(i + j) % 2]}{(i * j) % 7}" for j in range(3 + i % 9))) for i in range(900)]
+    df = docs_of(rows)
+    rounds, one = [], H.train_round
+
+    def watched(texts, vocab, t):
+        rounds.append((texts.count(), one(texts, vocab, t)))
+        return rounds[-1][1]
+
+    monkeypatch.setattr(H, "train_round", watched)
+    scored = H.score_documents(df)
+    train = [r for r in scored.select("held_out").collect() if not r.held_out]
+    assert len(train) > 600 and {n for n, _ in rounds} == {len(train)}
+    gains = [(b.log_like - a.log_like) / abs(b.log_like) for (_, a), (_, b) in zip(rounds, rounds[1:])]
+    assert gains[-1] <= H.RISE and all(g > H.RISE for g in gains[:-1])
