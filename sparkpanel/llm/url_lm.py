@@ -6,9 +6,11 @@ trained on the URLs that rules allow and one on those that rules block:
 
 * counts of (context, character) for contexts of 0 to ``ORDER`` characters,
   pre-aggregated inside each task before one shuffle;
-* per class the ``MAX_CONTEXTS`` most frequent contexts are kept (ties by
-  order and context), so the order varies with how often a context was seen,
-  and the model's size has a fixed bound whatever the data;
+* all counted contexts stay in a written table.  Per class the ``MAX_CONTEXTS``
+  most frequent ones (ties by order and context) go to all tasks; the others
+  meet the slices of 2,048 URLs that ask for them in a shuffle join, so
+  a frequent context is never a hot key, and the score does not depend on the
+  bound;
 * Witten-Bell interpolation: a context seen ``n`` times with ``t`` different
   characters gives its shorter context the weight ``t / (n + t)``; the
   shortest one falls back on a uniform character.
@@ -42,7 +44,8 @@ from sparkpanel.llm.common import largest, table, text_bytes, text_slices, writt
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 ORDER = 5              # longest context
-MAX_CONTEXTS = 20_000  # contexts kept a class
+MAX_CONTEXTS = 20_000  # contexts a class that are broadcast
+SLICE_ROWS_LOG2 = 11   # URLs that ask for the other contexts together: 2,048
 BINS = 400             # of the calibration histogram
 RAW_LIMIT = 4.0        # raw scores beyond +-4 nats a character fall in the outer bins
 #: Symbols of the models: letters, digits and frequent marks have their own, every other byte shares one.
@@ -134,6 +137,30 @@ class Model:
         diff = np.append(0, np.cumsum(self.log_prob(0, sym, keys) - self.log_prob(1, sym, keys)))
         return (diff[off[1:]] - diff[off[:-1]]) / np.maximum(np.diff(off), 1)
 
+    def lacks(self, key: np.ndarray) -> np.ndarray:
+        """Contexts that one of the classes does not have here."""
+        return ~(np.isin(key, self.contexts[0]) & np.isin(key, self.contexts[1]))
+
+    def extended(self, rest: pa.Table) -> Model:
+        """This model and the contexts of ``rest`` (ctx, sym, and for each class the context's n and t and the pair's count c)."""
+        ctx, sym = (rest.column(c).to_numpy().astype(np.uint64) for c in ("ctx", "sym"))
+        out = Model([], [], [], [], [], self.order)
+        for cls in (0, 1):
+            n, t, c = (rest.column(f"{x}{cls}").to_numpy().astype(float) for x in "ntc")
+            new = (n > 0) & ~np.isin(ctx, self.contexts[cls])
+            key, at = np.unique(ctx[new], return_index=True)
+            contexts = np.concatenate((self.contexts[cls], key))
+            by = np.argsort(contexts)
+            out.contexts.append(contexts[by])
+            out.seen.append(np.concatenate((self.seen[cls], n[new][at]))[by])
+            out.kinds.append(np.concatenate((self.kinds[cls], t[new][at]))[by])
+            both = new & (c > 0)
+            pairs = np.concatenate((self.pairs[cls], ctx[both] << np.uint64(6) | sym[both]))
+            by = np.argsort(pairs)
+            out.pairs.append(pairs[by])
+            out.counts.append(np.concatenate((self.counts[cls], c[both]))[by])
+        return out
+
 
 def count_contexts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """cls, ctx, sym, n over (cls int, body string): summed in each task, then by key."""
@@ -156,8 +183,11 @@ def count_contexts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def train(labelled: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Models of the classes 0 (accepted) and 1 (rejected)."""
-    counts = written(count_contexts(labelled, order))
+    """Models of the classes 0 (accepted) and 1 (rejected), with their most frequent contexts."""
+    return most_frequent(written(count_contexts(labelled, order)), order, max_contexts)
+
+
+def most_frequent(counts: DataFrame, order: int, max_contexts: int) -> Model:
     by_context = counts.groupBy("cls", "ctx").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"))
     out = Model([], [], [], [], [], order)
     for cls in (0, 1):
@@ -174,24 +204,45 @@ def train(labelled: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTE
     return out
 
 
-def raw_scores(df: DataFrame, model: Model, body: str = "body", name: str = "raw") -> DataFrame:
-    """``df`` with the raw score of a string column."""
+def raw_scores(df: DataFrame, model: Model, counts: DataFrame, body: str = "body", name: str = "raw") -> DataFrame:
+    """``df`` with the raw score of a string column; ``counts`` has all contexts, ``model`` the most frequent ones."""
     shared = df.sparkSession.sparkContext.broadcast(model)   # at most 2 * MAX_CONTEXTS contexts
+    urls = written(df.withColumn("__slice", F.shiftright(F.monotonically_increasing_id(), SLICE_ROWS_LOG2)))
 
-    def run(batches):
+    def ask(batches):
+        m = shared.value
         for batch in batches:
-            arr = batch.column(body)
-            raw = [shared.value.raw(arr.slice(a, b - a)) for a, b in text_slices(arr)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(raw) if raw else np.zeros(0))], names=[*batch.schema.names, name])
+            of = np.asarray(batch.column("__slice"))
+            for a, b in text_slices(batch.column("body")):
+                sym, keys, off = _contexts(batch.column("body").slice(a, b - a), m.order)
+                row = np.repeat(of[a:b], np.diff(off))
+                for key in keys:
+                    lacks = m.lacks(key)
+                    for k in np.unique(row[lacks]):
+                        pair = np.unique((key << np.uint64(6) | sym)[lacks & (row == k)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), k)), pa.array((pair >> np.uint64(6)).astype(np.int64)),
+                                                          pa.array((pair & np.uint64(63)).astype(np.int32))], names=["__slice", "ctx", "sym"])
+
+    asked = urls.select("__slice", F.col(body).alias("body")).mapInArrow(ask, "__slice long, ctx long, sym int").distinct()
+    sums = [x for c in (0, 1) for x in (F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"n{c}"), F.count_if(F.col("cls") == c).alias(f"t{c}"))]
+    table_ = counts.groupBy("ctx").agg(*sums, F.collect_list(F.struct("cls", F.col("sym").alias("s"), "n")).alias("pairs"))   # at most 2 * WIDTH pairs
+    count = lambda c: F.coalesce(F.get(F.filter("pairs", lambda x: (x["cls"] == c) & (x["s"] == F.col("sym"))), F.lit(0))["n"], F.lit(0))
+    rest = asked.join(table_, "ctx").select("__slice", "ctx", "sym", "n0", "t0", "n1", "t1", count(0).alias("c0"), count(1).alias("c1"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = shared.value.extended(right)
+        arr = left.column(body).combine_chunks()
+        raw = [m.raw(arr.slice(a, b - a)) for a, b in text_slices(arr)]
+        return left.drop_columns(["__slice"]).append_column(name, pa.array(np.concatenate(raw) if raw else np.zeros(0)))
 
     schema = type(df.schema)(list(df.schema.fields)).add(name, "double")
-    return df.mapInArrow(run, schema)
+    return urls.groupBy("__slice").cogroup(rest.groupBy("__slice")).applyInArrow(run, schema)
 
 
 def calibrate(model: Model, held: DataFrame) -> Model:
-    """Fit the logistic curve to held-out (cls, body) rows through a histogram of fixed bins."""
+    """Fit the logistic curve to held-out (cls, raw) rows through a histogram of fixed bins."""
     bin_ = F.floor((F.least(F.greatest(F.col("raw"), F.lit(-RAW_LIMIT)), F.lit(RAW_LIMIT)) + RAW_LIMIT) / (2 * RAW_LIMIT) * (BINS - 1) + 0.5)
-    rows = raw_scores(held.select("cls", "body"), model).groupBy("cls", bin_.cast("int").alias("bin")).count().collect()   # 2 * BINS at most
+    rows = held.groupBy("cls", bin_.cast("int").alias("bin")).count().collect()   # 2 * BINS at most
     hist = np.zeros((2, BINS))
     for r in rows:
         hist[r["cls"], r["bin"]] = r["count"]
@@ -226,11 +277,14 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, accept: float
     body = F.when(has, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     judged = df.select(*(df[c] for c in keep), host.alias("host"), path.alias("path"), body.alias("__body"))
     judged = judged.withColumns({"rule": rule, "__kind": kind})
-    fold = F.pmod(F.crc32("body"), F.lit(5))
-    labelled = judged.filter("__kind is not null").select(F.when(F.col("__kind") == "allow", 0).otherwise(1).alias("cls"), F.col("__body").alias("body"))
-    model = calibrate(train(labelled.filter(fold != 0), order, max_contexts), labelled.filter(fold == 0))
+    fold = F.pmod(F.crc32("__body"), F.lit(5))
+    labelled = judged.filter("__kind is not null").withColumn("cls", F.when(F.col("__kind") == "allow", 0).otherwise(1))
+    counts = written(count_contexts(labelled.filter(fold != 0).select("cls", F.col("__body").alias("body")), order))
+    model = most_frequent(counts, order, max_contexts)
     both = len(model.contexts[0]) and len(model.contexts[1])
-    scored = raw_scores(judged, model, "__body")
+    scored = written(raw_scores(judged, model, counts, "__body"))
+    held = scored.filter(F.col("__kind").isNotNull() & (fold == 0)).select(F.when(F.col("__kind") == "allow", 0).otherwise(1).alias("cls"), "raw")
+    model = calibrate(model, held)
     p = 1 / (1 + F.exp(-(F.lit(model.a) * F.col("raw") + F.lit(model.b)))) if both else F.lit(1.0)
     p = F.when(F.col("__body") == "", F.lit(1.0)).otherwise(p)
     verdict = F.coalesce("__kind", F.when(F.col("p_accept") < accept, "block").otherwise("allow"))

@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -82,3 +83,17 @@ def test_bound_on_contexts_and_learning(spark):
         got = {r.page_id: r.verdict for r in U.filter_urls(df, max_contexts=most).filter("page_id >= 1000").collect()}
         assert sum(v == ("allow" if i % 2 else "block") for i, v in got.items()) >= 97
     assert len(U.train(df.select(F.lit(0).alias("cls"), F.col("url").alias("body")), max_contexts=60).contexts[0]) == 60
+
+
+def test_contexts_beyond_the_bound_count(spark):
+    """Scores are those of all counted contexts, however few are broadcast."""
+    rows = [(i, f"http://h{i % 50}.{'org' if i % 2 else 'com/de'}/{'good' if i % 2 else 'bad'}/{i}") for i in range(300)]
+    rows += [(1000, "http://k.net/good/7"), (1001, "http://k.net/bad/8"), (1002, None), (1003, "http://h1.com/de/x/never")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    body = lambda u: u.split("://", 1)[1]
+    train = [(0 if i % 2 else 1, body(u)) for i, u in rows[:300] if zlib.crc32(body(u).encode()) % 5]
+    train += [(1, body(rows[-1][1]))] * (zlib.crc32(body(rows[-1][1]).encode()) % 5 > 0)
+    got = {r.page_id: r.raw for r in U.filter_urls(df, max_contexts=40).collect()}
+    assert len(got) == len(rows)
+    for i, u in [*rows[:4], *rows[300:]]:
+        assert got[i] == pytest.approx(plain_raw(train, body(u) if u else "", U.ORDER), abs=1e-9)
