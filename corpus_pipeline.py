@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from sparkpanel.llm import byte_bpe, lang_tree, mix_tree, partition_join, winnow
 from sparkpanel.llm.common import table, written
 
-#: Least confidence of the language stage; texts without a letter are rejected too.
-MIN_LANG_SCORE = 0.2
+#: Share of the held-out texts of known language that the language stage's least confidence keeps; texts without a letter are rejected too.
+KEEP_LANG = 0.999
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised.  A missing ``lang`` is filled in by the prediction."""
-    rows = lang_tree.identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
+    """Documents whose language is recognised.  A missing ``lang`` is filled in by the prediction.
+
+    The least confidence is set on the held-out texts; where there are none, any prediction is taken.
+    """
+    tree = lang_tree.tree_of(docs)
+    least = lang_tree.least_score(docs, tree, KEEP_LANG) or 0.0
+    rows = lang_tree.predict(docs, tree).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

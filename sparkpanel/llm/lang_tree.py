@@ -238,11 +238,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def tree_of(docs: DataFrame, per_lang: int = PER_LANG) -> Tree:
+    """The tree learned from the fold of ``docs`` that is not held out."""
+    known = docs.select("lang", "text", F.col("doc_id").alias("key"), held_out(docs["doc_id"]).alias("held"))
+    return train(known.filter("not held").drop("held"), per_lang)
+
+
+def least_score(docs: DataFrame, tree: Tree, keep: float) -> float | None:
+    """The score that a share ``keep`` of the held-out texts reach whose language is predicted right.  None without such texts."""
+    held = docs.filter(held_out(docs["doc_id"]) & F.col("lang").isNotNull()).select("lang", "text")
+    right = predict(held, tree).filter(F.col("lang") == F.col("lang_pred"))
+    return right.agg(F.percentile_approx("score", 1 - keep, 100_000)).first()[0]
+
+
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with held_out, lang_pred and score."""
-    known = docs.select("lang", "text", F.col("doc_id").alias("key"), held_out(docs["doc_id"]).alias("held"))
-    tree = train(known.filter("not held").drop("held"), per_lang)
-    return predict(docs.withColumn("held_out", held_out(docs["doc_id"])), tree)
+    return predict(docs.withColumn("held_out", held_out(docs["doc_id"])), tree_of(docs, per_lang))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers as P
@@ -64,3 +65,17 @@ def test_null_and_shared_ids_are_no_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = C.ngram_join(spark, docs, SF).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in dict.fromkeys(rows) if i != 9)
+
+
+def test_lettered_gibberish_goes(spark):
+    """Texts in no learned language are rejected; the clean ones stay, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (3, 10, 40, 200) for _ in range(20)]
+    short = [r.text for r in docs.filter("length(text) between 8 and 100 and lang is not null").orderBy("doc_id").collect() if any(map(str.isalpha, r.text))]
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "a", len(t)) for i, t in enumerate([*junk, *short])], docs.schema)
+    kept = [r.doc_id for r in C.language_id(spark, docs.unionByName(more), SF).collect()]
+    extra = [i - 10_000_000 for i in kept if i >= 10_000_000]
+    assert sum(i < len(junk) for i in extra) <= 0.15 * len(junk)
+    assert sum(i >= len(junk) for i in extra) >= 0.97 * len(short) > 10
+    assert len(kept) - len(extra) >= 0.98 * docs.count()
