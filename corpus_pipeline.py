@@ -16,6 +16,8 @@ from sparkpanel.llm.common import table, written
 
 #: Share of the held-out texts of known language that the language stage's least confidence keeps; texts without a letter are rejected too.
 KEEP_LANG = 0.999
+#: That confidence is never set above this: a prediction likelier than not is taken, however sure the held-out texts are.
+MOST_LEAST = 0.5
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
@@ -25,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The least confidence is set on the held-out texts; where there are none, any prediction is taken.
     """
     tree = lang_tree.tree_of(docs)
-    least = lang_tree.least_score(docs, tree, KEEP_LANG) or 0.0
+    least = min(lang_tree.least_score(docs, tree, KEEP_LANG) or 0.0, MOST_LEAST)
     rows = lang_tree.predict(docs, tree).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
