@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkpanel.llm import block_knn, byte_bpe, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
+from sparkpanel.llm import block_knn, byte_bpe, hard_negatives, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
 
 QUERIES = {
     "op1_url_lm": url_lm.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op9_hmm": hmm.query,
     "op10_lang_tree": lang_tree.query,
     "op8_perm_shards": perm_shards.query,
+    "op11_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
     "op2_block_knn": block_knn.ORACLE,
     "op4_risk_rules": risk_rules.oracle(),
     "op8_perm_shards": perm_shards.oracle(),
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
