@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkpanel.llm import block_knn, byte_bpe, hard_negatives, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
+from sparkpanel.llm import bag_search, block_knn, byte_bpe, hard_negatives, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
 
 QUERIES = {
     "op1_url_lm": url_lm.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_lang_tree": lang_tree.query,
     "op8_perm_shards": perm_shards.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_bag_search": bag_search.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_risk_rules": risk_rules.oracle(),
     "op8_perm_shards": perm_shards.oracle(),
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_bag_search": bag_search.ORACLE,
 }
