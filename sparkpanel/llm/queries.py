@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkpanel.llm import bag_search, block_knn, byte_bpe, hard_negatives, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, winnow
+from sparkpanel.llm import bag_search, block_knn, byte_bpe, hard_negatives, hmm, lang_tree, mix_tree, partition_join, perm_shards, risk_rules, url_lm, warc, winnow
 
 QUERIES = {
     "op1_url_lm": url_lm.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_perm_shards": perm_shards.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_bag_search": bag_search.query,
+    "op13_warc": warc.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_perm_shards": perm_shards.oracle(),
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_bag_search": bag_search.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
