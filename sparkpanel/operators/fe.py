@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkpanel.functions import dist
+from sparkpanel.operators import fe_levels
 from sparkpanel.session import cut_lineage, local_frame
 
 DRIVER_VALUES = 500_000   # CG vectors of up to this many doubles are kept on the driver, larger ones as Spark tables
@@ -596,6 +597,17 @@ def _independent(M: np.ndarray, raw: np.ndarray, order: list[int]) -> list[int]:
     return kept
 
 
+def _first_stage_parts(fit: dict) -> dict:
+    """Of the first stages of a fit, as weights over all columns: instruments ``z`` without the exogenous terms, residuals ``e``; their moments."""
+    M, endog, exog, excluded = (fit[k] for k in ("M", "endog", "exog", "excluded"))
+    eye = np.eye(len(M))
+    out = lambda i: eye[i] - (eye[exog].T @ _solve_sym(M[np.ix_(exog, exog)], M[exog, i]) if exog else 0)
+    z, y = (np.array([out(i) for i in which]).reshape(len(which), len(M)) for which in (excluded, endog))
+    zz, zy, yy = z @ M @ z.T, z @ M @ y.T, y @ M @ y.T
+    pi = _solve_sym(zz, zy) if endog else np.zeros((0, 0))
+    return dict(z=z, e=y - pi.T @ z if endog else y, zz=zz, yy=yy, pi=pi)
+
+
 def _weak_identification(M: np.ndarray, endog: list[int], exog: list[int], excluded: list[int], dof: float) -> float:
     """Cragg-Donald F: smallest eigenvalue of the first stages' explained against unexplained variation, per instrument."""
     def without(a, b):
@@ -613,9 +625,33 @@ def _weak_identification(M: np.ndarray, endog: list[int], exog: list[int], exclu
     return float(np.linalg.eigvalsh((inner + inner.T) / 2).min() / len(excluded))
 
 
+def rank_statistic(zz: np.ndarray, yy: np.ndarray, pi: np.ndarray, meat: np.ndarray) -> float:
+    """Robust statistic of the hypothesis that the first stages ``pi`` (instruments x endogenous) have not full rank.
+
+    ``zz``, ``yy``: cross products of the instruments and of the endogenous terms, the exogenous ones partialled out;
+    ``meat``: of the stacked scores z_l * e_j, endogenous terms outermost.  The coefficients are scaled to unit variation,
+    cut by a singular value decomposition, and the part beyond rank m - 1 is weighed by its variance.
+    """
+    a, b = np.linalg.cholesky(zz), np.linalg.cholesky(yy)
+    m = pi.shape[1]
+    theta = a.T @ np.linalg.solve(b, pi.T).T
+    left, _, right = np.linalg.svd(theta)
+    # var vec(pi) = (I x zz^-1) meat (I x zz^-1); theta = a' pi b'^-1, hence vec(theta) = (b^-1 x a') vec(pi)
+    to = np.kron(np.linalg.inv(b), np.linalg.inv(a))
+    var = to @ meat @ to.T
+    u, v = left[:, m - 1:], right[m - 1, :]
+    u22, v22 = u[m - 1:, :], v[m - 1]
+    half = lambda x: (lambda w, q: (q * np.sqrt(np.clip(w, 0, None))) @ q.T)(*np.linalg.eigh(x @ x.T))
+    side = u @ np.linalg.solve(u22, half(u22))
+    other = v * (abs(v22) / v22)
+    take = np.kron(other[None, :], side.T)
+    rest = take @ theta.T.reshape(-1)
+    return float(rest @ np.linalg.solve(take @ var @ take.T, rest))
+
+
 def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=None, by: str | None = None,
-               prune_singletons: bool = True, dof: str = "levels", tol: float = 1e-13,
-               residual_means_by: list[str] | None = None) -> list[FEResult]:
+               prune_singletons: bool = True, dof: str = "pairwise", tol: float = 1e-13,
+               residual_means_by: list[str] | None = None, weak_id: bool = False) -> list[FEResult]:
     """Estimate several models that share FEs, cluster and sample in one set of passes.
 
     Models whose complete-case sample equals the union sample share one
@@ -654,17 +690,17 @@ def fit_models(df: DataFrame, specs: list[Spec], fes=(), cluster=None, sample=No
     out = []
     if shared:
         out += _fit_shared(base, shared, fes, ccols, by, prune_singletons, dof, tol,
-                           resid_by=residual_means_by)
+                           resid_by=residual_means_by, weak_id=weak_id)
     for i, s in enumerate(specs):
         if s in alone:
             out += _fit_shared(base, [s], fes, ccols, by, prune_singletons, dof, tol,
-                               resid_by=residual_means_by)
+                               resid_by=residual_means_by, weak_id=weak_id)
     base.unpersist()
     order = {s.name: i for i, s in enumerate(specs)}
     return sorted(out, key=lambda r: (order[r.extra_name], r.extra.get("group", 0)))
 
 
-def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=None) -> list[FEResult]:
+def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=None, weak_id=False) -> list[FEResult]:
     cols = _uniq([c for s in specs for c in s.cols()])
     # FEs interacted with the group when estimating by group
     fes_g = [tuple(_fe_cols(fe) + ([by] if by and by not in _fe_cols(fe) else [])) for fe in fes]
@@ -681,13 +717,15 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
     grows = [r.asDict() for r in d.groupBy(gcol).agg(*aggs).collect()]
     if not grows:
         raise ValueError("empty estimation sample")
+    fe_lists, counts = [_fe_cols(f) for f in fes_g], {r[gcol]: {} for r in grows}
     if cells is not None:
-        per = [F.count_distinct(*[F.col(c) for c in _fe_cols(f)]).alias(f"l{i}") for i, f in enumerate(fes_g)]
-        if not by:
+        if not set(ccols) <= set(cells.columns):
+            cells = d.groupBy(*_uniq([c for f in fe_lists for c in f] + ccols + [gcol])).agg(F.count(F.lit(1)).alias("n"))
+        elif not by:
             cells = cells.withColumn(gcol, F.lit(0))
-        found = {r[gcol]: r.asDict() for r in cells.groupBy(gcol).agg(*per).collect()}
+        counts = fe_levels.level_counts(cells, fe_lists, ccols, gcol)
         for r in grows:
-            r.update({k: v for k, v in found[r[gcol]].items() if k != gcol})
+            r.update({k: v for k, v in counts[r[gcol]].items() if k != gcol})
     groups = sorted(r[gcol] for r in grows)
     gstat = {r[gcol]: r for r in grows}
     gidx = {g: i for i, g in enumerate(groups)}
@@ -697,9 +735,10 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
         d = d.withColumn("__gi", gmap[F.col(gcol)])
     else:
         d = d.withColumn("__gi", F.lit(0))
-    # an FE whose columns are a strict subset of another FE's is spanned by it: same residuals
-    sets = [set(_fe_cols(f)) for f in fes_g]
-    fes_abs = [f for f, fs in zip(fes_g, sets) if not any(fs < o for o in sets)]
+    # an FE that a finer one explains leaves the same residuals
+    sets = [set(f) for f in fe_lists]
+    coarse = fe_levels.spanned(counts, len(fes_g)) | {i for i, fs in enumerate(sets) if any(fs < o for o in sets)}
+    fes_abs = [f for i, f in enumerate(fes_g) if i not in coarse]
     absorber = _Absorber(d, cols, fes_abs, tol=tol, levels=levels)
     r = absorber.run()
     # one aggregate per group: every cross product of the residualised columns
@@ -768,6 +807,17 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
         meat_aggs += [F.sum(F.col(f"s{si}_{a}") * F.col(f"s{si}_{b2}")).alias(f"m{si}_{a}_{b2}")
                       for a in range(k) for b2 in range(a, k)]
         resid_aggs.append(F.avg(uhat).alias(f"r{si}"))
+        # scores of the first stages: instrument (exogenous terms partialled out) times first-stage residual
+        for g in groups if weak_id and ccols else []:
+            fits[(si, g)]["first"] = _first_stage_parts(fits[(si, g)])
+        if weak_id and ccols and f0["endog"] and len({(tuple(fits[(si, g)]["endog"]), tuple(fits[(si, g)]["excluded"])) for g in groups}) > 1:
+            raise ValueError(f"{s.name}: groups differ in their usable instruments; fit them one by one for the weak-identification statistic")
+        if weak_id and ccols and f0["endog"]:
+            mix = lambda part, row: sum((per_group([fits[(si, g)]["first"][part][row][w] for g in groups]) * F.col(cols[w]) for w in range(m)
+                                         if any(fits[(si, g)]["first"][part][row][w] for g in groups)), F.lit(0.0))
+            pairs_ = [(e, z) for e in range(len(f0["endog"])) for z in range(len(f0["excluded"]))]
+            score_cols += [F.sum(mix("z", z) * mix("e", e)).alias(f"w{si}_{n}") for n, (e, z) in enumerate(pairs_)]
+            meat_aggs += [F.sum(F.col(f"w{si}_{a}") * F.col(f"w{si}_{b2}")).alias(f"wm{si}_{a}_{b2}") for a in range(len(pairs_)) for b2 in range(a, len(pairs_))]
     resid_rows = []
     if resid_by:
         resid_rows = r.groupBy("__gi", *resid_by).agg(F.count(F.lit(1)).alias("n"), *resid_aggs).collect()
@@ -776,11 +826,12 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
         sc = r.groupBy("__gi", *ccols).agg(*score_cols)
         for mr in sc.groupBy("__gi").agg(F.count(F.lit(1)).alias("g"), *meat_aggs).collect():
             meat[int(mr["__gi"])] = mr
+    # K: regressors + levels of FEs not nested in the cluster, less the redundant ones
+    if dof == "pairwise":
+        taken = fe_levels.absorbed(cells, fe_lists, counts, gcol) if cells is not None else dict.fromkeys(groups, 0)
+    else:
+        taken = {g: sum(r[f"l{i}"] - (dof == "levels_minus_one") for i in range(len(fes_g)) if not fe_levels.nested(r, i)) for g, r in counts.items()}
     absorber.release()
-    # K: regressors + levels of FEs not nested in the cluster (and not spanned by a finer FE)
-    fe_sets = [set(_fe_cols(f)) for f in fes_g]
-    counted = [i for i, fs in enumerate(fe_sets)
-               if not (ccols and set(ccols) <= fs) and not any(fs < o for o in fe_sets)]
     results = []
     for si, s in enumerate(specs):
         yj = ys.index(s.y)
@@ -790,8 +841,7 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
             nobs = int(st["n"])
             place, terms = f["place"], len(f["X"])
             k = len(place)
-            absorbed = sum(int(st[f"l{i}"]) - (1 if dof == "levels_minus_one" else 0) for i in counted)
-            dof_k = k + absorbed
+            dof_k = k + taken[g]
             vcov = np.full((terms, terms), np.nan)
             if ccols:
                 mr = meat[gidx[g]]
@@ -816,8 +866,19 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
                 extra["group"] = g
             if f["endog"]:
                 # every absorbed level counts here, nested in the cluster or not
-                free = nobs - k - sum(int(st[f"l{i}"]) for i in range(len(fes_g)) if not any(fe_sets[i] < o for o in fe_sets))
+                free = nobs - k - sum(int(st[f"l{i}"]) for i in range(len(fes_g)) if i not in coarse)
                 extra["cragg_donald_F"] = _weak_identification(f["M"], f["endog"], f["exog"], f["excluded"], free)
+                if weak_id and ccols:
+                    first = f["first"]
+                    n_w = len(f["endog"]) * len(f["excluded"])
+                    wm = np.zeros((n_w, n_w))
+                    for a in range(n_w):
+                        for b2 in range(a, n_w):
+                            wm[a, b2] = wm[b2, a] = float(meat[gidx[g]][f"wm{si}_{a}_{b2}"])
+                    free = nobs - len(f["exog"]) - len(f["excluded"]) - taken[g]
+                    if G > 1 and free > 0:
+                        q = (G / (G - 1.0)) * ((nobs - 1.0) / free)
+                        extra["robust_weak_F"] = rank_statistic(first["zz"], first["yy"], first["pi"], q * wm) / len(f["excluded"])
             res = FEResult(name=name, kind="iv" if s.endog else "ols", depvar=s.y, terms=f["X"], beta=beta,
                            vcov=vcov, nobs=nobs, n_clusters=G, dof_k=dof_k, rss=f["rss"], tss_within=f["tss"],
                            tss_overall=float(st[f"vp{yj}"]) * nobs, ymean=float(st[f"mean{yj}"]),
@@ -831,12 +892,12 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
 
 
 def fe_regress(df: DataFrame, y: str, exog=(), endog=(), instruments=(), fes=(), cluster=None,
-               sample=None, prune_singletons: bool = True, dof: str = "levels", name: str = "model",
+               sample=None, prune_singletons: bool = True, dof: str = "pairwise", name: str = "model",
                tol: float = 1e-13) -> FEResult:
     """FE OLS (no ``endog``) or FE 2SLS (E3-E5, E7, E14) with cluster-robust VCE.
 
-    ``dof``: "levels" counts every level of FEs not nested in the cluster (K =
-    regressors + levels); "levels_minus_one" subtracts one per such FE.
+    ``dof``: "pairwise" counts the levels of FEs not nested in the cluster less the redundant ones (``fe_levels``);
+    "levels" counts every such level; "levels_minus_one" subtracts one per such FE.
     """
     spec = Spec(y, list(exog), list(endog), list(instruments), name)
     return fit_models(df, [spec], fes, cluster, sample, None, prune_singletons, dof, tol)[0]

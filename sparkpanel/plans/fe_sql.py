@@ -70,12 +70,13 @@ def _sum(terms) -> str:
 
 
 def regression(name: str, source: str, y: str, exog, endog=(), instruments=(), fes=(), cluster="cust", model: str | None = None,
-               omitted=(), levels=None, prune: bool = True, carry=(), sweeps: int = SWEEPS) -> list[str]:
+               omitted=(), levels=None, prune: bool = True, carry=(), sweeps: int = SWEEPS, redundant: str = "0", graph=()) -> list[str]:
     """CTEs that end in ``{name}``: a row per term with estimate, standard error, t, the
     95 % interval, N, G, K, both R-squared; and ``{name}_fit``, one row with all of them.
 
     ``levels``: the FEs whose levels count for K (those not nested in the cluster).
     ``omitted``: terms that the engine has to leave out; they come last here.
+    ``redundant``: scalar over the sample, the levels among them that do not count; ``graph``: CTEs over ``{name}_k`` that it needs.
     """
     x = [*endog, *exog]
     w = [*exog, *instruments] if endog else list(exog)
@@ -86,6 +87,7 @@ def regression(name: str, source: str, y: str, exog, endog=(), instruments=(), f
     out = [f"{name}_s AS MATERIALIZED (SELECT {', '.join(keys)}, {', '.join(f'{c}::DOUBLE AS {c}' for c in cols)} FROM {source} "
            f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in keys + cols)})"]
     out += pruned(f"{name}_k", f"{name}_s", fes) if prune else [f"{name}_k AS MATERIALIZED (SELECT * FROM {name}_s)"]
+    out += graph
     out += demeaned(f"{name}_r", f"{name}_k", cols, fes, sweeps)
     prod = lambda a, b: f"sum({a} * {b})"
     out.append(f"{name}_m AS MATERIALIZED (SELECT " + ", ".join(
@@ -105,7 +107,7 @@ def regression(name: str, source: str, y: str, exog, endog=(), instruments=(), f
     out.append(f"{name}_c AS MATERIALIZED (SELECT {', '.join(f'sum(sc{a}) AS s{a}' for a in range(n))} FROM {name}_u GROUP BY {cluster})")
     out.append(f"{name}_v AS MATERIALIZED (SELECT count(*) AS g, " + ", ".join(f"sum(s{a} * s{b}) AS t{a}_{b}" for a in range(n) for b in range(n)) + f" FROM {name}_c)")
     lv = _sum([f"count(DISTINCT ({', '.join(_cols(f))}))" for f in levels])
-    out.append(f"{name}_n AS MATERIALIZED (SELECT count(*) AS n, {n} + {lv} AS k, var_pop({y}) * count(*) AS tss, avg({y}) AS ymean, stddev_samp({y}) AS ysd FROM {name}_k)")
+    out.append(f"{name}_n AS MATERIALIZED (SELECT count(*) AS n, {n} + {lv} - {redundant} AS k, var_pop({y}) * count(*) AS tss, avg({y}) AS ymean, stddev_samp({y}) AS ysd FROM {name}_k)")
     out.append(f"{name}_q AS MATERIALIZED (SELECT sum(resid * resid) AS rss FROM {name}_u)")
     var = lambda a, b: _sum(f"i{a}_{c} * t{c}_{d} * i{d}_{b}" for c in range(n) for d in range(n))
     fit = [f"b{a} AS b{a}" for a in range(n)]
@@ -120,6 +122,64 @@ def regression(name: str, source: str, y: str, exog, endog=(), instruments=(), f
     return out
 
 
+def level_graph(name: str, source: str, a: str, b: str, rounds: int = 10) -> tuple[list[str], str]:
+    """CTEs that spread the least label over the graph of the levels of a and b in unrolled rounds, and the number of components."""
+    out, last = [f"{name}_0 AS MATERIALIZED (SELECT DISTINCT {a} AS a, {b} AS b, {a} AS lab FROM {source})"], f"{name}_0"
+    for k in range(1, rounds + 1):
+        here = f"{name}_{k}"
+        out.append(f"{here} AS MATERIALIZED (SELECT a, b, min(m) OVER (PARTITION BY a) AS lab FROM (SELECT a, b, min(lab) OVER (PARTITION BY b) AS m FROM {last}))")
+        last = here
+    return out, f"(SELECT count(DISTINCT lab) FROM {last})"
+
+
+def weak_identification(name: str, source: str, exog, endog, instruments, fes, cluster="cust", squarings: int = 14) -> list[str]:
+    """CTE ``{name}_w``: robust_F and cragg_donald_F of as many instruments as endogenous terms.
+
+    With x the combination of endogenous terms that the instruments explain least (found by powers of a matrix), the robust
+    statistic is that of the covariance between the explained and the unexplained part of x.
+    """
+    n, m = len(endog), len(exog)
+    cols = [*endog, *instruments, *exog]
+    keys = list(dict.fromkeys([c for f in fes for c in _cols(f)] + [cluster]))
+    levels = [f for f in fes if cluster not in _cols(f)]
+    out = [f"{name}_s AS MATERIALIZED (SELECT {', '.join(keys)}, {', '.join(f'{c}::DOUBLE AS {c}' for c in cols)} FROM {source} "
+           f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in keys + cols)})"]
+    out += pruned(f"{name}_k", f"{name}_s", fes) + demeaned(f"{name}_d", f"{name}_k", cols, fes)
+    last = f"{name}_d"
+    for k, e in enumerate(exog):            # one exogenous term after the other is taken out of all columns after it
+        rest = [c for c in cols if c not in exog[:k + 1]]
+        here = f"{name}_o{k}"
+        out.append(f"{here} AS MATERIALIZED (SELECT {cluster}, {', '.join(f'd.{c} - d.{e} * b_{c} AS {c}' for c in rest)} FROM {last} d, "
+                   f"(SELECT {', '.join(f'sum({c} * {e}) / sum({e} * {e}) AS b_{c}' for c in rest)} FROM {last}))")
+        last = here
+    prod = lambda p, q: f"sum({p} * {q})"
+    out.append(f"{name}_m AS MATERIALIZED (SELECT " + ", ".join(
+        [f"{prod(instruments[a], instruments[b])} AS zz{a}_{b}, {prod(endog[a], endog[b])} AS yy{a}_{b}" for a in range(n) for b in range(a, n)]
+        + [f"{prod(instruments[a], endog[b])} AS zy{a}_{b}" for a in range(n) for b in range(n)]) + f" FROM {last})")
+    out += inverse(f"{name}_zi", f"{name}_m", "zz", n)
+    out.append(f"{name}_pi AS MATERIALIZED (SELECT " + ", ".join(f"{_sum(f'i{a}_{c} * zy{c}_{b}' for c in range(n))} AS pi{a}_{b}" for a in range(n) for b in range(n)) + f" FROM {name}_zi, {name}_m)")
+    out.append(f"{name}_ff AS MATERIALIZED (SELECT " + ", ".join(f"{_sum(f'zy{c}_{a} * pi{c}_{b}' for c in range(n))} AS ff{a}_{b}" for a in range(n) for b in range(a, n)) + f" FROM {name}_pi, {name}_m)")
+    out += inverse(f"{name}_fi", f"{name}_ff", "ff", n)
+    yy = lambda a, b: f"yy{min(a, b)}_{max(a, b)}"
+    out.append(f"{name}_p0 AS MATERIALIZED (SELECT " + ", ".join(f"{_sum(f'i{a}_{c} * {yy(c, b)}' for c in range(n))} AS q{a}_{b}" for a in range(n) for b in range(n)) + f" FROM {name}_fi, {name}_m)")
+    trace = _sum(f"q{a}_{a}" for a in range(n))
+    for k in range(1, squarings + 1):       # towards the eigenvector of the largest eigenvalue, scaled by the trace
+        out.append(f"{name}_p{k} AS MATERIALIZED (SELECT " + ", ".join(f"({_sum(f'q{a}_{c} * q{c}_{b}' for c in range(n))}) / pow({trace}, 2) AS q{a}_{b}" for a in range(n) for b in range(n))
+                   + f" FROM {name}_p{k - 1})")
+    x = [f"q{a}_0" for a in range(n)]
+    ff = lambda a, b: f"ff{min(a, b)}_{max(a, b)}"
+    form = lambda cell: _sum(f"{x[a]} * {x[b]} * {cell(a, b)}" for a in range(n) for b in range(n))
+    hat = _sum(f"{x[a]} * ({_sum(f'pi{c}_{a} * {instruments[c]}' for c in range(n))})" for a in range(n))
+    out.append(f"{name}_h AS MATERIALIZED (SELECT {cluster}, {hat} AS h, {_sum(f'{x[a]} * {endog[a]}' for a in range(n))} AS y FROM {last}, {name}_pi, {name}_p{squarings})")
+    out.append(f"{name}_c AS MATERIALIZED (SELECT sum(h * (y - h)) AS s FROM {name}_h GROUP BY {cluster})")
+    lv = _sum([f"count(DISTINCT ({', '.join(_cols(f))}))" for f in levels])
+    all_ = _sum([f"count(DISTINCT ({', '.join(_cols(f))}))" for f in fes])
+    out.append(f"{name}_n AS MATERIALIZED (SELECT count(*) AS n, {n + m} + {lv} AS k, {n + m} + {all_} AS ka FROM {name}_k)")
+    out.append(f"{name}_w AS (SELECT pow(f, 2) / (meat * (g::DOUBLE / (g - 1)) * ((n - 1)::DOUBLE / (n - k))) / {n} AS robust_F, (n - ka) * (f / t) / (1 - f / t) / {n} AS cragg_donald_F "
+               f"FROM (SELECT {form(ff)} AS f, {form(yy)} AS t FROM {name}_ff, {name}_m, {name}_p{squarings}), (SELECT sum(s * s) AS meat, count(*) AS g FROM {name}_c), {name}_n)")
+    return out
+
+
 def wald(name: str, terms: list[int]) -> list[str]:
     """CTE ``{name}_f``: F of the terms (by place) of a regression."""
     n = len(terms)

@@ -507,6 +507,35 @@ def q_fe_ols_stateyr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coef_frame(spark, fe.fe_ols(p, "y", FULL, fes=CSY, cluster="cust", name="ols_full_stateyr"))
 
 
+_ID_CTE = "pid AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY state, yr) AS state_yr FROM panel)"
+
+
+@register("fe_three_way_id", S.query(
+    _panel_sql(S.regression("three_way", "pid", "y", FULL, fes=["yr", "cust", "state_yr"], redundant="count(DISTINCT yr)"), extra=(_ID_CTE,)),
+    S.coef_select(["three_way"], ", n, (SELECT k FROM three_way_n) AS k")))
+def q_fe_three_way_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 with the state-year FE as a ready id column beside the year FE: the years count once."""
+    p = R.group_id(regression_panel(spark, sf_dir), ["state", "yr"], "state_yr")
+    r = fe.fe_ols(p, "y", FULL, fes=["yr", "cust", "state_yr"], cluster="cust", name="three_way")
+    return coef_frame(spark, r, n=r.nobs, k=int(r.dof_k))
+
+
+_GRAPH, _PARTS = S.level_graph("graph", "unconnected_k", "state_yr", "tier")
+_TIER = "floor(acctbal / 1000)::INTEGER"
+_TIER_CTE = f"pt AS MATERIALIZED (SELECT *, state * 100 + yr - 1990 AS state_yr, state * 100 + {_TIER} AS tier FROM panel)"
+
+
+@register("fe_unconnected", S.query(
+    _panel_sql(S.regression("unconnected", "pt", "y", FULL, fes=["state_yr", "tier"], redundant=_PARTS, graph=_GRAPH, carry=["state"]), extra=(_TIER_CTE,)),
+    S.coef_select(["unconnected"], ", n, (SELECT k FROM unconnected_n) AS k")))
+def q_fe_unconnected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 / E14 with two FEs outside the cluster whose levels fall into unconnected parts (one a state at least)."""
+    p = regression_panel(spark, sf_dir)
+    p = p.withColumn("state_yr", F.expr("state * 100 + yr - 1990")).withColumn("tier", F.expr("state * 100 + cast(floor(acctbal / 1000) as int)"))
+    r = fe.fe_ols(p, "y", FULL, fes=["state_yr", "tier"], cluster="cust", name="unconnected")
+    return coef_frame(spark, r, n=r.nobs, k=int(r.dof_k))
+
+
 @register("fe_omitted", S.query(_panel_sql(S.regression("omitted", "panel", "y", ["x", "disc"], fes=CY, omitted=["acctbal", "x2"])),
                                 S.coef_select(["omitted"], ", n, g")))
 def q_fe_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,6 +601,23 @@ def q_first_stages_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([coef_frame(spark, r, first_stage_F=round(r.extra["first_stage_F"], 2)) for r in res])
 
 
+#: (name, source, exogenous, endogenous, instruments, FEs)
+WEAK_MODELS = [("weak_simple", "panel", [], ["x"], ["no"], CY), ("weak_full", "panel", ["disc", "urg"], ["x"], ["no"], CSY), ("weak_groups", "qp", ["disc", "urg"], XG, ZG, CSY)]
+
+
+@register("weak_identification", S.query(
+    _panel_sql(*[S.weak_identification(*m) for m in WEAK_MODELS], extra=(QUARTILE_CTE,)),
+    " UNION ALL ".join(f"SELECT '{m[0]}' AS model, {len(m[3])}::INTEGER AS endogenous, round(robust_F, 2) AS robust_F, round(cragg_donald_F, 2) AS cragg_donald_F FROM {m[0]}_w" for m in WEAK_MODELS)))
+def q_weak_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster-robust and homoskedastic weak-identification statistics with one and four endogenous regressors."""
+    frames = {"panel": regression_panel(spark, sf_dir), "qp": quartile_frame(spark, sf_dir)}
+    rows = []
+    for name, source, exog, endog, inst, fes in WEAK_MODELS:
+        (r,) = fe.fit_models(frames[source], [fe.Spec("y", exog, endog, inst, name)], fes=fes, cluster="cust", weak_id=True)
+        rows.append((name, len(endog), round(r.extra["robust_weak_F"], 2), round(r.extra["cragg_donald_F"], 2)))
+    return local_frame(spark, rows, "model string, endogenous int, robust_F double, cragg_donald_F double")
+
+
 _QUARTILES = [[f"qp{g} AS MATERIALIZED (SELECT * FROM qp WHERE grp = {g})"]
               + S.regression(f"q{g}", f"qp{g}", "y", ["disc", "urg"], ["x"], ["no"], fes=CSY, model=f"q[group={g}]") for g in range(1, 5)]
 

@@ -119,3 +119,70 @@ def test_weak_identification_equals_first_stage_f(panel):
     iv = fe.fe_iv(d, "y", [], ["x"], ["z"], fes=["u", "t"], cluster="u")
     first = fe.fe_ols(d, "x", ["z"], fes=["u", "t"], dof="levels")
     assert iv.extra["cragg_donald_F"] == pytest.approx((first.coef("z") / first.stderr("z")) ** 2, rel=0.02)
+
+
+def test_components_of_long_chains_and_forests(spark, monkeypatch):
+    from sparkpanel.operators import fe_levels
+    n, rounds = 3000, []
+    cut = fe_levels.cut_lineage
+    monkeypatch.setattr(fe_levels, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    order = np.random.default_rng(1).permutation(n + 1)     # a chain whose numbers are in no order
+    rows = [(int(order[i]), i) for i in range(n)] + [(int(order[i + 1]), i) for i in range(n)]
+    rows += [(10_000 + i, 10_000 + i // 3) for i in range(30)]
+    got = fe_levels.components(spark.createDataFrame(rows, "a int, b int"), ["a"], ["b"]).collect()
+    parts = {r.component.a for r in got}
+    assert len(got) == n + 31 and parts == {0} | {10_000 + 3 * i for i in range(10)}
+    assert len(rounds) <= 2 + 2 * 20                        # two tables a round
+
+
+def test_degrees_of_freedom_equal_the_rank(spark):
+    """Two FEs outside the cluster on an unconnected panel; a third one written as a tuple and as an id."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(30)), int(a), int(a // 4 * 4 + rng.integers(4)), float(rng.normal()), float(rng.normal())) for a in rng.integers(0, 20, 400)]
+    df = spark.createDataFrame(rows, "c int, a int, b int, x double, y double")
+    dummies = np.array([[r[1] == i for i in range(20)] + [r[2] == i for i in range(20)] for r in rows], float)
+    r = fe.fe_ols(df, "y", ["x"], fes=["a", "b"], cluster="c")
+    assert r.dof_k == 1 + np.linalg.matrix_rank(dummies) == 1 + 20 + 20 - 5
+    assert fe.fe_ols(df, "y", ["x"], fes=["a", "b"], cluster="c", dof="levels").dof_k == 41
+    both = df.withColumn("id", df["a"] * 100 + df["b"])
+    as_tuple, as_id, reverse = (fe.fe_ols(both, "y", ["x"], fes=f, cluster="c") for f in (["a", ("a", "b")], ["a", "id"], ["id", "a"]))
+    assert as_tuple.dof_k == as_id.dof_k == reverse.dof_k
+    np.testing.assert_allclose(as_tuple.se, as_id.se, rtol=1e-9)
+    # an FE that lies within the clusters by its data, not by its name, does not count
+    inner = df.withColumn("part", df["c"] * 2 + (df["x"] > 0).cast("int"))
+    assert fe.fe_ols(inner, "y", ["x"], fes=["part", "a"], cluster="c").dof_k == 1 + 20
+
+
+def test_groups_have_their_own_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(rng.integers(30)), a, a // (2 if g else 20) * 20 + int(rng.integers(4)), float(rng.normal()), float(rng.normal())) for g in (0, 1) for a in range(20) for _ in range(30)]
+    df = spark.createDataFrame(rows, "g int, c int, a int, b int, x double, y double")
+    by = fe.fit_models(df, [fe.Spec("y", ["x"], name="m")], fes=["a", "b"], cluster="c", by="g")
+    alone = [fe.fe_ols(df.filter(df["g"] == g), "y", ["x"], fes=["a", "b"], cluster="c") for g in (0, 1)]
+    assert [r.dof_k for r in by] == [r.dof_k for r in alone]
+    assert alone[0].dof_k == 1 + 20 + 4 - 1 and alone[1].dof_k == 1 + 20 + 40 - 10
+
+
+def test_robust_weak_identification(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for u in range(80):
+        for t in range(6):
+            z, w = rng.normal(size=2)
+            e = rng.normal() * (1 + abs(z))
+            rows.append((u, t, float(z), float(w), float(2.0 * z + 0.8 * w + e), float(0.4 * z + 2.4 * w + rng.normal()), float(rng.normal()), float(e + rng.normal())))
+    df = spark.createDataFrame(rows, "u int, t int, z double, w double, x1 double, x2 double, k double, y double")
+    one = fe.fit_models(df, [fe.Spec("y", ["k"], ["x1"], ["z", "w"], "one"), fe.Spec("y", ["k"], ["x1"], ["z"], "exact")], fes=["u", "t"], cluster="u", weak_id=True)
+    for r, inst in zip(one, (["z", "w"], ["z"])):
+        first = fe.first_stage(df, "x1", ["k"], inst, fes=["u", "t"], cluster="u")
+        assert r.extra["robust_weak_F"] == pytest.approx(first.extra["first_stage_F"], rel=1e-9)
+    # a second regressor that the instruments explain the same way: not identified, the statistic is small
+    spec = lambda x: [fe.Spec("y", ["k"], ["x1", x], ["z", "w"], "two")]
+    good = fe.fit_models(df, spec("x2"), fes=["u", "t"], cluster="u", weak_id=True)[0].extra["robust_weak_F"]
+    copy = df.withColumn("x3", 2 * df["x1"] + df["y"] * 0.001 + df["k"] + df["t"])
+    bad = fe.fit_models(copy, spec("x3"), fes=["u", "t"], cluster="u", weak_id=True)[0].extra["robust_weak_F"]
+    assert good > 10 > bad
+    # the rank statistic does not depend on the scale or the mix of the instruments
+    mixed = df.withColumn("z", df["z"] * 5 + df["w"]).withColumn("x2", df["x2"] * 0.01)
+    again = fe.fit_models(mixed, spec("x2"), fes=["u", "t"], cluster="u", weak_id=True)[0].extra["robust_weak_F"]
+    assert again == pytest.approx(good, rel=1e-6)
