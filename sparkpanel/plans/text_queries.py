@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkpanel.functions import labels as L
 from sparkpanel.operators import frequency
 from sparkpanel.plans.sqlgen import FIXTURE_LEXICON, keyword_flags_sql, lit, q, stack_sql
-from sparkpanel.sources import load_table
+from sparkpanel.session import scratch_path
+from sparkpanel.sources import load_table, read_table, write_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,6 +52,19 @@ def q_topic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.topic_frequency(flags, L.TOPIC_COLUMNS)
 
 
+# --- S1 / S3: the hand-off as CSV ------------------------------------------------------
+
+@register("csv_round_trip", """
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, text IS NULL AS no_text FROM documents""")
+def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 then S1: the texts (with line feeds and quotes) written as CSV and read back in splits."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = scratch_path(spark, "documents-csv")
+    write_table(docs, path, "csv")
+    back = read_table(spark, path, docs.schema, "csv")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.col("text").isNull().alias("no_text"))
+
+
 # --- F1 / P13 / P14 / P15: topic dummies, packed and unpacked ------------------------
 
 @register("topic_flags", f"""

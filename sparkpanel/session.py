@@ -8,6 +8,7 @@ an error, because executors would write to their own disks.
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 
@@ -61,6 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_scratch = itertools.count()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{next(_scratch)}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint (survives executor loss), never a local one.
 

@@ -2,8 +2,8 @@
 
 Parquet is the native format: column pruning and filter pushdown reach the
 scan.  CSV is supported for the reference's hand-off files: an explicit schema,
-multi-line quoted fields, and FAILFAST so a malformed row stops the job rather
-than silently turning into NULLs.  Arrays do not exist in CSV, so the sink
+multi-line quoted fields read in many tasks a file (``split_csv``), and FAILFAST
+so a malformed row stops the job rather than silently turning into NULLs.  Arrays do not exist in CSV, so the sink
 writes them as JSON text and the reader can restore them.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkpanel.sources.split_csv import read_split_csv
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -33,13 +35,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         if schema is not None:
             reader = reader.schema(schema)
         df = reader.parquet(path)
+    elif fmt == "csv" and schema is not None:
+        df = read_split_csv(spark, path, schema)
     elif fmt == "csv":
-        reader = (spark.read.option("header", True).option("multiLine", True)
+        # inferring types: Spark's multi-line reader, one task a file
+        reader = (spark.read.option("header", True).option("multiLine", True).option("inferSchema", True)
                   .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
-        if schema is not None:
-            reader = reader.schema(schema)
-        else:
-            reader = reader.option("inferSchema", True)
         df = reader.csv(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
