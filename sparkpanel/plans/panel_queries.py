@@ -17,7 +17,7 @@ from sparkpanel.operators import panel as P
 from sparkpanel.operators import ranks as R
 from sparkpanel.plans import fe_sql as S
 from sparkpanel.plans.panel_data import balanced_panel, orders_year, regression_panel
-from sparkpanel.session import cut_lineage, local_frame
+from sparkpanel.session import local_frame
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -316,10 +316,11 @@ FROM sh JOIN shock ON sh.p_type = shock.p_type GROUP BY cust, yr"""
 
 
 def _shift_share(spark: SparkSession, sf_dir: str, price) -> DataFrame:
-    # lines are reduced once to (customer, category, year): shares and shocks both come from these cells
-    cells = cut_lineage(_line_cust_type(spark, sf_dir).groupBy("cust", "p_type", "yr").agg(F.sum(price).alias("v")))
-    shares = P.shares_of(cells.filter(F.col("yr") <= AFTER), "cust", "p_type", "v")
-    shocks = cells.groupBy("p_type", "yr").agg(F.sum("v").alias("shock"))
+    # each aggregate reduces the lines in its own tasks (categories x years, and customers x categories of the first
+    # period, whose filter reaches the scan); writing the customer-category-year cells for both costs more than reading twice
+    lines = _line_cust_type(spark, sf_dir).withColumn("v", price)
+    shares = P.shares_of(lines.filter(F.col("yr") <= AFTER), "cust", "p_type", "v")
+    shocks = lines.groupBy("p_type", "yr").agg(F.sum("v").alias("shock"))
     z = P.shift_share(shares, shocks, "cust", "p_type", "yr")
     return z.select("cust", "yr", r6("z").alias("z"))
 
@@ -392,8 +393,7 @@ def q_competition_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("o_custkey").alias("cust"))
     part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     lx = li.join(o, "l_orderkey").join(part, "l_partkey")
-    lx = cut_lineage(lx.groupBy("cust", "p_type", "l_suppkey").agg(F.sum("l_extendedprice").alias("v")))     # read by both indices
-    c = P.competition_weighted(lx, "cust", "p_type", "l_suppkey", "v")
+    c = P.competition_weighted(lx, "cust", "p_type", "l_suppkey", "l_extendedprice")
     return c.select("cust", r6("comp_wtd").alias("comp_wtd"))
 
 
