@@ -9,6 +9,8 @@ the row's index inside its partition.  All of it stays in the JVM.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,34 +104,104 @@ def tabulate(df: DataFrame, col: str) -> DataFrame:
 STATA_PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
+#: Bits of a key that one pass counts; values that are few enough to be read as they are.
+RADIX, FEW = 18, 50_000
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """64-bit keys in the order of the doubles; NaN is the largest and -0.0 equals 0.0."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits >= top, ~bits, bits | top)
+
+
+def _value(key: int) -> float:
+    bits = np.array([key], np.uint64)
+    top = np.uint64(1 << 63)
+    return float(np.where(bits >= top, bits & ~top, ~bits).astype(np.uint64).view(np.float64)[0])
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values of the given 1-based ranks among the non-null values of ``col``, by radix selection.
+
+    Each pass counts the values by the next ``RADIX`` bits of their keys, within the bins that still hold a wanted rank; a
+    task sends one row a bin.  Nothing is sorted, shuffled by value or written.  Once the wanted bins hold at most ``FEW``
+    values, these are read; a value that many rows share ends up alone in its bin after 64 bits.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
+    wanted = {0: (sorted(set(ranks)), 0)}           # prefix: ranks within the bin, and how many values the bin holds
+    out: dict[int, float] = {}
+    depth = 0
+
+    def inside(x, prefixes, bits):
+        key = _keys(x)
+        keep = np.isin(key >> np.uint64(64 - bits), np.array(prefixes, np.uint64)) if bits else np.ones(len(key), bool)
+        return x[keep], key[keep]
+
+    def counted(prefixes, bits, to):
+        def read(batches):
+            total: dict[int, int] = {}
+            for batch in batches:
+                _, key = inside(batch.column("v").to_numpy(), prefixes, bits)
+                u, n = np.unique(key >> np.uint64(64 - to), return_counts=True)
+                for k, c in zip(u.tolist(), n.tolist()):
+                    total[k] = total.get(k, 0) + c
+            k = np.array(list(total), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+        return read
+
+    def chosen(prefixes, bits):
+        def read(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(inside(batch.column("v").to_numpy(), prefixes, bits)[0])], names=["v"])
+        return read
+
+    back = {r: r for r in wanted[0][0]}             # rank within the bin: the ranks asked for
+    names = {0: back}
+    while names:
+        prefixes = list(names)
+        if depth and sum(size for p, (_, size) in wanted.items()) <= FEW:
+            found = np.sort(values.mapInArrow(chosen(prefixes, depth), "v double").toPandas()["v"].to_numpy())
+            key = _keys(found) >> np.uint64(64 - depth)
+            for p in prefixes:
+                mine = found[key == np.uint64(p)]
+                out.update({asked: float(mine[r - 1]) for r, asked in names[p].items()})
+            return out
+        to = min(64, depth + RADIX)
+        rows = values.mapInArrow(counted(prefixes, depth, to), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        counts = sorted((int(np.int64(r["k"]).view(np.uint64)), r["n"]) for r in rows.collect())      # 2^RADIX rows a prefix at most
+        after, sizes = {}, {}
+        seen = dict.fromkeys(prefixes, 0)
+        for k, n in counts:
+            p = k >> (to - depth) if depth else 0
+            for r, asked in names[p].items():
+                if seen[p] < r <= seen[p] + n:
+                    after.setdefault(k, {})[r - seen[p]] = asked
+                    sizes[k] = n
+            seen[p] += n
+        if to == 64:
+            out.update({asked: _value(k) for k, ask in after.items() for asked in ask.values()})
+            return out
+        names, wanted, depth = after, {k: (list(after[k]), sizes[k]) for k in after}, to
+    return out
+
+
 def summarize_detail(df: DataFrame, col: str, percentiles=STATA_PERCENTILES) -> DataFrame:
     """A3: ``summarize, detail`` as one row.
 
     Moments come from one aggregate; percentiles use the summarize rule (when
     N*p/100 is whole the mean of that and the next order statistic, else the
-    next one), read off the global rank so no group is collected in one task.
+    next one) on order statistics found by radix selection.
     """
     d = df.select(F.col(col).alias("__v")).filter(F.col("__v").isNotNull())
     mom = d.agg(F.count(F.lit(1)).alias("N"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"),
                 F.var_samp("__v").alias("variance"), F.skewness("__v").alias("skewness"),
                 (F.kurtosis("__v") + 3.0).alias("kurtosis"), F.min("__v").alias("min"),
                 F.max("__v").alias("max"), F.sum("__v").alias("sum"))
-    ranked = global_rank(d, ["__v"], "__rk", "__cnt_all")
-    pcs = []
-    for p in percentiles:
-        # position np/100 as an exact rational: whole when (N * p) % 100 == 0
-        whole = (F.col("__cnt_all") * p) % 100 == 0
-        lo = F.floor(F.col("__cnt_all") * p / 100).cast("long")
-        take_lo = F.when(whole, lo).otherwise(lo + 1)
-        take_hi = F.when(whole, lo + 1).otherwise(lo + 1)
-        pcs.append((F.sum(F.when(F.col("__rk") == take_lo, F.col("__v"))) +
-                    F.sum(F.when(F.col("__rk") == take_hi, F.col("__v")))) / 2.0)
-    prow = ranked.agg(*[e.alias(f"p{p}") for e, p in zip(pcs, percentiles)])
-    return _one_row_concat(mom, prow)
-
-
-def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Glue two one-row frames side by side via a constant key (both sides one row)."""
-    a1 = a.withColumn("__k", F.lit(1))
-    b1 = b.withColumn("__k", F.lit(1))
-    return a1.join(F.broadcast(b1), "__k").drop("__k")
+    n = d.count()
+    # position np/100 as an exact rational: whole when (N * p) % 100 == 0
+    pairs = {p: (n * p // 100, n * p // 100 + 1) if n * p % 100 == 0 else (n * p // 100 + 1,) * 2 for p in percentiles}
+    fit = lambda r: min(max(r, 1), n)
+    found = order_statistics(d, "__v", [fit(r) for pair in pairs.values() for r in pair]) if n else {}
+    value = {p: (found[fit(a)] + found[fit(b)]) / 2.0 if n else None for p, (a, b) in pairs.items()}
+    return mom.select("*", *[F.lit(v).cast("double").alias(f"p{p}") for p, v in value.items()])

@@ -12,33 +12,40 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096      # equal ranges of the hash's first 12 bits
+DIGITS = 3       # hexadecimal digits of the hash by which one pass counts (4,096 ranges)
+EDGE = 10_000    # keys that are ranked at most, unless equal hashes are more
 
 
 def hash_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _first_n(df: DataFrame, n: int, counts: dict[int, int], key: str, seed: int) -> tuple[F.Column, DataFrame]:
+def _first_n(df: DataFrame, n: int, counts: dict[str, int], key: str, seed: int) -> tuple[F.Column, DataFrame]:
     """(condition of the ranges that belong whole to the first n rows in hash order, the rows still needed).
 
-    ``counts``: rows per range.  Only the range in which the n-th row falls is
-    ranked, 1/BINS of the keys; whole ranges are taken by a filter.
+    ``counts``: rows per range of the first digits.  The range in which the n-th row falls is counted by its next digits,
+    and so on until it is small; only its keys are ranked.  Whole ranges are taken by a filter.
     """
-    done, cut = 0, 0
-    while cut < BINS and done + counts.get(cut, 0) <= n:
-        done += counts.get(cut, 0)
-        cut += 1
-    edge = df.filter(_range(key, seed) == cut).select(key, hash_key(key, seed).alias("__h")).orderBy("__h", key).limit(n - done)
-    return _range(key, seed) < cut, edge.select(key)
-
-
-def _range(key: str, seed: int) -> F.Column:
-    return F.conv(F.substring(hash_key(key, seed), 1, 3), 16, 10).cast("int")
-
-
-def _counts(df: DataFrame, key: str, seed: int) -> dict[int, int]:
-    return {r["b"]: r["count"] for r in df.groupBy(_range(key, seed).alias("b")).count().collect()}     # BINS rows
+    h, done, cut = hash_key(key, seed), 0, ""
+    while True:
+        for prefix, size in sorted(counts.items()):
+            if done + size > n:
+                break
+            done += size
+        else:
+            return F.lit(True) if not cut else h < cut, df.limit(0).select(key)
+        cut = prefix
+        if size <= EDGE or len(cut) >= 30:
+            break
+        counts = _counts(df.filter(h.startswith(cut)), key, seed, len(cut) + DIGITS)
+    edge = df.filter(h.startswith(cut)).select(key, h.alias("__h")).orderBy("__h", key).limit(n - done)
+    return h < cut, edge.select(key)
+
+
+def _counts(df: DataFrame, key: str, seed: int, digits: int = DIGITS) -> dict[str, int]:
+    """Rows per range of the hash, by its first digits; a null key belongs to none."""
+    b = F.substring(hash_key(key, seed), 1, digits).alias("b")
+    return {r["b"]: r["count"] for r in df.groupBy(b).count().collect() if r["b"] is not None}     # 16 ** DIGITS rows
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -138,3 +138,33 @@ def test_results_table_and_its_text(spark):
     assert rows["Zero", "b"] == (None, None) and rows["Observations", "value"] == ("1,234", "10") and rows["R-squared", "value"] == ("0.900", "-0.300")
     text = report.render_table(t, ["(1)", "(2)"], "Table 1", ["OLS", "IV"], ["SE in brackets"]).split("\n")
     assert text[0] == "Table 1" and text[3].split() == ["OLS", "IV"] and text[5].split() == ["Spending", "0.500***", "0.250"] and text[-1] == "SE in brackets"
+
+
+def test_order_statistics_by_radix(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), np.full(400, 2.5), [0.0, -0.0, -1e-320, 1e-320, np.inf, -np.inf, np.nan, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    want = np.sort(x)                                       # NaN last
+    ranks = [1, 2, 3, 200, 451, 452, 700, 880, len(x) - 2, len(x) - 1, len(x)]
+    for few in (R.FEW, 50, 0):
+        monkeypatch.setattr(R, "FEW", few)
+        got = R.order_statistics(df, "x", ranks)
+        np.testing.assert_array_equal([got[r] for r in ranks], want[np.array(ranks) - 1])
+    plan = R.summarize_detail(df, "x")._jdf.queryExecution().toString()
+    assert "RangePartitioning" not in plan and "rangepartitioning" not in plan
+    empty = R.summarize_detail(df.filter("x is null"), "x").first()
+    assert empty.N == 0 and empty.p50 is None
+
+
+def test_sample_cut_is_refined(spark, monkeypatch):
+    from sparkpanel.operators import sampling
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    order = [r.k for r in df.orderBy(sampling.hash_key("k", 42), "k").collect()]
+    for edge, digits in ((sampling.EDGE, 3), (5, 1), (1, 2)):
+        monkeypatch.setattr(sampling, "EDGE", edge)
+        monkeypatch.setattr(sampling, "DIGITS", digits)
+        for n in (0, 1, 7, 1234, 4999, 5000):
+            assert sorted(r.k for r in sampling.sample_n(df, n, 42, "k").collect()) == sorted(order[:n])
+    test = sampling.split(df, 0.1, 42, "k").filter("split = 'test'")
+    assert sorted(r.k for r in test.collect()) == sorted(order[:500])
