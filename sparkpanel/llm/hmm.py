@@ -16,17 +16,22 @@ Training:
   words of a text meet their counts in a shuffle join, so a frequent word is
   never a hot key;
 * Baum-Welch: every round covers all training texts, whose classes are written
-  once.  Each task sums its expected counts over segments of ``SEGMENT`` tokens
-  that cover its whole texts; one aggregate per round adds the tasks' tables.
-  Rounds end when the summed log likelihood rises by less than ``RISE`` of itself.
+  once.  Each task sums the expected counts of its whole texts; one aggregate
+  per round adds the tasks' tables.  Texts are worked in pieces of ``SEGMENT``
+  tokens, all abreast; products of the pieces' matrices give what enters and
+  leaves each piece, so the counts are those of the uncut texts.
+* After every two rounds the tables leap ahead (squared extrapolation), undone
+  if the likelihood falls.  Rounds end when the summed log likelihood rises by
+  less than ``RISE`` of itself.
 
-Scoring runs the scaled forward recursion over whole texts, many texts abreast.
+Scoring runs the scaled forward recursion over whole texts, many texts abreast;
+very long ones in pieces whose matrices are chained.
 
 Defined results: null and empty texts are the end token alone; a null doc_id is
 not held out; with no training text every token has probability 1 in its class
 and the base score is 0; repeated rows are scored alike (and counted each in
 training); an empty table gives no rows; further columns pass through, those
-named like an output are replaced.  Tokens are told apart by 64-bit hashes.
+named like an output (in any case) are replaced.  Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,14 +40,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkpanel.llm.common import SLICE_BYTES, largest, mix, table, text_slices, word_hashes, written
+from sparkpanel.llm.common import largest, mix, table, text_slices, word_hashes, written
 
 STATES, TOP, SHAPES, HEAVY = 8, 2_000, 128, 100_000
-SEGMENT, RISE = 128, 1e-4
+#: Tokens of a piece that is worked abreast with others in training; tokens of a text that scoring takes without cutting it.
+SEGMENT, WHOLE = 256, 2_048
+#: Rise of the log likelihood, as a share of it, below which training ends; factor of the longest leap.
+RISE, LEAP = 1e-4, 16.0
 SMOOTH = 0.1
 END = np.int64(-1)          # the end token's number; no word has it
 SEED = 20240607
@@ -157,44 +166,124 @@ def first_tables(vocab: Vocab, states: int, seed: int = SEED) -> Tables:
     return Tables(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def expected_counts(seq: np.ndarray, off: np.ndarray, t: Tables, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected first states, moves and emissions of texts (classes ``seq``), and their log likelihood; by segments."""
+def segments(off: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length, text and place in the text of pieces of at most ``segment`` tokens, texts in order."""
     size = np.diff(off)
     parts = -(-size // segment)
-    begin = np.repeat(off[:-1], parts) + segment * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(segment, np.repeat(off[1:], parts) - begin)
+    text = np.repeat(np.arange(len(size)), parts)
+    k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = off[:-1][text] + segment * k
+    return begin, np.minimum(segment, off[1:][text] - begin), text, k
+
+
+def products(seq: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix that carries the state distribution before each piece to the one at its end, and the log10 factor taken out.
+
+    A text's first piece begins with the start distribution, whatever comes in.
+    """
+    states, b = len(t.start), len(begin)
+    order = np.argsort(-length, kind="stable")
+    begin, length, first = begin[order], length[order], first[order]
+    out, logs = np.empty((b, states, states)), np.zeros(b)
+    steps = int(length[0]) if b else 0
+    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
+    move, emit = t.move.astype(np.float32), t.emit.astype(np.float32)
+    p = None
+    for j, m in enumerate(live.tolist()):
+        e = emit[seq[begin[:m] + j]]
+        if j:
+            p = (p[:m].reshape(-1, states) @ move).reshape(m, states, states)
+        else:
+            p = np.where(first[:, None, None], t.start.astype(np.float32), move)
+        top = e.max(1)
+        logs[:m] += np.log10(top)
+        p *= (e / top[:, None])[:, None, :]
+        if j % 8 == 7:
+            most = p.max((1, 2))
+            p /= most[:, None, None]
+            logs[:m] += np.log10(most)
+        gone = live[j + 1] if j + 1 < steps else 0
+        out[gone:m] = p[gone:m]
+    back = np.empty(b, np.int64)
+    back[order] = np.arange(b)
+    return out[back], logs[back]
+
+
+def borders(seq: np.ndarray, begin: np.ndarray, length: np.ndarray, text: np.ndarray, k: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """State distribution before each piece, and the likelihood of what follows it by its last state (to a factor).
+
+    Only pieces of cut texts need their matrices; these are chained along each text, all texts abreast.
+    """
+    states = len(t.start)
+    enter, leave = np.full((len(begin), states), 1 / states), np.ones((len(begin), states))
+    many = np.bincount(text, minlength=int(text.max(initial=-1)) + 1)
+    cut = np.flatnonzero(many[text] > 1)
+    if not len(cut):
+        return enter, leave
+    p = products(seq, begin[cut], length[cut], k[cut] == 0, t)[0]
+    head = np.flatnonzero(k[cut] == 0)
+    n = np.diff(np.append(head, len(cut)))
+    head, n = head[np.argsort(-n, kind="stable")], -np.sort(-n)
+    a = np.full((len(head), states), 1 / states)
+    for i in range(int(n[0])):
+        m = int(np.searchsorted(-n, -i, side="left"))   # texts with more than i pieces
+        at = head[:m] + i
+        enter[cut[at]] = a[:m]
+        a = np.einsum("bi,bij->bj", a[:m], p[at])
+        a /= a.sum(1, keepdims=True)
+    b = np.ones((len(head), states))
+    for i in range(int(n[0]) - 1, 0, -1):
+        m = int(np.searchsorted(-n, -i, side="left"))
+        at = head[:m] + i
+        leave[cut[at]] = b[:m]
+        b[:m] = np.einsum("bij,bj->bi", p[at], b[:m])
+        b[:m] /= b[:m].sum(1, keepdims=True)
+    leave[cut[head]] = b
+    return enter, leave
+
+
+def expected_counts(seq: np.ndarray, off: np.ndarray, t: Tables, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected first states, moves and emissions of whole texts (classes ``seq``), and their log likelihood.
+
+    Texts are cut into pieces that are worked abreast; what enters and leaves each piece is known from ``borders``, so the
+    sums are those of the uncut texts.
+    """
+    begin, length, text, k = segments(off, segment)
+    enter, leave = borders(seq, begin, length, text, k, t)
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
+    begin, length, first, enter, leave = begin[order], length[order], k[order] == 0, enter[order], leave[order]
     states, b = len(t.start), len(begin)
     start, move, emit = np.zeros(states), np.zeros_like(t.move), np.zeros((states, len(t.emit)))
     if not b:
         return start, move, emit, 0.0
     steps = int(length[0])
-    live = (length[None, :] > np.arange(steps)[:, None]).sum(1)     # segments longer than each step: a prefix
+    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right").tolist()
+    step, table = t.move.astype(np.float32), t.emit.astype(np.float32)
     alpha = np.zeros((steps, b, states), np.float32)
     scale = np.ones((steps, b), np.float32)
-    out = [t.emit[seq[begin[:m] + j]] for j, m in enumerate(live)]
-    a = t.start
+    out = [table[seq[begin[:m] + j]] for j, m in enumerate(live)]
+    a = np.where(first[:, None], t.start, enter @ t.move).astype(np.float32)
     for j, m in enumerate(live):
-        a = (a[:m] @ t.move if j else np.broadcast_to(t.start, (m, states))) * out[j]
-        s = a.sum(1)
-        a = a / s[:, None]
+        a = (a[:m] @ step if j else a) * out[j]
+        s = a @ np.ones(states, np.float32)
+        a /= s[:, None]
         alpha[j, :m], scale[j, :m] = a, s
-    beta = np.ones((b, states))
+    beta = leave.astype(np.float32)
+    beta /= (alpha[length - 1, np.arange(b)] * beta).sum(1, keepdims=True)
+    gammas = np.empty((len(seq), states), np.float32)
     for j in range(steps - 1, -1, -1):
         m = live[j]
-        gamma = alpha[j, :m] * beta[:m]
-        gamma /= gamma.sum(1, keepdims=True)
-        cls = seq[begin[:m] + j]
-        for s in range(states):
-            emit[s] += np.bincount(cls, gamma[:, s], len(t.emit))
-        if not j:
-            start += gamma.sum(0)
-            break
-        back = out[j] * beta[:m] / scale[j, :m, None]
-        move += t.move * (alpha[j - 1, :m].astype(float).T @ back)
-        beta[:m] = back @ t.move.T
-    return start, move, emit, float(np.log(scale).sum())
+        gammas[begin[:m] + j] = alpha[j, :m] * beta[:m]
+        back = out[j] * beta[:m]
+        back /= scale[j, :m, None]
+        if j:
+            move += t.move * (alpha[j - 1, :m].T @ back)
+            beta[:m] = back @ step.T
+    start += gammas[begin[first]].sum(0)
+    move += t.move * (enter[~first].T @ back[~first])
+    for s in range(states):
+        emit[s] = np.bincount(seq, gammas[:, s], len(t.emit))
+    return start, move, emit, float(np.log(scale).sum(dtype=np.float64))
 
 
 def next_tables(start: np.ndarray, move: np.ndarray, emit: np.ndarray, vocab: Vocab) -> Tables:
@@ -217,6 +306,17 @@ def classes_of(texts: DataFrame, vocab) -> DataFrame:
     return texts.select("text").mapInArrow(run, "seq binary")
 
 
+def sequences(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts in one array, and their n + 1 offsets."""
+    size = pc.binary_length(seqs).to_numpy().astype(np.int64) // 2
+    _, off, data = seqs.buffers()
+    if data is None:
+        return np.zeros(0, np.int64), np.zeros(len(seqs) + 1, np.int64)
+    first = np.frombuffer(off, np.int32, 1, seqs.offset * 4)[0]
+    ends = np.append(0, np.cumsum(size))
+    return np.frombuffer(data, np.uint16, int(ends[-1]), int(first)).astype(np.int64), ends
+
+
 def train_round(texts: DataFrame, vocab, t: Tables) -> Tables:
     """One Baum-Welch round over all texts, or their ``classes_of``; ``vocab`` is a broadcast Vocab."""
     rows = texts if "seq" in texts.columns else classes_of(texts, vocab)
@@ -227,9 +327,8 @@ def train_round(texts: DataFrame, vocab, t: Tables) -> Tables:
     def run(batches):
         total = np.zeros(size + 1)
         for batch in batches:
-            for a, b in text_slices(batch.column("seq"), SLICE_BYTES // 3):
-                parts = [np.frombuffer(x, np.uint16) for x in batch.column("seq").slice(a, b - a).to_pylist()]
-                seq, off = np.concatenate(parts).astype(np.int64), np.append(0, np.cumsum([len(x) for x in parts]))
+            for a, b in text_slices(batch.column("seq")):
+                seq, off = sequences(batch.column("seq").slice(a, b - a))
                 s, m, e, log_like = expected_counts(seq, off, shared.value)
                 total += np.concatenate((s, m.ravel(), e.ravel(), [log_like]))
         k = np.flatnonzero(total)
@@ -243,35 +342,77 @@ def train_round(texts: DataFrame, vocab, t: Tables) -> Tables:
     return new
 
 
+def leap(t0: Tables, t1: Tables, t2: Tables) -> Tables:
+    """Squared extrapolation of two rounds, on square roots of probabilities; columns and rows are made to sum to 1 again."""
+    parts = [[np.sqrt(x) for x in (t.start, t.move, t.emit)] for t in (t0, t1, t2)]
+    r = [b - a for a, b in zip(parts[0], parts[1])]
+    v = [c - b - d for b, c, d in zip(parts[1], parts[2], r)]
+    norm = lambda xs: np.sqrt(sum((x * x).sum() for x in xs))
+    far = min(max(norm(r) / max(norm(v), 1e-300), 1.0), LEAP)
+    start, move, emit = (np.maximum(a + 2 * far * d + far * far * w, 1e-3 * c) ** 2 for a, d, w, c in zip(parts[0], r, v, parts[2]))
+    return Tables(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
 def train_all(texts: DataFrame, vocab, states: int, rise: float = RISE) -> Tables:
-    """Rounds over all texts until their log likelihood stops rising; ``vocab`` is a broadcast Vocab."""
+    """Rounds over all texts until their log likelihood stops rising; ``vocab`` is a broadcast Vocab.
+
+    After every two rounds the tables leap ahead; if the next round finds the likelihood lower than before, the leap is undone.
+    """
     rows = written(classes_of(texts, vocab))
     t = first_tables(vocab.value, states)
+    path, before, last = [t], None, -np.inf
     while True:
         new = train_round(rows, vocab, t)
-        if new.log_like - t.log_like <= rise * abs(new.log_like):
+        if before is not None and new.log_like < last:
+            t, path, before = before, [before], None
+            continue
+        if new.log_like - last <= rise * abs(new.log_like):
             return new
+        last, before = new.log_like, None
+        path.append(new)
         t = new
+        if len(path) == 3:
+            before, t = new, leap(*path)
+            path = [t]
+
 
+def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables, whole: int = WHOLE) -> np.ndarray:
+    """log10 likelihood of each whole sequence by the scaled forward recursion.
 
-def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables) -> np.ndarray:
-    """log10 likelihood of each whole sequence by the scaled forward recursion."""
+    Texts of more than ``whole`` tokens are cut into pieces whose matrices are chained.
+    """
     size = np.diff(off)
-    order = np.argsort(-size, kind="stable")
-    begin, length = off[:-1][order], size[order]
     total = np.zeros(len(size))
-    if not len(size):
-        return total
-    live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")    # texts with more than j tokens
-    a = None
-    for j, m in enumerate(live.tolist()):
-        a = (a[:m] @ t.move if j else t.start[None, :]) * t.emit[seq[begin[:m] + j]]
-        s = a.sum(1)
-        a = a / s[:, None]
-        total[:m] += np.log10(s)
-    out = np.zeros(len(size))
-    out[order] = total
-    return out
+    short = np.flatnonzero((size > 0) & (size <= whole))
+    order = short[np.argsort(-size[short], kind="stable")]
+    begin, length = off[:-1][order], size[order]
+    if len(order):
+        live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")    # texts with more than j tokens
+        a, logs = None, np.zeros(len(order))
+        for j, m in enumerate(live.tolist()):
+            a = (a[:m] @ t.move if j else t.start[None, :]) * t.emit[seq[begin[:m] + j]]
+            s = a.sum(1)
+            a = a / s[:, None]
+            logs[:m] += np.log10(s)
+        total[order] = logs
+    long = np.flatnonzero(size > whole)
+    if len(long):
+        begin, length, text, k = segments(off, whole)
+        mine = np.flatnonzero(size[text] > whole)
+        p, logs = products(seq, begin[mine], length[mine], k[mine] == 0, t)
+        total += np.bincount(text[mine], logs, len(size))
+        head = np.flatnonzero(k[mine] == 0)
+        n = np.diff(np.append(head, len(mine)))
+        by = np.argsort(-n, kind="stable")
+        head, n, of = head[by], n[by], text[mine][head[by]]
+        a = np.full((len(head), len(t.start)), 1 / len(t.start))
+        for i in range(int(n[0])):
+            m = int(np.searchsorted(-n, -i, side="left"))
+            a = np.einsum("bi,bij->bj", a[:m], p[head[:m] + i])
+            s = a.sum(1)
+            a /= s[:, None]
+            total[of[:m]] += np.log10(s)
+    return total
 
 
 def held_out(doc_id: Column) -> Column:
@@ -281,7 +422,9 @@ def held_out(doc_id: Column) -> Column:
 
 def score_texts(df: DataFrame, counts: DataFrame, vocab, t: Tables) -> DataFrame:
     """``df`` (with a ``text``) without the text, with n_tokens, n_known, base_score and score."""
-    keep = [c for c in df.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
+    given = [c for c in df.columns if c.lower() not in ("text", "n_tokens", "n_known", "base_score", "score")]
+    keep = [f"__{i}" for i in range(len(given))]            # further columns travel under names of their own
+    df = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(given, keep)], "text")
     shared = df.sparkSession.sparkContext.broadcast(t)
 
     def run(batches):
@@ -324,7 +467,7 @@ def score_texts(df: DataFrame, counts: DataFrame, vocab, t: Tables) -> DataFrame
     each = float(np.log10(v.n + SMOOTH * (v.v + 1)))
     logs = F.coalesce("logs", F.lit(0.0))
     return rows.join(more, "__row", "left").select(
-        *keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        *[F.col(k).alias(c) for c, k in zip(given, keep)], "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         (F.col("base") + logs - F.col("n_tokens") * each).alias("base_score"), (F.col("model") + logs).alias("score"))
 
 
@@ -336,7 +479,7 @@ def score_documents(docs: DataFrame, states: int = STATES, top: int = TOP, heavy
     vocab = vocabulary(counts, top, heavy)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)        # ``heavy`` tokens
     t = train_all(train, shared, states, rise)
-    rows = docs.drop("held_out", "train_tokens").withColumns({"held_out": held_out(docs["doc_id"]), "text": text})
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "train_tokens")]).withColumns({"held_out": held_out(docs["doc_id"]), "text": text})
     return score_texts(rows, counts, shared, t).withColumn("train_tokens", F.lit(vocab.n).cast("long"))
 
 

@@ -147,3 +147,46 @@ def test_training_reads_all_texts_until_the_likelihood_stops_rising(spark, docs_
     assert len(train) > 600 and {n for n, _ in rounds} == {len(train)}
     gains = [(b.log_like - a.log_like) / abs(b.log_like) for (_, a), (_, b) in zip(rounds, rounds[1:])]
     assert gains[-1] <= H.RISE and all(g > H.RISE for g in gains[:-1])
+
+
+def test_cut_texts_give_the_counts_of_whole_ones():
+    """Pieces with what enters and leaves them against one uncut run, in training and scoring."""
+    rng = np.random.default_rng(7)
+    vocab = H.Vocab(np.arange(9), np.ones(9, np.int64), np.arange(9), 9, 9, np.zeros(H.SHAPES), np.full(9, 1 / 9))
+    t = H.first_tables(vocab, 3)
+    sizes = [1, 7, 8, 9, 16, 17, 250, 0, 3]
+    seq, off = rng.integers(0, 9, sum(sizes)), np.append(0, np.cumsum(sizes))
+    whole = H.expected_counts(seq, off, t, segment=1000)
+    for n in (1, 3, 8):
+        for x, y in zip(H.expected_counts(seq, off, t, segment=n), whole):
+            assert np.allclose(x, y, rtol=2e-4, atol=2e-4)
+        assert np.allclose(H.forward_log10(seq, off, t, whole=n), H.forward_log10(seq, off, t, whole=1000), rtol=1e-6)
+    assert whole[0].sum() == pytest.approx(8, rel=1e-5) and whole[1].sum() == pytest.approx(sum(sizes) - 8, rel=1e-5) and whole[2].sum() == pytest.approx(sum(sizes), rel=1e-5)
+
+
+def test_leaps_reach_a_likelihood_that_plain_rounds_take_longer_for():
+    rng = np.random.default_rng(2)
+    seq = np.concatenate([np.repeat(rng.integers(0, 3, 40), 5) * 3 + rng.integers(0, 3, 200) for _ in range(20)])
+    off = np.arange(0, 4001, 200)
+    vocab = H.Vocab(np.arange(9), np.ones(9, np.int64), np.arange(9), 9, 9, np.zeros(H.SHAPES), np.full(9, 1 / 9))
+
+    def one(t):
+        s, m, e, ll = H.expected_counts(seq, off, t)
+        new = H.next_tables(s, m, e, vocab)
+        new.log_like = ll
+        return new
+
+    t = H.first_tables(vocab, 3)
+    plain = [t]
+    for _ in range(6):
+        plain.append(one(plain[-1]))
+    jumped = H.leap(*plain[1:4])
+    assert np.allclose(jumped.emit.sum(0), 1) and np.allclose(jumped.move.sum(1), 1) and (jumped.emit > 0).all()
+    assert one(jumped).log_like > plain[4].log_like          # ahead of the round that it replaces
+
+
+def test_clashing_names(docs_of):
+    df = docs_of([(1, "a b", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], ", model int, base int, toks int, Score int")
+    got = H.score_documents(df)
+    assert sorted(got.columns) == sorted(["doc_id", "model", "base", "toks", "held_out", "n_tokens", "n_known", "base_score", "score", "train_tokens"])
+    assert {(r.model, r.base, r.toks) for r in got.collect()} == {(1, 2, 3)}
