@@ -160,32 +160,61 @@ def drop_singletons(df: DataFrame, fes) -> DataFrame:
 def _prune(df: DataFrame, fes) -> tuple[DataFrame, DataFrame | None]:
     """E2 on cells.  Returns (checkpointed rows, surviving cells with their row counts ``n``).
 
-    The rows are reduced once to their distinct FE combinations.  Each round
-    counts every level over the cells and keeps the cells whose levels all occur
-    twice or more; its result is checkpointed, so a round's plan has the same size
-    whatever the number of rounds, and there is no limit on them.  The rows are
-    filtered once, by a semi join with the surviving cells.
+    The rows are reduced once to their distinct FE combinations, which ``_peel`` thins out; the rows are filtered once, by
+    a semi join with the surviving cells.
     """
     fes = list(fes)
     if not fes:
         return df, None
     keys = _uniq([c for fe in fes for c in _fe_cols(fe)])
     cells = cut_lineage(df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    size = first = cells.count()
+    left = _peel(cells, fes, keys)
+    rows = df.dropna(subset=keys) if left is cells else df.join(left.select(*keys), keys, "left_semi").select(*df.columns)
+    return cut_lineage(rows), left
+
+
+RAKES = 3               # rounds that only take lone levels, before chains are taken whole
+
+
+def _peel(cells: DataFrame, fes, keys: list[str]) -> DataFrame:
+    """The cells that are left when those with a level of one row go, again and again.
+
+    A level of exactly two rows in two cells ties these together: when one goes, the other's level is lone and it goes too.
+    So after ``RAKES`` plain rounds the cells tied by such levels are grouped (connected components), and a group with a
+    lone level goes as a whole, whatever the length of the chain.  Between two such rounds every branch loses its chains,
+    so their number grows with the logarithm of the size.  What is left is the same in any order.  A round is checkpointed
+    only if cells go.
+    """
+    done = 0
     while True:
+        counts = [cells.groupBy(*_fe_cols(fe)).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__c")) for fe in fes]
+        lone = [c.filter("__n = 1").select(*_fe_cols(fe)) for c, fe in zip(counts, fes)]
+        any_lone = lone[0].select(F.lit(1)).limit(1)
+        for x in lone[1:]:
+            any_lone = any_lone.unionByName(x.select(F.lit(1)).limit(1))
+        if not any_lone.count():
+            return cells
         left = cells
-        for fe in fes:
-            fcols = _fe_cols(fe)
-            often = cells.groupBy(*fcols).agg(F.sum("n").alias("__n")).filter(F.col("__n") > 1).select(*fcols)
-            left = left.join(often, fcols, "left_semi")
-        left = cut_lineage(left)
-        m = left.count()
-        cells = left
-        if m == size:
-            break
-        size = m
-    rows = df.dropna(subset=keys) if size == first else df.join(cells.select(*keys), keys, "left_semi").select(*df.columns)
-    return cut_lineage(rows), cells
+        if done >= RAKES:
+            left = _without_chains(cells, fes, keys, counts, lone)
+        for x, fe in zip(lone, fes):
+            left = left.join(x, _fe_cols(fe), "left_anti")
+        cells = cut_lineage(left)
+        done += 1
+
+
+def _without_chains(cells: DataFrame, fes, keys: list[str], counts: list[DataFrame], lone: list[DataFrame]) -> DataFrame:
+    """``cells`` without the groups that are tied together by levels of two rows and hold a lone level."""
+    ties, ends = None, None
+    for i, (fe, count, x) in enumerate(zip(fes, counts, lone)):
+        cols = _fe_cols(fe)
+        two = cells.join(count.filter("__n = 2 and __c = 2").select(*cols), cols, "left_semi")
+        tie = two.select(*keys, F.concat(F.lit(f"{i}:"), F.to_json(F.struct(*cols))).alias("__level"))
+        end = cells.join(x, cols, "left_semi").select(*keys)
+        ties, ends = (tie, end) if ties is None else (ties.unionByName(tie), ends.unionByName(end))
+    group = fe_levels.components(ties, keys, ["__level"])
+    gone = group.join(ends.distinct(), keys, "left_semi").select("component").distinct()
+    return cells.join(group.join(gone, "component", "left_semi").select(*keys), keys, "left_anti")
 
 
 def estimation_sample(df: DataFrame, cols: list[str], fes, cluster, sample=None,

@@ -94,6 +94,31 @@ def test_long_chain_is_pruned_to_nothing(spark):
     assert fe.drop_singletons(spark.createDataFrame(ring, "u int, t int"), ["u", "t"]).count() == 12
 
 
+def test_chains_go_in_few_rounds(spark, monkeypatch):
+    """10,000 units in a chain, a tree of chains, and random graphs against plain peeling."""
+    import collections
+    cuts = []
+    cut = fe.cut_lineage
+    monkeypatch.setattr(fe, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    chain = [(u, t) for u in range(10_000) for t in (u, u + 1)]
+    ring = [(20_000 + u, 20_000 + t) for u in range(6) for t in (u, (u + 1) % 6)]
+    left = fe.drop_singletons(spark.createDataFrame(chain + ring + [(20_000, 30_000)], "u int, t int"), ["u", "t"])
+    assert left.count() == 12 and len(cuts) < 20
+    rng = np.random.default_rng(6)
+    for n in (60, 90, 130):
+        rows = [(int(a), int(b), int(c)) for a, b, c in rng.integers(0, 60, (n, 3))]
+        keep = list(rows)
+        while True:
+            counts = [collections.Counter(r[i] for r in keep) for i in range(3)]
+            after = [r for r in keep if all(counts[i][r[i]] > 1 for i in range(3))]
+            if len(after) == len(keep):
+                break
+            keep = after
+        monkeypatch.setattr(fe, "RAKES", 0 if n != 90 else 1)
+        got = fe.drop_singletons(spark.createDataFrame(rows, "u int, t int, s int"), ["u", "t", "s"]).collect()
+        assert sorted(tuple(r) for r in got) == sorted(keep), n
+
+
 def test_omitted_terms(panel):
     rows, df = panel
     d = df.withColumns({"own": df["u"] * 1.5, "x2": 2 * df["x"], "z": df["x"] + df["y"] * 0})
