@@ -49,7 +49,7 @@ from sparkpanel.llm.common import largest, mix, table, text_slices, word_hashes,
 
 STATES, TOP, SHAPES, HEAVY = 8, 2_000, 128, 100_000
 #: Tokens of a piece that is worked abreast with others in training; tokens of a text that scoring takes without cutting it.
-SEGMENT, WHOLE = 256, 2_048
+SEGMENT, WHOLE = 256, 1_024
 #: Rise of the log likelihood, as a share of it, below which training ends; factor of the longest leap.
 RISE, LEAP = 1e-4, 16.0
 SMOOTH = 0.1
@@ -176,37 +176,38 @@ def segments(off: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.
     return begin, np.minimum(segment, off[1:][text] - begin), text, k
 
 
-def products(seq: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+def products(seq: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, t: Tables, kind=np.float32) -> tuple[np.ndarray, np.ndarray]:
     """The matrix that carries the state distribution before each piece to the one at its end, and the log10 factor taken out.
 
-    A text's first piece begins with the start distribution, whatever comes in.
+    A text's first piece begins with the start distribution, whatever comes in.  Arrays are (states, pieces), so that every
+    operation runs over all pieces at once.
     """
     states, b = len(t.start), len(begin)
     order = np.argsort(-length, kind="stable")
     begin, length, first = begin[order], length[order], first[order]
-    out, logs = np.empty((b, states, states)), np.zeros(b)
+    out, logs = np.empty((states, states, b), kind), np.zeros(b)
     steps = int(length[0]) if b else 0
-    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-    move, emit = t.move.astype(np.float32), t.emit.astype(np.float32)
-    p = None
-    for j, m in enumerate(live.tolist()):
-        e = emit[seq[begin[:m] + j]]
+    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right").tolist()
+    step = np.ascontiguousarray(t.move.T, kind)
+    # a class's emissions, over the largest of them
+    top = t.emit.max(1)
+    table, fall = np.ascontiguousarray((t.emit / top[:, None]).T, kind), np.log10(top)
+    p = np.where(first[None, None, :], t.start[None, :, None], t.move[:, :, None]).astype(kind)
+    for j, m in enumerate(live):
         if j:
-            p = (p[:m].reshape(-1, states) @ move).reshape(m, states, states)
-        else:
-            p = np.where(first[:, None, None], t.start.astype(np.float32), move)
-        top = e.max(1)
-        logs[:m] += np.log10(top)
-        p *= (e / top[:, None])[:, None, :]
+            p = np.matmul(step, p[:, :, :m])
+        cls = seq[begin[:m] + j]
+        p *= table.take(cls, axis=1)
+        logs[:m] += fall[cls]
         if j % 8 == 7:
-            most = p.max((1, 2))
-            p /= most[:, None, None]
+            most = p.max((0, 1))
+            p /= most
             logs[:m] += np.log10(most)
         gone = live[j + 1] if j + 1 < steps else 0
-        out[gone:m] = p[gone:m]
+        out[:, :, gone:m] = p[:, :, gone:]
     back = np.empty(b, np.int64)
     back[order] = np.arange(b)
-    return out[back], logs[back]
+    return np.ascontiguousarray(out.transpose(2, 0, 1)[back], np.float64), logs[back]
 
 
 def borders(seq: np.ndarray, begin: np.ndarray, length: np.ndarray, text: np.ndarray, k: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -258,32 +259,36 @@ def expected_counts(seq: np.ndarray, off: np.ndarray, t: Tables, segment: int =
         return start, move, emit, 0.0
     steps = int(length[0])
     live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right").tolist()
-    step, table = t.move.astype(np.float32), t.emit.astype(np.float32)
-    alpha = np.zeros((steps, b, states), np.float32)
-    scale = np.ones((steps, b), np.float32)
-    out = [table[seq[begin[:m] + j]] for j, m in enumerate(live)]
-    a = np.where(first[:, None], t.start, enter @ t.move).astype(np.float32)
-    for j, m in enumerate(live):
-        a = (a[:m] @ step if j else a) * out[j]
-        s = a @ np.ones(states, np.float32)
-        a /= s[:, None]
-        alpha[j, :m], scale[j, :m] = a, s
-    beta = leave.astype(np.float32)
-    beta /= (alpha[length - 1, np.arange(b)] * beta).sum(1, keepdims=True)
-    gammas = np.empty((len(seq), states), np.float32)
+    onward, back_ = np.ascontiguousarray(t.move.T, np.float32), t.move.astype(np.float32)
+    table = np.ascontiguousarray(t.emit.T, np.float32)
+    classes = [seq[begin[:m] + j] for j, m in enumerate(live)]
+    out, alpha, scale = [], [], []
+    a = np.where(first, t.start[:, None], t.move.T @ enter.T).astype(np.float32)
+    for j, cls in enumerate(classes):       # arrays are (states, pieces)
+        e = table.take(cls, axis=1)
+        a = (onward @ a[:, :len(cls)] if j else a) * e
+        s = a.sum(0)
+        a /= s
+        out.append(e), alpha.append(a), scale.append(s)
+    beta = np.ascontiguousarray(leave.T, np.float32)
+    for j, m in enumerate(live):            # pieces that end here
+        gone = live[j + 1] if j + 1 < steps else 0
+        beta[:, gone:m] /= (alpha[j][:, gone:] * beta[:, gone:m]).sum(0)
     for j in range(steps - 1, -1, -1):
         m = live[j]
-        gammas[begin[:m] + j] = alpha[j, :m] * beta[:m]
-        back = out[j] * beta[:m]
-        back /= scale[j, :m, None]
+        e = out[j]
+        e *= beta[:, :m]
+        e /= scale[j]
+        alpha[j] *= beta[:, :m]             # from here on the expected states
         if j:
-            move += t.move * (alpha[j - 1, :m].T @ back)
-            beta[:m] = back @ step.T
-    start += gammas[begin[first]].sum(0)
-    move += t.move * (enter[~first].T @ back[~first])
+            move += t.move * (alpha[j - 1][:, :m] @ e.T)
+            beta[:, :m] = back_ @ e
+    start += alpha[0][:, first].sum(1)
+    move += t.move * (enter[~first].T @ out[0][:, ~first].T)
+    cls, gammas = np.concatenate(classes), np.concatenate(alpha, axis=1)
     for s in range(states):
-        emit[s] = np.bincount(seq, gammas[:, s], len(t.emit))
-    return start, move, emit, float(np.log(scale).sum(dtype=np.float64))
+        emit[s] = np.bincount(cls, gammas[s], len(t.emit))
+    return start, move, emit, float(sum(np.log(s).sum(dtype=np.float64) for s in scale))
 
 
 def next_tables(start: np.ndarray, move: np.ndarray, emit: np.ndarray, vocab: Vocab) -> Tables:
@@ -376,8 +381,8 @@ def train_all(texts: DataFrame, vocab, states: int, rise: float = RISE) -> Table
             path = [t]
 
 
-def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables, whole: int = WHOLE) -> np.ndarray:
-    """log10 likelihood of each whole sequence by the scaled forward recursion.
+def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables, whole: int = WHOLE, segment: int = SEGMENT) -> np.ndarray:
+    """log10 likelihood of each whole sequence by the scaled forward recursion, in double precision.
 
     Texts of more than ``whole`` tokens are cut into pieces whose matrices are chained.
     """
@@ -389,17 +394,17 @@ def forward_log10(seq: np.ndarray, off: np.ndarray, t: Tables, whole: int = WHOL
     if len(order):
         live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")    # texts with more than j tokens
         a, logs = None, np.zeros(len(order))
-        for j, m in enumerate(live.tolist()):
-            a = (a[:m] @ t.move if j else t.start[None, :]) * t.emit[seq[begin[:m] + j]]
-            s = a.sum(1)
-            a = a / s[:, None]
+        onward, table = np.ascontiguousarray(t.move.T), np.ascontiguousarray(t.emit.T)
+        for j, m in enumerate(live.tolist()):               # arrays are (states, texts)
+            a = (onward @ a[:, :m] if j else t.start[:, None]) * table.take(seq[begin[:m] + j], axis=1)
+            s = a.sum(0)
+            a /= s
             logs[:m] += np.log10(s)
         total[order] = logs
-    long = np.flatnonzero(size > whole)
-    if len(long):
-        begin, length, text, k = segments(off, whole)
-        mine = np.flatnonzero(size[text] > whole)
-        p, logs = products(seq, begin[mine], length[mine], k[mine] == 0, t)
+    begin, length, text, k = segments(off, segment)
+    mine = np.flatnonzero(size[text] > whole)
+    if len(mine):
+        p, logs = products(seq, begin[mine], length[mine], k[mine] == 0, t, np.float64)
         total += np.bincount(text[mine], logs, len(size))
         head = np.flatnonzero(k[mine] == 0)
         n = np.diff(np.append(head, len(mine)))
