@@ -40,6 +40,7 @@ from sparkpanel.llm.common import mix, table, text_bytes, text_slices, written
 DIMS = 4_096
 PER_LANG = 600
 FAMILY_ROWS = 6_000    # rows of a family's decision, over all languages
+DIGITS, FEW = 3, 5_000  # hexadecimal digits by which the sample's rows are counted; rows that are ranked beyond it
 SLICE_BYTES = 1 << 19  # text whose features are made at once
 STEPS = 200
 RIDGE = 1e-4
@@ -156,15 +157,38 @@ class Tree:
         return out.tolist(), score
 
 
+def order_key(*hashes: Column) -> Column:
+    """Hexadecimal digits that sort like the 64-bit numbers, one after the other."""
+    return F.concat(*[F.lpad(F.hex(h.bitwiseXOR(F.lit(-1 << 63))), 16, "0") for h in hashes])
+
+
+def cut_off(known: DataFrame, per_lang: int, few: int = FEW) -> DataFrame:
+    """The rows that hold a language's first ``per_lang`` ones in the order of the digits ``h``, and at most ``few`` more.
+
+    Rows are counted by language and the first digits; the range in which the number is reached is counted by its next
+    digits, until it is small.  So a language, or an id, of a third of all rows sends few rows to its ranking.
+    """
+    upto = Window.partitionBy("lang").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)       # 16 ** DIGITS ranges a language
+    digits, last = 0, None
+    while True:
+        digits += DIGITS
+        rows = known if last is None else known.join(last.withColumnRenamed("p", "of"), "lang").filter(F.col("h").startswith(F.col("of")))
+        start = F.lit(0).cast("long") if last is None else F.first("before")
+        bins = rows.groupBy("lang", F.substring("h", 1, digits).alias("p")).agg(F.count("*").alias("n"), start.alias("start"))
+        bins = bins.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        last = written(bins.filter(F.col("before") < per_lang).groupBy("lang").agg(F.max(F.struct("p", "before", "n")).alias("x")).select("lang", "x.*"))
+        if digits >= 30 or not last.filter(F.col("n") > few).limit(1).count():
+            return known.join(last.select("lang", "p"), "lang").filter(F.substring("h", 1, digits) <= F.col("p")).drop("p")
+
+
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Tree:
     """A tree learned from (lang, text) rows with a ``key`` column that orders them for the sample."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    spread = F.xxhash64("key")
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    # the sample is drawn by key and language alone; only then are its texts read
-    picked = rows.select("lang", "key", spread.alias("h")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
-    ids = picked.groupBy("lang", "key").agg(F.min("n").alias("n"))      # at most per_lang a language
-    sample = rows.join(F.broadcast(ids), ["lang", "key"]).select("lang", "text", "n")
+    # the sample is drawn by key, language and a hash of the text; only then are its texts read.  Equal rows count once
+    known = written(rows.select("lang", "key", F.xxhash64("text").alias("th")).distinct().withColumn("h", order_key(F.xxhash64("key"), F.col("th"))))
+    picked = cut_off(known, per_lang).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).filter(F.col("n") <= per_lang)
+    ids = picked.select("lang", "key", "th", "n")                       # at most per_lang a language
+    sample = rows.withColumn("th", F.xxhash64("text")).join(F.broadcast(ids), ["lang", "key", "th"]).dropDuplicates(["lang", "n"]).select("lang", "text", "n")
 
     def vectors(batches):
         for batch in batches:

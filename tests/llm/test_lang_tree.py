@@ -56,3 +56,29 @@ def test_machine_separates_and_features_cover_the_whole_text():
     a, b, c = L.features(pa.array(["x " * 5000 + "zebra", "x " * 5000, "ÉÀ ÉÀ"]))
     assert np.abs(a - b).max() > 0.005
     assert np.allclose(c, L.features(pa.array(["éà éà"]))[0])
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """20,000 rows of one id, equal and different ones, among others: no decision sees more than the bound."""
+    rows = [(1, f"the word {i % 2000} of this", "en") for i in range(20_000)] + [(2, "der Hund und die Katze", "de")] * 5000
+    rows += [(i, f"the and {chr(97 + i % 26)} of it", "en") for i in range(10, 400)] + [(i, f"und die {chr(97 + i % 26)} das", "de") for i in range(1000, 1040)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    sizes, write = [], L.written
+
+    def watched(made):
+        out = write(made)
+        if "x" in out.columns:
+            sizes.extend(r["count"] for r in out.groupBy("lang").count().collect())
+        return out
+
+    monkeypatch.setattr(L, "written", watched)
+    assert L.train(df, per_lang=50).langs == ["de", "en"] and sorted(sizes) == [41, 50]
+    known = df.select("lang", "key", F.xxhash64("text").alias("th")).distinct().withColumn("h", L.order_key(F.xxhash64("key"), F.col("th"))).cache()
+    order = sorted(known.collect(), key=lambda r: r.h)
+    assert [r.key for r in order if r.key != 1] == [r.key for r in known.filter("key <> 1").orderBy(F.xxhash64("key"), "th").collect()]
+    for n, few in ((1, 5000), (50, 10), (600, 3), (5000, 3)):
+        got = [(r.lang, r.key, r.th) for r in L.cut_off(known, n, few).collect()]
+        for lang in ("en", "de"):
+            first = [(r.lang, r.key, r.th) for r in order if r.lang == lang][:n]
+            assert set(first) <= set(got)
+        assert len(got) <= 2 * (n + few)

@@ -67,6 +67,14 @@ def test_null_and_shared_ids_are_no_group(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in dict.fromkeys(rows) if i != 9)
 
 
+def test_survivor_of_repeated_rows_is_stated(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, "en", s, 1) for s in "hgfedcba"] + [(5, text, "en", None, 1), (6, text, "de", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 3, 8):
+        assert [tuple(r) for r in C.ngram_join(spark, docs.repartition(n), SF).collect()] == [(5, text, "en", None, 1)]
+
+
 def test_lettered_gibberish_goes(spark):
     """Texts in no learned language are rejected; the clean ones stay, short ones too."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
