@@ -39,12 +39,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id.  Documents without words all stay."""
+    """One document of each group of near-duplicates: the smallest doc_id; of its repeated rows the smallest by all columns.
+
+    Documents without words all stay.
+    """
     sets = partition_join.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT).filter("n_shingles > 0")
     first = sets.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
     rows = docs.withColumn("__h", F.xxhash64("text"))
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.filter(~empty).join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__h"] == first["__th"])).dropDuplicates(["__id", "__th"])
+    found = rows.filter(~empty).join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__h"] == first["__th"]))
+    # of rows that repeat an id and a text the smallest in the order of all columns stays, in any partitioning
+    kept = found.groupBy("__id", "__th").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
     return kept.select(*docs.columns).unionByName(rows.filter(empty).select(*docs.columns))
 
 
