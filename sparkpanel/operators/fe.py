@@ -654,6 +654,37 @@ def _weak_identification(M: np.ndarray, endog: list[int], exog: list[int], exclu
     return float(np.linalg.eigvalsh((inner + inner.T) / 2).min() / len(excluded))
 
 
+def _estimate(M: np.ndarray, raw: np.ndarray, s: Spec, cols: list[str]) -> dict:
+    """Two-stage least squares from the cross products ``M`` of the residualised ``cols``; ``raw``: their variation before the FEs."""
+    m, pos = len(cols), {c: k for k, c in enumerate(cols)}
+    X = list(s.endog) + list(s.exog)
+    at = lambda names: [pos[c] for c in names]
+    kept = _independent(M, raw, at(list(s.exog) + list(s.endog)))
+    ix = [pos[c] for c in X if pos[c] in kept]
+    exog = [i for i in at(s.exog) if i in kept]
+    endog = [i for i in at(s.endog) if i in kept]
+    excluded = [i for i in _independent(M, raw, exog + at(s.instruments)) if i not in exog] if endog else []
+    if len(excluded) < len(endog):
+        raise ValueError(f"{s.name}: not identified, fewer independent instruments than endogenous regressors")
+    iw, iy = exog + excluded, pos[s.y]
+    XW, WW = M[np.ix_(ix, iw)], M[np.ix_(iw, iw)]
+    k = len(ix)
+    if k:
+        Pi = _solve_sym(WW, XW.T)
+        XhXh = XW @ Pi
+        beta, bread = _solve_sym(XhXh, Pi.T @ M[iw, iy]), _inv_sym(XhXh)
+    else:
+        Pi, beta, bread = np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
+    rss = float(M[iy, iy] - 2 * beta @ M[ix, iy] + beta @ M[np.ix_(ix, ix)] @ beta)
+    # over all terms: an omitted one has coefficient 0 in fitted values and scores
+    full, place = np.zeros(len(X)), [X.index(cols[i]) for i in ix]
+    full[place] = beta
+    Pi_all = np.zeros((m, len(X)))
+    if k:
+        Pi_all[np.ix_(iw, place)] = Pi
+    return dict(X=X, place=place, Pi=Pi_all, beta=full, bread=bread, rss=rss, tss=float(M[iy, iy]), M=M, endog=endog, exog=exog, excluded=excluded)
+
+
 def rank_statistic(zz: np.ndarray, yy: np.ndarray, pi: np.ndarray, meat: np.ndarray) -> float:
     """Robust statistic of the hypothesis that the first stages ``pi`` (instruments x endogenous) have not full rank.
 
@@ -781,39 +812,11 @@ def _fit_shared(df, specs, fes, ccols, by, prune_singletons, dof, tol, resid_by=
         for i, j in pairs:
             M[i, j] = M[j, i] = float(xr[f"x{i}_{j}"] or 0.0)
         Ms[int(xr["__gi"])] = M
-    pos = {c: k for k, c in enumerate(cols)}
     fits = {}
     for si, s in enumerate(specs):
-        X = list(s.endog) + list(s.exog)
         for g in groups:
-            M = Ms[gidx[g]]
             raw = np.array([float(gstat[g][f"v{j}"] or 0.0) * int(gstat[g]["n"]) for j in range(m)])
-            at = lambda names: [pos[c] for c in names]
-            kept = _independent(M, raw, at(list(s.exog) + list(s.endog)))
-            ix = [pos[c] for c in X if pos[c] in kept]
-            exog = [i for i in at(s.exog) if i in kept]
-            endog = [i for i in at(s.endog) if i in kept]
-            excluded = [i for i in _independent(M, raw, exog + at(s.instruments)) if i not in exog] if endog else []
-            if len(excluded) < len(endog):
-                raise ValueError(f"{s.name}: not identified, fewer independent instruments than endogenous regressors")
-            iw, iy = exog + excluded, pos[s.y]
-            XW, WW = M[np.ix_(ix, iw)], M[np.ix_(iw, iw)]
-            k = len(ix)
-            if k:
-                Pi = _solve_sym(WW, XW.T)
-                XhXh = XW @ Pi
-                beta, bread = _solve_sym(XhXh, Pi.T @ M[iw, iy]), _inv_sym(XhXh)
-            else:
-                Pi, beta, bread = np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0))
-            rss = float(M[iy, iy] - 2 * beta @ M[ix, iy] + beta @ M[np.ix_(ix, ix)] @ beta)
-            # over all terms: an omitted one has coefficient 0 in fitted values and scores
-            full, place = np.zeros(len(X)), [X.index(cols[i]) for i in ix]
-            full[place] = beta
-            Pi_all = np.zeros((m, len(X)))
-            if k:
-                Pi_all[np.ix_(iw, place)] = Pi
-            fits[(si, g)] = dict(X=X, place=place, Pi=Pi_all, beta=full, bread=bread, rss=rss, tss=float(M[iy, iy]), M=M,
-                                 endog=endog, exog=exog, excluded=excluded)
+            fits[(si, g)] = _estimate(Ms[gidx[g]], raw, s, cols)
     # scores: xhat_i * u_i summed per (group, cluster), then outer products per group
     def per_group(values):
         if len(groups) == 1:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from sparkpanel.functions import numeric as N
 from sparkpanel.functions import text as X
-from sparkpanel.session import cut_lineage
+from sparkpanel.session import cut_lineage, ship
 from sparkpanel.sources import store
 
 HISTORY = 5             # steps that the quasi-Newton direction remembers
@@ -117,6 +117,7 @@ def _gradients(shared):
 def run_pass(rows: DataFrame, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
     """(mean training loss, mean hold-out loss, mean gradient, numbers of rows) of all heads: one job."""
     topics = weights.shape[1]
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast((weights, idf))
     sums = rows.mapInArrow(_gradients(shared), "f long, g array<double>")
     out = sums.groupBy("f").agg(*[F.sum(F.col("g")[t]).alias(f"g{t}") for t in range(topics)]).toPandas()
@@ -227,6 +228,7 @@ class JointTopicModel:
     def score(self, df: DataFrame, threshold: float = 0.5, keep=None) -> DataFrame:
         """M5: probabilities[n_topics] and predicted_label[n_topics] of every row; stateless, so it also runs on streams."""
         keep = keep or list(df.columns)
+        ship(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast((self.weights, self.idf))
         topics = len(self.topics)
 

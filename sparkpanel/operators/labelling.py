@@ -8,8 +8,8 @@ cause it with an ``error`` instead of killing the job; those rows are split off
 by ``split_rejects`` together with undecodable replies.  Without a function,
 a deterministic keyword labeller runs as plain column expressions.
 
-Remote labelling is costly and not repeatable: write the labelled output
-(``sources.write_table``) before using it further.
+Remote labelling is costly and not repeatable: ``label_with_ledger`` keeps every
+reply in an append-only table, so that no text is paid for twice.
 """
 
 from __future__ import annotations
@@ -64,6 +64,53 @@ def label_texts(df: DataFrame, text_col: str, labeller: Callable | None = None,
                       .alias("usage"), "error")
 
 
+def label_with_ledger(df: DataFrame, text_col: str, labeller: Callable, ledger: str, batch_size: int = 64, batches_a_round: int = 200) -> DataFrame:
+    """M2 that pays once: ``df`` with ``reply``, ``usage`` and ``error``, from an append-only ledger keyed by the text.
+
+    The ledger (Parquet, one folder a round) holds a row per SHA-256 of a text.  Equal texts are sent once.  What the ledger
+    has is not sent again, so a job that is started anew, or a plan that is read twice, calls the labeller only for the rest.
+    Pending texts go in rounds of ``batches_a_round`` batches; a round is appended as a whole when it is done, and a task makes
+    one call, so that a task that Spark tries again repeats that call alone.  Texts with an error are tried again by the next
+    run.  A null text is not sent; its reply is null.
+    """
+    from sparkpanel.session import cut_lineage, ship
+    from sparkpanel.sources import store
+    spark = df.sparkSession
+    ship(spark)
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = cut_lineage(df.select(key.alias("text_key"), F.col(text_col).alias("text")).filter("text is not null").dropDuplicates(["text_key"]))
+    kind = "text_key string, " + REPLY_SCHEMA
+    rounds = store.folders(spark, ledger)
+    known = (spark.read.schema(kind).parquet(*rounds) if rounds else spark.createDataFrame([], kind)).filter("error is null").select("text_key").distinct()
+    todo = cut_lineage(texts.join(known, "text_key", "left_anti"))
+    n = todo.count()
+    buckets = max(1, -(-n // (batch_size * batches_a_round)))
+    turn = F.pmod(F.xxhash64("text_key"), F.lit(buckets))
+
+    def run(frames):
+        import pandas as pd
+        rows = [pd.DataFrame(x) for x in frames]
+        rows = pd.concat(rows) if rows else None
+        for a in range(0, 0 if rows is None else len(rows), batch_size):
+            part = rows.iloc[a:a + batch_size]
+            got = _label_rows(labeller, part["text"].tolist())
+            yield pd.DataFrame({"text_key": part["text_key"].to_numpy(), "prompt_tokens": [r[1] for r in got], "completion_tokens": [r[2] for r in got],
+                                "reply": pd.Series([r[0] for r in got], dtype=object), "error": pd.Series([r[3] for r in got], dtype=object)})
+
+    for b in range(buckets if n else 0):
+        part = todo.filter(turn == b)
+        tasks = max(1, -(-part.count() // batch_size))
+        store.append(part.repartition(tasks).mapInPandas(run, kind), ledger)
+    rounds = store.folders(spark, ledger)
+    rows = spark.read.schema(kind).parquet(*rounds) if rounds else spark.createDataFrame([], kind)
+    # a success before an error; both are stated, should two runs have sent the same text
+    last = rows.groupBy(F.col("text_key").alias("__key")).agg(F.min_by(F.struct("prompt_tokens", "completion_tokens", "reply", "error"), F.struct(F.col("error").isNotNull().alias("bad"), "reply", "error")).alias("r"))
+    out = df.withColumn("__k", key).join(last, F.col("__k") == F.col("__key"), "left")
+    usage = [F.coalesce(F.col(f"r.{c}"), F.lit(0).cast("long")) for c in ("prompt_tokens", "completion_tokens")]
+    return out.select(*df.columns, F.col("r.reply").alias("reply"),
+                      F.struct(usage[0].alias("prompt_tokens"), usage[1].alias("completion_tokens"), (usage[0] + usage[1]).alias("total_tokens")).alias("usage"), F.col("r.error").alias("error"))
+
+
 def _label_rows(labeller: Callable, texts: list) -> list[tuple]:
     """(reply, prompt tokens, completion tokens, error) of each text; a failing batch is halved down to its bad rows."""
     try:

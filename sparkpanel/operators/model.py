@@ -11,8 +11,6 @@ works on a streaming DataFrame.
 
 from __future__ import annotations
 
-import json
-import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -20,10 +18,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpanel.functions import numeric as N
+from sparkpanel.sources import store
 
 
 #: Regularisation strengths from strong to weak; longer than the default patience.
@@ -56,33 +55,28 @@ class TopicModel:
         return feats.select(*keep, arr.alias("probabilities"), N.binarize(arr, threshold).alias("predicted_label"))
 
     def save(self, path: str) -> None:
-        """Featurizer, one model per topic and a small manifest."""
-        self.featurizer.write().overwrite().save(os.path.join(path, "featurizer"))
-        consts = {}
-        for i, m in enumerate(self.models):
-            if isinstance(m, float):
-                consts[str(i)] = m
-            else:
-                m.write().overwrite().save(os.path.join(path, f"topic_{i}"))
-        manifest = {"topics": self.topics, "text_col": self.text_col, "constants": consts, "chosen": self.chosen}
-        from pyspark.sql import SparkSession
-        s = SparkSession.getActiveSession()
-        s.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1) \
-            .write.mode("overwrite").text(os.path.join(path, "manifest"))
+        """Featurizer and one model per topic, published in one step; the former model stays until then."""
+        def write(folder: str) -> dict:
+            self.featurizer.write().save(f"{folder}/featurizer")
+            consts = {}
+            for i, m in enumerate(self.models):
+                if isinstance(m, float):
+                    consts[str(i)] = m
+                else:
+                    m.write().save(f"{folder}/topic_{i}")
+            return {"topics": self.topics, "text_col": self.text_col, "constants": consts, "chosen": self.chosen}
+
+        store.publish(SparkSession.getActiveSession(), path, write)
 
     @staticmethod
     def load(path: str) -> "TopicModel":
-        from pyspark.sql import SparkSession
-        s = SparkSession.getActiveSession()
-        manifest = json.loads(s.read.text(os.path.join(path, "manifest")).first()[0])
-        feat = PipelineModel.load(os.path.join(path, "featurizer"))
-        models = []
-        for i, _ in enumerate(manifest["topics"]):
-            if str(i) in manifest["constants"]:
-                models.append(float(manifest["constants"][str(i)]))
-            else:
-                models.append(LogisticRegressionModel.load(os.path.join(path, f"topic_{i}")))
-        return TopicModel(feat, models, manifest["topics"], manifest["text_col"], manifest.get("chosen", {}))
+        found = store.current(SparkSession.getActiveSession(), path)
+        if not found:
+            raise FileNotFoundError(f"no model in {path}")
+        folder, manifest = found
+        models = [float(manifest["constants"][str(i)]) if str(i) in manifest["constants"] else LogisticRegressionModel.load(f"{folder}/topic_{i}")
+                  for i in range(len(manifest["topics"]))]
+        return TopicModel(PipelineModel.load(f"{folder}/featurizer"), models, manifest["topics"], manifest["text_col"], manifest.get("chosen", {}))
 
 
 def _log_loss(df: DataFrame, label: str, prob: F.Column, eps: float = 1e-7) -> float:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkpanel.session import cut_lineage
+from sparkpanel.session import cut_lineage, ship
 
 _LOW33 = (1 << 33) - 1
 
@@ -128,6 +128,7 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, flo
     task sends one row a bin.  Nothing is sorted, shuffled by value or written.  Once the wanted bins hold at most ``FEW``
     values, these are read; a value that many rows share ends up alone in its bin after 64 bits.
     """
+    ship(df.sparkSession)
     values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
     wanted = {0: (sorted(set(ranks)), 0)}           # prefix: ranks within the bin, and how many values the bin holds
     out: dict[int, float] = {}

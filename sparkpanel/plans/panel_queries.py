@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpanel.operators import did as D
-from sparkpanel.operators import fe
+from sparkpanel.operators import fe, fe_groups
 from sparkpanel.operators import merge as J
 from sparkpanel.operators import panel as P
 from sparkpanel.operators import ranks as R
@@ -624,11 +624,13 @@ _QUARTILES = [[f"qp{g} AS MATERIALIZED (SELECT * FROM qp WHERE grp = {g})"]
 
 @register("iv_by_quartile", S.query(_panel_sql(*_QUARTILES, extra=(QUARTILE_CTE,)), S.coef_select([f"q{g}" for g in range(1, 5)], ", n, g")))
 def q_iv_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One IV per quartile, each pruned within its own sub-sample - all four
-    in the same passes (FEs interacted with the quartile)."""
+    """One IV per quartile, each pruned within its own sub-sample, all in the same passes (FEs interacted with the
+    quartile); the solves run per group inside the tasks."""
     b = quartile_frame(spark, sf_dir)
-    res = fe.fit_models(b, [fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="q")], fes=CSY, cluster="cust", by="group")
-    return _union([coef_frame(spark, r, n=r.nobs, g=r.n_clusters) for r in res])
+    r = fe_groups.fit_groups(b, fe.Spec("y", ["disc", "urg"], ["x"], ["no"], name="q"), CSY, "cust", "group")
+    return r.select(F.format_string("q[group=%d]", "group").alias("model"), "position", "term", r6("estimate").alias("estimate"), r6("std_error").alias("std_error"),
+                    F.round("t", 4).alias("t"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"),
+                    "omitted", "n", F.col("n_clusters").alias("g"))
 
 
 def _union(frames):

@@ -371,6 +371,37 @@ def q_share_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("topic", *[F.round(c, 6).alias(c) for c in ("w_a", "w_b", "within", "mix")])
 
 
+# The twin takes the three changes in each of the six orders and averages, where the operator has the closed form.
+_ORDERS = [("m", "w", "s"), ("m", "s", "w"), ("w", "m", "s"), ("w", "s", "m"), ("s", "m", "w"), ("s", "w", "m")]
+
+
+def _order_sql(of: str) -> str:
+    """The change that ``of`` brings when its turn comes, summed over the six orders."""
+    terms = []
+    for order in _ORDERS:
+        at = order.index(of)
+        terms.append(f"({of}1 - {of}0) * " + " * ".join(f"{x}{1 if order.index(x) < at else 0}" for x in "mws" if x != of))
+    return f"({' + '.join(terms)}) / 6"
+
+
+@register("share_change", f"""
+WITH f AS (SELECT lang, doc_id % 4 AS period, CAST(length(text) > 2000 AS INTEGER) AS long_text, {keyword_flags_sql()} FROM documents
+), lng AS (UNPIVOT f ON {", ".join(q(c) for c in L.TOPIC_COLUMNS)} INTO NAME topic VALUE flag
+), c AS (SELECT lang, period, topic, sum(flag)::DOUBLE AS n, sum(flag * long_text)::DOUBLE AS x FROM lng GROUP BY ALL
+), v AS (SELECT lang, period, topic, n / sum(n) OVER (PARTITION BY lang, period) AS w, CASE WHEN n > 0 THEN x / n END AS m,
+                sum(n) OVER (PARTITION BY lang, period) / sum(n) OVER (PARTITION BY period) AS s FROM c
+), p AS (SELECT a.lang, a.period AS from_period, b.period AS to_period, topic, a.s AS s0, b.s AS s1, a.w AS w0, b.w AS w1, coalesce(a.m, b.m, 0) AS m0, coalesce(b.m, a.m, 0) AS m1
+         FROM v a JOIN v b USING (topic) WHERE a.lang = b.lang AND b.period = a.period + 1)
+SELECT lang, from_period, to_period, topic, round({_order_sql('m')}, 6) AS within, round({_order_sql('w')}, 6) AS mix, round({_order_sql('s')}, 6) AS grouping FROM p""")
+def q_share_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I6 over time: why the texts of a period are longer than those of the one before: within topics and languages, by the mix of
+    topics, or by the languages' shares."""
+    docs = load_table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 4).alias("period"), "text")
+    flags = docs.select("lang", "period", (F.length("text") > 2000).cast("int").alias("long_text"), *L.keyword_flag_exprs(F.col("text"), FIXTURE_LEXICON))
+    d = frequency.share_change(flags, "lang", "period", L.TOPIC_COLUMNS, "long_text")
+    return d.select("lang", "from_period", "to_period", "topic", *[F.round(c, 6).alias(c) for c in ("within", "mix", "grouping")])
+
+
 # --- A8-A14 / P16 / P17 / M6: evaluation on 19 paired columns --------------------------
 # Actual: the keyword labeller.  Scores are a fixed function of n_chars and the
 # topic's place k, so the oracle is exact: p = (n_chars * (k + 3) % 200) / 200.

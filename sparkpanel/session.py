@@ -9,8 +9,11 @@ an error, because executors would write to their own disks.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +66,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _scratch = itertools.count()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to an application's Python workers, unless they find it by PYTHONPATH or working folder."""
+    package = Path(__file__).resolve().parent
+    places = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(Path(p, package.name).is_dir() for p in places):
+        return
+    zipped = Path(tempfile.mkdtemp(prefix="sparkpanel-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(zipped))
+    _shipped.add(app)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

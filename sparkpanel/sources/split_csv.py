@@ -95,7 +95,8 @@ def _rows(out: list) -> pa.RecordBatch:
 
 def records(spark: SparkSession, path) -> DataFrame:
     """value, first: the CSV records of all files; ``first`` marks a file's first record."""
-    from sparkpanel.session import cut_lineage
+    from sparkpanel.session import cut_lineage, ship
+    ship(spark)
     starts = cut_lineage(split_starts(lines(spark, path)))
     if bad := starts.filter("open_file").select("file").distinct().limit(3).collect():
         raise ValueError("a quoted field does not end in " + ", ".join(r["file"] for r in bad))

@@ -1,4 +1,4 @@
-"""Versioned folders whose current version changes in one step.
+"""Versioned folders whose current version changes in one step (S4, M4), and append-only tables (M2).
 
 ``publish`` writes the parts of a new version into a folder of its own and then
 renames a small manifest, through the session's Hadoop file system, over the
@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MANIFEST = "CURRENT"
 
@@ -63,3 +63,16 @@ def current(spark: SparkSession, root: str) -> tuple[str, dict] | None:
     root = root.rstrip("/")
     about = _read(spark, root)
     return about and (f"{root}/{about['version']}", about)
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The parts of an append-only table, those that were written as a whole."""
+    fs, _, path = _hadoop(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("part=") and fs.exists(path(s.getPath(), "_SUCCESS")))
+
+
+def append(df: DataFrame, root: str) -> None:
+    """One more part; it counts once Spark has committed it."""
+    df.write.parquet(f"{root.rstrip('/')}/part={uuid.uuid4().hex}")

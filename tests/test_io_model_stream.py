@@ -44,6 +44,16 @@ def test_model_fit_save_load_score(spark):
     pb = {r.doc_id: r.probabilities for r in b.collect()}
     assert len(pa) == docs.count() and all(abs(x - y) < 1e-12 for k in pa for x, y in zip(pa[k], pb[k]))
     assert all(len(v) == 2 and all(0.0 <= p <= 1.0 for p in v) for v in pa.values())
+    # a save that is killed half-way leaves the former model; a smaller one leaves no topic behind
+    broken = model.TopicModel(tm.featurizer, [tm.models[0], None], tm.topics, tm.text_col, {})
+    try:
+        broken.save(path)
+    except AttributeError:
+        pass
+    assert model.TopicModel.load(path).topics == ["quality", "toxic"]
+    model.TopicModel(tm.featurizer, tm.models[:1], ["quality"], "text", {}).save(path)
+    assert len(model.TopicModel.load(path).models) == 1
+    assert sorted(os.listdir(os.path.join(path, next(d for d in os.listdir(path) if os.path.isdir(os.path.join(path, d)))))) == ["featurizer", "topic_0"]
 
 
 def test_constant_topic_model(spark):

@@ -178,3 +178,56 @@ def test_split_and_sample_are_prefixes_of_the_hash_order(spark):
     test = {r.k for r in sampling.split(df, 0.33, 7, "k").filter("split = 'test'").collect()}
     assert test == set(order[:990])
     assert sampling.sample_n(df, 0, 7, "k").count() == 0 and sampling.sample_n(df, 3000, 7, "k").count() == 3000
+
+
+def test_ledger_sends_each_text_once(spark, tmp_path):
+    """Equal texts, a second run, a run that was cut off, a failing text, and null texts."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    folder = str(seen)
+
+    def labeller(texts):
+        import os
+        import uuid
+        for t in texts:
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(t)
+        if "bad" in texts:
+            raise ValueError("no")
+        return [{"reply": f"<{t}>", "prompt_tokens": len(t), "completion_tokens": 1} for t in texts]
+
+    sent = lambda: sorted(p.read_text() for p in seen.iterdir())
+    rows = [(i, f"text {i % 20}", "x") for i in range(60)] + [(100, None, "x")]
+    df = spark.createDataFrame(rows, "id long, text string, reply_to string")
+    ledger = str(tmp_path / "ledger")
+    run = lambda d: {r.id: r for r in labelling.label_with_ledger(d, "text", labeller, ledger, batch_size=3, batches_a_round=2).collect()}
+    first = run(df.filter("id < 10"))
+    assert len(first) == 10 and len(sent()) == 10 and first[4].reply == "<text 4>" and first[4].usage.total_tokens == 7
+    got = run(df)
+    assert len(got) == 61 and sent() == sorted(f"text {i}" for i in range(20))              # each once, over both runs
+    assert got[59].reply == "<text 19>" and got[100].reply is None and got[100].error is None
+    # a round that was not committed is not in the ledger
+    (tmp_path / "ledger" / "part=dead").mkdir()
+    (tmp_path / "ledger" / "part=dead" / "part-0.parquet").write_bytes(b"half")
+    assert run(df)[3].reply == "<text 3>" and len(sent()) == 20
+    worse = df.unionByName(spark.createDataFrame([(200, "bad", "x"), (201, "good", "x")], df.schema))
+    a = run(worse)
+    assert a[201].reply == "<good>" and "ValueError" in a[200].error and a[200].reply is None
+    n = len(sent())
+    b = run(worse)
+    assert "ValueError" in b[200].error and sent().count("good") <= 2 and len(sent()) == n + 1     # only the failed text again
+
+
+def test_share_change_adds_up(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([1, 2, 5]), rng.randint(0, 1), rng.randint(0, 1), rng.random()) for _ in range(300)]
+    rows = [r for r in rows if (r[0], r[1]) != ("c", 2)] + [("d", 5, 1, 0, 2.0), ("e", 2, 0, 0, 1.0)]      # groups that come and go
+    df = spark.createDataFrame(rows, "g string, t int, k1 int, k2 int, y double")
+    got = frequency.share_change(df, "g", "t", ["k1", "k2"], "y").collect()
+    mean = lambda t: sum(r[4] * (r[2] + r[3]) for r in rows if r[1] == t) / sum(r[2] + r[3] for r in rows if r[1] == t)
+    for a, b in ((1, 2), (2, 5)):
+        parts = [r.within + r.mix + r.grouping for r in got if (r.from_period, r.to_period) == (a, b)]
+        assert abs(sum(parts) - (mean(b) - mean(a))) < 1e-12
+    assert {(r.from_period, r.to_period) for r in got} == {(1, 2), (2, 5)}
+    assert frequency.share_change(df.filter("t = 1"), "g", "t", ["k1", "k2"], "y").count() == 0
