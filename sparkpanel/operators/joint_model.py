@@ -40,7 +40,9 @@ from sparkpanel.sources import store
 HISTORY = 5             # steps that the quasi-Newton direction remembers
 #: Regularisations that each topic is trained with.
 REGS = (0.03, 0.003, 0.0003, 0.00001)
-ENTRIES = 100_000       # words that a task multiplies at once
+ENTRIES = 100_000       # words that a task multiplies at once when it scores
+BLOCK_WORDS = 1 << 16   # words of the texts that stand together in training
+TASK_WORDS = 1 << 24    # words of a task in training: each task sends a gradient of its own
 SUFFICIENT = 1e-4       # share of the predicted fall of the loss that a step must bring
 #: Rows of a pass's result beside the features: losses of training and hold-out texts, and the numbers of these.
 LOSS, HELD, N_TRAIN, N_HELD = -1, -2, -3, -4
@@ -63,19 +65,67 @@ def _logits(words: np.ndarray, off: np.ndarray, idf: np.ndarray, weights: np.nda
     return out, value, row
 
 
-def _chunks(lists: pa.ListArray):
-    """(start, stop, words, offsets) of row ranges with about ENTRIES words, one row at least."""
+def _chunks(lists: pa.ListArray, entries: int = ENTRIES):
+    """(start, stop, words, offsets) of row ranges with about ``entries`` words, one row at least."""
     off = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values.to_numpy()
     a, n = 0, len(lists)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + ENTRIES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + entries, side="right")) - 1)
         yield a, b, words[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
 
 
+BLOCK = "uniq binary, loc binary, c binary, off binary, n binary, y binary, held binary"
+
+
+def _fit(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold them; read back by ``_read``."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def _read(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n] if n else np.uint8)
+
+
+def _pack(batches):
+    """Reads (words, y, held); one row for the texts of about BLOCK_WORDS words.
+
+    A row holds its distinct words, and for each text each of them once with its count: what every epoch needs.
+    """
+    for batch in batches:
+        lists, held = batch.column("words"), batch.column("held").to_numpy()
+        y = batch.column("y").flatten().to_numpy().reshape(batch.num_rows, -1)
+        for a, b, words, off in _chunks(lists, BLOCK_WORDS):
+            n = np.diff(off)
+            code, c = np.unique((np.repeat(np.arange(b - a), n).astype(np.int64) << 32) | words, return_counts=True)
+            uniq, loc = np.unique(code & 0xFFFFFFFF, return_inverse=True)
+            ends = np.searchsorted(code >> 32, np.arange(b - a + 1))
+            row = [uniq.astype(np.int32).tobytes(), _fit(loc), _fit(c), ends.astype(np.int64).tobytes(), n.astype(np.int64).tobytes(), y[a:b].astype(float).tobytes(), held[a:b].astype(np.int8).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[f.split()[0] for f in BLOCK.split(", ")])
+
+
+def _blocks(batch: pa.RecordBatch):
+    """(distinct words, place among them and count of every entry, offsets, numbers of words, y, held) of each row."""
+    for i in range(batch.num_rows):
+        r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+        off, n, held = np.frombuffer(r["off"], np.int64), np.frombuffer(r["n"], np.int64), np.frombuffer(r["held"], np.int8)
+        yield np.frombuffer(r["uniq"], np.int32), _read(r["loc"], off[-1]), _read(r["c"], off[-1]), off, n, np.frombuffer(r["y"], float).reshape(len(n), -1), held
+
+
+def _found(batches):
+    """Reads blocks; rows (f, n, words): training texts that hold word f; at -1 the training texts and the words of all."""
+    for batch in batches:
+        for uniq, loc, _, off, n, _, held in _blocks(batch):
+            mine = np.repeat(held == 0, np.diff(off))
+            f = np.append(uniq.astype(np.int64), -1)
+            df = np.append(np.bincount(loc[mine], minlength=len(uniq)), (held == 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(df.astype(np.int64)), pa.array(np.append(np.zeros(len(uniq), np.int64), n.sum()))], names=["f", "n", "words"])
+
+
 def _gradients(shared):
-    """Reads (words, y, held); rows (f, g): gradient sums by feature, losses and counts of the task.
+    """Reads blocks; rows (f, g): gradient sums by feature, losses and counts of the task.
 
     The heads of one topic stand side by side.
     """
@@ -86,24 +136,27 @@ def _gradients(shared):
         grad, touched = np.zeros_like(weights), np.zeros(len(weights), bool)
         loss, count = np.zeros((2, topics)), np.zeros(2)
         for batch in batches:
-            lists, held_all = batch.column("words"), batch.column("held").to_numpy()
-            y_all = batch.column("y").flatten().to_numpy().reshape(batch.num_rows, -1)
-            y_all = np.repeat(y_all, topics // max(1, y_all.shape[1]), axis=1)
-            for a, b, words, off in _chunks(lists):
-                z, value, row = _logits(words, off, idf, weights)
-                y, held = y_all[a:b], held_all[a:b]
+            for uniq, loc, c, off, n, y, held in _blocks(batch):
+                y = np.repeat(y, topics // max(1, y.shape[1]), axis=1)
+                scale = 1 / np.sqrt(np.maximum(n, 1))[:, None]
+                own = idf[uniq][:, None]
+                z = np.tile(weights[-1], (len(n), 1))
+                full = np.flatnonzero(n)
+                times = c[:, None].astype(float)
+                if len(full):
+                    z[full] += np.add.reduceat((weights[uniq] * own)[loc] * times, off[:-1][full], axis=0) * scale[full]
                 bce = np.logaddexp(0, z) - y * z
                 for h in (0, 1):
                     loss[h] += bce[held == h].sum(0)
                     count[h] += (held == h).sum()
                 rest = np.where(held[:, None] == 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y, 0.0)
                 grad[-1] += rest.sum(0)
-                order = np.argsort(words, kind="stable")
-                if len(order):
-                    f = words[order]
-                    first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                    grad[f[first]] += np.add.reduceat((value[:, None] * rest[row])[order], first, axis=0)
-                    touched[f[first]] = True
+                if len(loc):
+                    order = np.argsort(loc, kind="stable")
+                    many = np.bincount(loc)
+                    row = np.repeat(np.arange(len(n)), np.diff(off))
+                    grad[uniq] += np.add.reduceat((rest * scale)[row[order]] * times[order], np.cumsum(many) - many, axis=0) * own
+                    touched[uniq] = True
         touched[-1] = True
         f = np.flatnonzero(touched)
         g = np.concatenate([grad[f], loss, np.repeat(count[:, None], topics, axis=1)])
@@ -115,9 +168,11 @@ def _gradients(shared):
 
 
 def run_pass(rows: DataFrame, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
-    """(mean training loss, mean hold-out loss, mean gradient, numbers of rows) of all heads: one job."""
+    """(mean training loss, mean hold-out loss, mean gradient, numbers of rows) of all heads: one job.  ``rows``: blocks, or (words, y, held)."""
     topics = weights.shape[1]
     ship(rows.sparkSession)
+    if "words" in rows.columns:
+        rows = rows.select("words", "y", "held").mapInArrow(_pack, BLOCK)
     shared = rows.sparkSession.sparkContext.broadcast((weights, idf))
     sums = rows.mapInArrow(_gradients(shared), "f long, g array<double>")
     out = sums.groupBy("f").agg(*[F.sum(F.col("g")[t]).alias(f"g{t}") for t in range(topics)]).toPandas()
@@ -275,12 +330,19 @@ def fit_joint(train_rows: DataFrame, text_col: str, label_cols: list[str], valid
         return df.select(features(F.col(text_col), num_features).alias("words"), y.alias("y"), F.lit(held).alias("held")).filter(F.forall("y", lambda v: v.isNotNull()))
 
     rows = prepared(train_rows, 0)
-    rows = cut_lineage(rows if valid is None else rows.unionByName(prepared(valid, 1)))
-    mine = rows.filter("held = 0")
-    n = mine.count()
+    rows = rows if valid is None else rows.unionByName(prepared(valid, 1))
+    ship(spark)
+    rows = cut_lineage(rows.mapInArrow(_pack, BLOCK))
+    found = {r["f"]: r for r in rows.mapInArrow(_found, "f long, n long, words long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}     # num_features rows at most
+    n, words = (found.pop(-1)[1:] if found else (0, 0))
     idf = np.zeros(num_features)
-    for r in mine.select(F.explode(F.array_distinct("words")).alias("f")).groupBy("f").count().collect():     # num_features rows at most
-        idf[r["f"]] = np.log((n + 1) / (r["count"] + 1)) + 1
+    for f, r in found.items():
+        if r["n"]:
+            idf[f] = np.log((n + 1) / (r["n"] + 1)) + 1
+    # as many tasks as run at once, more only for more words: what an epoch shuffles is one gradient a task
+    tasks = max(min(spark.sparkContext.defaultParallelism, -(-words // BLOCK_WORDS)), -(-words // TASK_WORDS), 1)
+    if rows.rdd.getNumPartitions() != tasks:
+        rows = cut_lineage(rows.repartition(tasks))
     about = {"topics": label_cols, "num_features": num_features, "regs": list(regs), "rows": n}
     state, save = None, None
     if state_dir:

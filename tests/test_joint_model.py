@@ -134,3 +134,15 @@ def test_store_keeps_the_former_version_until_the_new_one_is_whole(spark, tmp_pa
     assert len([p for p in (tmp_path / "m").iterdir() if p.is_dir()]) == 1           # nothing left over
     docs = spark.createDataFrame([(1, "x y"), (2, None)], "id long, text string")
     assert [len(r.probabilities) for r in back.score(docs).collect()] == [2, 2]
+
+
+def test_tasks_follow_words_not_partitions(spark, monkeypatch):
+    """An epoch's gradients come from as many tasks as the words need, whatever the partitions of the input; repeats count."""
+    seen, run = [], JM.run_pass
+    monkeypatch.setattr(JM, "run_pass", lambda rows, *x: seen.append(rows.rdd.getNumPartitions()) or run(rows, *x))
+    df = spark.createDataFrame([(i, "good good fine" if i % 2 else "bad " * (i % 5), i % 2) for i in range(60)], "id int, text string, y int").repartition(23)
+    m = JM.fit_joint(df, "text", ["y"], num_features=64, max_epochs=2)
+    assert set(seen) == {1} and m.epochs == 2
+    held = df.select(JM.features(F.col("text"), 64).alias("words"), F.array(F.col("y").cast("double")).alias("y"), F.lit(0).alias("held"))
+    used = {f for r in held.select("words").collect() for f in r["words"]}
+    assert {i for i in range(64) if m.idf[i]} == used
