@@ -26,6 +26,7 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -242,7 +243,8 @@ def _sample(df, cols, fes, cluster, sample=None, prune_singletons=True, extra=()
 
 
 LITERAL_MAX = 20_000    # levels x columns up to which CG directions travel as a folded literal
-DENSE_LEVELS = 16       # up to this many small-FE levels A is formed exactly (A @ I, one narrow job)
+DENSE_LEVELS = 512      # up to this many small-FE levels A is formed exactly, in one job
+DENSE_VALUES = 1 << 20  # doubles of the units x levels table that a task multiplies at once
 MATVEC_BLOCK = 16       # columns per product job (wider rows fall out of whole-stage codegen)
 STALL = 30              # CG steps without progress after which the true residual decides
 RESIDUAL = 1e-8         # largest true residual (relative) that is accepted
@@ -318,14 +320,16 @@ class _Absorber:
         self._held.append(cells)
         # 4) right-hand sides B = D' M_u V (and, for CG, the Jacobi preconditioner diag(A))
         rhs = self._per_level_agg(d1, idx_cols, [F.col(c) for c in cols], None)
+        alpha = None
         if n_small <= DENSE_LEVELS:
             b = self._to_matrix(rhs.collect(), n_small, len(cols))
-            # few levels (e.g. years): A = A @ I in one job, then a min-norm solve
-            a = self._matvec(cells, ucols, idx_cols, np.eye(n_small))
-            a = (a + a.T) / 2.0
-            alpha = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+            a = self._gram(cells, ucols, idx_cols, n_small)
+            alpha, _, _, spread = np.linalg.lstsq(a, b, rcond=1e-12)
             self.iterations = 1
-        else:
+            # where levels hang together so loosely that a cut of A's small values would be a guess, CG decides
+            if n_small > 16 and ((spread > 1e-12 * spread[0]) & (spread < 1e-10 * spread[0])).any():
+                alpha = None
+        if alpha is None:
             # B and diag(A) in one job: a tagged union of the two small aggregates
             parts = [rhs.withColumn("__kind", F.lit(0))]
             parts += [dd.withColumn("__kind", F.lit(1)) for dd in self._diag_dfs(cells, ucols, idx_cols)]
@@ -413,6 +417,44 @@ class _Absorber:
         """sum_{rows at level s} expr, for every level of every small FE -> (S x m)."""
         return cls._to_matrix(cls._per_level_agg(df, idx_cols, exprs, weight).collect(), n_small, len(exprs))
 
+    @staticmethod
+    def _gram(cells: DataFrame, ucols, idx_cols: list[str], n_small: int) -> np.ndarray:
+        """A = D'D - C' N_u^-1 C, from one pass over the cells: a task lays out some units x levels at a time (no pairs of cells)."""
+        def run(batches):
+            a, limit = np.zeros((n_small, n_small)), max(1, DENSE_VALUES // n_small)
+            open_, open_n = np.zeros(n_small), 1.0      # the unit at the end of what was read, it may go on
+            for batch in batches:
+                first, c, nu = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("__first", "__c", "__nu"))
+                ids = [batch.column(k).to_numpy() for k in idx_cols]
+                if not len(c):
+                    continue
+                for x in ids:
+                    for y in ids:
+                        np.add.at(a, (x, y), c)
+                at = np.cumsum(first)
+                lo = 0
+                while lo < len(c):
+                    hi = int(np.searchsorted(at, at[lo] + limit))
+                    unit = at[lo:hi] - at[lo] + int(first[lo])
+                    w, n = np.zeros((int(unit[-1]) + 1, n_small)), np.ones(int(unit[-1]) + 1)
+                    w[0], n[0] = open_, open_n
+                    for x in ids:
+                        np.add.at(w, (unit, x[lo:hi]), c[lo:hi])
+                    n[unit] = nu[lo:hi]
+                    open_, open_n = w[-1], n[-1]
+                    a -= (w[:-1] / n[:-1, None]).T @ w[:-1]
+                    lo = hi
+            a -= np.outer(open_, open_) / open_n
+            i, j = np.nonzero(a)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(a[i, j])], names=["i", "j", "v"])
+
+        first = (F.row_number().over(Window.partitionBy(*ucols).orderBy(*idx_cols)) == 1).cast("int").alias("__first")
+        rows = cells.select(first, F.col("__c").cast("double").alias("__c"), F.col("__nu").cast("double").alias("__nu"), *idx_cols)
+        out = np.zeros((n_small, n_small))
+        for r in rows.mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            out[r["i"], r["j"]] = r["v"]
+        return (out + out.T) / 2.0
+
     @staticmethod
     def _diag_dfs(cells: DataFrame, ucols, idx_cols) -> list[DataFrame]:
         """diag(A)[s] = n_s - sum_u n_us^2 / n_u per small FE, as (__idx, d) frames (no pairs)."""

@@ -17,7 +17,7 @@ from sparkpanel.operators import panel as P
 from sparkpanel.operators import ranks as R
 from sparkpanel.plans import fe_sql as S
 from sparkpanel.plans.panel_data import balanced_panel, orders_year, regression_panel
-from sparkpanel.session import local_frame
+from sparkpanel.session import cut_lineage, local_frame
 from sparkpanel.sources import load_table
 
 QUERIES: dict = {}
@@ -569,9 +569,9 @@ def q_first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coef_frame(spark, r, first_stage_F=round(r.extra["first_stage_F"], 3))
 
 
-def quartile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quartile_frame(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """Quartiles of acctbal over all rows (before pruning), dummies and interactions."""
-    p = regression_panel(spark, sf_dir)
+    p = regression_panel(spark, sf_dir) if panel is None else panel
     b = R.quantile_bucket(p, ["acctbal", "cust", "yr"], 4, "group")
     b = P.one_hot(b, "group", [1, 2, 3, 4], "g")
     return P.interact(b, {"x": "xg", "no": "zg"}, ["g1", "g2", "g3", "g4"])
@@ -610,7 +610,8 @@ WEAK_MODELS = [("weak_simple", "panel", [], ["x"], ["no"], CY), ("weak_full", "p
     " UNION ALL ".join(f"SELECT '{m[0]}' AS model, {len(m[3])}::INTEGER AS endogenous, round(robust_F, 2) AS robust_F, round(cragg_donald_F, 2) AS cragg_donald_F FROM {m[0]}_w" for m in WEAK_MODELS)))
 def q_weak_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster-robust and homoskedastic weak-identification statistics with one and four endogenous regressors."""
-    frames = {"panel": regression_panel(spark, sf_dir), "qp": quartile_frame(spark, sf_dir)}
+    panel = cut_lineage(regression_panel(spark, sf_dir))        # built once for all models
+    frames = {"panel": panel, "qp": quartile_frame(spark, sf_dir, panel)}
     rows = []
     for name, source, exog, endog, inst, fes in WEAK_MODELS:
         (r,) = fe.fit_models(frames[source], [fe.Spec("y", exog, endog, inst, name)], fes=fes, cluster="cust", weak_id=True)

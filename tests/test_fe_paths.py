@@ -8,6 +8,8 @@ a dense dummy-variable least-squares fit computed with numpy.
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkpanel.operators import fe
 
 
@@ -211,3 +213,21 @@ def test_robust_weak_identification(spark):
     mixed = df.withColumn("z", df["z"] * 5 + df["w"]).withColumn("x2", df["x2"] * 0.01)
     again = fe.fit_models(mixed, spec("x2"), fes=["u", "t"], cluster="u", weak_id=True)[0].extra["robust_weak_F"]
     assert again == pytest.approx(good, rel=1e-6)
+
+
+def test_gram_over_open_units(spark, monkeypatch):
+    """A = D'D - C'N^-1C where units go on over batches and over the pieces that a task lays out."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 9)), int(rng.integers(0, 20)), int(rng.integers(20, 26))) for _ in range(400)]
+    u, s, t = (np.eye(n)[[r[k] for r in rows]] for k, n in ((0, 9), (1, 26), (2, 26)))
+    d = s + t
+    want = d.T @ d - (u.T @ d).T @ np.diag(1 / u.sum(0)) @ (u.T @ d)
+    df = spark.createDataFrame(rows, "u int, s long, t long").groupBy("u", "s", "t").agg(F.count("*").alias("__c"))
+    cells = df.withColumn("__nu", F.sum("__c").over(fe._unit_window(["u"])))
+    monkeypatch.setattr(fe, "DENSE_VALUES", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = fe._Absorber._gram(cells, ["u"], ["s", "t"], 26)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.abs(got - want).max() < 1e-9
