@@ -171,7 +171,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
         words = targets.agg(F.sum("target")).first()[0] or 0
         shards = max(MIN_SHARDS, -(-int(words) // SHARD_WORDS))
     dealt = taken.join(deal(docs.sparkSession, quotas, shards, seed), ["number", "place"]) if quotas else taken.withColumn("shard", F.lit(0))
-    return targets, dealt.groupBy("number", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    # written, so that its size is known: where it is small no text is shuffled to meet it
+    return targets, written(dealt.groupBy("number", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int | None = None,

@@ -80,3 +80,10 @@ def test_shards_hold_each_copy_once(spark, tmp_path):
     M.write_shards(mixed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.shard) for r in back.collect()) == sorted((r.doc_id, s) for r in mixed.collect() for s in r.shards)
+
+
+def test_taken_blocks_are_read_from_files(spark):
+    """Their size is then known before the texts are joined with them, so few blocks are broadcast and no text is shuffled."""
+    rows = spark.createDataFrame([(i, "some words here " * (i % 7), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    _, taken = M.plan(rows)
+    assert taken.inputFiles() and "Aggregate" not in taken._jdf.queryExecution().optimizedPlan().toString()
